@@ -74,8 +74,8 @@ def digest_by_source(ranked: DataFrame) -> DataFrame:
 def first_summary(evals: DataFrame) -> DataFrame:
     """first non-empty summary by append order, per item (map-side ``min_by``)."""
     non_empty = F.col("summary").isNotNull() & (F.col("summary") != "")
-    return evals.groupBy("dedup_key").agg(
-        F.min_by(F.when(non_empty, F.col("summary")), F.when(non_empty, F.col("seq"))).alias("summary"))
+    return evals.where(non_empty).groupBy("dedup_key").agg(
+        F.min_by(F.col("summary"), F.col("seq")).alias("summary"))
 
 
 def with_summary(items: DataFrame, evals: DataFrame) -> DataFrame:

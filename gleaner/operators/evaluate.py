@@ -144,10 +144,13 @@ def first_valid_attempt(attempts: DataFrame, keys: list[str], max_attempts: int
     else ``failed``. One aggregation (``min_by`` is map-side combinable)."""
     a = attempts.withColumn("_reason", response_reason(text_col))
     ok = (F.col("_reason") == "valid") & (F.col("attempt") <= max_attempts)
-    return a.groupBy(*keys).agg(
-        F.min_by(F.when(ok, F.col(text_col)), F.when(ok, F.col("attempt"))).alias("response_text"),
-        F.min(F.when(ok, F.col("attempt"))).alias("attempt_used"),
-    ).withColumn("status", F.when(F.col("attempt_used").isNull(), F.lit("failed")).otherwise(F.lit("ok")))
+    never = F.lit(2 ** 31 - 1)
+    g = a.groupBy(*keys).agg(
+        F.min_by(F.col(text_col), F.coalesce(F.when(ok, F.col("attempt")), never)).alias("_text"),
+        F.min(F.when(ok, F.col("attempt"))).alias("attempt_used"))
+    done = F.col("attempt_used").isNotNull()
+    return g.select(*keys, F.when(done, F.col("_text")).alias(text_col), "attempt_used",
+                    F.when(done, F.lit("ok")).otherwise(F.lit("failed")).alias("status"))
 
 
 # ------------------------------------------------------------------ E10-E12 state

@@ -5,7 +5,8 @@ single task, and over ``partitionBy(g)`` it sorts each group in one task, which
 when one group holds a third of the rows. ``rank_rows`` range-partitions on
 ``(group, order)`` instead, numbers rows inside each sorted partition, and adds the
 count of same-group rows in earlier partitions. The offsets table has one row per
-(group, partition) pair present, i.e. at most ``partitions + groups`` rows.
+(group, partition) pair present, i.e. at most ``partitions + groups`` rows; the
+join to it is left to AQE (broadcast when its measured size is small).
 """
 
 from __future__ import annotations
@@ -32,6 +33,11 @@ def rank_rows(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[
                 .withColumn("_rid", F.monotonically_increasing_id())
                 .withColumn("_pid", F.shiftright("_rid", _LOCAL_BITS))
                 .withColumn("_loc", F.col("_rid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
+    # The numbering is read twice (counts and the final join). Two independently
+    # planned range shuffles may sample different bounds, so the numbered rows are
+    # written once to the shared checkpoint folder; this also keeps them stable when
+    # an executor is lost.
+    tagged = tagged.checkpoint(eager=True)
     counts = tagged.groupBy(*partition_by, "_pid").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_lo"))
     w = Window.partitionBy(*partition_by).orderBy("_pid") if partition_by else Window.orderBy("_pid")

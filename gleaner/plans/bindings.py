@@ -93,3 +93,24 @@ def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with their evaluation state (E12 joined on the key)."""
     return attach_state(items(spark, sf_dir), eval_state(evals(spark, sf_dir)))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model response texts synthesised from events, one shape per event type:
+    view -> valid, click -> not JSON, purchase -> missing summary,
+    signup -> importance as a quoted number, error -> confidence as a float."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    score = F.floor(F.least(F.col("value"), F.lit(100.0))).cast("bigint").cast("string")
+    summary = F.concat(F.lit('{"summary": "s'), F.col("event_id").cast("string"), F.lit('", "evaluation": "e", '))
+    text = (F.when(F.col("event_type") == "view",
+                   F.concat(summary, F.lit('"importance_score": '), score, F.lit(', "confidence_score": '), k, F.lit("}")))
+            .when(F.col("event_type") == "click", F.concat(F.lit("{bad json "), F.col("event_id").cast("string")))
+            .when(F.col("event_type") == "purchase",
+                  F.concat(F.lit('{"evaluation": "e", "importance_score": '), score,
+                           F.lit(', "confidence_score": '), k, F.lit("}")))
+            .when(F.col("event_type") == "signup",
+                  F.concat(summary, F.lit('"importance_score": "'), score, F.lit('", "confidence_score": '), k, F.lit("}")))
+            .otherwise(F.concat(summary, F.lit('"importance_score": '), score, F.lit(', "confidence_score": '),
+                                k, F.lit(".5}"))))
+    return e.select("event_id", "user_id", "ts", text.alias("response_text"))

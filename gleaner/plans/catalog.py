@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators import collect, digest, evaluate
+from gleaner.functions.columns import as_double, as_int, as_list
+from gleaner.operators import analysis, collect, digest, evaluate, scorers, serve
 from gleaner.operators.config import resolve_config
+from gleaner.operators.ranking import rank_rows
 from gleaner.plans import bindings as b
-from gleaner.plans.oracle import with_ctes
+from gleaner.plans.oracle import AS_OF_SQL, REASON_SQL, with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -120,3 +122,314 @@ def q_digest_by_source(spark, sf):
     ranked = digest.digest_ranked(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
     return digest.digest_by_source(ranked).select(
         "dedup_key", "group_source", "rank", "source_rank", "group_order", "n_items")
+
+
+@register("digest_top3", with_ctes(["digest"], """
+SELECT rank, dedup_key, coalesce(title, 'Untitled') AS title, coalesce(link, '#') AS link,
+       coalesce(source, 'Unknown') AS source, coalesce(weighted_score, 0) AS score,
+       coalesce(median_confidence, 0) AS confidence
+FROM digest WHERE rank <= 3"""))
+def q_digest_top3(spark, sf):
+    return digest.digest_top(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF, 3)
+
+
+@register("first_summary", with_ctes(["digest", "evals"], """
+SELECT d.dedup_key, coalesce(fs.summary, 'No summary available.') AS summary
+FROM digest d LEFT JOIN (
+  SELECT dedup_key, arg_min(summary, seq) AS summary FROM evals
+  WHERE summary IS NOT NULL AND summary <> '' GROUP BY dedup_key) fs USING (dedup_key)"""))
+def q_first_summary(spark, sf):
+    ranked = digest.digest_items(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
+    return digest.with_summary(ranked, b.evals(spark, sf))
+
+
+@register("digest_subject", with_ctes(["digest"], """
+SELECT count(*) AS n_items,
+       CASE WHEN count(*) > 0 THEN CAST(count(*) AS VARCHAR) || ' items in your weekly digest' END AS subject
+FROM digest"""))
+def q_digest_subject(spark, sf):
+    return digest.digest_subject(digest.digest_items(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF))
+
+
+# ====================================================================== F serving
+
+@register("score_bands", with_ctes(["store"], """
+SELECT count(*) AS total_items,
+       string_agg(DISTINCT coalesce(source, 'Unknown'), ',' ORDER BY coalesce(source, 'Unknown')) AS sources,
+       count(*) FILTER (WHERE coalesce(weighted_score, 0) >= 70) AS high,
+       count(*) FILTER (WHERE coalesce(weighted_score, 0) >= 30 AND coalesce(weighted_score, 0) < 70) AS medium,
+       count(*) FILTER (WHERE coalesce(weighted_score, 0) < 30) AS low
+FROM store"""))
+def q_score_bands(spark, sf):
+    return serve.score_bands(b.store(spark, sf))
+
+
+@register("item_lookup", with_ctes(["store"], f"""
+SELECT {_state_cols_sql()} FROM store
+WHERE dedup_key IN (SELECT dedup_key FROM store ORDER BY weighted_score DESC NULLS LAST, ord LIMIT 3)"""))
+def q_item_lookup(spark, sf):
+    st = b.store(spark, sf)
+    wanted = st.orderBy(F.col("weighted_score").desc_nulls_last(), "ord").limit(3).select("dedup_key")
+    return serve.item_lookup(st, wanted).select(*STATE_COLS)
+
+
+@register("search_items", with_ctes(["store"], f"""
+SELECT {_state_cols_sql()} FROM store
+WHERE contains(lower(coalesce(title, '')), lower('Ou')) AND source = 'fr'
+  AND coalesce(weighted_score, 0) >= 40"""))
+def q_search_items(spark, sf):
+    return serve.search_items(b.store(spark, sf), term="Ou", source="fr", min_score=40).select(*STATE_COLS)
+
+
+@register("item_details", with_ctes(["store", "evals"], """
+SELECT s.dedup_key, s.ord, s.title, e.eval_index, e.seq, e.model, e.importance_score,
+       e.confidence_score, e.eval_date
+FROM store s LEFT JOIN (
+  SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY seq) AS eval_index FROM evals) e
+USING (dedup_key)"""))
+def q_item_details(spark, sf):
+    return serve.item_details(b.store(spark, sf), b.evals(spark, sf)).select(
+        "dedup_key", "ord", "title", "eval_index", "seq", "model", "importance_score",
+        "confidence_score", "eval_date")
+
+
+_SORT_SQL = {
+    "score": ("coalesce(weighted_score, 0)", "DESC"),
+    "source": ("coalesce(lower(source), '')", "ASC"),
+    "title": ("coalesce(lower(title), '')", "ASC"),
+    "num_evals": ("coalesce(num_evals, 0)", "DESC"),
+    "confidence": ("coalesce(median_confidence, 0)", "DESC"),
+    "last_eval": ("coalesce(last_eval, TIMESTAMP '1970-01-01 00:00:00')", "DESC"),
+}
+
+
+@register("sort_items", with_ctes(["store"], "\nUNION ALL\n".join(
+    f"""SELECT * FROM (SELECT '{k}' AS sort_key, dedup_key,
+       row_number() OVER (ORDER BY {e} {d}, ord) AS rank FROM store) WHERE rank <= 100"""
+    for k, (e, d) in _SORT_SQL.items())))
+def q_sort_items(spark, sf):
+    st = b.store(spark, sf)
+    pages = [serve.sort_items(st, k).select(F.lit(k).alias("sort_key"), "dedup_key", "rank")
+             for k in _SORT_SQL]
+    out = pages[0]
+    for p in pages[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ====================================================================== G analysis
+
+@register("analysis_items", with_ctes(["store", "evals"], """
+SELECT s.dedup_key, s.ord, s.source, s.title, s.weighted_score, e.seq, e.prompt_hash, e.model,
+       e.importance_score AS score, e.confidence_score AS confidence
+FROM store s JOIN evals e USING (dedup_key) WHERE s.weighted_score IS NOT NULL"""))
+def q_analysis_items(spark, sf):
+    return analysis.analysis_items(b.store(spark, sf), b.evals(spark, sf)).select(
+        "dedup_key", "ord", "source", "title", "weighted_score", "seq", "prompt_hash", "model",
+        "score", "confidence")
+
+
+@register("score_distribution", with_ctes(["store", "evals"], """
+, top AS (SELECT * FROM (
+    SELECT dedup_key, ord, weighted_score,
+           source || ': ' || CASE WHEN length(title) > 50 THEN substr(title, 1, 50) || '...' ELSE title END AS label
+    FROM store WHERE weighted_score IS NOT NULL ORDER BY weighted_score DESC, ord DESC LIMIT 50))
+SELECT t.dedup_key, t.ord, t.weighted_score, t.label,
+       row_number() OVER (ORDER BY t.weighted_score, t.ord) AS position_, h.score, h.n_evals
+FROM top t JOIN (SELECT dedup_key, importance_score AS score, count(*) AS n_evals
+                 FROM evals GROUP BY dedup_key, importance_score) h USING (dedup_key)
+""".replace("row_number() OVER (ORDER BY t.weighted_score, t.ord) AS position_",
+            "p.position").replace("FROM top t JOIN", "FROM top t JOIN (SELECT dedup_key, row_number() OVER "
+                                  "(ORDER BY weighted_score, ord) AS position FROM top) p USING (dedup_key) JOIN")
+).replace("\n)\n, top AS", "\n),\ntop AS"))
+def q_score_distribution(spark, sf):
+    return analysis.score_distribution(b.store(spark, sf), b.evals(spark, sf)).select(
+        "dedup_key", "ord", "weighted_score", "label", "position", "score", "n_evals")
+
+
+@register("score_confidence_points", with_ctes(["store", "evals"], """
+SELECT e.seq, s.dedup_key, s.source, e.importance_score AS score, e.confidence_score AS confidence,
+       c.colour_index
+FROM store s JOIN evals e USING (dedup_key)
+JOIN (SELECT source, CAST((row_number() OVER (ORDER BY weighted_score, ord) - 1) % 10 AS INTEGER) AS colour_index
+      FROM (SELECT source, weighted_score, ord, row_number() OVER (PARTITION BY source ORDER BY weighted_score, ord) AS r
+            FROM store WHERE weighted_score IS NOT NULL) WHERE r = 1) c USING (source)
+WHERE s.weighted_score IS NOT NULL"""))
+def q_score_confidence_points(spark, sf):
+    return analysis.score_confidence_points(b.store(spark, sf), b.evals(spark, sf)).select(
+        "seq", "dedup_key", "source", "score", "confidence", "colour_index")
+
+
+# ====================================================================== E evaluation (rest)
+
+_E2_INPUT = """(SELECT event_id,
+        CAST(json_extract_string(props, '$.k') AS INTEGER) % 10 AS num_evals,
+        CAST(json_extract_string(props, '$.k') AS INTEGER) AS conf,
+        CASE WHEN event_type = 'signup' THEN NULL ELSE CAST(floor(least(value, 100.0)) AS INTEGER) END AS score
+      FROM events)"""
+
+
+@register("needs_evaluation", f"""
+SELECT event_id, num_evals,
+  CASE WHEN num_evals < 8 AND num_evals > 5 AND coalesce(conf > 80, false)
+            AND (coalesce(score > 80, false) OR coalesce(score <> 0 AND score < 20, false)) THEN 'settled'
+       WHEN num_evals < 8 THEN 'queued' ELSE 'done' END AS status
+FROM {_E2_INPUT}""")
+def q_needs_evaluation(spark, sf):
+    e = b.table(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    x = e.select("event_id", (k % 10).alias("num_evals"), k.alias("conf"),
+                 F.when(F.col("event_type") == "signup", F.lit(None).cast("int"))
+                  .otherwise(F.floor(F.least("value", F.lit(100.0))).cast("int")).alias("score"))
+    return x.select("event_id", "num_evals",
+                    evaluate.evaluation_status(F.col("num_evals"), F.col("conf"), F.col("score"), 8).alias("status"))
+
+
+@register("force_candidates", with_ctes(["recent"], """
+SELECT dedup_key, num_evals,
+  CASE WHEN num_evals < 2 AND num_evals > 5 THEN 'settled' WHEN num_evals < 2 THEN 'queued' ELSE 'done' END
+    AS normal_status
+FROM recent"""))
+def q_force_candidates(spark, sf):
+    recent = evaluate.recent_items(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
+    forced = evaluate.candidates(recent, 2, force=True)
+    return forced.select("dedup_key", "num_evals", evaluate.evaluation_status(
+        F.col("num_evals"), F.col("median_confidence"), F.col("weighted_score"), 2).alias("normal_status"))
+
+
+def _prompt_sql() -> str:
+    from gleaner.plans.oracle import setting, settings_sql
+    keys = {p: "string" for p in evaluate.PROMPT_PARTS if not p.startswith("@")}
+    parts = [(p[1:] if p.startswith("@") else setting(p, "string")) for p in evaluate.PROMPT_PARTS]
+    return (f"(SELECT i.dedup_key, concat_ws(chr(10) || chr(10), {', '.join(parts)}) AS prompt "
+            f"FROM items i LEFT JOIN {settings_sql(keys)} c USING (source))")
+
+
+@register("assemble_prompt", with_ctes(["items"], f"""
+SELECT dedup_key, CAST(length(prompt) AS INTEGER) AS prompt_chars, md5(prompt) AS prompt_md5
+FROM {_prompt_sql()}"""))
+def q_assemble_prompt(spark, sf):
+    p = evaluate.assemble_prompt(b.items(spark, sf), b.BINDING_CONFIG)
+    return p.select("dedup_key", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@register("prompt_hash", with_ctes(["items"], f"SELECT dedup_key, sha256(prompt) AS prompt_hash FROM {_prompt_sql()}"))
+def q_prompt_hash(spark, sf):
+    p = evaluate.with_prompt_hash(evaluate.assemble_prompt(b.items(spark, sf), b.BINDING_CONFIG))
+    return p.select("dedup_key", "prompt_hash")
+
+
+def _keyword_cols_sql(x: str) -> str:
+    from gleaner.plans.oracle import keyword_sql
+    return ", ".join(f"{v} AS {k}" for k, v in keyword_sql(x).items())
+
+
+@register("score_items", with_ctes(["items"], f"""
+SELECT dedup_key, {_keyword_cols_sql("coalesce(json_extract_string(input, '$.text'), title)")} FROM items"""))
+def q_score_items(spark, sf):
+    scored = evaluate.score_items(b.items(spark, sf), scorers.keyword_scorer())
+    return scored.select("dedup_key", "response.importance_score", "response.confidence_score", "response.summary")
+
+
+@register("validate_responses", with_ctes(["responses"], f"""
+SELECT event_id, {REASON_SQL.format(t='response_text')} AS reason FROM responses"""))
+def q_validate_responses(spark, sf):
+    r = b.responses(spark, sf)
+    return r.select("event_id", evaluate.response_reason("response_text").alias("reason"))
+
+
+@register("first_valid_attempt", with_ctes(["responses"], f"""
+, att AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, response_text,
+              row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS attempt,
+              {REASON_SQL.format(t='response_text')} AS reason
+       FROM responses)
+SELECT user_id, day, arg_min(response_text, attempt) FILTER (WHERE reason = 'valid' AND attempt <= 3) AS response_text,
+       min(attempt) FILTER (WHERE reason = 'valid' AND attempt <= 3) AS attempt_used,
+       CASE WHEN min(attempt) FILTER (WHERE reason = 'valid' AND attempt <= 3) IS NULL THEN 'failed' ELSE 'ok' END AS status
+FROM att GROUP BY user_id, day""".replace("\n)\n, att AS", "\n),\natt AS")))
+def q_first_valid_attempt(spark, sf):
+    r = b.responses(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    att = rank_rows(r, [F.col("ts").asc(), F.col("event_id").asc()], partition_by=["user_id", "day"],
+                    rank_col="attempt")
+    return evaluate.first_valid_attempt(att, ["user_id", "day"], 3).select(
+        "user_id", "day", "response_text", "attempt_used", "status")
+
+
+# ====================================================================== C upsert
+
+_EXISTING_BEFORE = "2024-01-20 00:00:00"
+_BATCH_FROM = "2024-01-10 00:00:00"
+_EXISTING_COLLECTED = "2024-01-25 00:00:00"
+
+
+def _upsert_inputs(spark, sf):
+    landed = b.landed_items(spark, sf)
+    existing = (b.items(spark, sf).where(F.col("creation_date") < F.lit(_EXISTING_BEFORE).cast("timestamp_ntz"))
+                .withColumn("first_collected", F.lit(_EXISTING_COLLECTED).cast("timestamp_ntz"))
+                .withColumn("last_collected", F.lit(_EXISTING_COLLECTED).cast("timestamp_ntz")))
+    batch_landed = (landed.where(F.col("creation_date") >= F.lit(_BATCH_FROM).cast("timestamp_ntz"))
+                    .withColumn("title", F.concat(F.lit("[v2] "), F.col("title"))))
+    batch = collect.dedup_first_wins(batch_landed, "ord")
+    return batch_landed, batch, existing
+
+
+_UPSERT_SQL = f"""
+, existing AS (SELECT * FROM items WHERE creation_date < TIMESTAMP '{_EXISTING_BEFORE}'),
+batch AS (SELECT * EXCLUDE (rn_) FROM (
+    SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY ord) AS rn_
+    FROM (SELECT * REPLACE ('[v2] ' || title AS title) FROM landed
+          WHERE creation_date >= TIMESTAMP '{_BATCH_FROM}')) WHERE rn_ = 1),
+merged AS (
+  SELECT coalesce(b.dedup_key, e.dedup_key) AS dedup_key,
+         CASE WHEN b.dedup_key IS NOT NULL THEN b.title ELSE e.title END AS title,
+         CASE WHEN b.dedup_key IS NOT NULL THEN b.source ELSE e.source END AS source,
+         CASE WHEN e.dedup_key IS NOT NULL THEN TIMESTAMP '{_EXISTING_COLLECTED}' ELSE {AS_OF_SQL} END AS first_collected,
+         CASE WHEN b.dedup_key IS NOT NULL THEN {AS_OF_SQL} ELSE TIMESTAMP '{_EXISTING_COLLECTED}' END AS last_collected,
+         CASE WHEN b.dedup_key IS NOT NULL AND e.dedup_key IS NOT NULL THEN 'updated'
+              WHEN b.dedup_key IS NOT NULL THEN 'new' ELSE 'kept' END AS merge_status,
+         CASE WHEN b.dedup_key IS NOT NULL THEN 0 ELSE 1 END AS merge_part,
+         CASE WHEN b.dedup_key IS NOT NULL THEN b.ord ELSE e.ord END AS ord
+  FROM existing e FULL OUTER JOIN batch b ON e.dedup_key = b.dedup_key)"""
+
+
+@register("upsert_merge", with_ctes(["items", "landed"], _UPSERT_SQL.replace("\n, existing", ",\nexisting", 1)
+                                    .replace(",\nexisting", "\n, existing", 0) + """
+SELECT * FROM merged""").replace("\n)\n, existing AS", "\n),\nexisting AS"))
+def q_upsert_merge(spark, sf):
+    _, batch, existing = _upsert_inputs(spark, sf)
+    return collect.upsert_merge(existing, batch, b.AS_OF).select(
+        "dedup_key", "title", "source", "first_collected", "last_collected", "merge_status", "merge_part", "ord")
+
+
+@register("collect_counts", with_ctes(["items", "landed"], _UPSERT_SQL + f"""
+SELECT (SELECT count(*) FROM landed WHERE creation_date >= TIMESTAMP '{_BATCH_FROM}') - (SELECT count(*) FROM batch)
+         AS duplicates_removed,
+       count(*) FILTER (WHERE merge_status = 'new') AS new_items,
+       count(*) FILTER (WHERE merge_status = 'updated') AS updated_items,
+       count(*) AS total_items
+FROM merged""").replace("\n)\n, existing AS", "\n),\nexisting AS"))
+def q_collect_counts(spark, sf):
+    batch_landed, batch, existing = _upsert_inputs(spark, sf)
+    merged = collect.upsert_merge(existing, batch, b.AS_OF)
+    return collect.collect_counts(batch_landed, batch, merged)
+
+
+# ====================================================================== D typed config
+
+@register("typed_config", """
+SELECT p_partkey,
+  CASE WHEN regexp_matches(CAST(p_size AS VARCHAR), '^\\s*[+-]?[0-9]+\\s*$') THEN CAST(trim(CAST(p_size AS VARCHAR)) AS INTEGER) ELSE -1 END AS size_int,
+  CASE WHEN regexp_matches(p_name, '^\\s*[+-]?[0-9]+\\s*$') THEN CAST(trim(p_name) AS INTEGER) ELSE -1 END AS name_int,
+  coalesce(TRY_CAST(trim(CAST(p_retailprice AS VARCHAR)) AS DOUBLE), 0.0) AS price_double,
+  CAST(len(list_filter(list_transform(string_split(p_name || ', ' || p_brand || ',, ' || p_type || ' ', ','), lambda x: trim(x)), lambda x: x <> '')) AS INTEGER) AS list_len,
+  array_to_string(list_filter(list_transform(string_split(p_name || ', ' || p_brand || ',, ' || p_type || ' ', ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS list_joined
+FROM part""")
+def q_typed_config(spark, sf):
+    p = b.table(spark, sf, "part")
+    lst = as_list(F.concat(F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit(",, "), F.col("p_type"), F.lit(" ")))
+    return p.select("p_partkey",
+                    as_int(F.col("p_size").cast("string"), -1).alias("size_int"),
+                    as_int(F.col("p_name"), -1).alias("name_int"),
+                    as_double(F.col("p_retailprice").cast("string"), 0.0).alias("price_double"),
+                    F.size(lst).alias("list_len"),
+                    F.array_join(lst, "|").alias("list_joined"))

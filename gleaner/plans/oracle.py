@@ -101,3 +101,44 @@ def with_ctes(names: list[str], body: str) -> str:
         visit(n)
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order]
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+
+CTES["responses"] = ([], """
+    SELECT event_id, user_id, ts,
+      CASE event_type
+        WHEN 'view' THEN '{"summary": "s' || event_id || '", "evaluation": "e", "importance_score": '
+             || CAST(floor(least(value, 100.0)) AS BIGINT) || ', "confidence_score": ' || json_extract_string(props, '$.k') || '}'
+        WHEN 'click' THEN '{bad json ' || event_id
+        WHEN 'purchase' THEN '{"evaluation": "e", "importance_score": ' || CAST(floor(least(value, 100.0)) AS BIGINT)
+             || ', "confidence_score": ' || json_extract_string(props, '$.k') || '}'
+        WHEN 'signup' THEN '{"summary": "s' || event_id || '", "evaluation": "e", "importance_score": "'
+             || CAST(floor(least(value, 100.0)) AS BIGINT) || '", "confidence_score": ' || json_extract_string(props, '$.k') || '}'
+        ELSE '{"summary": "s' || event_id || '", "evaluation": "e", "importance_score": '
+             || CAST(floor(least(value, 100.0)) AS BIGINT) || ', "confidence_score": ' || json_extract_string(props, '$.k') || '.5}'
+      END AS response_text
+    FROM events""")
+
+REASON_SQL = """CASE
+      WHEN {t} IS NULL OR NOT json_valid({t}) THEN 'bad_json'
+      WHEN json_type({t}) <> 'OBJECT'
+           OR NOT list_has_all(json_keys({t}), ['summary', 'evaluation', 'importance_score', 'confidence_score'])
+           THEN 'missing_key'
+      WHEN coalesce(json_type({t}, '$.importance_score'), '') NOT IN ('UBIGINT', 'BIGINT') THEN 'non_int_importance'
+      WHEN coalesce(json_type({t}, '$.confidence_score'), '') NOT IN ('UBIGINT', 'BIGINT') THEN 'non_int_confidence'
+      ELSE 'valid' END"""
+
+# Keyword scorer (gleaner.operators.scorers) in SQL over a text expression {x}.
+def keyword_sql(x: str) -> dict[str, str]:
+    from gleaner.operators.scorers import (INTEREST_TERMS, NEUTRAL_SCORE, OTHER_TERMS, RATE_SCALE,
+                                           WORDS_PER_CONFIDENCE)
+    tokens = f"regexp_extract_all(lower(coalesce({x}, '')), '[\\p{{L}}\\p{{N}}_]+')"
+    terms_in = "[" + ", ".join(f"'{t}'" for t in INTEREST_TERMS) + "]"
+    terms_out = "[" + ", ".join(f"'{t}'" for t in OTHER_TERMS) + "]"
+    n = f"CAST(len({tokens}) AS BIGINT)"
+    hin = f"CAST(len(list_filter({tokens}, lambda t: list_contains({terms_in}, t))) AS BIGINT)"
+    hout = f"CAST(len(list_filter({tokens}, lambda t: list_contains({terms_out}, t))) AS BIGINT)"
+    imp = (f"CAST(least(100, greatest(0, {NEUTRAL_SCORE} + ({hin} * {RATE_SCALE}) // ({n} + 1)"
+           f" - ({hout} * {RATE_SCALE}) // ({n} + 1))) AS BIGINT)")
+    conf = f"CAST(least(100, {n} // {WORDS_PER_CONFIDENCE}) AS BIGINT)"
+    summary = f"'matched ' || {hin} || ' of ' || {n} || ' words'"
+    return {"importance_score": imp, "confidence_score": conf, "summary": summary}
