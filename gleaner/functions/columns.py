@@ -93,8 +93,7 @@ def has_element(c: str | Column, tag: str) -> Column:
 def parse_iso(c: str | Column) -> Column:
     """ISO-8601 text with ``Z``, an offset, fractional seconds or no zone (read as
     UTC) to TIMESTAMP_NTZ in UTC; garbage and impossible dates give null."""
-    ts = F.try_to_timestamp(col_(c))
-    return F.to_timestamp_ntz(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return F.try_to_timestamp(col_(c)).cast("timestamp_ntz")   # session zone is UTC
 
 
 def from_epoch_seconds(c: str | Column) -> Column:

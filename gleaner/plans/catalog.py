@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.columns import as_double, as_int, as_list
+from gleaner.functions.columns import as_double, as_int, as_list, word_count
+from gleaner.functions.html import extract_main_content, plain_text
 from gleaner.operators import analysis, collect, digest, evaluate, scorers, serve
 from gleaner.operators.config import resolve_config
 from gleaner.operators.ranking import rank_rows
 from gleaner.plans import bindings as b
+from gleaner.sources import shaping
 from gleaner.plans.oracle import AS_OF_SQL, REASON_SQL, with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -433,3 +435,365 @@ def q_typed_config(spark, sf):
                     as_double(F.col("p_retailprice").cast("string"), 0.0).alias("price_double"),
                     F.size(lst).alias("list_len"),
                     F.array_join(lst, "|").alias("list_joined"))
+
+
+@register("append_eval_round", None)
+def q_append_eval_round(spark, sf):
+    all_evals = evaluate.run_rounds(b.items(spark, sf), b.evals(spark, sf), b.BINDING_CONFIG,
+                                    scorers.keyword_scorer(), rounds=2, as_of=b.AS_OF)
+    recent = evaluate.recent_items(b.items(spark, sf), b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
+    return evaluate.attach_state(recent, evaluate.eval_state(all_evals)).select(
+        "dedup_key", "num_evals", "weighted_score", "median_confidence", "last_eval")
+
+
+def _append_eval_round_sql() -> str:
+    from gleaner.plans.oracle import keyword_sql
+    ks = keyword_sql("coalesce(json_extract_string(i.input, '$.text'), i.title)")
+    agg = """SELECT dedup_key, count(*) AS num_evals,
+               CASE WHEN sum(confidence_score + 100) > 0
+                    THEN CAST(trunc(sum(CAST(importance_score AS BIGINT) * (confidence_score + 100))
+                                    / sum(confidence_score + 100)) AS INTEGER) ELSE 0 END AS weighted_score,
+               CAST(trunc(median(confidence_score)) AS INTEGER) AS median_confidence,
+               arg_max(eval_date, seq) AS last_eval
+        FROM {src} GROUP BY dedup_key"""
+
+    def queued(st, r):
+        n = f"coalesce({st}.num_evals, 0)"
+        settled = (f"({n} > 5 AND coalesce({st}.median_confidence > 80, false) AND "
+                   f"(coalesce({st}.weighted_score > 80, false) OR coalesce({st}.weighted_score <> 0 "
+                   f"AND {st}.weighted_score < 20, false)))")
+        return f"{n} < {r} AND NOT {settled}"
+
+    def new_rows(r, st):
+        return (f"SELECT rc.dedup_key, CAST({r} * {evaluate.SEQ_ROUND_BASE} + rc.ord AS BIGINT) AS seq, "
+                f"{AS_OF_SQL} AS eval_date, CAST(sc.importance_score AS INTEGER) AS importance_score, "
+                f"CAST(sc.confidence_score AS INTEGER) AS confidence_score "
+                f"FROM rec rc JOIN sc USING (dedup_key) LEFT JOIN {st} USING (dedup_key) "
+                f"WHERE {queued(st, r)}")
+    body = f"""
+, rec AS (SELECT dedup_key, ord FROM recent),
+sc AS (SELECT i.dedup_key, {ks['importance_score']} AS importance_score, {ks['confidence_score']} AS confidence_score
+       FROM items i),
+ev0 AS (SELECT dedup_key, seq, eval_date, importance_score, confidence_score FROM evals),
+st0 AS ({agg.format(src='ev0')}),
+ev1 AS (SELECT * FROM ev0 UNION ALL {new_rows(1, 'st0')}),
+st1 AS ({agg.format(src='ev1')}),
+ev2 AS (SELECT * FROM ev1 UNION ALL {new_rows(2, 'st1')}),
+st2 AS ({agg.format(src='ev2')})
+SELECT rc.dedup_key, coalesce(st2.num_evals, 0) AS num_evals, st2.weighted_score, st2.median_confidence, st2.last_eval
+FROM rec rc LEFT JOIN st2 USING (dedup_key)"""
+    return with_ctes(["recent", "items", "evals"], body).replace("\n)\n, rec AS", "\n),\nrec AS")
+
+
+ORACLES["append_eval_round"] = _append_eval_round_sql()
+
+
+# ====================================================================== B source shaping
+
+_B_CUTOFF = b.AS_OF.replace(day=24)          # AS_OF - 7 days
+_B1_FORMATS = "event_id % 5"
+
+
+@register("parse_item_dates", """
+SELECT event_id, event_id % 5 AS fmt,
+       CASE WHEN event_id % 5 = 2 THEN ts ELSE date_trunc('second', ts) END AS parsed
+FROM events""")
+def q_parse_item_dates(spark, sf):
+    e = b.table(spark, sf, "events")
+    fmt = F.col("event_id") % 5
+    ltz = F.col("ts").cast("timestamp")
+    text = (F.when(fmt == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+            .when(fmt == 1, F.concat(F.date_format(F.col("ts") + F.expr("INTERVAL 2 HOURS"),
+                                                   "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")))
+            .when(fmt == 2, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+            .when(fmt == 3, F.unix_seconds(ltz).cast("string"))
+            .otherwise(F.unix_millis(ltz).cast("string")))
+    return e.select("event_id", fmt.alias("fmt"), shaping.parse_item_date(text).alias("parsed"))
+
+
+@register("papers_topk_per_category", """
+SELECT o_orderpriority AS category, o_orderkey AS id,
+       row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) AS rn
+FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01 00:00:00'
+QUALIFY rn <= 20""")
+def q_papers_topk_per_category(spark, sf):
+    o = b.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("category"),
+                                             F.col("o_orderkey").alias("id"),
+                                             F.col("o_orderdate").alias("published"))
+    from datetime import datetime
+    return shaping.newest_per_category(o, 20, datetime(2001, 1, 1)).select("category", "id", "rn")
+
+
+_CATEGORY_ORDER = ["N", "R", "A"]
+
+
+@register("papers_first_category", """
+SELECT l_partkey AS id, arg_min(l_returnflag, list_position(['N', 'R', 'A'], l_returnflag)) AS primary_category
+FROM lineitem GROUP BY l_partkey""")
+def q_papers_first_category(spark, sf):
+    li = b.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"),
+                                                F.col("l_returnflag").alias("category"))
+    return shaping.first_category(li, _CATEGORY_ORDER)
+
+
+@register("papers_normalize", r"""
+SELECT string_split(url, '/')[-1] AS paper_id,
+       coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''),
+                'Unknown Title') AS title,
+       'Unknown' AS author, url
+FROM pages""")
+def q_papers_normalize(spark, sf):
+    pg = b.table(spark, sf, "pages")
+    raw = pg.select(F.col("url").alias("id"),
+                    F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")).alias("title"),
+                    F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("author"),
+                    F.lit(None).cast("array<struct<name:string>>").alias("authors"),
+                    F.col("url").alias("link"), F.lit(None).cast("timestamp_ntz").alias("published"))
+    out = shaping.normalize_papers(raw)
+    return out.select("paper_id", F.coalesce(F.nullif("title", F.lit("")), F.lit(shaping.UNKNOWN_TITLE)).alias("title"),
+                      "author", "url")
+
+
+@register("sort_newest", """
+SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank
+FROM orders QUALIFY rank <= 100""")
+def q_sort_newest(spark, sf):
+    return shaping.newest_first(b.table(spark, sf, "orders"), "o_orderdate", "o_orderkey", 100).select(
+        "o_orderkey", "o_orderdate", "rank")
+
+
+@register("rss_unread_recent", """
+SELECT event_id FROM events
+WHERE date_trunc('second', ts) > TIMESTAMP '2024-01-24 00:00:00' AND event_type <> 'view'""")
+def q_rss_unread_recent(spark, sf):
+    e = b.table(spark, sf, "events")
+    rss = e.select("event_id", F.when(F.col("event_type") == "view", 1).otherwise(0).alias("is_read"),
+                   F.unix_seconds(F.col("ts").cast("timestamp")).alias("created_on_time"))
+    return shaping.unread_recent(rss, _B_CUTOFF).select("event_id")
+
+
+def _strip_tags_sql(x: str) -> str:
+    from gleaner.functions.columns import HIDDEN_BLOCKS, HTML_ENTITIES
+    for pat in HIDDEN_BLOCKS:
+        x = f"regexp_replace({x}, '{pat}', ' ', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"
+    for ent, ch in HTML_ENTITIES:
+        x = f"replace({x}, '{ent}', '{ch.replace(chr(39), chr(39) * 2)}')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+def _words_sql(x: str) -> str:
+    return rf"CAST(len(regexp_extract_all({x}, '[\p{{L}}\p{{N}}_]+')) AS INTEGER)"
+
+
+def _main_sql(x: str) -> str:
+    from gleaner.functions.html import REMOVED_TAGS
+    c = x
+    for tag in REMOVED_TAGS:
+        c = rf"regexp_replace({c}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    first = lambda tag: _strip_tags_sql(rf"regexp_extract({c}, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1)")
+    return (rf"CASE WHEN regexp_matches({c}, '(?i)<article\b') THEN {first('article')} "
+            rf"WHEN regexp_matches({c}, '(?i)<main\b') THEN {first('main')} "
+            rf"WHEN regexp_matches({c}, '(?i)<body\b') THEN {first('body')} "
+            f"ELSE {_strip_tags_sql(c)} END")
+
+
+@register("html_to_text", f"""
+SELECT page_id, {_words_sql('t')} AS n_words, CAST(length(t) AS INTEGER) AS n_chars, md5(t) AS text_md5
+FROM (SELECT page_id, {_strip_tags_sql('html')} AS t FROM pages)""")
+def q_html_to_text(spark, sf):
+    pg = b.table(spark, sf, "pages").select("page_id", plain_text("html").alias("t"))
+    return pg.select("page_id", word_count("t").alias("n_words"), F.length("t").alias("n_chars"),
+                     F.md5("t").alias("text_md5"))
+
+
+@register("extract_main_content", f"""
+SELECT page_id, {_words_sql('t')} AS n_words, md5(t) AS main_md5
+FROM (SELECT page_id, {_main_sql('html')} AS t FROM pages)""")
+def q_extract_main_content(spark, sf):
+    pg = extract_main_content(b.table(spark, sf, "pages"), "html", "t")
+    return pg.select("page_id", word_count("t").alias("n_words"), F.md5("t").alias("main_md5"))
+
+
+@register("word_count", f"SELECT doc_id, {_words_sql('text')} AS n_words FROM documents")
+def q_word_count(spark, sf):
+    return b.table(spark, sf, "documents").select("doc_id", word_count("text").alias("n_words"))
+
+
+_FEED_P = r"(?is)<p\b[^>]*>.*?</p>"
+
+
+@register("short_content_fallback", f"""
+, feed AS (SELECT page_id, url, {_strip_tags_sql(f"regexp_extract(html, '{_FEED_P}', 0)")} AS t FROM pages),
+full_ AS (SELECT url, {_main_sql('html')} AS ft FROM pages),
+scored AS (SELECT f.page_id, f.url, f.t, {_words_sql('f.t')} AS n, fu.ft, {_words_sql('fu.ft')} AS fn
+           FROM feed f LEFT JOIN full_ fu ON f.url = fu.url)
+SELECT page_id,
+       CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN 'full' ELSE 'short' END AS content_from,
+       CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN fn ELSE n END AS n_words,
+       md5(CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN ft ELSE t END) AS text_md5
+FROM scored""".replace("\n, feed AS", "WITH feed AS", 1))
+def q_short_content_fallback(spark, sf):
+    pg = b.table(spark, sf, "pages")
+    feed = pg.select("page_id", "url", F.regexp_extract("html", _FEED_P, 0).alias("html"))
+    out = shaping.short_content_fallback(feed, pg.select("url", "html"), 50)
+    return out.select("page_id", "content_from", "n_words", F.md5("text").alias("text_md5"))
+
+
+@register("comments_filter", """
+SELECT event_id FROM events
+WHERE value >= 15 AND ts >= TIMESTAMP '2024-01-24 00:00:00' ORDER BY event_id LIMIT 200""")
+def q_comments_filter(spark, sf):
+    c = b.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("value").alias("likes"),
+                                             F.col("ts").alias("created"))
+    return shaping.liked_recent_comments(c, 15, _B_CUTOFF, 200).select(F.col("id").alias("event_id"))
+
+
+def _rich_tree(role: str, text: str):
+    mention = F.to_json(F.struct(F.lit("mention").alias("type"),
+                                 F.struct(F.concat(F.lit("@"), F.col(role)).alias("label")).alias("attrs")))
+    txt = F.to_json(F.struct(F.lit("text").alias("type"), F.col(text).alias("text")))
+    image = F.lit('{"type":"image","attrs":{"alt":null}}')
+    return F.concat(F.lit('{"type":"doc","content":[{"type":"paragraph","content":['), mention, F.lit(","), txt,
+                    F.lit(']},{"type":"paragraph","content":['), image, F.lit("]}]}"))
+
+
+@register("flatten_rich_text", """
+SELECT conv_id, turn, md5('@' || role || text || '[image]') AS flat_md5,
+       CAST(length('@' || role || text || '[image]') AS INTEGER) AS flat_chars
+FROM conversations""")
+def q_flatten_rich_text(spark, sf):
+    c = b.table(spark, sf, "conversations").withColumn("tree", _rich_tree("role", "text"))
+    flat = c.withColumn("flat", shaping.flatten_rich_text("tree"))
+    return flat.select("conv_id", "turn", F.md5("flat").alias("flat_md5"), F.length("flat").alias("flat_chars"))
+
+
+@register("min_length", "SELECT doc_id FROM documents WHERE length(text) > 500")
+def q_min_length(spark, sf):
+    d = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    return shaping.long_comments(d, 500).select("doc_id")
+
+
+@register("link_lookup_join", """
+SELECT o.o_orderkey, 'https://markets.example/' || c.c_name || '#' || CAST(o.o_orderkey AS VARCHAR) AS link
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey""")
+def q_link_lookup_join(spark, sf):
+    comments = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("contractId"))
+    markets = b.table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("market_id"),
+        F.concat(F.lit("https://markets.example/"), F.col("c_name")).alias("market_url"))
+    return shaping.comment_links(comments, markets).select(F.col("id").alias("o_orderkey"), "link")
+
+
+@register("attach_comments", """
+SELECT p.conv_id, c.comment_index, md5(c.comment) AS comment_md5
+FROM (SELECT DISTINCT conv_id FROM conversations WHERE turn = 0) p
+LEFT JOIN (SELECT conv_id, role || ' says: ' || text AS comment,
+                  row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS comment_index
+           FROM conversations WHERE turn > 0) c USING (conv_id)""")
+def q_attach_comments(spark, sf):
+    conv = b.table(spark, sf, "conversations")
+    projects = conv.where(F.col("turn") == 0).select(F.col("conv_id").alias("slug")).distinct()
+    comments = conv.where(F.col("turn") > 0).select(
+        F.col("conv_id").alias("slug"), F.col("turn").alias("created_at"), F.col("turn").alias("seq"),
+        F.col("role").alias("full_name"), F.col("text").alias("content"))
+    out = shaping.attach_comments(projects, comments)
+    return out.select(F.col("slug").alias("conv_id"), "comment_index", F.md5("comment").alias("comment_md5"))
+
+
+@register("projects_recent", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '2001-07-01 00:00:00'")
+def q_projects_recent(spark, sf):
+    from datetime import datetime
+    return shaping.created_after(b.table(spark, sf, "orders"), "o_orderdate", datetime(2001, 7, 1)).select("o_orderkey")
+
+
+@register("posts_filter_project", """
+SELECT o_orderkey AS id, 'post-' || CAST(o_orderkey AS VARCHAR) AS name,
+       coalesce(CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderpriority END, '') AS tagline,
+       '' AS description, 'https://posts.example/' || CAST(o_orderkey AS VARCHAR) AS url,
+       CAST(floor(o_totalprice) AS BIGINT) AS votes_count, o_orderdate AS created_at
+FROM orders WHERE o_orderdate > TIMESTAMP '2001-06-01 00:00:00' AND CAST(floor(o_totalprice) AS BIGINT) >= 200000""")
+def q_posts_filter_project(spark, sf):
+    from datetime import datetime
+    o = b.table(spark, sf, "orders")
+    posts = o.select(F.col("o_orderkey").alias("id"),
+                     F.concat(F.lit("post-"), F.col("o_orderkey").cast("string")).alias("name"),
+                     F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_orderpriority")).alias("tagline"),
+                     F.lit(None).cast("string").alias("description"),
+                     F.concat(F.lit("https://posts.example/"), F.col("o_orderkey").cast("string")).alias("url"),
+                     F.floor("o_totalprice").cast("bigint").alias("votesCount"),
+                     F.col("o_orderdate").alias("createdAt"))
+    return shaping.shape_posts(posts, datetime(2001, 6, 1), 200000)
+
+
+@register("unstarred_anti_join", """
+SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.quality = 0 AND l.doc_id = d.doc_id)""")
+def q_unstarred_anti_join(spark, sf):
+    repos = b.table(spark, sf, "documents").select(F.col("doc_id").alias("full_name"))
+    starred = b.table(spark, sf, "labels").where(F.col("quality") == 0).select(F.col("doc_id").alias("full_name"))
+    return shaping.drop_starred(repos, starred).select(F.col("full_name").alias("doc_id"))
+
+
+@register("trending_topk", """
+SELECT CAST(o_orderkey AS VARCHAR) AS full_name, o_totalprice AS stars,
+       row_number() OVER (ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) AS rank
+FROM orders WHERE o_orderdate > TIMESTAMP '2001-01-01 00:00:00' AND o_totalprice >= 10000
+QUALIFY rank <= 50""")
+def q_trending_topk(spark, sf):
+    from datetime import datetime
+    repos = b.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("full_name"),
+                                                 F.col("o_totalprice").alias("stars"),
+                                                 F.col("o_orderdate").alias("created"))
+    return shaping.trending(repos, datetime(2001, 1, 1), 10000, 50).select("full_name", "stars", "rank")
+
+
+@register("following_activity", """
+SELECT e.event_id, e.user_id, d.doc_id, d.lang
+FROM events e JOIN documents d ON d.doc_id = e.user_id
+WHERE e.event_type IN ('click', 'purchase') AND e.ts >= TIMESTAMP '2024-01-24 00:00:00'
+  AND e.user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 20)""")
+def q_following_activity(spark, sf):
+    e = b.table(spark, sf, "events")
+    events = e.select("event_id", F.col("user_id").alias("login"),
+                      F.when(F.col("event_type") == "click", F.lit("WatchEvent"))
+                       .when(F.col("event_type") == "purchase", F.lit("ForkEvent"))
+                       .otherwise(F.col("event_type")).alias("type"),
+                      F.col("ts").alias("created_at"), F.col("user_id").alias("repo_name"))
+    following = e.select(F.col("user_id").alias("login")).distinct().withColumn("follow_pos", F.col("login"))
+    repos = b.table(spark, sf, "documents").select(F.col("doc_id").alias("full_name"), "lang")
+    out = shaping.following_activity(events, following, repos, _B_CUTOFF, 20)
+    return out.select("event_id", F.col("login").alias("user_id"), F.col("full_name").alias("doc_id"), "lang")
+
+
+@register("combine_repos", """
+WITH lists AS (
+  SELECT 0 AS list_ord, doc_id AS pos, md5(text) AS full_name, doc_id FROM documents WHERE n_chars > 5000
+  UNION ALL
+  SELECT 1 AS list_ord, doc_id AS pos, md5(text) AS full_name, doc_id FROM documents WHERE lang IN ('en', 'de')),
+g AS (SELECT full_name, min(list_ord * 1000000000000 + pos) AS k,
+             arg_min(list_ord, list_ord * 1000000000000 + pos) AS first_list,
+             arg_min(pos, list_ord * 1000000000000 + pos) AS first_pos,
+             arg_max(doc_id, list_ord * 1000000000000 + pos) AS doc_id
+      FROM lists GROUP BY full_name)
+SELECT full_name, first_list, first_pos, doc_id, row_number() OVER (ORDER BY k) AS rank
+FROM g QUALIFY rank <= 30""")
+def q_combine_repos(spark, sf):
+    d = b.table(spark, sf, "documents")
+    l0 = d.where(F.col("n_chars") > 5000).select(F.lit(0).alias("list_ord"), F.col("doc_id").alias("pos"),
+                                                  F.md5("text").alias("full_name"), "doc_id")
+    l1 = d.where(F.col("lang").isin("en", "de")).select(F.lit(1).alias("list_ord"), F.col("doc_id").alias("pos"),
+                                                         F.md5("text").alias("full_name"), "doc_id")
+    return shaping.combine_repos(l0.unionByName(l1), 30).select("full_name", "first_list", "first_pos", "doc_id", "rank")
+
+
+@register("readme_decode_join", """
+SELECT doc_id, CASE WHEN lang IN ('es', 'de') THEN NULL ELSE md5(text) END AS readme_md5 FROM documents""")
+def q_readme_decode_join(spark, sf):
+    d = b.table(spark, sf, "documents")
+    repos = d.select("doc_id", F.col("doc_id").cast("string").alias("full_name"))
+    raw = F.encode("text", "UTF-8")
+    readmes = d.where(F.col("lang") != "es").select(
+        F.col("doc_id").cast("string").alias("full_name"),
+        F.base64(F.when(F.col("lang") == "de", F.concat(F.unhex(F.lit("FF")), raw)).otherwise(raw)).alias("content"))
+    out = shaping.attach_readme(repos, readmes)
+    return out.select("doc_id", F.md5("readme_content").alias("readme_md5"))
