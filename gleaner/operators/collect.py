@@ -19,6 +19,21 @@ def with_dedup_key(items: DataFrame) -> DataFrame:
     return items.withColumn("dedup_key", dedup_key("source", "link"))
 
 
+REQUIRED_TEXT = ["source", "title", "link"]
+
+
+def validate_items(items: DataFrame) -> DataFrame:
+    """A5: the loader contract. ``reject_reason`` is null for a good row, else the
+    first missing or blank required field (``input`` may be any JSON but not absent).
+    Split with ``where(reject_reason IS NULL)`` / ``IS NOT NULL`` for quarantine."""
+    reason = None
+    for c in REQUIRED_TEXT:
+        bad = F.col(c).isNull() | (F.trim(F.col(c)) == "")
+        reason = F.when(bad, F.lit(f"missing_{c}")) if reason is None else reason.when(bad, F.lit(f"missing_{c}"))
+    reason = reason.when(F.col("input").isNull(), F.lit("missing_input"))
+    return items.withColumn("reject_reason", reason)
+
+
 def dedup_first_wins(items: DataFrame, order_col: str = "ord") -> DataFrame:
     """Keep the first row per ``dedup_key`` by arrival order ``order_col``.
 

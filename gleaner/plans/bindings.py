@@ -52,7 +52,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def landed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One landed item per document, keyed, with arrival ``ord`` = doc_id."""
-    d = table(spark, sf_dir, "documents")
+    return landed_from_documents(table(spark, sf_dir, "documents"))
+
+
+DOCUMENTS_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+                 "value double, props string")
+
+
+def landed_from_documents(d: DataFrame) -> DataFrame:
+    """Landed-item shape of a documents frame (batch or stream)."""
     items = d.select(
         F.col("doc_id").alias("ord"),
         F.col("lang").alias("source"),
@@ -73,8 +82,12 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluations: each event is one appended eval of the item with ord = user_id."""
-    e = table(spark, sf_dir, "events")
-    keys = landed_items(spark, sf_dir).select(F.col("ord").alias("user_id"), "dedup_key")
+    return evals_from_events(table(spark, sf_dir, "events"), landed_items(spark, sf_dir))
+
+
+def evals_from_events(e: DataFrame, landed: DataFrame) -> DataFrame:
+    """Eval shape of an events frame (batch or stream) keyed through the landed items."""
+    keys = landed.select(F.col("ord").alias("user_id"), "dedup_key")
     return e.join(keys, "user_id").select(
         "dedup_key",
         F.col("event_id").alias("seq"),

@@ -8,13 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.columns import as_double, as_int, as_list, word_count
+from gleaner.functions.columns import add_days, as_double, as_int, as_list, word_count
 from gleaner.functions.html import extract_main_content, plain_text
 from gleaner.operators import analysis, collect, digest, evaluate, scorers, serve
 from gleaner.operators.config import resolve_config
 from gleaner.operators.ranking import rank_rows
 from gleaner.plans import bindings as b
-from gleaner.sources import shaping
+from gleaner.session import scratch_path
+from gleaner.sources import shaping, store
+from gleaner.sources.registry import SourceRegistry
+from gleaner.streaming import jobs
 from gleaner.plans.oracle import AS_OF_SQL, REASON_SQL, with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -797,3 +800,183 @@ def q_readme_decode_join(spark, sf):
         F.base64(F.when(F.col("lang") == "de", F.concat(F.unhex(F.lit("FF")), raw)).otherwise(raw)).alias("content"))
     out = shaping.attach_readme(repos, readmes)
     return out.select("doc_id", F.md5("readme_content").alias("readme_md5"))
+
+
+# ====================================================================== A sources and sinks
+
+def _landed_json(spark, sf) -> str:
+    """Write the landed items as JSON lines (the loader output) to a fresh path."""
+    path = scratch_path(spark, "landed-json")
+    landed = b.landed_items(spark, sf).select(
+        "ord", "source", "title", "link",
+        F.date_format("creation_date", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("creation_date"), "input")
+    landed.write.mode("overwrite").json(path)
+    return path
+
+
+@register("land_items_json", with_ctes(["landed"], "SELECT ord, source, title, link, creation_date FROM landed"))
+def q_land_items_json(spark, sf):
+    df = store.read_items_json(spark, _landed_json(spark, sf))
+    return df.select("ord", "source", "title", "link", shaping.parse_item_date("creation_date").alias("creation_date"))
+
+
+@register("land_items_safe", with_ctes(["landed"], "SELECT ord, source, link FROM landed"))
+def q_land_items_safe(spark, sf):
+    path = _landed_json(spark, sf)
+    b.table(spark, sf, "benchmark").select("text").write.mode("overwrite").text(path + "/junk")
+    good, bad = store.read_items_safe(spark, path + "/*")
+    missing, _ = store.read_items_safe(spark, scratch_path(spark, "absent"))
+    return good.unionByName(missing).select("ord", "source", "link")
+
+
+_SOURCE_LANGS = ["de", "en", "es", "fr"]
+
+
+def _lang_registry() -> SourceRegistry:
+    reg = SourceRegistry()
+    for lang in _SOURCE_LANGS:
+        reg.register(lang, lambda spark, documents, lang=lang: collect.with_dedup_key(
+            b.landed_from_documents(documents.where(F.col("lang") == lang))))
+    return reg
+
+
+@register("union_sources", with_ctes(["landed"], """
+SELECT source AS config_path, CAST(CASE source WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS INTEGER)
+       AS source_ord, ord, dedup_key FROM landed"""))
+def q_union_sources(spark, sf):
+    items, _ = _lang_registry().union(spark, documents=b.table(spark, sf, "documents"))
+    return items.select("config_path", "source_ord", "ord", "dedup_key")
+
+
+@register("select_source", with_ctes(["landed"], "SELECT ord, dedup_key, source FROM landed WHERE source = 'de'"))
+def q_select_source(spark, sf):
+    items, _ = _lang_registry().union(spark, only="de", documents=b.table(spark, sf, "documents"))
+    return items.select("ord", "dedup_key", "source")
+
+
+_A5_TITLE = r"^[^.!?\n]*"
+
+
+@register("validate_items", rf"""
+SELECT coalesce(reason, 'ok') AS reject_reason, count(*) AS n FROM (
+  SELECT CASE WHEN source IS NULL OR trim(source) = '' THEN 'missing_source'
+              WHEN title IS NULL OR trim(title) = '' THEN 'missing_title'
+              WHEN link IS NULL OR trim(link) = '' THEN 'missing_link'
+              WHEN input IS NULL THEN 'missing_input' END AS reason
+  FROM (SELECT lang AS source, trim(regexp_extract(text, '{_A5_TITLE}', 0)) AS title,
+               CASE WHEN n_chars >= 20 THEN '{b.LINK_PREFIX}' || md5(text) END AS link, text AS input
+        FROM documents)) GROUP BY 1""")
+def q_validate_items(spark, sf):
+    d = b.table(spark, sf, "documents")
+    raw = d.select(F.col("lang").alias("source"), F.trim(F.regexp_extract("text", _A5_TITLE, 0)).alias("title"),
+                   F.when(F.col("n_chars") >= 20, F.concat(F.lit(b.LINK_PREFIX), F.md5("text"))).alias("link"),
+                   F.col("text").alias("input"))
+    checked = collect.validate_items(raw)
+    return checked.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reject_reason")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("save_snapshot", with_ctes(["store"], f"SELECT {_state_cols_sql()} FROM store"))
+def q_save_snapshot(spark, sf):
+    path = store.save_snapshot(b.store(spark, sf).select(*STATE_COLS), scratch_path(spark, "snapshot"))
+    return spark.read.parquet(path)
+
+
+@register("archive_snapshot", with_ctes(["items"], """
+SELECT strftime(creation_date, '%Y-%m-%d') AS creation_day, source, count(*) AS n
+FROM items WHERE strftime(creation_date, '%Y-%m-%d') >= '2024-01-24' GROUP BY 1, 2"""))
+def q_archive_snapshot(spark, sf):
+    path = store.archive_by_day(b.items(spark, sf).select(*ITEM_COLS), scratch_path(spark, "archive"))
+    arch = store.read_archive(spark, path, since_day="2024-01-24")
+    return arch.groupBy(F.col("creation_day").cast("string").alias("creation_day"), "source").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("export_digest", with_ctes(["digest"], "SELECT dedup_key, rank, weighted_score FROM digest"))
+def q_export_digest(spark, sf):
+    ranked = digest.digest_ranked(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
+    path = store.export_digest(ranked.select("dedup_key", "rank", "weighted_score"), scratch_path(spark, "digest"))
+    return spark.read.schema("dedup_key string, rank bigint, weighted_score int").json(path)
+
+
+def _canonical_all(spark, sf) -> DataFrame:
+    d, pg = b.table(spark, sf, "documents"), b.table(spark, sf, "pages")
+    conv, o = b.table(spark, sf, "conversations"), b.table(spark, sf, "orders")
+    reg = SourceRegistry()
+    reg.register("papers", lambda spark: shaping.canonical(
+        d, "papers", shaping.title_by(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.col("source")),
+        F.concat(F.lit("https://papers.example/abs/"), F.col("doc_id").cast("string")),
+        add_days(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("doc_id") % 30), ["doc_id", "source"]))
+    reg.register("feeds", lambda spark: shaping.canonical(
+        pg, "feeds", shaping.title_by(F.coalesce(F.nullif(F.regexp_extract(
+            "html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")), F.lit("Untitled")), F.lit("unknown")),
+        F.col("url"), F.lit(None).cast("timestamp_ntz"), ["page_id", "url"]))
+    reg.register("comments", lambda spark: shaping.canonical(
+        conv.where(F.col("turn") > 0), "comments",
+        shaping.comment_title(F.col("role"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))),
+        F.concat(F.lit("https://markets.example/c/"), F.col("conv_id").cast("string"), F.lit("#"),
+                 F.col("turn").cast("string")),
+        add_days(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("turn")), ["conv_id", "turn"]))
+    reg.register("posts", lambda spark: shaping.canonical(
+        o, "posts", F.concat(F.lit("post-"), F.col("o_orderkey").cast("string")),
+        F.concat(F.lit("https://posts.example/"), F.col("o_orderkey").cast("string")), F.col("o_orderdate"),
+        ["o_orderkey"]))
+    items, _ = reg.union(spark)
+    return items
+
+
+@register("canonical_items", r"""
+SELECT 'papers' AS source, 'doc ' || CAST(doc_id AS VARCHAR) || ' by ' || source AS title,
+       'https://papers.example/abs/' || CAST(doc_id AS VARCHAR) AS link,
+       TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER)) AS creation_date
+FROM documents
+UNION ALL
+SELECT 'feeds', coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), 'Untitled') || ' by unknown',
+       url, CAST(NULL AS TIMESTAMP) FROM pages
+UNION ALL
+SELECT 'comments', 'Comment by ' || role || ' on conversation ' || CAST(conv_id AS VARCHAR),
+       'https://markets.example/c/' || CAST(conv_id AS VARCHAR) || '#' || CAST(turn AS VARCHAR),
+       TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(turn AS INTEGER)) FROM conversations WHERE turn > 0
+UNION ALL
+SELECT 'posts', 'post-' || CAST(o_orderkey AS VARCHAR), 'https://posts.example/' || CAST(o_orderkey AS VARCHAR),
+       o_orderdate FROM orders""")
+def q_canonical_items(spark, sf):
+    return _canonical_all(spark, sf).select("source", "title", "link", "creation_date")
+
+
+# ====================================================================== S streaming
+
+def _stream_paths(spark, name):
+    return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+
+
+@register("stream_collect", with_ctes(["landed"], "SELECT DISTINCT dedup_key, source FROM landed"))
+def q_stream_collect(spark, sf):
+    out, ckpt = _stream_paths(spark, "stream-collect")
+    docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
+    jobs.stream_collect(b.landed_from_documents(docs), out, ckpt)
+    return spark.read.parquet(out).select("dedup_key", "source")
+
+
+@register("stream_eval_state", with_ctes(["state"], """
+SELECT dedup_key, num_evals, weighted_score, median_confidence, last_eval FROM state"""))
+def q_stream_eval_state(spark, sf):
+    out, ckpt = _stream_paths(spark, "stream-state")
+    events = jobs.read_stream_table(spark, sf, "events", b.EVENTS_SCHEMA)
+    jobs.stream_eval_state(b.evals_from_events(events, b.landed_items(spark, sf)), out, ckpt)
+    return spark.read.parquet(out)
+
+
+def _stream_evaluate_sql() -> str:
+    from gleaner.plans.oracle import keyword_sql
+    ks = keyword_sql("coalesce(json_extract_string(input, '$.text'), title)")
+    return with_ctes(["landed"], f"""SELECT dedup_key, ord, {ks['importance_score']} AS importance_score,
+       {ks['confidence_score']} AS confidence_score FROM landed""")
+
+
+@register("stream_evaluate", _stream_evaluate_sql())
+def q_stream_evaluate(spark, sf):
+    out, ckpt = _stream_paths(spark, "stream-eval")
+    docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
+    jobs.stream_evaluate(b.landed_from_documents(docs), scorers.keyword_scorer(), out, ckpt)
+    return spark.read.parquet(out).select("dedup_key", "ord", "importance_score", "confidence_score")

@@ -250,3 +250,28 @@ def flatten_rich_text(col: str | Column) -> Column:
         return trees.map(one)
 
     return _flatten(F.col(col) if isinstance(col, str) else col)
+
+
+# ------------------------------------------------------------------ B23 canonical items
+
+def title_by(title: Column, author: Column) -> Column:
+    """Papers, feed items, grant projects: ``"{title} by {author}"``."""
+    return F.concat(title, F.lit(" by "), author)
+
+
+def comment_title(user: Column, question: Column) -> Column:
+    return F.concat(F.lit("Comment by "), user, F.lit(" on "), question)
+
+
+def repo_title(name: Column, description: Column) -> Column:
+    """A missing or null description uses the default text (not the word "None")."""
+    return F.concat(name, F.lit(" - "), F.coalesce(description, F.lit(NO_DESCRIPTION)))
+
+
+def canonical(df: DataFrame, source: str, title: Column, link: Column, creation_date: Column,
+              input_cols: list[str]) -> DataFrame:
+    """The loader contract — source, title, link, creation_date and the raw record
+    as JSON text in ``input``."""
+    return df.select(F.lit(source).alias("source"), title.alias("title"), link.alias("link"),
+                     creation_date.alias("creation_date"),
+                     F.to_json(F.struct(*[F.col(c) for c in input_cols])).alias("input"))
