@@ -37,14 +37,15 @@ def validate_items(items: DataFrame) -> DataFrame:
 def dedup_first_wins(items: DataFrame, order_col: str = "ord") -> DataFrame:
     """Keep the first row per ``dedup_key`` by arrival order ``order_col``.
 
-    ``min_by`` over a struct is a declarative aggregate, so each map task collapses
-    its own duplicates before the shuffle (a key holding a third of all rows sends one
-    row per map task, not a third of the data)."""
-    others = [c for c in items.columns if c != "dedup_key"]
-    first = F.min_by(F.struct(*[F.col(c) for c in others]), F.col(order_col)).alias("_first")
-    return (items.where(F.col("dedup_key").isNotNull())
-                 .groupBy("dedup_key").agg(first)
-                 .select("dedup_key", "_first.*"))
+    Two light steps instead of carrying whole rows through an aggregate:
+    ``min(order_col)`` per key is a codegen'd hash aggregate that combines map-side
+    (a key holding a third of all rows sends one row per map task), and the winners
+    are then picked by a left-semi join on ``(dedup_key, order_col)`` — a unique pair,
+    so a hot key spreads over many reducers. Columns a caller does not use are pruned
+    through the join, so heavy text is never shuffled for nothing."""
+    keyed = items.where(F.col("dedup_key").isNotNull())
+    winners = keyed.groupBy("dedup_key").agg(F.min(order_col).alias(order_col))
+    return keyed.join(winners, on=["dedup_key", order_col], how="left_semi")
 
 
 def upsert_merge(existing: DataFrame, batch: DataFrame, collected_at: datetime,

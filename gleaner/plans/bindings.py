@@ -47,7 +47,20 @@ BINDING_CONFIG = Config(
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the session's task slots.
+
+    A large table has many files/row groups, so its scan is already parallel and is
+    left alone (no extra shuffle). A table stored as one row group would run all of
+    its per-row work (hashing, regexes over whole texts) in a single task; spreading
+    it costs one small shuffle. The split count comes from planning, not execution."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
 
 
 def landed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
