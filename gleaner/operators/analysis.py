@@ -49,7 +49,10 @@ def score_confidence_points(store: DataFrame, evals: DataFrame) -> DataFrame:
     """One point per eval (source, score, confidence) with the colour index of the
     source: order of first appearance in the ascending-score item list, mod 10."""
     scored = store.where(F.col("weighted_score").isNotNull())
-    first_seen = scored.groupBy("source").agg(
+    # lexicographic min of (score, ord) per source in two steps: a hash aggregate per
+    # (source, score) collapses the items, the struct min then runs on that small set
+    per_score = scored.groupBy("source", "weighted_score").agg(F.min("ord").alias("ord"))
+    first_seen = per_score.groupBy("source").agg(
         F.min(F.struct(F.col("weighted_score"), F.col("ord"))).alias("_first"))
     # one row per source: bounded by the configured sources
     colours = first_seen.select(

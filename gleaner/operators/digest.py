@@ -79,7 +79,10 @@ def first_summary(evals: DataFrame) -> DataFrame:
 
 
 def with_summary(items: DataFrame, evals: DataFrame) -> DataFrame:
-    return (items.join(first_summary(evals), "dedup_key", "left")
+    """Items with their first summary. Only the evals of the given items are
+    aggregated (semi join first; AQE broadcasts the key side when it is small)."""
+    needed = evals.join(items.select("dedup_key"), "dedup_key", "left_semi")
+    return (items.join(first_summary(needed), "dedup_key", "left")
             .withColumn("summary", F.coalesce(F.col("summary"), F.lit(NO_SUMMARY))))
 
 

@@ -46,8 +46,13 @@ BINDING_CONFIG = Config(
 )
 
 
+# Tables whose rows carry whole texts or pages: per-row work on them is CPU-heavy.
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ its DuckDB oracle SQL. ``__spark_entry__`` exposes them to the driver."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from gleaner.operators import analysis, collect, digest, evaluate, scorers, serv
 from gleaner.operators.config import resolve_config
 from gleaner.operators.ranking import rank_rows
 from gleaner.plans import bindings as b
-from gleaner.session import scratch_path
+from gleaner.session import configure, scratch_path
 from gleaner.sources import shaping, store
 from gleaner.sources.registry import SourceRegistry
 from gleaner.streaming import jobs
@@ -30,10 +31,13 @@ STATE_COLS = ITEM_COLS + ["num_evals", "weighted_score", "median_confidence", "l
 
 def register(name: str, sql: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(configure(spark), sf_dir)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
-        return fn
+        return run
     return deco
 
 

@@ -21,6 +21,9 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # streaming state (S1 keeps every key it has seen) lives in RocksDB, off the JVM heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -41,6 +44,22 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+# Runtime settings the queries rely on, applied to any session they are given.
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings the library needs to a session it did not build
+    (e.g. the caller's), and make sure a checkpoint folder is known."""
+    for key, value in RUNTIME_CONF.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 

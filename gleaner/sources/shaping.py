@@ -59,9 +59,12 @@ def newest_per_category(papers: DataFrame, k: int, cutoff: datetime) -> DataFram
 
 def first_category(papers: DataFrame, categories: list[str]) -> DataFrame:
     """One row per paper id; ``primary_category`` is the first category (in the
-    configured list order) the paper was listed under. ``min_by`` combines map-side."""
-    order = F.array_position(F.array(*[F.lit(c) for c in categories]), F.col("category"))
-    return papers.groupBy("id").agg(F.min_by("category", order).alias("primary_category"))
+    configured list order) the paper was listed under."""
+    listed = F.array(*[F.lit(c) for c in categories])
+    order = F.array_position(listed, F.col("category"))
+    # min of an integer position is a codegen'd hash aggregate; the name is looked up after
+    return (papers.where(order > 0).groupBy("id").agg(F.min(order).alias("_first"))
+            .select("id", F.element_at(listed, F.col("_first").cast("int")).alias("primary_category")))
 
 
 def normalize_papers(papers: DataFrame) -> DataFrame:

@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 from gleaner.operators.evaluate import finish_weighted, weighted_score_col
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB (off-heap, spills to local disk, checkpointed to
+    the query's checkpoint location) instead of executor heap maps."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+
+
 def _run(writer, name: str) -> None:
     q = writer.queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
@@ -30,6 +39,7 @@ def stream_collect(items: DataFrame, out_path: str, checkpoint: str) -> None:
     ``dropDuplicates`` on a stream keeps every key seen in the state store; with an
     event-time column use ``withWatermark`` + ``dropDuplicatesWithinWatermark`` to
     bound it."""
+    use_rocksdb_state(items.sparkSession)
     deduped = items.where(F.col("dedup_key").isNotNull()).dropDuplicates(["dedup_key"])
     _run(deduped.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append"), "stream_collect")
@@ -39,6 +49,7 @@ def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str) -> None:
     """Running evaluation state per item, rewritten each micro-batch (complete
     mode into ``foreachBatch``; each batch overwrites the output with the full state).
     The exact median keeps the confidence values of each key in state."""
+    use_rocksdb_state(evals.sparkSession)
     sw, w = weighted_score_col(F.col("importance_score"), F.col("confidence_score"))
     state = evals.groupBy("dedup_key").agg(
         F.count(F.lit(1)).alias("num_evals"), sw.alias("_sw"), w.alias("_w"),

@@ -37,3 +37,10 @@ def test_query_matches_oracle(spark, con, name):
     got = entry.queries()[name](spark, SF_SMALL).toPandas()
     want = con.execute(entry.oracle_sql()[name]).df()
     assert digest(got) == digest(want)
+
+
+def test_queries_apply_utc_to_a_foreign_session(spark, con):
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    got = entry.queries()["parse_item_dates"](spark, SF_SMALL).toPandas()
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert digest(got) == digest(con.execute(entry.oracle_sql()["parse_item_dates"]).df())
