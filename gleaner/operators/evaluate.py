@@ -203,7 +203,9 @@ def run_rounds(items: DataFrame, evals: DataFrame, cfg: Config, scorer: Scorer,
     recent = recent_items(items, cfg, as_of)
     all_evals = evals
     for r in range(1, rounds + 1):
-        state = attach_state(recent, eval_state(all_evals))
+        # only recent items can be candidates: aggregate just their evals
+        recent_evals = all_evals.join(recent.select("dedup_key"), "dedup_key", "left_semi")
+        state = attach_state(recent, eval_state(recent_evals))
         todo = candidates(state, r, force).select("dedup_key", "ord", "title", "input", "source")
         scored = score_items(todo, scorer).where(F.col("response").isNotNull())
         new_rows = (scored

@@ -968,7 +968,7 @@ def q_stream_eval_state(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-state")
     events = jobs.read_stream_table(spark, sf, "events", b.EVENTS_SCHEMA)
     jobs.stream_eval_state(b.evals_from_events(events, b.landed_items(spark, sf)), out, ckpt)
-    return spark.read.parquet(out)
+    return jobs.latest_state(spark, out)
 
 
 def _stream_evaluate_sql() -> str:

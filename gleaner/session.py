@@ -63,12 +63,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset (local
-    runs, tests) a fresh scratch folder is created and registered.
+    ``spark.checkpoint.dir`` is read from the session; only when it is unset on a
+    local master (local runs, tests) a fresh scratch folder is created and registered.
+    A cluster without the setting is an error: a machine-local folder would not be
+    visible to other executors.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
-        current = tempfile.mkdtemp(prefix="gleaner-ckpt-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        current = tempfile.mkdtemp(prefix="gleaner-ckpt-")   # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current

@@ -44,13 +44,17 @@ def read_items_safe(spark: SparkSession, path: str, schema: str = LANDED_JSON_SC
 
 def save_snapshot(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Write the whole store to a new snapshot path (overwrite of that path only)."""
-    df.write.mode("overwrite").format(fmt).save(path)
+    # REBALANCE lets AQE size the output files (coalesce small, split large partitions)
+    df.hint("rebalance").write.mode("overwrite").format(fmt).save(path)
     return path
 
 
 def archive_by_day(df: DataFrame, path: str, date_col: str = "creation_date") -> str:
     """Archive partitioned by ``creation_day`` so later reads prune by date."""
+    # rebalance by the partition column: few files per day, and AQE splits a day that
+    # holds a large share of the rows instead of sending it to one task
     (df.withColumn("creation_day", F.date_format(F.col(date_col), "yyyy-MM-dd"))
+       .hint("rebalance", "creation_day")
        .write.mode("overwrite").partitionBy("creation_day").parquet(path))
     return path
 
@@ -65,5 +69,5 @@ def read_archive(spark: SparkSession, path: str, since_day: str | None = None) -
 
 def export_digest(df: DataFrame, path: str) -> str:
     """Write the digest rows as JSON lines."""
-    df.write.mode("overwrite").json(path)
+    df.hint("rebalance").write.mode("overwrite").json(path)
     return path

@@ -46,9 +46,10 @@ def stream_collect(items: DataFrame, out_path: str, checkpoint: str) -> None:
 
 
 def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Running evaluation state per item, rewritten each micro-batch (complete
-    mode into ``foreachBatch``; each batch overwrites the output with the full state).
-    The exact median keeps the confidence values of each key in state."""
+    """Running evaluation state per item. Update mode: each micro-batch emits only
+    the keys it changed, written as one changelog folder per ``batch_id`` (overwrite, so
+    a replayed batch replaces itself). ``latest_state`` reads the newest row per key.
+    The exact median keeps a value->count map per key in the state store."""
     use_rocksdb_state(evals.sparkSession)
     sw, w = weighted_score_col(F.col("importance_score"), F.col("confidence_score"))
     state = evals.groupBy("dedup_key").agg(
@@ -60,10 +61,18 @@ def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str) -> None:
         (batch.select("dedup_key", "num_evals",
                       finish_weighted(F.col("_sw"), F.col("_w")).alias("weighted_score"),
                       F.col("_med").cast("int").alias("median_confidence"), "last_eval")
-              .write.mode("overwrite").parquet(out_path))
+              .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}"))
 
     _run(state.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .outputMode("complete"), "stream_eval_state")
+         .outputMode("update"), "stream_eval_state")
+
+
+def latest_state(spark: SparkSession, out_path: str) -> DataFrame:
+    """Current state from the changelog: per key, the row of the newest batch. A light
+    ``max(batch_id)`` hash aggregate, then a semi join on the unique (key, batch) pair."""
+    log = spark.read.parquet(out_path)
+    newest = log.groupBy("dedup_key").agg(F.max("batch_id").alias("batch_id"))
+    return log.join(newest, ["dedup_key", "batch_id"], "left_semi").drop("batch_id")
 
 
 def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_path: str,
