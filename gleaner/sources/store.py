@@ -38,7 +38,11 @@ def read_items_safe(spark: SparkSession, path: str, schema: str = LANDED_JSON_SC
             raise
         df = spark.createDataFrame([], full)
     good = df.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    bad = df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    # quarantine keeps the raw text, the file it came from and whatever fields parsed
+    # (Spark also refuses a raw-file query that reads only the corrupt-record column)
+    bad = (df.where(F.col(CORRUPT).isNotNull())
+             .select(CORRUPT, F.input_file_name().alias("source_file"),
+                     *[c for c in df.columns if c != CORRUPT]))
     return good, bad
 
 
