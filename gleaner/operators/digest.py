@@ -39,7 +39,9 @@ def digest_items(state: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
 def digest_ranked(state: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
     """F2: the digest in rank order (score desc, ties by arrival ``ord``), with a
     1-based ``rank`` computed by range partitioning, not a single-task window."""
-    return rank_rows(digest_items(state, cfg, as_of), rank_order(), rank_col="rank")
+    # the raw input (whole texts) is not part of the digest: keep it out of the ranking
+    items = digest_items(state, cfg, as_of)
+    return rank_rows(items.drop("input"), rank_order(), rank_col="rank")
 
 
 def digest_top(state: DataFrame, cfg: Config, as_of: datetime, n: int = 3) -> DataFrame:

@@ -18,14 +18,32 @@ from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33   # monotonically_increasing_id = partition index << 33 | row in partition
 
+# Inputs up to this many rows are numbered with a plain window (one sort of at most
+# this many rows per task); larger inputs take the range-partitioned path.
+SMALL_RANK_ROWS = 1_000_000
+
 
 def rank_rows(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[str] = (),
-              rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
+              rank_col: str = "rank", num_partitions: int | None = None,
+              small_rows: int = SMALL_RANK_ROWS) -> DataFrame:
     """Add a 1-based ``rank_col``: position of the row in ``order_by`` within its
     ``partition_by`` group. ``order_by`` must be a total order (end with a unique key)
-    for the numbering to be deterministic."""
+    for the numbering to be deterministic.
+
+    The input is checkpointed first, so its plan runs once whatever path follows, and
+    its row count is then cheap. A count within ``small_rows`` is a proven bound for a
+    window; above it the range-partitioned numbering is used."""
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = df.checkpoint(eager=True)
+    if base.count() <= small_rows:
+        w = (Window.partitionBy(*partition_by) if partition_by else Window).orderBy(*order_by)
+        return base.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
+    return _rank_by_range(base, order_by, partition_by, rank_col,
+                          num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _rank_by_range(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[str],
+                   rank_col: str, n: int) -> DataFrame:
     groups = [F.col(c) for c in partition_by]
     keys = groups + list(order_by)
     tagged = (df.repartitionByRange(n, *keys)

@@ -3,7 +3,7 @@ details and sorting — the data behind the web page, without a server."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.ranking import rank_rows
@@ -64,12 +64,12 @@ def sort_keys() -> dict[str, tuple[Column, bool]]:
     }
 
 
-def sort_items(store: DataFrame, by: str = "score", descending: bool | None = None,
-               limit: int = 100) -> DataFrame:
-    """one page of items sorted by ``by`` (text case-folded, nulls as ""/0/epoch),
-    ties by arrival; ``orderBy.limit`` plans a TakeOrderedAndProject."""
+def sort_items(store: DataFrame, by: str = "score", descending: bool | None = None) -> DataFrame:
+    """every item with its ``rank`` when sorted by ``by`` (text case-folded, nulls
+    as ""/0/epoch), ties by arrival. A full ordering of the store, so ``rank_rows``
+    (range-partitioned when large) rather than a single-task window."""
     key, default_desc = sort_keys()[by]
     desc = default_desc if descending is None else descending
-    order = [key.desc() if desc else key.asc(), F.col("ord").asc()]
-    page = store.orderBy(*order).limit(limit)
-    return page.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+    keyed = store.withColumn("_sort", key)
+    order = [F.col("_sort").desc() if desc else F.col("_sort").asc(), F.col("ord").asc()]
+    return rank_rows(keyed, order, rank_col="rank").drop("_sort")

@@ -213,11 +213,11 @@ _SORT_SQL = {
 
 
 @register("sort_items", with_ctes(["store"], "\nUNION ALL\n".join(
-    f"""SELECT * FROM (SELECT '{k}' AS sort_key, dedup_key,
-       row_number() OVER (ORDER BY {e} {d}, ord) AS rank FROM store) WHERE rank <= 100"""
+    f"""SELECT '{k}' AS sort_key, dedup_key, row_number() OVER (ORDER BY {e} {d}, ord) AS rank FROM store"""
     for k, (e, d) in _SORT_SQL.items())))
 def q_sort_items(spark, sf):
-    st = b.store(spark, sf)
+    # six orderings of the same store: materialize it once for all of them
+    st = b.store(spark, sf).drop("input").checkpoint(eager=True)
     pages = [serve.sort_items(st, k).select(F.lit(k).alias("sort_key"), "dedup_key", "rank")
              for k in _SORT_SQL]
     out = pages[0]
@@ -563,10 +563,10 @@ def q_papers_normalize(spark, sf):
 
 @register("sort_newest", """
 SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS rank
-FROM orders QUALIFY rank <= 100""")
+FROM orders""")
 def q_sort_newest(spark, sf):
-    return shaping.newest_first(b.table(spark, sf, "orders"), "o_orderdate", "o_orderkey", 100).select(
-        "o_orderkey", "o_orderdate", "rank")
+    o = b.table(spark, sf, "orders").select("o_orderkey", "o_orderdate")
+    return shaping.newest_first(o, "o_orderdate", "o_orderkey").select("o_orderkey", "o_orderdate", "rank")
 
 
 @register("rss_unread_recent", """

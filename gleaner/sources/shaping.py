@@ -83,11 +83,10 @@ def normalize_papers(papers: DataFrame) -> DataFrame:
         F.coalesce(F.col("link"), F.col("id")).alias("url"), "published")
 
 
-def newest_first(df: DataFrame, date_col: str, key_col: str, limit: int) -> DataFrame:
-    """Newest first (real timestamps, ties by key), as a bounded top-n."""
-    order = [F.col(date_col).desc(), F.col(key_col).asc()]
-    return (df.orderBy(*order).limit(limit)
-            .withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint")))
+def newest_first(df: DataFrame, date_col: str, key_col: str) -> DataFrame:
+    """Every row with its position newest first (real timestamps, not text;
+    ties by key)."""
+    return rank_rows(df, [F.col(date_col).desc(), F.col(key_col).asc()], rank_col="rank")
 
 
 # ------------------------------------------------------------------ B6-B10 feeds

@@ -15,7 +15,7 @@ def test_topk_per_group_uses_window_group_limit(spark):
     assert "WindowGroupLimit" in plan(spark, "papers_topk_per_category")
 
 
-@pytest.mark.parametrize("name", ["digest_top3", "trending_topk", "sort_newest"])
+@pytest.mark.parametrize("name", ["digest_top3", "trending_topk", "comments_filter"])
 def test_topn_is_take_ordered(spark, name):
     assert "TakeOrderedAndProject" in plan(spark, name)
 

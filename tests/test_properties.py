@@ -37,14 +37,24 @@ def test_weighted_score_between_min_and_max(spark, evals):
 
 @settings(**SETTINGS)
 @given(st.lists(st.tuples(st.sampled_from(["g1", "g2", "g3"]), st.integers(0, 5)), min_size=1, max_size=60),
-       st.integers(1, 7))
-def test_rank_rows_matches_sorted_positions(spark, rows, n_parts):
+       st.integers(1, 7), st.sampled_from([0, 10 ** 6]))
+def test_rank_rows_matches_sorted_positions(spark, rows, n_parts, small_rows):
     data = [(g, v, i) for i, (g, v) in enumerate(rows)]
     df = spark.createDataFrame(data, "g string, v int, id bigint").repartition(3)
-    ranked = rank_rows(df, [F.col("v").desc(), F.col("id").asc()], partition_by=["g"], num_partitions=n_parts)
+    ranked = rank_rows(df, [F.col("v").desc(), F.col("id").asc()], partition_by=["g"], num_partitions=n_parts,
+                       small_rows=small_rows)   # 0 forces the range-partitioned path
     got = {r["id"]: r["rank"] for r in ranked.collect()}
     want = {}
     for g in {g for g, _, _ in data}:
         members = sorted([d for d in data if d[0] == g], key=lambda d: (-d[1], d[2]))
         want.update({d[2]: pos + 1 for pos, d in enumerate(members)})
     assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=40), st.integers(1, 5))
+def test_global_rank_range_path(spark, values, n_parts):
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, id bigint")
+    ranked = rank_rows(df, [F.col("v").asc(), F.col("id").asc()], num_partitions=n_parts, small_rows=0)
+    order = sorted(range(len(values)), key=lambda i: (values[i], i))
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == {i: p + 1 for p, i in enumerate(order)}
