@@ -102,7 +102,10 @@ def short_content_fallback(feed: DataFrame, pages: DataFrame, min_words: int = 5
     only short rows take part in the join with the landed pages."""
     f = feed.withColumn("text", plain_text("html")).withColumn("n_words", word_count("text"))
     short = f.where((F.col("n_words") < min_words) & F.col("url").isNotNull())
-    full = (extract_main_content(pages.select("url", "html"), "html", "_full")
+    # extract main content only for pages some short item points to (the cheap word
+    # count decides before the costly extraction, as the reference decides before fetching)
+    wanted = pages.select("url", "html").join(short.select("url").distinct(), "url", "left_semi")
+    full = (extract_main_content(wanted, "html", "_full")
             .select(F.col("url").alias("_url"), "_full")
             .withColumn("_full_words", word_count("_full")))
     joined = short.join(full, short["url"] == full["_url"], "left")
