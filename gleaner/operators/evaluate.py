@@ -191,20 +191,22 @@ def attach_state(items: DataFrame, state: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ E9 rounds
 
-def run_rounds(items: DataFrame, evals: DataFrame, cfg: Config, scorer: Scorer,
-               rounds: int, as_of: datetime, force: bool = False,
-               model: str = "keyword-v1", persist=None) -> DataFrame:
-    """Evaluate recent items for ``rounds`` rounds and return the evals table with the
-    new rows appended. Each round's candidates depend on the state after the previous
-    round. ``persist(df, name)`` cuts lineage between rounds (writes a table to the
-    shared checkpoint folder); the default is ``DataFrame.checkpoint``.
-    Items whose response is missing are skipped for that round only."""
+def run_rounds(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
+               as_of: datetime, force: bool = False, model: str = "keyword-v1",
+               persist=None) -> DataFrame:
+    """Evaluate the ``recent`` items (E1 output: dedup_key, ord, title, input,
+    source; read every round, so pass it materialized, e.g. checkpointed) for
+    ``rounds`` rounds and return the evals table with the new rows appended. Each
+    round's candidates depend on the state after the previous round.
+    ``persist(df, name)`` cuts lineage between rounds (default ``DataFrame.checkpoint``
+    into the shared checkpoint folder). Items without a response are skipped for that
+    round only."""
     persist = persist or (lambda df, name: df.checkpoint(eager=True))
-    recent = recent_items(items, cfg, as_of)
+    keys = recent.select("dedup_key")
     all_evals = evals
     for r in range(1, rounds + 1):
         # only recent items can be candidates: aggregate just their evals
-        recent_evals = all_evals.join(recent.select("dedup_key"), "dedup_key", "left_semi")
+        recent_evals = all_evals.join(keys, "dedup_key", "left_semi")
         state = attach_state(recent, eval_state(recent_evals))
         todo = candidates(state, r, force).select("dedup_key", "ord", "title", "input", "source")
         scored = score_items(todo, scorer).where(F.col("response").isNotNull())

@@ -446,10 +446,12 @@ def q_typed_config(spark, sf):
 
 @register("append_eval_round", None)
 def q_append_eval_round(spark, sf):
-    all_evals = evaluate.run_rounds(b.items(spark, sf), b.evals(spark, sf), b.BINDING_CONFIG,
-                                    scorers.keyword_scorer(), rounds=2, as_of=b.AS_OF)
-    recent = evaluate.recent_items(b.items(spark, sf), b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
-    return evaluate.attach_state(recent, evaluate.eval_state(all_evals)).select(
+    recent = evaluate.recent_items(b.items(spark, sf), b.BINDING_CONFIG, b.AS_OF).checkpoint(eager=True)
+    all_evals = evaluate.run_rounds(recent, b.evals(spark, sf), scorers.keyword_scorer(), rounds=2,
+                                    as_of=b.AS_OF)
+    keys = recent.select("dedup_key")
+    final = evaluate.eval_state(all_evals.join(keys, "dedup_key", "left_semi"))
+    return evaluate.attach_state(keys, final).select(
         "dedup_key", "num_evals", "weighted_score", "median_confidence", "last_eval")
 
 
