@@ -145,3 +145,34 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(summary, F.lit('"importance_score": '), score, F.lit(', "confidence_score": '),
                                 k, F.lit(".5}"))))
     return e.select("event_id", "user_id", "ts", text.alias("response_text"))
+
+
+# ------------------------------------------------------------------ stored snapshots
+
+_SNAPSHOTS: dict[tuple[str, str, str], str] = {}
+
+
+def _snapshot(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """The table ``name`` as written once per session and data folder to the shared
+    checkpoint folder, then read as parquet. The serving, digest and analysis queries
+    read the stored item set the way the reference's later stages read its store file:
+    they do not re-run collection and evaluation, and their scans get column pruning
+    and filter pushdown."""
+    from gleaner.session import scratch_path
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    path = _SNAPSHOTS.get(key)
+    if path is None:
+        path = scratch_path(spark, f"snapshot-{name}")
+        build().hint("rebalance").write.mode("overwrite").parquet(path)
+        _SNAPSHOTS[key] = path
+    return spark.read.parquet(path)
+
+
+def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest snapshot of the item store: items with their evaluation state."""
+    return _snapshot(spark, sf_dir, "store", lambda: store(spark, sf_dir))
+
+
+def stored_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latest snapshot of the evals table."""
+    return _snapshot(spark, sf_dir, "evals", lambda: evals(spark, sf_dir))

@@ -111,13 +111,13 @@ def q_eval_state(spark, sf):
 
 @register("important_items", with_ctes(["important"], "SELECT dedup_key, source, weighted_score FROM important"))
 def q_important_items(spark, sf):
-    return digest.important_items(b.store(spark, sf), b.BINDING_CONFIG).select(
+    return digest.important_items(b.stored_items(spark, sf), b.BINDING_CONFIG).select(
         "dedup_key", "source", "weighted_score")
 
 
 @register("digest_ranked", with_ctes(["digest"], f"SELECT {_state_cols_sql()}, rank FROM digest"))
 def q_digest_ranked(spark, sf):
-    return digest.digest_ranked(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF).select(*STATE_COLS, "rank")
+    return digest.digest_ranked(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF).select(*STATE_COLS, "rank")
 
 
 @register("digest_by_source", with_ctes(["digest"], """
@@ -128,7 +128,7 @@ FROM digest d JOIN (
   SELECT source, count(*) AS n_items, row_number() OVER (ORDER BY min(rank)) AS group_order
   FROM digest GROUP BY source) g USING (source)"""))
 def q_digest_by_source(spark, sf):
-    ranked = digest.digest_ranked(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
+    ranked = digest.digest_ranked(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF)
     return digest.digest_by_source(ranked).select(
         "dedup_key", "group_source", "rank", "source_rank", "group_order", "n_items")
 
@@ -139,7 +139,7 @@ SELECT rank, dedup_key, coalesce(title, 'Untitled') AS title, coalesce(link, '#'
        coalesce(median_confidence, 0) AS confidence
 FROM digest WHERE rank <= 3"""))
 def q_digest_top3(spark, sf):
-    return digest.digest_top(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF, 3)
+    return digest.digest_top(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF, 3)
 
 
 @register("first_summary", with_ctes(["digest", "evals"], """
@@ -148,8 +148,8 @@ FROM digest d LEFT JOIN (
   SELECT dedup_key, arg_min(summary, seq) AS summary FROM evals
   WHERE summary IS NOT NULL AND summary <> '' GROUP BY dedup_key) fs USING (dedup_key)"""))
 def q_first_summary(spark, sf):
-    ranked = digest.digest_items(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
-    return digest.with_summary(ranked, b.evals(spark, sf))
+    ranked = digest.digest_items(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
+    return digest.with_summary(ranked, b.stored_evals(spark, sf))
 
 
 @register("digest_subject", with_ctes(["digest"], """
@@ -157,7 +157,7 @@ SELECT count(*) AS n_items,
        CASE WHEN count(*) > 0 THEN CAST(count(*) AS VARCHAR) || ' items in your weekly digest' END AS subject
 FROM digest"""))
 def q_digest_subject(spark, sf):
-    return digest.digest_subject(digest.digest_items(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF))
+    return digest.digest_subject(digest.digest_items(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF))
 
 
 # ====================================================================== F serving
@@ -170,14 +170,14 @@ SELECT count(*) AS total_items,
        count(*) FILTER (WHERE coalesce(weighted_score, 0) < 30) AS low
 FROM store"""))
 def q_score_bands(spark, sf):
-    return serve.score_bands(b.store(spark, sf))
+    return serve.score_bands(b.stored_items(spark, sf))
 
 
 @register("item_lookup", with_ctes(["store"], f"""
 SELECT {_state_cols_sql()} FROM store
 WHERE dedup_key IN (SELECT dedup_key FROM store ORDER BY weighted_score DESC NULLS LAST, ord LIMIT 3)"""))
 def q_item_lookup(spark, sf):
-    st = b.store(spark, sf)
+    st = b.stored_items(spark, sf)
     wanted = st.orderBy(F.col("weighted_score").desc_nulls_last(), "ord").limit(3).select("dedup_key")
     return serve.item_lookup(st, wanted).select(*STATE_COLS)
 
@@ -187,7 +187,7 @@ SELECT {_state_cols_sql()} FROM store
 WHERE contains(lower(coalesce(title, '')), lower('Ou')) AND source = 'fr'
   AND coalesce(weighted_score, 0) >= 40"""))
 def q_search_items(spark, sf):
-    return serve.search_items(b.store(spark, sf), term="Ou", source="fr", min_score=40).select(*STATE_COLS)
+    return serve.search_items(b.stored_items(spark, sf), term="Ou", source="fr", min_score=40).select(*STATE_COLS)
 
 
 @register("item_details", with_ctes(["store", "evals"], """
@@ -197,7 +197,7 @@ FROM store s LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY seq) AS eval_index FROM evals) e
 USING (dedup_key)"""))
 def q_item_details(spark, sf):
-    return serve.item_details(b.store(spark, sf), b.evals(spark, sf)).select(
+    return serve.item_details(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
         "dedup_key", "ord", "title", "eval_index", "seq", "model", "importance_score",
         "confidence_score", "eval_date")
 
@@ -216,8 +216,7 @@ _SORT_SQL = {
     f"""SELECT '{k}' AS sort_key, dedup_key, row_number() OVER (ORDER BY {e} {d}, ord) AS rank FROM store"""
     for k, (e, d) in _SORT_SQL.items())))
 def q_sort_items(spark, sf):
-    # six orderings of the same store: materialize it once for all of them
-    st = b.store(spark, sf).drop("input").checkpoint(eager=True)
+    st = b.stored_items(spark, sf).drop("input")
     pages = [serve.sort_items(st, k).select(F.lit(k).alias("sort_key"), "dedup_key", "rank")
              for k in _SORT_SQL]
     out = pages[0]
@@ -233,7 +232,7 @@ SELECT s.dedup_key, s.ord, s.source, s.title, s.weighted_score, e.seq, e.prompt_
        e.importance_score AS score, e.confidence_score AS confidence
 FROM store s JOIN evals e USING (dedup_key) WHERE s.weighted_score IS NOT NULL"""))
 def q_analysis_items(spark, sf):
-    return analysis.analysis_items(b.store(spark, sf), b.evals(spark, sf)).select(
+    return analysis.analysis_items(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
         "dedup_key", "ord", "source", "title", "weighted_score", "seq", "prompt_hash", "model",
         "score", "confidence")
 
@@ -252,7 +251,7 @@ FROM top t JOIN (SELECT dedup_key, importance_score AS score, count(*) AS n_eval
                                   "(ORDER BY weighted_score, ord) AS position FROM top) p USING (dedup_key) JOIN")
 ).replace("\n)\n, top AS", "\n),\ntop AS"))
 def q_score_distribution(spark, sf):
-    return analysis.score_distribution(b.store(spark, sf), b.evals(spark, sf)).select(
+    return analysis.score_distribution(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
         "dedup_key", "ord", "weighted_score", "label", "position", "score", "n_evals")
 
 
@@ -265,7 +264,7 @@ JOIN (SELECT source, CAST((row_number() OVER (ORDER BY weighted_score, ord) - 1)
             FROM store WHERE weighted_score IS NOT NULL) WHERE r = 1) c USING (source)
 WHERE s.weighted_score IS NOT NULL"""))
 def q_score_confidence_points(spark, sf):
-    return analysis.score_confidence_points(b.store(spark, sf), b.evals(spark, sf)).select(
+    return analysis.score_confidence_points(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
         "seq", "dedup_key", "source", "score", "confidence", "colour_index")
 
 
@@ -300,7 +299,7 @@ SELECT dedup_key, num_evals,
     AS normal_status
 FROM recent"""))
 def q_force_candidates(spark, sf):
-    recent = evaluate.recent_items(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
+    recent = evaluate.recent_items(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF)
     forced = evaluate.candidates(recent, 2, force=True)
     return forced.select("dedup_key", "num_evals", evaluate.evaluation_status(
         F.col("num_evals"), F.col("median_confidence"), F.col("weighted_score"), 2).alias("normal_status"))
@@ -900,7 +899,7 @@ def q_archive_snapshot(spark, sf):
 
 @register("export_digest", with_ctes(["digest"], "SELECT dedup_key, rank, weighted_score FROM digest"))
 def q_export_digest(spark, sf):
-    ranked = digest.digest_ranked(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
+    ranked = digest.digest_ranked(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF)
     path = store.export_digest(ranked.select("dedup_key", "rank", "weighted_score"), scratch_path(spark, "digest"))
     return spark.read.schema("dedup_key string, rank bigint, weighted_score int").json(path)
 
