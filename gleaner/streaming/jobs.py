@@ -81,6 +81,10 @@ def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame],
     its own ``batch_id=`` folder in overwrite mode, so a replayed batch replaces its
     earlier output instead of duplicating it."""
     def write(batch: DataFrame, batch_id: int) -> None:
+        # a micro-batch from few files is few partitions: spread the scoring work
+        slots = batch.sparkSession.sparkContext.defaultParallelism
+        if batch.rdd.getNumPartitions() < slots:
+            batch = batch.repartition(slots)
         scored = scorer(batch).select(
             "dedup_key", "ord",
             F.col("response.importance_score").alias("importance_score"),
