@@ -2,11 +2,13 @@
 
 ``row_number()`` over a window without ``partitionBy`` sorts the whole input in a
 single task, and over ``partitionBy(g)`` it sorts each group in one task, which breaks
-when one group holds a third of the rows. ``rank_rows`` range-partitions on
-``(group, order)`` instead, numbers rows inside each sorted partition, and adds the
-count of same-group rows in earlier partitions. The offsets table has one row per
-(group, partition) pair present, i.e. at most ``partitions + groups`` rows; the
-join to it is left to AQE (broadcast when its measured size is small).
+when one group holds a third of the rows. ``rank_rows`` first materializes its input
+(checkpoint) and counts it: within a fixed row bound a window is safe and cheapest;
+above it, it range-partitions on ``(group, order)``, numbers rows inside each sorted
+partition, and adds the count of same-group rows in earlier partitions. The offsets
+table has one row per (group, partition) pair present, i.e. at most
+``partitions + groups`` rows; the join to it is left to AQE (broadcast when its
+measured size is small).
 """
 
 from __future__ import annotations
