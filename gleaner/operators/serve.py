@@ -53,11 +53,13 @@ def item_details(store: DataFrame, evals: DataFrame) -> DataFrame:
 
 
 def sort_keys() -> dict[str, tuple[Column, bool]]:
-    """Sort expression and default direction (True = descending) per sortable field."""
+    """Sort expression and default direction (True = descending) per sortable field.
+    Choosing a field sorts it descending first, as on the results page; null counts as
+    "" for text, 0 for numbers and the epoch for dates."""
     return {
     "score": (F.coalesce(F.col("weighted_score"), F.lit(0)), True),
-    "source": (F.coalesce(F.lower(F.col("source")), F.lit("")), False),
-    "title": (F.coalesce(F.lower(F.col("title")), F.lit("")), False),
+    "source": (F.coalesce(F.lower(F.col("source")), F.lit("")), True),
+    "title": (F.coalesce(F.lower(F.col("title")), F.lit("")), True),
     "num_evals": (F.coalesce(F.col("num_evals"), F.lit(0)), True),
     "confidence": (F.coalesce(F.col("median_confidence"), F.lit(0)), True),
     "last_eval": (F.coalesce(F.col("last_eval"), F.lit(EPOCH).cast("timestamp_ntz")), True),

@@ -204,8 +204,8 @@ def q_item_details(spark, sf):
 
 _SORT_SQL = {
     "score": ("coalesce(weighted_score, 0)", "DESC"),
-    "source": ("coalesce(lower(source), '')", "ASC"),
-    "title": ("coalesce(lower(title), '')", "ASC"),
+    "source": ("coalesce(lower(source), '')", "DESC"),
+    "title": ("coalesce(lower(title), '')", "DESC"),
     "num_evals": ("coalesce(num_evals, 0)", "DESC"),
     "confidence": ("coalesce(median_confidence, 0)", "DESC"),
     "last_eval": ("coalesce(last_eval, TIMESTAMP '1970-01-01 00:00:00')", "DESC"),
