@@ -191,15 +191,17 @@ def q_search_items(spark, sf):
 
 
 @register("item_details", with_ctes(["store", "evals"], """
-SELECT s.dedup_key, s.ord, s.title, e.eval_index, e.seq, e.model, e.importance_score,
-       e.confidence_score, e.eval_date
+SELECT s.dedup_key, s.ord, s.title, coalesce(s.weighted_score, 0) AS item_score,
+       coalesce(s.median_confidence, 0) AS item_confidence, e.eval_index, e.seq, e.model,
+       e.importance_score, e.confidence_score, e.eval_date, e.summary
 FROM store s LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY seq) AS eval_index FROM evals) e
 USING (dedup_key)"""))
 def q_item_details(spark, sf):
     return serve.item_details(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
-        "dedup_key", "ord", "title", "eval_index", "seq", "model", "importance_score",
-        "confidence_score", "eval_date")
+        "dedup_key", "ord", "title", F.coalesce("weighted_score", F.lit(0)).alias("item_score"),
+        F.coalesce("median_confidence", F.lit(0)).alias("item_confidence"), "eval_index", "seq", "model",
+        "importance_score", "confidence_score", "eval_date", "summary")
 
 
 _SORT_SQL = {
