@@ -34,13 +34,22 @@ def _run(writer, name: str) -> None:
         raise RuntimeError(str(q.exception()))
 
 
-def stream_collect(items: DataFrame, out_path: str, checkpoint: str) -> None:
+def stream_collect(items: DataFrame, out_path: str, checkpoint: str,
+                   event_time: str | None = None, delay: str | None = None) -> None:
     """Keep the first-arriving row per ``dedup_key`` across micro-batches.
-    ``dropDuplicates`` on a stream keeps every key seen in the state store; with an
-    event-time column use ``withWatermark`` + ``dropDuplicatesWithinWatermark`` to
-    bound it."""
+
+    Without ``event_time`` the dedup is exact and the state store keeps every key ever
+    seen. With ``event_time`` and ``delay`` (e.g. "30 days") the state is bounded:
+    ``dropDuplicatesWithinWatermark`` forgets a key once the watermark passes it, so a
+    copy arriving later than ``delay`` after the first is kept again."""
     use_rocksdb_state(items.sparkSession)
-    deduped = items.where(F.col("dedup_key").isNotNull()).dropDuplicates(["dedup_key"])
+    keyed = items.where(F.col("dedup_key").isNotNull())
+    if event_time is not None:
+        keyed = (keyed.withColumn("_event_ts", F.col(event_time).cast("timestamp"))
+                 .withWatermark("_event_ts", delay or "0 seconds"))
+        deduped = keyed.dropDuplicatesWithinWatermark(["dedup_key"]).drop("_event_ts")
+    else:
+        deduped = keyed.dropDuplicates(["dedup_key"])
     _run(deduped.writeStream.format("parquet").option("path", out_path)
          .option("checkpointLocation", checkpoint).outputMode("append"), "stream_collect")
 

@@ -52,3 +52,14 @@ def test_stream_evaluate_replay_is_idempotent(spark):
     jobs.stream_evaluate(items(), scorers.keyword_scorer(), out, ckpt)   # restart from the checkpoint
     assert sorted(spark.read.parquet(out).drop("batch_id").collect()) == first
     assert len(first) == b.landed_items(spark, SF_SMALL).count()
+
+
+def test_stream_dedup_within_watermark(spark):
+    path = _split(spark, "documents")
+    out, ckpt = scratch_path(spark, "s1w-out"), scratch_path(spark, "s1w-ckpt")
+    items = b.landed_from_documents(_stream(spark, path, b.DOCUMENTS_SCHEMA))
+    # copies are at most 29 days apart in this binding: a 40-day delay drops them all
+    jobs.stream_collect(items, out, ckpt, event_time="creation_date", delay="40 days")
+    keys = [r[0] for r in spark.read.parquet(out).select("dedup_key").collect()]
+    assert len(keys) == len(set(keys))
+    assert len(keys) == collect.dedup_first_wins(b.landed_items(spark, SF_SMALL)).count()
