@@ -24,30 +24,32 @@ def rank_order() -> list:
     return [F.col("weighted_score").desc_nulls_last(), F.col("ord").asc()]
 
 
-def important_items(state: DataFrame, cfg: Config) -> DataFrame:
-    """F1: ``coalesce(weighted_score, 0) >= min_email_score`` of the item's source."""
-    s = with_settings(state, cfg, {"min_email_score": "double"})
+def important_items(state: DataFrame, cfg: Config, config_col: str = "source") -> DataFrame:
+    """F1: ``coalesce(weighted_score, 0) >= min_email_score`` of the item's source
+    (settings are looked up by ``config_col``, the source's configuration name)."""
+    s = with_settings(state, cfg, {"min_email_score": "double"}, config_col)
     return (s.where(F.coalesce(F.col("weighted_score"), F.lit(0)).cast("double") >= F.col("min_email_score"))
              .drop("min_email_score"))
 
 
-def digest_items(state: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
+def digest_items(state: DataFrame, cfg: Config, as_of: datetime, config_col: str = "source") -> DataFrame:
     """Important and recent items (unranked)."""
-    return recent_items(important_items(state, cfg), cfg, as_of)
+    return recent_items(important_items(state, cfg, config_col), cfg, as_of, config_col=config_col)
 
 
-def digest_ranked(state: DataFrame, cfg: Config, as_of: datetime) -> DataFrame:
+def digest_ranked(state: DataFrame, cfg: Config, as_of: datetime, config_col: str = "source") -> DataFrame:
     """F2: the digest in rank order (score desc, ties by arrival ``ord``), with a
     1-based ``rank`` computed by range partitioning, not a single-task window."""
     # the raw input (whole texts) is not part of the digest: keep it out of the ranking
-    items = digest_items(state, cfg, as_of)
+    items = digest_items(state, cfg, as_of, config_col)
     return rank_rows(items.drop("input"), rank_order(), rank_col="rank")
 
 
-def digest_top(state: DataFrame, cfg: Config, as_of: datetime, n: int = 3) -> DataFrame:
+def digest_top(state: DataFrame, cfg: Config, as_of: datetime, n: int = 3,
+               config_col: str = "source") -> DataFrame:
     """the first ``n`` digest items (``orderBy.limit`` -> TakeOrderedAndProject),
     score/confidence null -> 0 and text defaults for display."""
-    top = digest_items(state, cfg, as_of).orderBy(*rank_order()).limit(n)
+    top = digest_items(state, cfg, as_of, config_col).orderBy(*rank_order()).limit(n)
     w = Window.orderBy(*rank_order())   # over at most n rows
     return top.select(
         F.row_number().over(w).cast("bigint").alias("rank"), "dedup_key",

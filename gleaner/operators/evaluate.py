@@ -36,11 +36,11 @@ def _ts(value: datetime) -> Column:
 # ------------------------------------------------------------------ E1 recency
 
 def recent_items(items: DataFrame, cfg: Config, as_of: datetime,
-                 date_col: str = "creation_date") -> DataFrame:
+                 date_col: str = "creation_date", config_col: str = "source") -> DataFrame:
     """Items created within their source's ``lookback_days`` of ``as_of``.
     ``lookback <= 0`` disables the filter; a missing or unparsable date counts as
     recent; the boundary is inclusive."""
-    s = with_settings(items, cfg, {"lookback_days": "int"})
+    s = with_settings(items, cfg, {"lookback_days": "int"}, config_col)
     cutoff = add_days(_ts(as_of), -F.col("lookback_days"))
     keep = ((F.col("lookback_days") <= 0) | F.col(date_col).isNull() | (F.col(date_col) >= cutoff))
     return s.where(keep).drop("lookback_days")
@@ -75,11 +75,11 @@ def candidates(state: DataFrame, round_num: int, force: bool = False) -> DataFra
 
 # ------------------------------------------------------------------ E4/E5 prompts
 
-def assemble_prompt(items: DataFrame, cfg: Config) -> DataFrame:
+def assemble_prompt(items: DataFrame, cfg: Config, config_col: str = "source") -> DataFrame:
     """Eight parts joined by a blank line: header, introduction, container start,
     title, JSON input, container end, criteria, instructions (per-source parts)."""
     keys = {p: "string" for p in PROMPT_PARTS if not p.startswith("@")}
-    s = with_settings(items, cfg, keys)
+    s = with_settings(items, cfg, keys, config_col)
     parts = [F.col(p[1:]) if p.startswith("@") else F.col(p) for p in PROMPT_PARTS]
     missing = F.array_compact(F.array(*[F.when(c.isNull(), F.lit(p)) for p, c in zip(PROMPT_PARTS, parts)]))
     return (s.withColumn("prompt", F.when(F.size(missing) == 0, F.concat_ws("\n\n", *parts)))
