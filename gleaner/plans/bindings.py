@@ -62,10 +62,12 @@ def spread(df: DataFrame) -> DataFrame:
     left alone (no extra shuffle). A table stored as one row group would run all of
     its per-row work (hashing, regexes over whole texts) in a single task; spreading
     it costs one small shuffle. The split count comes from planning, not execution."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect): leave as is
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def landed_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,12 +69,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     visible to other executors.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's conf names the folder
+        if not current:
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+        return current
+    if not current:
+        current = sc.getCheckpointDir()          # set on the context instead of the conf
     if not current:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         current = tempfile.mkdtemp(prefix="gleaner-ckpt-")   # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    sc.setCheckpointDir(current)
     return current
 
 

@@ -91,9 +91,12 @@ def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame],
     earlier output instead of duplicating it."""
     def write(batch: DataFrame, batch_id: int) -> None:
         # a micro-batch from few files is few partitions: spread the scoring work
-        slots = batch.sparkSession.sparkContext.defaultParallelism
-        if batch.rdd.getNumPartitions() < slots:
-            batch = batch.repartition(slots)
+        try:
+            slots = batch.sparkSession.sparkContext.defaultParallelism
+            if batch.rdd.getNumPartitions() < slots:
+                batch = batch.repartition(slots)
+        except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): keep the batch as is
+            pass
         scored = scorer(batch).select(
             "dedup_key", "ord",
             F.col("response.importance_score").alias("importance_score"),
