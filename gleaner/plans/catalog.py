@@ -975,15 +975,19 @@ def q_stream_eval_state(spark, sf):
 
 
 def _stream_evaluate_sql() -> str:
-    from gleaner.plans.oracle import keyword_sql
-    ks = keyword_sql("coalesce(json_extract_string(input, '$.text'), title)")
-    return with_ctes(["landed"], f"""SELECT dedup_key, ord, {ks['importance_score']} AS importance_score,
-       {ks['confidence_score']} AS confidence_score FROM landed""")
+    from gleaner.plans.oracle import keyword_sql, setting, settings_sql
+    ks = keyword_sql("coalesce(json_extract_string(l.input, '$.text'), l.title)")
+    lb = setting("lookback_days", "int")
+    return with_ctes(["landed"], f"""SELECT l.dedup_key, l.ord, {ks['importance_score']} AS importance_score,
+       {ks['confidence_score']} AS confidence_score
+FROM landed l LEFT JOIN {settings_sql({'lookback_days': 'int'})} c USING (source)
+WHERE {lb} <= 0 OR l.creation_date IS NULL OR l.creation_date >= {AS_OF_SQL} - to_days({lb})""")
 
 
 @register("stream_evaluate", _stream_evaluate_sql())
 def q_stream_evaluate(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-eval")
     docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
-    jobs.stream_evaluate(b.landed_from_documents(docs), scorers.keyword_scorer(), out, ckpt)
+    jobs.stream_evaluate(b.landed_from_documents(docs), scorers.keyword_scorer(), out, ckpt,
+                         cfg=b.BINDING_CONFIG, as_of=b.AS_OF)
     return spark.read.parquet(out).select("dedup_key", "ord", "importance_score", "confidence_score")

@@ -85,10 +85,16 @@ def latest_state(spark: SparkSession, out_path: str) -> DataFrame:
 
 
 def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_path: str,
-                    checkpoint: str) -> None:
-    """S3: score each micro-batch of new items and append the evals. Each batch writes
-    its own ``batch_id=`` folder in overwrite mode, so a replayed batch replaces its
-    earlier output instead of duplicating it."""
+                    checkpoint: str, cfg=None, as_of=None) -> None:
+    """S3: score each micro-batch of new items and append the evals. With ``cfg`` and
+    ``as_of`` only recent items (E1, per-source lookback) are scored; new items have no
+    evals yet, so all of them are queued (E2); rows without a response are dropped.
+    Each batch writes its own ``batch_id=`` folder in overwrite mode, so a replayed
+    batch replaces its earlier output instead of duplicating it."""
+    if cfg is not None:
+        from gleaner.operators.evaluate import recent_items
+        items = recent_items(items, cfg, as_of)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         # a micro-batch from few files is few partitions: spread the scoring work
         try:
@@ -97,7 +103,7 @@ def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame],
                 batch = batch.repartition(slots)
         except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): keep the batch as is
             pass
-        scored = scorer(batch).select(
+        scored = scorer(batch).where(F.col("response").isNotNull()).select(
             "dedup_key", "ord",
             F.col("response.importance_score").alias("importance_score"),
             F.col("response.confidence_score").alias("confidence_score"),
