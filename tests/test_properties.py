@@ -58,3 +58,37 @@ def test_global_rank_range_path(spark, values, n_parts):
     ranked = rank_rows(df, [F.col("v").asc(), F.col("id").asc()], num_partitions=n_parts, small_rows=0)
     order = sorted(range(len(values)), key=lambda i: (values[i], i))
     assert {r["id"]: r["rank"] for r in ranked.collect()} == {i: p + 1 for p, i in enumerate(order)}
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["a", "b", "c", "d"]), st.text(max_size=3)), min_size=1, max_size=12))
+def test_upsert_is_idempotent_and_keeps_first_collected(spark, batch_rows):
+    from datetime import datetime
+    schema = "ord bigint, source string, title string, link string, creation_date timestamp_ntz, input string"
+    existing = collect.with_dedup_key(spark.createDataFrame(
+        [(0, "s", "old", "a", None, "{}"), (1, "s", "keep", "z", None, "{}")], schema)) \
+        .withColumn("first_collected", F.lit(datetime(2024, 1, 1))) \
+        .withColumn("last_collected", F.lit(datetime(2024, 1, 1)))
+    batch = collect.dedup_first_wins(collect.with_dedup_key(spark.createDataFrame(
+        [(i + 10, "s", t, link, None, "{}") for i, (link, t) in enumerate(batch_rows)], schema)))
+    t1, t2 = datetime(2024, 1, 5), datetime(2024, 1, 6)
+    once = collect.upsert_merge(existing, batch, t1).drop("merge_status", "merge_part")
+    twice = collect.upsert_merge(once, batch, t2).drop("merge_status", "merge_part")
+    strip = lambda df: sorted(tuple(r[c] for c in df.columns if c != "last_collected") for r in df.collect())
+    assert strip(once) == strip(twice)
+    firsts = {r["link"]: r["first_collected"] for r in twice.collect()}
+    assert firsts["z"] == datetime(2024, 1, 1)
+    if "a" in {link for link, _ in batch_rows}:
+        assert firsts["a"] == datetime(2024, 1, 1)
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.tuples(st.sampled_from(["k1", "k2", "k3"]), st.integers(0, 100), st.integers(0, 100)),
+                min_size=1, max_size=40), st.integers(1, 6))
+def test_eval_state_ignores_partitioning(spark, evals, n_parts):
+    data = [(k, i, s, c) for i, (k, s, c) in enumerate(evals)]
+    df = spark.createDataFrame(data, "dedup_key string, seq bigint, importance_score int, confidence_score int") \
+        .withColumn("eval_date", F.lit(None).cast("timestamp_ntz"))
+    a = sorted(evaluate.eval_state(df.coalesce(1)).collect())
+    b = sorted(evaluate.eval_state(df.repartition(n_parts, "seq")).collect())
+    assert a == b
