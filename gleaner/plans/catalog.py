@@ -243,15 +243,12 @@ def q_analysis_items(spark, sf):
 , top AS (SELECT * FROM (
     SELECT dedup_key, ord, weighted_score,
            source || ': ' || CASE WHEN length(title) > 50 THEN substr(title, 1, 50) || '...' ELSE title END AS label
-    FROM store WHERE weighted_score IS NOT NULL ORDER BY weighted_score DESC, ord DESC LIMIT 50))
-SELECT t.dedup_key, t.ord, t.weighted_score, t.label,
-       row_number() OVER (ORDER BY t.weighted_score, t.ord) AS position_, h.score, h.n_evals
-FROM top t JOIN (SELECT dedup_key, importance_score AS score, count(*) AS n_evals
-                 FROM evals GROUP BY dedup_key, importance_score) h USING (dedup_key)
-""".replace("row_number() OVER (ORDER BY t.weighted_score, t.ord) AS position_",
-            "p.position").replace("FROM top t JOIN", "FROM top t JOIN (SELECT dedup_key, row_number() OVER "
-                                  "(ORDER BY weighted_score, ord) AS position FROM top) p USING (dedup_key) JOIN")
-).replace("\n)\n, top AS", "\n),\ntop AS"))
+    FROM store WHERE weighted_score IS NOT NULL ORDER BY weighted_score DESC, ord DESC LIMIT 50)),
+positions AS (SELECT dedup_key, row_number() OVER (ORDER BY weighted_score, ord) AS position FROM top)
+SELECT t.dedup_key, t.ord, t.weighted_score, t.label, p.position, h.score, h.n_evals
+FROM top t JOIN positions p USING (dedup_key)
+JOIN (SELECT dedup_key, importance_score AS score, count(*) AS n_evals
+      FROM evals GROUP BY dedup_key, importance_score) h USING (dedup_key)"""))
 def q_score_distribution(spark, sf):
     return analysis.score_distribution(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
         "dedup_key", "ord", "weighted_score", "label", "position", "score", "n_evals")
@@ -356,7 +353,7 @@ def q_validate_responses(spark, sf):
 SELECT user_id, day, arg_min(response_text, attempt) FILTER (WHERE reason = 'valid' AND attempt <= 3) AS response_text,
        min(attempt) FILTER (WHERE reason = 'valid' AND attempt <= 3) AS attempt_used,
        CASE WHEN min(attempt) FILTER (WHERE reason = 'valid' AND attempt <= 3) IS NULL THEN 'failed' ELSE 'ok' END AS status
-FROM att GROUP BY user_id, day""".replace("\n)\n, att AS", "\n),\natt AS")))
+FROM att GROUP BY user_id, day"""))
 def q_first_valid_attempt(spark, sf):
     r = b.responses(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     att = rank_rows(r, [F.col("ts").asc(), F.col("event_id").asc()], partition_by=["user_id", "day"],
@@ -402,9 +399,8 @@ merged AS (
   FROM existing e FULL OUTER JOIN batch b ON e.dedup_key = b.dedup_key)"""
 
 
-@register("upsert_merge", with_ctes(["items", "landed"], _UPSERT_SQL.replace("\n, existing", ",\nexisting", 1)
-                                    .replace(",\nexisting", "\n, existing", 0) + """
-SELECT * FROM merged""").replace("\n)\n, existing AS", "\n),\nexisting AS"))
+@register("upsert_merge", with_ctes(["items", "landed"], _UPSERT_SQL + """
+SELECT * FROM merged"""))
 def q_upsert_merge(spark, sf):
     _, batch, existing = _upsert_inputs(spark, sf)
     return collect.upsert_merge(existing, batch, b.AS_OF).select(
@@ -417,7 +413,7 @@ SELECT (SELECT count(*) FROM landed WHERE creation_date >= TIMESTAMP '{_BATCH_FR
        count(*) FILTER (WHERE merge_status = 'new') AS new_items,
        count(*) FILTER (WHERE merge_status = 'updated') AS updated_items,
        count(*) AS total_items
-FROM merged""").replace("\n)\n, existing AS", "\n),\nexisting AS"))
+FROM merged"""))
 def q_collect_counts(spark, sf):
     batch_landed, batch, existing = _upsert_inputs(spark, sf)
     merged = collect.upsert_merge(existing, batch, b.AS_OF)
@@ -492,7 +488,7 @@ ev2 AS (SELECT * FROM ev1 UNION ALL {new_rows(2, 'st1')}),
 st2 AS ({agg.format(src='ev2')})
 SELECT rc.dedup_key, coalesce(st2.num_evals, 0) AS num_evals, st2.weighted_score, st2.median_confidence, st2.last_eval
 FROM rec rc LEFT JOIN st2 USING (dedup_key)"""
-    return with_ctes(["recent", "items", "evals"], body).replace("\n)\n, rec AS", "\n),\nrec AS")
+    return with_ctes(["recent", "items", "evals"], body)
 
 
 ORACLES["append_eval_round"] = _append_eval_round_sql()
@@ -634,7 +630,7 @@ _FEED_P = r"(?is)<p\b[^>]*>.*?</p>"
 
 
 @register("short_content_fallback", f"""
-, feed AS (SELECT page_id, url, {_strip_tags_sql(f"regexp_extract(html, '{_FEED_P}', 0)")} AS t FROM pages),
+WITH feed AS (SELECT page_id, url, {_strip_tags_sql(f"regexp_extract(html, '{_FEED_P}', 0)")} AS t FROM pages),
 full_ AS (SELECT url, {_main_sql('html')} AS ft FROM pages),
 scored AS (SELECT f.page_id, f.url, f.t, {_words_sql('f.t')} AS n, fu.ft, {_words_sql('fu.ft')} AS fn
            FROM feed f LEFT JOIN full_ fu ON f.url = fu.url)
@@ -642,7 +638,7 @@ SELECT page_id,
        CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN 'full' ELSE 'short' END AS content_from,
        CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN fn ELSE n END AS n_words,
        md5(CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN ft ELSE t END) AS text_md5
-FROM scored""".replace("\n, feed AS", "WITH feed AS", 1))
+FROM scored""")
 def q_short_content_fallback(spark, sf):
     pg = b.table(spark, sf, "pages")
     feed = pg.select("page_id", "url", F.regexp_extract("html", _FEED_P, 0).alias("html"))

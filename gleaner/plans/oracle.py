@@ -88,6 +88,8 @@ CTES: dict[str, tuple[list[str], str]] = {
 
 
 def with_ctes(names: list[str], body: str) -> str:
+    """Prefix ``body`` with the named CTEs and their dependencies. A body that starts
+    with ``, name AS (...)`` continues the CTE list with its own definitions."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -100,7 +102,9 @@ def with_ctes(names: list[str], body: str) -> str:
     for n in names:
         visit(n)
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in order]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    head = "WITH " + ",\n".join(parts)
+    rest = body.lstrip()
+    return head + (rest if rest.startswith(",") else "\n" + body)
 
 
 CTES["responses"] = ([], """
