@@ -13,6 +13,7 @@ measured size is small).
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,12 +23,12 @@ _LOCAL_BITS = 33   # monotonically_increasing_id = partition index << 33 | row i
 
 # Inputs up to this many rows are numbered with a plain window (one sort of at most
 # this many rows per task); larger inputs take the range-partitioned path.
-SMALL_RANK_ROWS = 1_000_000
+SMALL_RANK_ROWS = int(os.environ.get("GLEANER_SMALL_RANK_ROWS", "1000000"))
 
 
 def rank_rows(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[str] = (),
               rank_col: str = "rank", num_partitions: int | None = None,
-              small_rows: int = SMALL_RANK_ROWS) -> DataFrame:
+              small_rows: int | None = None) -> DataFrame:
     """Add a 1-based ``rank_col``: position of the row in ``order_by`` within its
     ``partition_by`` group. ``order_by`` must be a total order (end with a unique key)
     for the numbering to be deterministic.
@@ -37,7 +38,7 @@ def rank_rows(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[
     window; above it the range-partitioned numbering is used."""
     spark = df.sparkSession
     base = df.checkpoint(eager=True)
-    if base.count() <= small_rows:
+    if base.count() <= (SMALL_RANK_ROWS if small_rows is None else small_rows):
         w = (Window.partitionBy(*partition_by) if partition_by else Window).orderBy(*order_by)
         return base.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
     return _rank_by_range(base, order_by, partition_by, rank_col,

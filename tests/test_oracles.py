@@ -44,3 +44,11 @@ def test_queries_apply_utc_to_a_foreign_session(spark, con):
     got = entry.queries()["parse_item_dates"](spark, SF_SMALL).toPandas()
     assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
     assert digest(got) == digest(con.execute(entry.oracle_sql()["parse_item_dates"]).df())
+
+
+@pytest.mark.parametrize("name", ["digest_by_source", "item_details", "sort_items", "attach_comments"])
+def test_ranking_queries_on_the_range_path(spark, con, name, monkeypatch):
+    from gleaner.operators import ranking
+    monkeypatch.setattr(ranking, "SMALL_RANK_ROWS", 0)   # force the range-partitioned numbering
+    got = entry.queries()[name](spark, SF_SMALL).toPandas()
+    assert digest(got) == digest(con.execute(entry.oracle_sql()[name]).df())
