@@ -215,11 +215,11 @@ def attach_readme(repos: DataFrame, readmes: DataFrame) -> DataFrame:
     """Left join of base64 READMEs decoded as UTF-8; undecodable -> null.
     Characters outside the base64 alphabet (line breaks etc.) are discarded before
     decoding, as a lenient decoder does."""
+    lenient = F.try_to_binary(F.regexp_replace("content", r"[^A-Za-z0-9+/=]", ""), F.lit("base64"))
+    raw = F.coalesce(F.try_to_binary(F.col("content"), F.lit("base64")), lenient)  # clean only on failure
     decoded = readmes.select(
         F.col("full_name").alias("_fn"),
-        F.try_validate_utf8(F.try_to_binary(F.regexp_replace("content", r"[^A-Za-z0-9+/=]", ""),
-                                            F.lit("base64"))
-                            .cast("string")).alias("readme_content"))
+        F.try_validate_utf8(raw.cast("string")).alias("readme_content"))
     return repos.join(decoded, repos["full_name"] == decoded["_fn"], "left").drop("_fn")
 
 
