@@ -32,7 +32,9 @@ def read_items_safe(spark: SparkSession, path: str, schema: str = LANDED_JSON_SC
     try:
         df = (spark.read.schema(full).option("multiLine", multiline)
               .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path))
-        df.schema  # noqa: B018 - resolve the path now
+        # parse once and keep the parsed rows: a raw-file query whose pruned projection
+        # is only the corrupt-record column (e.g. a count) is refused by Spark
+        df = df.checkpoint(eager=True)
     except AnalysisException as exc:
         if "PATH_NOT_FOUND" not in str(exc) and "Path does not exist" not in str(exc):
             raise
