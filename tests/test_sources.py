@@ -86,3 +86,12 @@ def test_user_pandas_scorer(spark):
     scored = evaluate.score_items(df, evaluate.pandas_scorer(length_scorer))
     got = {r["dedup_key"]: (r["response"]["importance_score"], r["response"]["summary"]) for r in scored.collect()}
     assert got == {"a": (3, "len 3"), "b": (100, "len 150")}
+
+
+def test_python_helpers_do_not_need_the_package_on_workers():
+    # workers get the package's functions pickled by value (no import from their path)
+    from pyspark import cloudpickle
+
+    from gleaner.functions.html import extract_main_text_py
+    blob = cloudpickle.dumps(extract_main_text_py)
+    assert b"html.parser" in blob or len(blob) > 500
