@@ -527,7 +527,8 @@ def q_papers_topk_per_category(spark, sf):
                                              F.col("o_orderkey").alias("id"),
                                              F.col("o_orderdate").alias("published"))
     from datetime import datetime
-    return shaping.newest_per_category(o, 20, datetime(2001, 1, 1)).select("category", "id", "rn")
+    return shaping.newest_per_category(o, 20, datetime(2001, 1, 1)).select(
+        "category", "id", F.col("rn").cast("bigint").alias("rn"))
 
 
 _CATEGORY_ORDER = ["N", "R", "A"]
