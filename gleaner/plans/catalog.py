@@ -544,21 +544,38 @@ def q_papers_first_category(spark, sf):
 
 
 @register("papers_normalize", r"""
-SELECT string_split(url, '/')[-1] AS paper_id,
+SELECT 'pages' AS kind, string_split(url, '/')[-1] AS paper_id,
        coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ''),
                 'Unknown Title') AS title,
-       'Unknown' AS author, url
-FROM pages""")
+       'Unknown' AS author, md5('') AS abstract_md5, 0 AS abstract_chars
+FROM pages
+UNION ALL
+SELECT 'documents', CAST(doc_id AS VARCHAR), 'Unknown Title',
+       array_to_string(list_sort(list_distinct([source, lang])), ','),
+       md5(trim(regexp_replace(text, '\s+', ' ', 'g'))),
+       CAST(length(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS INTEGER)
+FROM documents""")
 def q_papers_normalize(spark, sf):
     pg = b.table(spark, sf, "pages")
-    raw = pg.select(F.col("url").alias("id"),
-                    F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")).alias("title"),
-                    F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("author"),
-                    F.lit(None).cast("array<struct<name:string>>").alias("authors"),
-                    F.col("url").alias("link"), F.lit(None).cast("timestamp_ntz").alias("published"))
-    out = shaping.normalize_papers(raw)
-    return out.select("paper_id", F.coalesce(F.nullif("title", F.lit("")), F.lit(shaping.UNKNOWN_TITLE)).alias("title"),
-                      "author", "url")
+    from_pages = pg.select(
+        F.col("url").alias("id"),
+        F.nullif(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")).alias("title"),
+        F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("author"),
+        F.lit(None).cast("array<struct<name:string>>").alias("authors"),
+        F.col("url").alias("link"), F.lit(None).cast("timestamp_ntz").alias("published"))
+    d = b.table(spark, sf, "documents")
+    from_docs = d.select(
+        F.concat(F.lit("https://papers.example/abs/"), F.col("doc_id").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("title"), F.col("text").alias("summary"),
+        F.lit(None).cast("string").alias("author"),
+        F.array(F.struct(F.col("source").alias("name")), F.struct(F.col("lang").alias("name"))).alias("authors"),
+        F.lit(None).cast("string").alias("link"), F.lit(None).cast("timestamp_ntz").alias("published"))
+    out = shaping.normalize_papers(from_pages).withColumn("kind", F.lit("pages")).unionByName(
+        shaping.normalize_papers(from_docs).withColumn("kind", F.lit("documents")))
+    return out.select("kind", "paper_id",
+                      F.coalesce(F.nullif("title", F.lit("")), F.lit(shaping.UNKNOWN_TITLE)).alias("title"),
+                      "author", F.md5("abstract").alias("abstract_md5"),
+                      F.length("abstract").alias("abstract_chars"))
 
 
 @register("sort_newest", """
