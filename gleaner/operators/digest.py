@@ -76,10 +76,12 @@ def digest_by_source(ranked: DataFrame) -> DataFrame:
 
 
 def first_summary(evals: DataFrame) -> DataFrame:
-    """first non-empty summary by append order, per item (map-side ``min_by``)."""
-    non_empty = F.col("summary").isNotNull() & (F.col("summary") != "")
-    return evals.where(non_empty).groupBy("dedup_key").agg(
-        F.min_by(F.col("summary"), F.col("seq")).alias("summary"))
+    """first non-empty summary by append order, per item. ``min(seq)`` is a hash
+    aggregate that combines map-side; the summary text is then picked by a semi join
+    on the unique (dedup_key, seq) pair instead of being carried through the aggregate."""
+    non_empty = evals.where(F.col("summary").isNotNull() & (F.col("summary") != ""))
+    first = non_empty.groupBy("dedup_key").agg(F.min("seq").alias("seq"))
+    return non_empty.join(first, ["dedup_key", "seq"], "left_semi").select("dedup_key", "summary")
 
 
 def with_summary(items: DataFrame, evals: DataFrame) -> DataFrame:
