@@ -58,3 +58,14 @@ def test_collect_evaluate_digest(spark, tmp_path):
     key = rows[0]["dedup_key"]
     assert cli.main(["lookup", "--store", st, "--key", key], spark)["found"]
     assert not cli.main(["lookup", "--store", st, "--key", "nope"], spark)["found"]
+
+
+def test_collect_empty_batch_and_unknown_source(spark):
+    landed, st = scratch_path(spark, "landed-empty"), scratch_path(spark, "store-empty")
+    os.makedirs(f"{landed}/feeds", exist_ok=True)
+    with open(f"{landed}/feeds/items.json", "w") as f:
+        json.dump([], f)
+    res = cli.main(["collect", "--landed", landed, "--store", st, "--now", NOW], spark)
+    assert not res["written"] and cli.latest_version(spark, f"{st}/items") == 0
+    res = cli.main(["collect", "--landed", landed, "--store", st, "--source", "nope", "--now", NOW], spark)
+    assert not res["written"] and res["status"][0]["known"] == ["feeds"]
