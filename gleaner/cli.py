@@ -109,7 +109,7 @@ def cmd_collect(spark: SparkSession, landed: str, store_dir: str, only: str | No
     good = (checked.where(F.col("reject_reason").isNull()).drop("reject_reason")
             .withColumn("creation_date", shaping.parse_item_date("creation_date")))
     good = collect.with_dedup_key(good).checkpoint(eager=True)
-    if good.count() == 0:
+    if good.isEmpty():
         return {"status": status, "written": False, "reason": "no new data"}
     batch = collect.dedup_first_wins(good, "ord")
     existing = read_latest(spark, f"{store_dir}/items")

@@ -22,7 +22,8 @@ REQUIRED_RESPONSE_KEYS = ["summary", "evaluation", "importance_score", "confiden
 RESPONSE_SCHEMA = ("summary string, evaluation string, importance_score bigint, "
                    "confidence_score bigint, scratchpad string, followup string")
 
-# Appended evals of round r get seq = r * SEQ_ROUND_BASE + ord, above loaded history.
+# Appended evals of round r get seq = max existing seq + r * SEQ_ROUND_BASE + ord, so
+# append order keeps increasing across rounds and across runs (ord < SEQ_ROUND_BASE).
 SEQ_ROUND_BASE = 10 ** 12
 
 PROMPT_PARTS = ["prompt_header", "prompt_introduction", "prompt_container_pre", "@title",
@@ -203,6 +204,7 @@ def run_rounds(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
     round only."""
     persist = persist or (lambda df, name: df.checkpoint(eager=True))
     keys = recent.select("dedup_key")
+    base = evals.agg(F.max("seq")).first()[0] or 0    # one scalar: where this run's seq starts
     all_evals = evals
     for r in range(1, rounds + 1):
         # only recent items can be candidates: aggregate just their evals
@@ -212,8 +214,8 @@ def run_rounds(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
         scored = score_items(todo, scorer).where(F.col("response").isNotNull())
         new_rows = (scored
                     .select("dedup_key",
-                            # appended after all loaded history (seq < SEQ_ROUND_BASE)
-                            (F.lit(r) * F.lit(SEQ_ROUND_BASE) + F.col("ord")).cast("bigint").alias("seq"),
+                            (F.lit(base) + F.lit(r) * F.lit(SEQ_ROUND_BASE) + F.col("ord"))
+                            .cast("bigint").alias("seq"),
                             F.lit(r).alias("round"), F.lit(model).alias("model"),
                             _ts(as_of).alias("eval_date"),
                             F.col("response.importance_score").cast("int").alias("importance_score"),

@@ -471,7 +471,8 @@ def _append_eval_round_sql() -> str:
         return f"{n} < {r} AND NOT {settled}"
 
     def new_rows(r, st):
-        return (f"SELECT rc.dedup_key, CAST({r} * {evaluate.SEQ_ROUND_BASE} + rc.ord AS BIGINT) AS seq, "
+        return (f"SELECT rc.dedup_key, CAST((SELECT max(seq) FROM evals) + {r} * {evaluate.SEQ_ROUND_BASE} "
+                f"+ rc.ord AS BIGINT) AS seq, "
                 f"{AS_OF_SQL} AS eval_date, CAST(sc.importance_score AS INTEGER) AS importance_score, "
                 f"CAST(sc.confidence_score AS INTEGER) AS confidence_score "
                 f"FROM rec rc JOIN sc USING (dedup_key) LEFT JOIN {st} USING (dedup_key) "

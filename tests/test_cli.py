@@ -69,3 +69,15 @@ def test_collect_empty_batch_and_unknown_source(spark):
     assert not res["written"] and cli.latest_version(spark, f"{st}/items") == 0
     res = cli.main(["collect", "--landed", landed, "--store", st, "--source", "nope", "--now", NOW], spark)
     assert not res["written"] and res["status"][0]["known"] == ["feeds"]
+
+
+def test_repeated_evaluate_runs_keep_seq_increasing(spark):
+    landed, st = scratch_path(spark, "landed-seq"), scratch_path(spark, "store-seq")
+    list(_land(spark, landed, ["es"]))
+    cli.main(["collect", "--landed", landed, "--store", st, "--now", NOW], spark)
+    for _ in range(2):
+        cli.main(["evaluate", "--store", st, "--rounds", "1", "--force", "--now", NOW], spark)
+    ev = cli.read_latest(spark, f"{st}/evals")
+    assert ev.select("seq").distinct().count() == ev.count()
+    per_item = ev.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
+    assert per_item == 2
