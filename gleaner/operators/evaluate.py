@@ -36,11 +36,45 @@ def _ts(value: datetime) -> Column:
 
 # ------------------------------------------------------------------ E1 recency
 
+def _lookback_days(value: str | None, default: int) -> int:
+    text = (value or "").strip()
+    return int(text) if text.lstrip("+-").isdigit() else default
+
+
+def recency_prefilter(cfg: Config, as_of: datetime, date_col: str = "creation_date",
+                      config_col: str = "source") -> Column | None:
+    """A filter on the raw columns that keeps a superset of the recent items, so it can
+    reach the parquet scan (row-group skipping, partition pruning): dated items newer
+    than the longest positive lookback, undated items, and the sources whose lookback
+    disables the filter. None when the global lookback itself disables it."""
+    default = int(cfg.defaults.get("lookback_days", "7"))
+    if "lookback_days" in cfg.env:
+        values, open_sources = [_lookback_days(cfg.env["lookback_days"], default)], []
+    else:
+        glob = _lookback_days(cfg.global_value("lookback_days"), default)
+        per_source = {s: _lookback_days(v["lookback_days"], default)
+                      for s, v in cfg.sources.items() if "lookback_days" in v}
+        values = [glob] + list(per_source.values())
+        open_sources = [s for s, v in per_source.items() if v <= 0]
+        if glob <= 0:
+            return None
+    positive = [v for v in values if v > 0]
+    if not positive:
+        return None
+    keep = (F.col(date_col) >= add_days(_ts(as_of), F.lit(-max(positive)))) | F.col(date_col).isNull()
+    if open_sources:
+        keep = keep | F.col(config_col).isin(*open_sources)
+    return keep
+
+
 def recent_items(items: DataFrame, cfg: Config, as_of: datetime,
                  date_col: str = "creation_date", config_col: str = "source") -> DataFrame:
     """Items created within their source's ``lookback_days`` of ``as_of``.
     ``lookback <= 0`` disables the filter; a missing or unparsable date counts as
-    recent; the boundary is inclusive."""
+    recent; the boundary is inclusive. A pushable superset filter goes first."""
+    pre = recency_prefilter(cfg, as_of, date_col, config_col)
+    if pre is not None:
+        items = items.where(pre)
     s = with_settings(items, cfg, {"lookback_days": "int"}, config_col)
     cutoff = add_days(_ts(as_of), -F.col("lookback_days"))
     keep = ((F.col("lookback_days") <= 0) | F.col(date_col).isNull() | (F.col(date_col) >= cutoff))

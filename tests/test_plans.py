@@ -53,3 +53,13 @@ def test_store_queries_do_not_shuffle_input_json(spark):
     # the heavy JSON input (whole texts) is pruned away from queries that do not use it
     p = plan(spark, "eval_state")
     assert "to_json" not in p and "StructsToJson" not in p
+
+
+def test_recency_prefilter_reaches_the_scan(spark):
+    entry.queries()["digest_ranked"](spark, SF_SMALL)         # writes the stored snapshot
+    from gleaner.operators import digest
+    from gleaner.plans import bindings as b
+    df = digest.digest_items(b.stored_items(spark, SF_SMALL), b.BINDING_CONFIG, b.AS_OF)
+    p = df._jdf.queryExecution().executedPlan().toString()
+    pushed = [line for line in p.split("\n") if "PushedFilters" in line]
+    assert any("creation_date" in line for line in pushed)
