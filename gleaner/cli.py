@@ -123,8 +123,8 @@ def cmd_collect(spark: SparkSession, landed: str, store_dir: str, only: str | No
     # stored order: the batch in arrival order, then the untouched existing items
     merged = rank_rows(merged, [F.col("merge_part").asc(), F.col("ord").asc()], rank_col="_pos")
     counts = collect.collect_counts(good, batch, merged).first().asDict()
-    write_version(merged.drop("merge_status", "merge_part", "ord").withColumnRenamed("_pos", "ord"),
-                  f"{store_dir}/items")
+    write_version(merged.drop("merge_status", "merge_part", "ord").withColumnRenamed("_pos", "ord")
+                  .sortWithinPartitions("creation_date"), f"{store_dir}/items")
     return {"status": status, "written": True, **counts}
 
 

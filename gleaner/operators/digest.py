@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.config import Config, with_settings
@@ -24,9 +24,34 @@ def rank_order() -> list:
     return [F.col("weighted_score").desc_nulls_last(), F.col("ord").asc()]
 
 
+def _as_float(value: str | None, default: float) -> float:
+    try:
+        return float((value or "").strip())
+    except ValueError:
+        return default
+
+
+def importance_prefilter(cfg: Config) -> Column | None:
+    """``weighted_score >= the lowest configured threshold``: a superset of the
+    important items on a raw column, so the scan can skip row groups. None when some
+    threshold is not positive (then unscored items can qualify)."""
+    default = float(cfg.defaults.get("min_email_score", "70"))
+    if "min_email_score" in cfg.env:
+        values = [_as_float(cfg.env["min_email_score"], default)]
+    else:
+        values = [_as_float(cfg.global_value("min_email_score"), default)]
+        values += [_as_float(v["min_email_score"], default) for v in cfg.sources.values()
+                   if "min_email_score" in v]
+    low = min(values)
+    return None if low <= 0 else F.col("weighted_score") >= F.lit(low)
+
+
 def important_items(state: DataFrame, cfg: Config, config_col: str = "source") -> DataFrame:
     """F1: ``coalesce(weighted_score, 0) >= min_email_score`` of the item's source
     (settings are looked up by ``config_col``, the source's configuration name)."""
+    pre = importance_prefilter(cfg)
+    if pre is not None:
+        state = state.where(pre)
     s = with_settings(state, cfg, {"min_email_score": "double"}, config_col)
     return (s.where(F.coalesce(F.col("weighted_score"), F.lit(0)).cast("double") >= F.col("min_email_score"))
              .drop("min_email_score"))
