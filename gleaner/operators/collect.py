@@ -48,17 +48,43 @@ def dedup_first_wins(items: DataFrame, order_col: str = "ord") -> DataFrame:
     return keyed.join(winners, on=["dedup_key", order_col], how="left_semi")
 
 
+# A batch with at most this many keys has its key set broadcast (32-hex keys: about
+# 100 MB at the bound); larger batches use the full outer join.
+BROADCAST_BATCH_KEYS = 2_000_000
+
+
 def upsert_merge(existing: DataFrame, batch: DataFrame, collected_at: datetime,
-                 data_fields: list[str] = ITEM_FIELDS) -> DataFrame:
+                 data_fields: list[str] = ITEM_FIELDS,
+                 broadcast_keys: int = BROADCAST_BATCH_KEYS) -> DataFrame:
     """Merge a deduplicated ``batch`` into the ``existing`` store by ``dedup_key``.
 
     Matched keys take every incoming data field (nulls too: presence decides, not
     ``coalesce``), keep ``first_collected`` and the evaluation state; new keys start
     with ``first_collected = last_collected = collected_at``; untouched keys are kept.
     Output order = batch order then untouched rows, carried as ``(merge_part, ord)``.
-    One full outer join on the key; the result is meant to be written to a new
-    snapshot, never over the one being read."""
-    ts = F.lit(collected_at).cast("timestamp_ntz")
+    The result is meant for a new snapshot, never over the one being read.
+
+    A batch within ``broadcast_keys`` keys (counted) broadcasts only its key set: the
+    untouched store rows pass through a map-side anti join and the store is never
+    shuffled; the matched store rows (at most the batch size) meet the batch in a small
+    join. A larger batch uses one full outer join on the key."""
+    if batch.select("dedup_key").count() <= broadcast_keys:
+        keys = F.broadcast(batch.select("dedup_key"))
+        matched = existing.join(keys, "dedup_key", "left_semi")
+        kept = existing.join(keys, "dedup_key", "left_anti")
+        touched = _merge_rows(matched, batch, collected_at, data_fields)
+        return touched.unionByName(_kept_rows(kept, data_fields))
+    return _merge_rows(existing, batch, collected_at, data_fields)
+
+
+def _kept_rows(kept: DataFrame, data_fields: list[str]) -> DataFrame:
+    return kept.select("dedup_key", *data_fields, "first_collected", "last_collected",
+                       F.lit("kept").alias("merge_status"), F.lit(1).alias("merge_part"), "ord")
+
+
+def _merge_rows(existing: DataFrame, batch: DataFrame, collected_at: datetime,
+                data_fields: list[str]) -> DataFrame:
+    ts = F.lit(collected_at.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     e = existing.withColumn("_in_e", F.lit(True)).alias("e")
     b = batch.withColumn("_in_b", F.lit(True)).alias("b")
     j = e.join(b, on=F.col("e.dedup_key") == F.col("b.dedup_key"), how="full_outer")

@@ -252,3 +252,16 @@ def test_score_distribution_labels_and_limit(spark):
     labels = dict(rows(out, "dedup_key", "label"))
     assert "k0" not in labels and len(labels) == 50
     assert labels["k1"] == "s: " + "t" * 50 and labels["k2"] == "s: " + "t" * 50 + "..."
+
+
+@pytest.mark.parametrize("broadcast_keys", [0, 10])
+def test_upsert_paths_agree(spark, broadcast_keys):
+    d0, d1 = datetime(2024, 1, 1), datetime(2024, 1, 10)
+    existing = collect.with_dedup_key(spark.createDataFrame(
+        [(1, "s", "old", "a", None, "{}"), (2, "s", "C", "c", None, "{}")], ITEM)).withColumn(
+        "first_collected", F.lit(d0).cast("timestamp_ntz")).withColumn("last_collected", F.lit(d0).cast("timestamp_ntz"))
+    batch = collect.with_dedup_key(spark.createDataFrame(
+        [(5, "s", "new", "a", None, None), (6, "s", "B", "b", None, "{}")], ITEM))
+    got = sorted(tuple(r) for r in collect.upsert_merge(existing, batch, d1, broadcast_keys=broadcast_keys).collect())
+    want = sorted(tuple(r) for r in collect._merge_rows(existing, batch, d1, collect.ITEM_FIELDS).collect())
+    assert got == want and len(got) == 3
