@@ -49,7 +49,12 @@ def item_details(store: DataFrame, evals: DataFrame) -> DataFrame:
     """items with their evals, one row per eval with a 1-based ``eval_index`` in
     append order; items without evals keep one row with a null index."""
     numbered = rank_rows(evals, [F.col("seq").asc()], partition_by=["dedup_key"], rank_col="eval_index")
-    return store.join(numbered, "dedup_key", "left")
+    # inner join with the many-rows side on the left, so AQE can split a key holding a
+    # large share of the evals; items without evals come from an anti join on the
+    # distinct eval keys (a map-side combined set)
+    with_evals = numbered.join(store, "dedup_key", "inner")
+    without = store.join(numbered.select("dedup_key").distinct(), "dedup_key", "left_anti")
+    return with_evals.unionByName(without, allowMissingColumns=True)
 
 
 def sort_keys() -> dict[str, tuple[Column, bool]]:

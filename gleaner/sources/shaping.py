@@ -153,7 +153,11 @@ def attach_comments(projects: DataFrame, comments: DataFrame) -> DataFrame:
                         F.concat(F.col("full_name"), F.lit(" says: "), F.col("content")).alias("comment"))
     numbered = rank_rows(c, [F.col("created_at").asc(), F.col("seq").asc()], partition_by=["_slug"],
                          rank_col="comment_index")
-    return projects.join(numbered, projects["slug"] == numbered["_slug"], "left").drop("_slug")
+    # many comments per project sit on the left of an inner join (AQE can split a hot
+    # project); projects without comments come from an anti join on the distinct slugs
+    with_comments = numbered.join(projects, numbered["_slug"] == projects["slug"], "inner").drop("_slug")
+    without = projects.join(numbered.select(F.col("_slug").alias("slug")).distinct(), "slug", "left_anti")
+    return with_comments.unionByName(without, allowMissingColumns=True)
 
 
 def created_after(df: DataFrame, date_col: str, cutoff: datetime) -> DataFrame:
