@@ -21,6 +21,8 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files (rankings, evaluation rounds) are removed once unreferenced
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # streaming state (S1 keeps every key it has seen) lives in RocksDB, off the JVM heap
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
