@@ -265,3 +265,25 @@ def test_upsert_paths_agree(spark, broadcast_keys):
     got = sorted(tuple(r) for r in collect.upsert_merge(existing, batch, d1, broadcast_keys=broadcast_keys).collect())
     want = sorted(tuple(r) for r in collect._merge_rows(existing, batch, d1, collect.ITEM_FIELDS).collect())
     assert got == want and len(got) == 3
+
+
+@pytest.mark.parametrize("html,text", [
+    ("<p>a&amp;lt;b &middot; c&copy;</p>", "a&lt;b · c©"),
+    ("<style>p{}</style><script>var t='</p>';</script><!-- x --><p>kept</p>", "kept"),
+    ("<p>one\n\n  two</p><br><p>three</p>", "one two three"),
+])
+def test_plain_text(spark, html, text):
+    from gleaner.functions.html import plain_text
+    df = spark.createDataFrame([(html,)], "h string")
+    assert df.select(plain_text("h").alias("t")).first()["t"] == text
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<body><div class="x content y"><div>inner</div></div>z</body>', "inner"),
+    ('<body><div class="content"><div>a</div><div>b</div></div><div>z</div></body>', "a b"),
+    ('<body><section role="main"><p>r</p></section><div class="content">c</div></body>', "r"),
+    ('<body><div class="entry-content">e</div><div class="post-content">p</div></body>', "p"),
+])
+def test_extraction_tree_path(spark, html, text):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert extract_main_content(df, "html", "t").first()["t"] == text
