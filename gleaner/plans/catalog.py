@@ -173,12 +173,13 @@ def q_score_bands(spark, sf):
     return serve.score_bands(b.stored_items(spark, sf))
 
 
-@register("item_lookup", with_ctes(["store"], f"""
+@register("item_lookup", with_ctes(["store", "digest"], f"""
 SELECT {_state_cols_sql()} FROM store
-WHERE dedup_key IN (SELECT dedup_key FROM store ORDER BY weighted_score DESC NULLS LAST, ord LIMIT 3)"""))
+WHERE dedup_key IN (SELECT dedup_key FROM digest)"""))
 def q_item_lookup(spark, sf):
+    # the details of every item listed in the digest (the page's "Details" requests)
     st = b.stored_items(spark, sf)
-    wanted = st.orderBy(F.col("weighted_score").desc_nulls_last(), "ord").limit(3).select("dedup_key")
+    wanted = digest.digest_items(st, b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
     return serve.item_lookup(st, wanted).select(*STATE_COLS)
 
 

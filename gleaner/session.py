@@ -21,6 +21,9 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # the exact median's per-key buffer is a small value->count map: keep more keys in
+    # the hash map before falling back to sort-based aggregation
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
     # checkpoint files (rankings, evaluation rounds) are removed once unreferenced
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # streaming state (S1 keeps every key it has seen) lives in RocksDB, off the JVM heap
