@@ -8,8 +8,9 @@
 
 ``--landed`` holds one folder per source with the loaders' JSON output (files holding
 one JSON array or one object; fields source, title, link, creation_date, input). The store keeps
-versioned snapshots: ``items/version=N`` and ``evals/version=N``; every run writes a
-new version and never overwrites the one it read. ``--config`` holds ``base.toml`` and
+``items/version=N`` snapshots (every collect writes a new one and never overwrites the
+one it read) and an append-only evals table whose ``version=N`` parts each hold one
+evaluate run's rows. ``--config`` holds ``base.toml`` and
 ``<source>/config.toml`` files; an environment variable named like a key overrides it.
 """
 
@@ -79,6 +80,13 @@ def latest_version(spark: SparkSession, table_path: str) -> int:
     return max(versions, default=0)
 
 
+def read_evals(spark: SparkSession, store_dir: str) -> DataFrame:
+    """The append-only evals table: every run's part (``version=N`` folders) together."""
+    if latest_version(spark, f"{store_dir}/evals") == 0:
+        return spark.createDataFrame([], EVALS_SCHEMA)
+    return spark.read.parquet(f"{store_dir}/evals").drop("version")
+
+
 def read_latest(spark: SparkSession, table_path: str, schema: str | None = None) -> DataFrame | None:
     v = latest_version(spark, table_path)
     if v == 0:
@@ -132,7 +140,7 @@ def _items_state(spark: SparkSession, store_dir: str) -> tuple[DataFrame, DataFr
     items = read_latest(spark, f"{store_dir}/items")
     if items is None:
         raise SystemExit("empty store: run collect first")
-    evals = read_latest(spark, f"{store_dir}/evals", EVALS_SCHEMA)
+    evals = read_evals(spark, store_dir)
     return evaluate.attach_state(items, evaluate.eval_state(evals)), evals
 
 
@@ -141,12 +149,12 @@ def cmd_evaluate(spark: SparkSession, store_dir: str, cfg: Config, rounds: int,
     items = read_latest(spark, f"{store_dir}/items")
     if items is None:
         raise SystemExit("empty store: run collect first")
-    evals = read_latest(spark, f"{store_dir}/evals", EVALS_SCHEMA)
+    evals = read_evals(spark, store_dir)
     recent = evaluate.recent_items(items, cfg, now, config_col="config_path").checkpoint(eager=True)
-    all_evals = evaluate.run_rounds(recent, evals, scorers.keyword_scorer(), rounds, now, force=force)
-    before = evals.count()
-    write_version(all_evals.select(*[c.split()[0] for c in EVALS_SCHEMA.split(", ")]), f"{store_dir}/evals")
-    return {"recent_items": recent.count(), "new_evals": all_evals.count() - before}
+    new = evaluate.new_evals(recent, evals, scorers.keyword_scorer(), rounds, now, force=force)
+    # append-only: this run's rows become a new part; earlier parts are never rewritten
+    write_version(new.select(*[c.split()[0] for c in EVALS_SCHEMA.split(", ")]), f"{store_dir}/evals")
+    return {"recent_items": recent.count(), "new_evals": new.count()}
 
 
 def cmd_digest(spark: SparkSession, store_dir: str, out: str, cfg: Config, now: datetime) -> dict:

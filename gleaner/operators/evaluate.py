@@ -226,34 +226,49 @@ def attach_state(items: DataFrame, state: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ E9 rounds
 
-def run_rounds(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
-               as_of: datetime, force: bool = False, model: str = "keyword-v1",
-               persist=None) -> DataFrame:
+def new_evals(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
+              as_of: datetime, force: bool = False, model: str = "keyword-v1",
+              persist=None) -> DataFrame:
     """Evaluate the ``recent`` items (E1 output: dedup_key, ord, title, input,
     source; read every round, so pass it materialized, e.g. checkpointed) for
-    ``rounds`` rounds and return the evals table with the new rows appended. Each
-    round's candidates depend on the state after the previous round.
-    ``persist(df, name)`` cuts lineage between rounds (default ``DataFrame.checkpoint``
-    into the shared checkpoint folder). Items without a response are skipped for that
-    round only."""
+    ``rounds`` rounds and return only the appended eval rows. Each round's candidates
+    depend on the state after the previous round, computed from ``evals`` plus the rows
+    appended so far. Each round's new rows are persisted on their own
+    (``persist(df, name)``, default ``DataFrame.checkpoint`` into the shared checkpoint
+    folder), which cuts lineage without rewriting the history. Items without a response
+    are skipped for that round only."""
     persist = persist or (lambda df, name: df.checkpoint(eager=True))
     keys = recent.select("dedup_key")
     base = evals.agg(F.max("seq")).first()[0] or 0    # one scalar: where this run's seq starts
-    all_evals = evals
+    history = evals.join(keys, "dedup_key", "left_semi").select(
+        "dedup_key", "seq", "eval_date", "importance_score", "confidence_score")
+    appended: list[DataFrame] = []
     for r in range(1, rounds + 1):
-        # only recent items can be candidates: aggregate just their evals
-        recent_evals = all_evals.join(keys, "dedup_key", "left_semi")
-        state = attach_state(recent, eval_state(recent_evals))
+        current = history
+        for part in appended:   # only recent items can be candidates: their evals suffice
+            current = current.unionByName(part.select(*history.columns))
+        state = attach_state(recent, eval_state(current))
         todo = candidates(state, r, force).select("dedup_key", "ord", "title", "input", "source")
         scored = score_items(todo, scorer).where(F.col("response").isNotNull())
-        new_rows = (scored
-                    .select("dedup_key",
-                            (F.lit(base) + F.lit(r) * F.lit(SEQ_ROUND_BASE) + F.col("ord"))
-                            .cast("bigint").alias("seq"),
-                            F.lit(r).alias("round"), F.lit(model).alias("model"),
-                            _ts(as_of).alias("eval_date"),
-                            F.col("response.importance_score").cast("int").alias("importance_score"),
-                            F.col("response.confidence_score").cast("int").alias("confidence_score"),
-                            F.col("response.summary").alias("summary")))
-        all_evals = persist(all_evals.unionByName(new_rows, allowMissingColumns=True), f"evals_round_{r}")
-    return all_evals
+        rows = scored.select(
+            "dedup_key",
+            (F.lit(base) + F.lit(r) * F.lit(SEQ_ROUND_BASE) + F.col("ord")).cast("bigint").alias("seq"),
+            F.lit(r).alias("round"), F.lit(model).alias("model"),
+            _ts(as_of).alias("eval_date"),
+            F.col("response.importance_score").cast("int").alias("importance_score"),
+            F.col("response.confidence_score").cast("int").alias("confidence_score"),
+            F.col("response.summary").alias("summary"))
+        appended.append(persist(rows, f"evals_round_{r}"))
+    out = appended[0]
+    for part in appended[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def run_rounds(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
+               as_of: datetime, force: bool = False, model: str = "keyword-v1",
+               persist=None) -> DataFrame:
+    """E9 as a whole: the evals table with the new rows of ``rounds`` rounds appended
+    (see ``new_evals``)."""
+    new = new_evals(recent, evals, scorer, rounds, as_of, force, model, persist)
+    return evals.unionByName(new, allowMissingColumns=True)

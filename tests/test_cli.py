@@ -77,7 +77,7 @@ def test_repeated_evaluate_runs_keep_seq_increasing(spark):
     cli.main(["collect", "--landed", landed, "--store", st, "--now", NOW], spark)
     for _ in range(2):
         cli.main(["evaluate", "--store", st, "--rounds", "1", "--force", "--now", NOW], spark)
-    ev = cli.read_latest(spark, f"{st}/evals")
+    ev = cli.read_evals(spark, st)
     assert ev.select("seq").distinct().count() == ev.count()
     per_item = ev.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
     assert per_item == 2
