@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.config import Config, with_settings
-from gleaner.operators.evaluate import recent_items
+from gleaner.operators.evaluate import is_recent, recency_prefilter
 from gleaner.operators.ranking import rank_rows
 
 # Placeholders used by the digest.
@@ -53,13 +53,22 @@ def important_items(state: DataFrame, cfg: Config, config_col: str = "source") -
     if pre is not None:
         state = state.where(pre)
     s = with_settings(state, cfg, {"min_email_score": "double"}, config_col)
-    return (s.where(F.coalesce(F.col("weighted_score"), F.lit(0)).cast("double") >= F.col("min_email_score"))
-             .drop("min_email_score"))
+    return s.where(is_important()).drop("min_email_score")
+
+
+def is_important() -> Column:
+    """The exact threshold test over an attached ``min_email_score`` column."""
+    return F.coalesce(F.col("weighted_score"), F.lit(0)).cast("double") >= F.col("min_email_score")
 
 
 def digest_items(state: DataFrame, cfg: Config, as_of: datetime, config_col: str = "source") -> DataFrame:
-    """Important and recent items (unranked)."""
-    return recent_items(important_items(state, cfg, config_col), cfg, as_of, config_col=config_col)
+    """Important and recent items (unranked): both pushable pre-filters, then one
+    settings join for both thresholds and the exact tests."""
+    for pre in (importance_prefilter(cfg), recency_prefilter(cfg, as_of, config_col=config_col)):
+        if pre is not None:
+            state = state.where(pre)
+    s = with_settings(state, cfg, {"min_email_score": "double", "lookback_days": "int"}, config_col)
+    return s.where(is_important() & is_recent(as_of)).drop("min_email_score", "lookback_days")
 
 
 def digest_ranked(state: DataFrame, cfg: Config, as_of: datetime, config_col: str = "source") -> DataFrame:

@@ -76,9 +76,13 @@ def recent_items(items: DataFrame, cfg: Config, as_of: datetime,
     if pre is not None:
         items = items.where(pre)
     s = with_settings(items, cfg, {"lookback_days": "int"}, config_col)
+    return s.where(is_recent(as_of, date_col)).drop("lookback_days")
+
+
+def is_recent(as_of: datetime, date_col: str = "creation_date") -> Column:
+    """The exact recency test over an attached ``lookback_days`` column."""
     cutoff = add_days(_ts(as_of), -F.col("lookback_days"))
-    keep = ((F.col("lookback_days") <= 0) | F.col(date_col).isNull() | (F.col(date_col) >= cutoff))
-    return s.where(keep).drop("lookback_days")
+    return (F.col("lookback_days") <= 0) | F.col(date_col).isNull() | (F.col(date_col) >= cutoff)
 
 
 # ------------------------------------------------------------------ E2/E3 candidates
