@@ -200,19 +200,29 @@ def following_activity(events: DataFrame, following: DataFrame, repos: DataFrame
     return ev.join(repos, ev["repo_name"] == repos["full_name"])
 
 
+_POS_BITS = 40   # (list_ord, pos) packed as list_ord << 40 | pos; positions stay below 2^40
+
+
 def combine_repos(lists: DataFrame, max_repos: int) -> DataFrame:
     """Union of ordered repo lists keyed by full_name; a later occurrence
     replaces the value but the key keeps its first position; first ``max_repos``.
-    ``lists`` carries (list_ord, pos, full_name, value...)."""
+    ``lists`` carries (list_ord, pos, full_name, value...).
+
+    First and last positions are one packed BIGINT each, so a hash aggregate finds
+    them; after the top-``max_repos`` cut, the values of those few keys are fetched with
+    a broadcast of at most ``max_repos`` rows."""
     value_cols = [c for c in lists.columns if c not in ("list_ord", "pos", "full_name")]
-    pos = F.struct(F.col("list_ord"), F.col("pos"))
-    g = lists.groupBy("full_name").agg(
-        F.min(pos).alias("_first"), F.max_by(F.struct(*value_cols), pos).alias("_v"))
-    order = [F.col("_first").asc()]
-    top = g.orderBy(*order).limit(max_repos)
-    return top.select("full_name", F.col("_first.list_ord").alias("first_list"),
-                      F.col("_first.pos").alias("first_pos"), "_v.*",
-                      F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"))
+    packed = F.shiftleft(F.col("list_ord").cast("bigint"), _POS_BITS) + F.col("pos").cast("bigint")
+    keyed = lists.withColumn("_k", packed)
+    spans = keyed.groupBy("full_name").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+    top = (spans.orderBy("_first").limit(max_repos)
+           .select(F.col("full_name").alias("_fn"), "_first", F.col("_last").alias("_k"),
+                   F.row_number().over(Window.orderBy("_first")).cast("bigint").alias("rank")))
+    values = keyed.join(F.broadcast(top), (F.col("full_name") == F.col("_fn")) & (keyed["_k"] == top["_k"]))
+    return values.select(
+        "full_name", F.shiftright("_first", _POS_BITS).cast("int").alias("first_list"),
+        F.col("_first").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("first_pos"),
+        *value_cols, "rank")
 
 
 def attach_readme(repos: DataFrame, readmes: DataFrame) -> DataFrame:
