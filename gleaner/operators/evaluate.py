@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.columns import add_days, sha256_hex
 from gleaner.operators.config import Config, with_settings
+from gleaner.session import spread
 
 # The "settled" rule that skips re-evaluation.
 SETTLED_MIN_EVALS = 5        # strictly more evaluations than this
@@ -136,8 +137,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 def score_items(df: DataFrame, scorer: Scorer) -> DataFrame:
     """Apply a scorer: a ``DataFrame -> DataFrame`` adding ``response`` (STRUCT per
-    ``RESPONSE_SCHEMA``) — built-in expressions, or ``pandas_scorer`` for Python."""
-    return scorer(df)
+    ``RESPONSE_SCHEMA``) — built-in expressions, or ``pandas_scorer`` for Python.
+    Scoring reads whole texts, so a frame with few partitions is spread first."""
+    return scorer(spread(df))
 
 
 def pandas_scorer(fn, extra_schema: str = RESPONSE_SCHEMA):

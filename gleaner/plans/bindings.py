@@ -17,6 +17,7 @@ from gleaner.functions.columns import add_days
 from gleaner.operators.collect import dedup_first_wins, with_dedup_key
 from gleaner.operators.config import Config
 from gleaner.operators.evaluate import attach_state, eval_state
+from gleaner.session import spread
 
 # Fixed clock for every query: never the wall clock.
 AS_OF = datetime(2024, 1, 31, 0, 0, 0)
@@ -55,21 +56,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in TEXT_TABLES else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the session's task slots.
-
-    A large table has many files/row groups, so its scan is already parallel and is
-    left alone (no extra shuffle). A table stored as one row group would run all of
-    its per-row work (hashing, regexes over whole texts) in a single task; spreading
-    it costs one small shuffle. The split count comes from planning, not execution."""
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect): leave as is
-        return df
-    return df.repartition(slots) if splits < slots else df
-
-
 def landed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One landed item per document, keyed, with arrival ``ord`` = doc_id."""
     return landed_from_documents(table(spark, sf_dir, "documents"))

@@ -445,7 +445,8 @@ def q_typed_config(spark, sf):
 @register("append_eval_round", None)
 def q_append_eval_round(spark, sf):
     recent = evaluate.recent_items(b.items(spark, sf), b.BINDING_CONFIG, b.AS_OF).checkpoint(eager=True)
-    all_evals = evaluate.run_rounds(recent, b.evals(spark, sf), scorers.keyword_scorer(), rounds=2,
+    # the evals table is stored data: read its snapshot (append-only history)
+    all_evals = evaluate.run_rounds(recent, b.stored_evals(spark, sf), scorers.keyword_scorer(), rounds=2,
                                     as_of=b.AS_OF)
     keys = recent.select("dedup_key")
     final = evaluate.eval_state(all_evals.join(keys, "dedup_key", "left_semi"))

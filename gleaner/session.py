@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job in the library assumes: UTC clock for timestamp parsing and
 # oracle agreement, ANSI mode (errors surface; parsing uses try_* functions),
@@ -95,3 +95,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never-reused path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/gleaner-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame that has fewer partitions than the session's task slots,
+    before CPU-heavy per-row work (hashing or scoring whole texts, regexes over pages).
+
+    Large inputs already have many partitions and are left alone (no extra shuffle).
+    Small ones - a table stored as one row group, or a few partitions that AQE
+    coalesced by bytes - would otherwise run all of that work in one or two tasks.
+    The partition count comes from planning, not execution."""
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access (Spark Connect): leave as is
+        return df
+    return df.repartition(slots) if parts < slots else df

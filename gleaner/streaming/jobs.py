@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.operators.evaluate import finish_weighted, weighted_score_col
+from gleaner.session import spread
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -97,13 +98,7 @@ def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame],
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # a micro-batch from few files is few partitions: spread the scoring work
-        try:
-            slots = batch.sparkSession.sparkContext.defaultParallelism
-            if batch.rdd.getNumPartitions() < slots:
-                batch = batch.repartition(slots)
-        except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): keep the batch as is
-            pass
-        scored = scorer(batch).where(F.col("response").isNotNull()).select(
+        scored = scorer(spread(batch)).where(F.col("response").isNotNull()).select(
             "dedup_key", "ord",
             F.col("response.importance_score").alias("importance_score"),
             F.col("response.confidence_score").alias("confidence_score"),
