@@ -69,6 +69,10 @@ def with_settings(df: DataFrame, cfg: Config, keys: dict[str, str],
     per-source override (broadcast join) is coalesced with the base/default literal."""
     spark = df.sparkSession
     names = list(keys)
+    undefined = [k for k in names if cfg.global_value(k) is None
+                 and not any(k in vals for vals in cfg.sources.values())]
+    if undefined:   # defined in no layer and without a default: a configuration error
+        raise KeyError(f"configuration keys not found and no default provided: {undefined}")
     rows = [(s, *[vals.get(k) for k in names]) for s, vals in cfg.sources.items()]
     schema = ", ".join([f"`{source_col}` string"] + [f"`_s_{k}` string" for k in names])
     overrides = spark.createDataFrame(rows, schema)

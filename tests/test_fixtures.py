@@ -287,3 +287,9 @@ def test_plain_text(spark, html, text):
 def test_extraction_tree_path(spark, html, text):
     df = spark.createDataFrame([(html,)], "html string")
     assert extract_main_content(df, "html", "t").first()["t"] == text
+
+
+def test_undefined_setting_is_an_error(spark):
+    df = spark.createDataFrame([("s",)], "source string")
+    with pytest.raises(KeyError):
+        with_settings(df, Config(), {"no_such_key": "string"})

@@ -5,6 +5,7 @@ import json
 import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import evaluate
@@ -73,8 +74,12 @@ def test_prompt_parts_and_missing_part(spark):
     got = {r["source"]: r["prompt"] for r in evaluate.assemble_prompt(items, cfg).collect()}
     assert got["s"] == "\n\n".join(["PROMPT_HEADER", "PROMPT_INTRODUCTION", "PROMPT_CONTAINER_PRE", "T", '{"a": 1}',
                                     "PROMPT_CONTAINER_POST", "PROMPT_CRITERIA", "PROMPT_INSTRUCTIONS"])
-    cfg_missing = Config(base={k: v for k, v in parts.items() if k != "prompt_criteria"})
-    assert evaluate.assemble_prompt(items, cfg_missing).where(F.col("prompt").isNotNull()).count() == 0
+    base = {k: v for k, v in parts.items() if k != "prompt_criteria"}
+    with pytest.raises(KeyError):    # defined nowhere: a configuration error, as in the reference
+        evaluate.assemble_prompt(items, Config(base=base))
+    partial = Config(base=base, sources={"s": {"prompt_criteria": "C"}})
+    got = {r["source"]: r["prompt"] for r in evaluate.assemble_prompt(items, partial).collect()}
+    assert got["x"] is None and "C" in got["s"]     # items of a source without it are skipped
 
 
 def test_user_pandas_scorer(spark):
