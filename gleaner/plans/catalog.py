@@ -970,6 +970,13 @@ def q_canonical_items(spark, sf):
 
 # ====================================================================== S streaming
 
+def _slots(spark) -> int | None:
+    """Task slots of a local session (these test-size streams need no more state
+    partitions); None elsewhere, keeping the session's shuffle partitions."""
+    sc = spark.sparkContext
+    return sc.defaultParallelism if sc.master.startswith("local") else None
+
+
 def _stream_paths(spark, name):
     return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
 
@@ -978,7 +985,7 @@ def _stream_paths(spark, name):
 def q_stream_collect(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-collect")
     docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
-    jobs.stream_collect(b.landed_from_documents(docs), out, ckpt)
+    jobs.stream_collect(b.landed_from_documents(docs), out, ckpt, state_partitions=_slots(spark))
     return spark.read.parquet(out).select("dedup_key", "source")
 
 
@@ -987,7 +994,8 @@ SELECT dedup_key, num_evals, weighted_score, median_confidence, last_eval FROM s
 def q_stream_eval_state(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-state")
     events = jobs.read_stream_table(spark, sf, "events", b.EVENTS_SCHEMA)
-    jobs.stream_eval_state(b.evals_from_events(events, b.landed_items(spark, sf)), out, ckpt)
+    jobs.stream_eval_state(b.evals_from_events(events, b.landed_items(spark, sf)), out, ckpt,
+                           state_partitions=_slots(spark))
     return jobs.latest_state(spark, out)
 
 

@@ -28,15 +28,29 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def _run(writer, name: str) -> None:
-    q = writer.queryName(name).trigger(availableNow=True).start()
+def _run(writer, name: str, spark: SparkSession | None = None,
+         state_partitions: int | None = None) -> None:
+    """Run a stream to completion (availableNow). ``state_partitions`` sets the number
+    of state-store partitions, which a streaming query fixes when it first starts (from
+    ``spark.sql.shuffle.partitions``); the session value is restored right after start,
+    as the running query keeps its own copy of the settings."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key) if (spark is not None and state_partitions) else None
+    if old is not None:
+        spark.conf.set(key, str(state_partitions))
+    try:
+        q = writer.queryName(name).trigger(availableNow=True).start()
+    finally:
+        if old is not None:
+            spark.conf.set(key, old)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
 
 def stream_collect(items: DataFrame, out_path: str, checkpoint: str,
-                   event_time: str | None = None, delay: str | None = None) -> None:
+                   event_time: str | None = None, delay: str | None = None,
+                   state_partitions: int | None = None) -> None:
     """Keep the first-arriving row per ``dedup_key`` across micro-batches.
 
     Without ``event_time`` the dedup is exact and the state store keeps every key ever
@@ -52,10 +66,12 @@ def stream_collect(items: DataFrame, out_path: str, checkpoint: str,
     else:
         deduped = keyed.dropDuplicates(["dedup_key"])
     _run(deduped.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).outputMode("append"), "stream_collect")
+         .option("checkpointLocation", checkpoint).outputMode("append"), "stream_collect",
+         items.sparkSession, state_partitions)
 
 
-def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str) -> None:
+def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str,
+                      state_partitions: int | None = None) -> None:
     """Running evaluation state per item. Update mode: each micro-batch emits only
     the keys it changed, written as one changelog folder per ``batch_id`` (overwrite, so
     a replayed batch replaces itself). ``latest_state`` reads the newest row per key.
@@ -74,7 +90,8 @@ def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str) -> None:
               .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}"))
 
     _run(state.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .outputMode("update"), "stream_eval_state")
+         .outputMode("update"), "stream_eval_state",
+         evals.sparkSession, state_partitions)
 
 
 def latest_state(spark: SparkSession, out_path: str) -> DataFrame:
