@@ -945,6 +945,17 @@ def _canonical_all(spark, sf) -> DataFrame:
         o, "posts", F.concat(F.lit("post-"), F.col("o_orderkey").cast("string")),
         F.concat(F.lit("https://posts.example/"), F.col("o_orderkey").cast("string")), F.col("o_orderdate"),
         ["o_orderkey"]))
+    reg.register("projects", lambda spark: shaping.canonical(
+        conv.where(F.col("turn") == 0), "projects",
+        shaping.title_by(F.concat(F.lit("project "), F.col("conv_id").cast("string")), F.col("role")),
+        F.concat(F.lit("https://grants.example/projects/"), F.col("conv_id").cast("string")),
+        add_days(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("conv_id") % 30), ["conv_id"]))
+    reg.register("repos", lambda spark: shaping.canonical(
+        d, "repos",
+        shaping.repo_title(F.concat(F.lit("repo-"), F.col("doc_id").cast("string")),
+                           F.when(F.col("lang") != "es", F.col("source"))),
+        F.concat(F.lit("https://code.example/r/"), F.col("doc_id").cast("string")),
+        F.lit(b.AS_OF.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"), ["doc_id", "lang"]))
     items, _ = reg.union(spark)
     return items
 
@@ -963,7 +974,14 @@ SELECT 'comments', 'Comment by ' || role || ' on conversation ' || CAST(conv_id
        TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(turn AS INTEGER)) FROM conversations WHERE turn > 0
 UNION ALL
 SELECT 'posts', 'post-' || CAST(o_orderkey AS VARCHAR), 'https://posts.example/' || CAST(o_orderkey AS VARCHAR),
-       o_orderdate FROM orders""")
+       o_orderdate FROM orders
+UNION ALL
+SELECT 'projects', 'project ' || CAST(conv_id AS VARCHAR) || ' by ' || role,
+       'https://grants.example/projects/' || CAST(conv_id AS VARCHAR),
+       TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(conv_id % 30 AS INTEGER)) FROM conversations WHERE turn = 0
+UNION ALL
+SELECT 'repos', 'repo-' || CAST(doc_id AS VARCHAR) || ' - ' || coalesce(CASE WHEN lang <> 'es' THEN source END, 'No description'),
+       'https://code.example/r/' || CAST(doc_id AS VARCHAR), TIMESTAMP '2024-01-31 00:00:00' FROM documents""")
 def q_canonical_items(spark, sf):
     return _canonical_all(spark, sf).select("source", "title", "link", "creation_date")
 
