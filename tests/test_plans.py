@@ -63,3 +63,21 @@ def test_recency_prefilter_reaches_the_scan(spark):
     p = df._jdf.queryExecution().executedPlan().toString()
     pushed = [line for line in p.split("\n") if "PushedFilters" in line]
     assert any("creation_date" in line for line in pushed)
+
+
+def test_upsert_with_small_batch_does_not_shuffle_the_store(spark):
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from gleaner.operators import collect
+    from gleaner.plans import bindings as b
+    items = b.items(spark, SF_SMALL).withColumn("first_collected", F.lit(datetime(2024, 1, 1))) \
+        .withColumn("last_collected", F.lit(datetime(2024, 1, 1)))
+    batch = items.where(F.col("ord") < 10).select(*b.items(spark, SF_SMALL).columns)
+    merged = collect.upsert_merge(items, batch, datetime(2024, 1, 31))
+    p = merged._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" in p and "BroadcastHashJoin" in p and "FullOuter" in p
+    big = collect.upsert_merge(items, batch, datetime(2024, 1, 31), broadcast_keys=0)
+    assert "LeftAnti" not in big._jdf.queryExecution().executedPlan().toString()
+
