@@ -92,3 +92,28 @@ def test_eval_state_ignores_partitioning(spark, evals, n_parts):
     a = sorted(evaluate.eval_state(df.coalesce(1)).collect())
     b = sorted(evaluate.eval_state(df.repartition(n_parts, "seq")).collect())
     assert a == b
+
+
+LOOKBACK = st.sampled_from(["7", "0", "-1", "3", "30", "x", " 14 "])
+
+
+@settings(**SETTINGS)
+@given(base=LOOKBACK, per_source=st.dictionaries(st.sampled_from(["a", "b", "c"]), LOOKBACK, max_size=3),
+       env=st.one_of(st.none(), LOOKBACK), threshold=st.sampled_from(["0", "40", "-5", "x"]),
+       rows=st.lists(st.tuples(st.sampled_from(["a", "b", "c", "d"]), st.one_of(st.none(), st.integers(0, 60)),
+                               st.one_of(st.none(), st.integers(-10, 100))), min_size=1, max_size=25))
+def test_prefilters_never_drop_qualifying_rows(spark, base, per_source, env, threshold, rows):
+    from datetime import datetime, timedelta
+
+    from gleaner.operators import digest
+    from gleaner.operators.config import Config, with_settings
+    as_of = datetime(2024, 1, 31)
+    cfg = Config(base={"lookback_days": base, "min_email_score": threshold},
+                 sources={s: {"lookback_days": v} for s, v in per_source.items()},
+                 env={} if env is None else {"lookback_days": env})
+    data = [(i, s, None if d is None else as_of - timedelta(days=d), w) for i, (s, d, w) in enumerate(rows)]
+    df = spark.createDataFrame(data, "ord bigint, source string, creation_date timestamp_ntz, weighted_score int")
+    got = sorted(r["ord"] for r in digest.digest_items(df, cfg, as_of).collect())
+    exact = with_settings(df, cfg, {"min_email_score": "double", "lookback_days": "int"})
+    want = sorted(r["ord"] for r in exact.where(digest.is_important() & evaluate.is_recent(as_of)).collect())
+    assert got == want
