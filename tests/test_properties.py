@@ -117,3 +117,21 @@ def test_prefilters_never_drop_qualifying_rows(spark, base, per_source, env, thr
     exact = with_settings(df, cfg, {"min_email_score": "double", "lookback_days": "int"})
     want = sorted(r["ord"] for r in exact.where(digest.is_important() & evaluate.is_recent(as_of)).collect())
     assert got == want
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.sampled_from(["a", "b", "c", "d", "e"]), max_size=5, unique=True),
+       st.lists(st.sampled_from(["a", "b", "c", "d", "e", "f"]), min_size=1, max_size=6, unique=True))
+def test_upsert_paths_agree_on_random_sets(spark, old_links, new_links):
+    from datetime import datetime
+    schema = "ord bigint, source string, title string, link string, creation_date timestamp_ntz, input string"
+    existing = collect.with_dedup_key(spark.createDataFrame(
+        [(i, "s", f"old-{l}", l, None, "{}") for i, l in enumerate(old_links)], schema)) \
+        .withColumn("first_collected", F.lit(datetime(2024, 1, 1))) \
+        .withColumn("last_collected", F.lit(datetime(2024, 1, 1)))
+    batch = collect.with_dedup_key(spark.createDataFrame(
+        [(i + 10, "s", f"new-{l}", l, None, "{}") for i, l in enumerate(new_links)], schema))
+    t = datetime(2024, 1, 9)
+    small = sorted(tuple(r) for r in collect.upsert_merge(existing, batch, t).collect())
+    big = sorted(tuple(r) for r in collect.upsert_merge(existing, batch, t, broadcast_keys=0).collect())
+    assert small == big and len(small) == len(set(old_links) | set(new_links))
