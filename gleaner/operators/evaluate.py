@@ -179,6 +179,13 @@ def response_reason(text: str | Column) -> Column:
              .otherwise(F.lit("valid")))
 
 
+def valid_response(col: str = "response") -> Column:
+    """A scorer's response struct is usable when it exists and both scores are
+    present (integers by the struct's type); otherwise the item is skipped."""
+    r = F.col(col)
+    return r.isNotNull() & r["importance_score"].isNotNull() & r["confidence_score"].isNotNull()
+
+
 def first_valid_attempt(attempts: DataFrame, keys: list[str], max_attempts: int = 3,
                         text_col: str = "response_text") -> DataFrame:
     """Per ``keys`` group: the first valid response among attempts ``1..max_attempts``,
@@ -255,7 +262,7 @@ def new_evals(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
             current = current.unionByName(part.select(*history.columns))
         state = attach_state(recent, eval_state(current))
         todo = candidates(state, r, force).select("dedup_key", "ord", "title", "input", "source")
-        scored = score_items(todo, scorer).where(F.col("response").isNotNull())
+        scored = score_items(todo, scorer).where(valid_response())
         rows = scored.select(
             "dedup_key",
             (F.lit(base) + F.lit(r) * F.lit(SEQ_ROUND_BASE) + F.col("ord")).cast("bigint").alias("seq"),

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.evaluate import finish_weighted, weighted_score_col
+from gleaner.operators.evaluate import finish_weighted, valid_response, weighted_score_col
 from gleaner.session import spread
 
 
@@ -115,7 +115,7 @@ def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame],
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # a micro-batch from few files is few partitions: spread the scoring work
-        scored = scorer(spread(batch)).where(F.col("response").isNotNull()).select(
+        scored = scorer(spread(batch)).where(valid_response()).select(
             "dedup_key", "ord",
             F.col("response.importance_score").alias("importance_score"),
             F.col("response.confidence_score").alias("confidence_score"),

@@ -100,3 +100,18 @@ def test_python_helpers_do_not_need_the_package_on_workers():
     from gleaner.functions.html import extract_main_text_py
     blob = cloudpickle.dumps(extract_main_text_py)
     assert b"html.parser" in blob or len(blob) > 500
+
+
+def test_rounds_skip_responses_without_scores(spark):
+    from datetime import datetime
+    items = spark.createDataFrame([("a", 1, "t", "{}", "s"), ("b", 2, "t", "{}", "s")],
+                                  "dedup_key string, ord bigint, title string, input string, source string")
+    evals = spark.createDataFrame([], "dedup_key string, seq bigint, round int, model string, "
+                                      "eval_date timestamp_ntz, importance_score int, confidence_score int, summary string")
+
+    def half_scorer(pdf: pd.DataFrame) -> pd.DataFrame:
+        ok = pdf["dedup_key"] == "a"
+        return pd.DataFrame({"summary": "x", "evaluation": "e",
+                             "importance_score": ok.map({True: 50, False: None}), "confidence_score": 10})
+    new = evaluate.new_evals(items, evals, evaluate.pandas_scorer(half_scorer), 1, datetime(2024, 1, 31))
+    assert [r["dedup_key"] for r in new.collect()] == ["a"]
