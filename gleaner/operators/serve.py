@@ -71,12 +71,16 @@ def sort_keys() -> dict[str, tuple[Column, bool]]:
     }
 
 
-def sort_items(store: DataFrame, by: str = "score", descending: bool | None = None) -> DataFrame:
-    """every item with its ``rank`` when sorted by ``by`` (text case-folded, nulls
-    as ""/0/epoch), ties by arrival. A full ordering of the store, so ``rank_rows``
-    (range-partitioned when large) rather than a single-task window."""
+def sort_items(store: DataFrame, by: str = "score", descending: bool | None = None,
+               with_items: bool = False) -> DataFrame:
+    """the ``rank`` of every item when sorted by ``by`` (text case-folded, nulls as
+    ""/0/epoch), ties by arrival. A full ordering of the store, so ``rank_rows``
+    (range-partitioned when large) rather than a single-task window. Only the key,
+    ``ord`` and the sort value are ranked (and checkpointed); ``with_items`` joins the
+    item fields back on the key."""
     key, default_desc = sort_keys()[by]
     desc = default_desc if descending is None else descending
-    keyed = store.withColumn("_sort", key)
+    narrow = store.select("dedup_key", "ord", key.alias("_sort"))
     order = [F.col("_sort").desc() if desc else F.col("_sort").asc(), F.col("ord").asc()]
-    return rank_rows(keyed, order, rank_col="rank").drop("_sort")
+    ranked = rank_rows(narrow, order, rank_col="rank").select("dedup_key", "rank")
+    return store.join(ranked, "dedup_key") if with_items else ranked
