@@ -219,5 +219,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> di
     return cmd_lookup(spark, a.store, a.key)
 
 
-if __name__ == "__main__":
+def run() -> None:
+    """Console entry point: print the command's result as one JSON line."""
     print(json.dumps(main(sys.argv[1:]), default=str))
+
+
+if __name__ == "__main__":
+    run()
