@@ -60,14 +60,17 @@ def q_dedup_first_wins(spark, sf):
 
 # ====================================================================== D config
 
-@register("resolve_config", """
+def _resolve_config_sql() -> str:
+    from gleaner.plans.oracle import _lit
+    cfg = b.BINDING_CONFIG
+    src_rows = ", ".join(f"({_lit(s)}, {_lit(k)}, {_lit(v)})" for s, vals in cfg.sources.items()
+                         for k, v in vals.items())
+    glob_rows = ", ".join([f"('base', {_lit(k)}, {_lit(v)})" for k, v in cfg.base.items()]
+                          + [f"('default', {_lit(k)}, {_lit(v)})" for k, v in cfg.defaults.items()])
+    return f"""
 WITH srcs AS (SELECT DISTINCT lang AS source FROM documents),
-src_layer AS (SELECT * FROM (VALUES """ + ", ".join(
-    f"('{s}', '{k}', '{v.replace(chr(39), chr(39) * 2)}')"
-    for s, vals in b.BINDING_CONFIG.sources.items() for k, v in vals.items()) + """) t(source, key, value)),
-glob_layer AS (SELECT * FROM (VALUES """ + ", ".join(
-    [f"('base', '{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in b.BINDING_CONFIG.base.items()]
-    + [f"('default', '{k}', '{v}')" for k, v in b.BINDING_CONFIG.defaults.items()]) + """) t(layer, key, value)),
+src_layer AS (SELECT * FROM (VALUES {src_rows}) t(source, key, value)),
+glob_layer AS (SELECT * FROM (VALUES {glob_rows}) t(layer, key, value)),
 grid AS (SELECT DISTINCT s.source, g.key FROM srcs s, (SELECT DISTINCT key FROM glob_layer) g
          UNION SELECT sl.source, sl.key FROM src_layer sl WHERE sl.source IN (SELECT source FROM srcs))
 SELECT g.source, g.key,
@@ -77,8 +80,10 @@ SELECT g.source, g.key,
 FROM grid g
 LEFT JOIN src_layer sl ON sl.source = g.source AND sl.key = g.key
 LEFT JOIN (SELECT key, value FROM glob_layer WHERE layer = 'base') gb ON gb.key = g.key
-LEFT JOIN (SELECT key, value FROM glob_layer WHERE layer = 'default') gd ON gd.key = g.key
-""")
+LEFT JOIN (SELECT key, value FROM glob_layer WHERE layer = 'default') gd ON gd.key = g.key"""
+
+
+@register("resolve_config", _resolve_config_sql())
 def q_resolve_config(spark, sf):
     sources = b.table(spark, sf, "documents").select(F.col("lang").alias("source"))
     return resolve_config(b.BINDING_CONFIG, sources)
