@@ -15,16 +15,21 @@ EPOCH = "1970-01-01 00:00:00"
 
 
 def score_bands(store: DataFrame) -> DataFrame:
-    """total, sorted distinct sources, and high/medium/low counts (null -> 0)."""
-    s = F.coalesce(F.col("weighted_score"), F.lit(0))
-    return store.agg(
-        F.count(F.lit(1)).alias("total_items"),
-        # distinct sources: bounded by the configured sources
-        F.array_join(F.array_sort(F.collect_set(F.coalesce(F.col("source"), F.lit("Unknown")))), ",")
-         .alias("sources"),
-        F.count_if(s >= HIGH_BAND).alias("high"),
-        F.count_if((s >= MEDIUM_BAND) & (s < HIGH_BAND)).alias("medium"),
-        F.count_if(s < MEDIUM_BAND).alias("low"))
+    """total, sorted distinct sources, and high/medium/low counts (null -> 0).
+    Counted per source first (a hash aggregate combined map-side), then the per-source
+    rows - one per configured source - are folded into the single summary row."""
+    sc = F.coalesce(F.col("weighted_score"), F.lit(0))
+    per_source = store.groupBy(F.coalesce(F.col("source"), F.lit("Unknown")).alias("source")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(sc >= HIGH_BAND).alias("h"),
+        F.count_if((sc >= MEDIUM_BAND) & (sc < HIGH_BAND)).alias("m"),
+        F.count_if(sc < MEDIUM_BAND).alias("l"))
+    return per_source.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_items"),
+        F.array_join(F.array_sort(F.collect_list("source")), ",").alias("sources"),
+        F.coalesce(F.sum("h"), F.lit(0)).alias("high"),
+        F.coalesce(F.sum("m"), F.lit(0)).alias("medium"),
+        F.coalesce(F.sum("l"), F.lit(0)).alias("low"))
 
 
 def item_lookup(store: DataFrame, keys: DataFrame) -> DataFrame:
