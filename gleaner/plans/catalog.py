@@ -364,7 +364,8 @@ def q_first_valid_attempt(spark, sf):
     r = b.responses(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
     att = rank_rows(r, [F.col("ts").asc(), F.col("event_id").asc()], partition_by=["user_id", "day"],
                     rank_col="attempt")
-    return evaluate.first_valid_attempt(att, ["user_id", "day"], 3).select(
+    retries = int(b.BINDING_CONFIG.global_value("eval_retries"))   # read from eval_retries (default 3)
+    return evaluate.first_valid_attempt(att, ["user_id", "day"], retries).select(
         "user_id", "day", "response_text", "attempt_used", "status")
 
 
