@@ -66,7 +66,9 @@ def with_settings(df: DataFrame, cfg: Config, keys: dict[str, str],
 
     Env overrides a source value, which overrides base and default (env > source >
     base > default): an env value is a literal that wins outright, otherwise the
-    per-source override (broadcast join) is coalesced with the base/default literal."""
+    per-source override (broadcast join) is coalesced with the base/default literal.
+    A key defined in no layer raises ``KeyError`` when the plan is built; a key defined
+    only for some sources is null for the others (their items are then skipped)."""
     spark = df.sparkSession
     names = list(keys)
     undefined = [k for k in names if cfg.global_value(k) is None
