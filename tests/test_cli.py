@@ -81,3 +81,25 @@ def test_repeated_evaluate_runs_keep_seq_increasing(spark):
     assert ev.select("seq").distinct().count() == ev.count()
     per_item = ev.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).first()[0]
     assert per_item == 2
+
+
+def _item(link, title):
+    return {"source": "s", "title": title, "link": link, "creation_date": "2024-01-30T00:00:00Z", "input": {"t": title}}
+
+
+def test_upsert_order_and_collection_dates(spark):
+    landed1, landed2 = scratch_path(spark, "l1"), scratch_path(spark, "l2")
+    st = scratch_path(spark, "store-order")
+    for base, rows in [(landed1, [_item("A", "old"), _item("C", "c")]), (landed2, [_item("A", "new"), _item("B", "b")])]:
+        os.makedirs(f"{base}/feeds", exist_ok=True)
+        with open(f"{base}/feeds/items.json", "w") as f:
+            json.dump(rows, f)
+    cli.main(["collect", "--landed", landed1, "--store", st, "--now", "2024-01-30T00:00:00"], spark)
+    res = cli.main(["collect", "--landed", landed2, "--store", st, "--now", NOW], spark)
+    assert (res["new_items"], res["updated_items"], res["total_items"]) == (1, 1, 3)
+    items = cli.read_latest(spark, f"{st}/items").orderBy("ord").collect()
+    assert [(r["link"], r["title"]) for r in items] == [("A", "new"), ("B", "b"), ("C", "c")]
+    first = {r["link"]: (str(r["first_collected"]), str(r["last_collected"])) for r in items}
+    assert first["A"] == ("2024-01-30 00:00:00", "2024-01-31 00:00:00")
+    assert first["B"] == ("2024-01-31 00:00:00", "2024-01-31 00:00:00")
+    assert first["C"] == ("2024-01-30 00:00:00", "2024-01-30 00:00:00")
