@@ -293,3 +293,17 @@ def test_undefined_setting_is_an_error(spark):
     df = spark.createDataFrame([("s",)], "source string")
     with pytest.raises(KeyError):
         with_settings(df, Config(), {"no_such_key": "string"})
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("2024-01-01T00:00:07Z", datetime(2024, 1, 1, 0, 0, 7)),
+    ("2024-01-01T02:00:07+02:00", datetime(2024, 1, 1, 0, 0, 7)),
+    ("2024-01-01T00:00:07.123456Z", datetime(2024, 1, 1, 0, 0, 7, 123456)),
+    ("1704067207", datetime(2024, 1, 1, 0, 0, 7)),
+    ("1704067207999", datetime(2024, 1, 1, 0, 0, 7)),
+    ("2024-01-01T00:00:07", datetime(2024, 1, 1, 0, 0, 7)),
+    ("garbage", None), ("2024-13-32T19:16:33+00:00", None), (None, None),
+])
+def test_parse_item_date(spark, text, expected):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(shaping.parse_item_date("t").alias("d")).first()["d"] == expected
