@@ -15,7 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.evaluate import finish_weighted, valid_response, weighted_score_col
+from gleaner.operators.evaluate import (finish_weighted, recent_items, valid_response,
+                                       weighted_score_col)
 from gleaner.session import spread
 
 
@@ -110,7 +111,6 @@ def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame],
     Each batch writes its own ``batch_id=`` folder in overwrite mode, so a replayed
     batch replaces its earlier output instead of duplicating it."""
     if cfg is not None:
-        from gleaner.operators.evaluate import recent_items
         items = recent_items(items, cfg, as_of)
 
     def write(batch: DataFrame, batch_id: int) -> None:
