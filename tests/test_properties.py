@@ -135,3 +135,13 @@ def test_upsert_paths_agree_on_random_sets(spark, old_links, new_links):
     small = sorted(tuple(r) for r in collect.upsert_merge(existing, batch, t).collect())
     big = sorted(tuple(r) for r in collect.upsert_merge(existing, batch, t, broadcast_keys=0).collect())
     assert small == big and len(small) == len(set(old_links) | set(new_links))
+
+
+@settings(**SETTINGS)
+@given(st.lists(st.one_of(st.none(), st.integers(0, 3)), min_size=1, max_size=40), st.sampled_from([0, 10 ** 6]))
+def test_rank_rows_with_null_sort_keys(spark, values, small_rows):
+    df = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "v int, id bigint")
+    ranked = rank_rows(df, [F.col("v").desc_nulls_last(), F.col("id").asc()], num_partitions=3,
+                       small_rows=small_rows)
+    order = sorted(range(len(values)), key=lambda i: (values[i] is None, -(values[i] or 0), i))
+    assert {r["id"]: r["rank"] for r in ranked.collect()} == {i: p + 1 for p, i in enumerate(order)}
