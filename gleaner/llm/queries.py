@@ -1,0 +1,32 @@
+"""Registered queries opN_<name>: each applies its operator to the whole table."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import langid, simhash
+from gleaner.llm.common import table
+from gleaner.session import configure
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
+    return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = langid.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_simhash": op5_simhash,
+    "op8_language_id": op8_language_id,
+}
+
+ORACLES: dict[str, str] = {}
