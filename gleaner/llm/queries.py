@@ -7,26 +7,68 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import langid, simhash
+from gleaner.llm import decontaminate, embeddings, langid, linededup, mixing, packing, simhash, suffixes, toxicity
 from gleaner.llm.common import table
 from gleaner.session import configure
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = linededup.drop_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    packed = packing.pack(table(spark, sf_dir, "documents"), capacity=2048, end_id=0)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     found = langid.identify(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return mixing.score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op5_simhash": op5_simhash,
-    "op8_language_id": op8_language_id,
+    f.__name__: f for f in (
+        op2_embedding_near_dedup, op3_line_dedup, op4_toxicity, op5_simhash, op6_best_fit_packing,
+        op7_decontamination, op8_language_id, op9_suffix_array_dedup, op10_lm_scoring)
 }
 
 ORACLES: dict[str, str] = {}
