@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import decontaminate, embeddings, langid, linededup, mixing, packing, simhash, suffixes, toxicity
+from gleaner.llm import archive, decontaminate, embeddings, langid, linededup, mixing, packing, simhash, suffixes, toxicity
 from gleaner.llm.common import table
 from gleaner.session import configure
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = archive.round_trip(table(spark, sf_dir, "pages"), least=0)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
@@ -67,7 +73,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_embedding_near_dedup, op3_line_dedup, op4_toxicity, op5_simhash, op6_best_fit_packing,
+        op1_warc, op2_embedding_near_dedup, op3_line_dedup, op4_toxicity, op5_simhash, op6_best_fit_packing,
         op7_decontamination, op8_language_id, op9_suffix_array_dedup, op10_lm_scoring)
 }
 
