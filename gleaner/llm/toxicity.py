@@ -27,8 +27,8 @@ from gleaner.llm.common import slices, text_bytes
 BITS = 20
 #: Bound of the fitting sample: labelled training rows.
 SAMPLE = 12_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 20.0, 1.0
 STRIP = b".,;:!?\"'()[]{}<>*#%&$@|-_+=/\\~`^"
 
 
