@@ -28,13 +28,13 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it back.
 
     Cuts lineage, survives lost executors, keeps columns prunable, and gives the
     optimiser a known size, so a join broadcasts it only below Spark's own bound."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
