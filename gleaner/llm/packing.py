@@ -30,15 +30,20 @@ from pyspark.sql import types as T
 from gleaner.llm.common import slices, text_bytes, written
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words whose ids a task remembers.
-MEMORY = 300_000
+#: Distinct words, and parts of words, whose ids a task remembers.
+MEMORY = 600_000
 #: Nodes that branch and bound may visit; fillings looked at around one length.
 NODES, FILLINGS = 4_000, 48
 
 
+#: ASCII punctuation that may end a word; a token never spans a letter and one of these.
+TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+
+
 class WordTokenizer:
-    """Token ids of texts, with the ids of white-space-separated words remembered: this
-    vocabulary drops white space, so no token spans two words."""
+    """Token ids of texts. This vocabulary drops white space and case, and no token spans
+    white space, or a letter and punctuation after it; so the ids of words, and of their
+    parts before the punctuation that ends them, are remembered."""
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,19 +52,55 @@ class WordTokenizer:
             import public_tokenizers
             path = public_tokenizers.path(TOKENIZER)
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[bytes, bytes] = {}
+
+    def learn(self, parts: list[bytes]) -> None:
+        """Remember the ids of parts. Parts of letters only are one pre-token each, whose
+        end its last id tells, so many of them are encoded as one text."""
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        for n in range(0, len(plain), 2048):
+            some = plain[n:n + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, dtype="<u4")
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) == len(some) and stop[-1] == len(ids):
+                data, at = ids.tobytes(), 0
+                for i, end in zip(some, (4 * stop).tolist()):
+                    self.parts[parts[i]] = data[at:end]
+                    at = end
+        rest = [i for i, p in enumerate(parts) if p not in self.parts]
+        for n in range(0, len(rest), 2048):
+            some = rest[n:n + 2048]
+            found = self.tokenizer.encode_batch([texts[i] for i in some], add_special_tokens=False)
+            self.parts.update((parts[i], np.array(e.ids, dtype="<u4").tobytes()) for i, e in zip(some, found))
+
+    def cut(self, word: bytes) -> tuple[bytes, bytes]:
+        """The part that must be encoded as a whole, and the punctuation after it."""
+        if b"<|" in word:                              # perhaps a special token, which has case
+            return word, b""
+        low = word.lower()
+        head = low.rstrip(TAIL)
+        # only an ASCII letter surely is a letter
+        return (head, low[len(head):]) if head and 97 <= head[-1] <= 122 else (low, b"")
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         split = [(t or b"").split() for t in texts]
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        new = list(set().union(*split) - self.known.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, found))
-        get = self.known.__getitem__
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        if len(self.parts) > MEMORY:
+            self.parts.clear()
+        new = set().union(*split).difference(self.words)
+        cuts = {w: self.cut(w) for w in new}
+        self.learn(sorted({p for pair in cuts.values() for p in pair}.difference(self.parts, (b"",))))
+        self.parts[b""] = b""
+        ids = self.parts
+        self.words.update((w, ids[a] + ids[b]) for w, (a, b) in cuts.items())
+        get = self.words.__getitem__
         return [b"".join(map(get, w)) for w in split]
 
 
