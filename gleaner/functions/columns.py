@@ -96,14 +96,18 @@ def parse_iso(c: str | Column) -> Column:
     return F.try_to_timestamp(col_(c)).cast("timestamp_ntz")   # session zone is UTC
 
 
+MAX_SECONDS = 253_402_300_799   # 9999-12-31T23:59:59
+
+
 def from_epoch_seconds(c: str | Column) -> Column:
-    return F.to_timestamp_ntz(F.date_format(F.timestamp_seconds(col_(c).cast("bigint")),
-                                            "yyyy-MM-dd HH:mm:ss"))
+    s = col_(c).try_cast("bigint")
+    s = F.when(F.abs(s) <= MAX_SECONDS, s)           # beyond year 9999: null
+    return F.timestamp_seconds(s).cast("timestamp_ntz")   # session zone is UTC
 
 
 def from_epoch_millis_to_second(c: str | Column) -> Column:
     """Epoch milliseconds floored to the second, UTC."""
-    return from_epoch_seconds(F.floor(col_(c).cast("bigint") / F.lit(1000)))
+    return from_epoch_seconds(F.floor(col_(c).try_cast("bigint") / F.lit(1000)))
 
 
 def add_days(ts: str | Column, days: str | Column) -> Column:
@@ -117,9 +121,10 @@ INT_TEXT = r"^\s*[+-]?[0-9]+\s*$"
 
 
 def as_int(c: str | Column, default: int) -> Column:
-    """``int(value)`` with fallback to ``default`` on unparsable text."""
+    """``int(value)`` with fallback to ``default`` on unparsable text and on numbers out
+    of range."""
     v = col_(c)
-    return F.when(v.rlike(INT_TEXT), F.trim(v).cast("int")).otherwise(F.lit(default))
+    return F.coalesce(F.when(v.rlike(INT_TEXT), F.trim(v).try_cast("int")), F.lit(default))
 
 
 def as_double(c: str | Column, default: float) -> Column:

@@ -1,9 +1,11 @@
 """HTML to text (B7) and main-content extraction.
 
-The native path is built-in regex expressions. Regex cannot balance nested elements,
-so pages whose answer depends on a ``role=`` / ``class=`` element (and that have no
-``<article>`` or ``<main>``) are sent to an Arrow ``mapInPandas`` job that walks a
-real element tree built with the standard-library ``html.parser``.
+Built-in regex expressions serve the pages whose markup they read exactly: balanced,
+un-nested elements, plain comments, and the few entities that the native cleaner
+decodes. All other pages (unclosed or nested elements, elements chosen by ``role`` or
+``class``, other entities, ``>`` in attributes) take an Arrow-batched walk of a real
+element tree built with the standard-library ``html.parser``; pages of the first kind
+are handed to it as nulls. Both give the same text where both apply.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.columns import (first_element_html, has_element, remove_elements,
+from gleaner.functions.columns import (HTML_ENTITIES, col_, first_element_html, has_element, remove_elements,
                                        strip_tags)
 
 # The extraction ladder.
@@ -26,10 +29,8 @@ VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link",
              "param", "source", "track", "wbr"}
 
 
-def plain_text(html: str | Column) -> Column:
-    """Tags dropped (one space each), script/style/comments removed, entities
-    decoded, whitespace collapsed."""
-    return strip_tags(html)
+_KNOWN = "|".join(entity[1:] for entity, _ in HTML_ENTITIES)
+_OPEN_QUOTE = r"""<[a-zA-Z/][^>"']*(?:"[^"<>]*"[^>"']*|'[^'<>]*'[^>"']*)*["'][^"'<>]*>"""
 
 
 def _native_main(html: Column) -> Column:
@@ -42,17 +43,36 @@ def _native_main(html: Column) -> Column:
     return out.otherwise(strip_tags(cleaned))
 
 
+def _count(html: Column, pattern: str) -> Column:
+    return F.regexp_count(html, F.lit(pattern))
+
+
+def odd_markup(html: str | Column) -> Column:
+    """True when regexes may read the markup or its entities wrongly."""
+    h = col_(html)
+    shown = remove_elements(h, ["script", "style"])
+    return (h.rlike(rf"&(?!(?:{_KNOWN}))[#a-zA-Z]")
+            | (_count(h, "<!--") != _count(h, r"<!--[^<]*?-->"))
+            | shown.rlike(r"(?i)</?(?:script|style)\b") | shown.rlike(r"<[^a-zA-Z/!]") | shown.rlike(r"<[^>]*$")
+            | shown.rlike(_OPEN_QUOTE))
+
+
 def needs_tree(html: str | Column) -> Column:
-    """True when the regex path cannot decide: no article/main, and some element
-    carries a role or class attribute that the ladder could select."""
-    h = F.col(html) if isinstance(html, str) else html
-    semantic = has_element(h, "article") | has_element(h, "main")
-    return ~semantic & h.rlike(r"(?i)<[a-z][^>]*\s(role|class)\s*=")
+    """True when the regex path cannot decide the main content: odd markup, a removed
+    element that is nested or unclosed, a chosen element that is not there exactly once
+    and closed, or a role or class attribute that the ladder could select."""
+    h = col_(html)
+    cleaned = remove_elements(h, REMOVED_TAGS)
+    removed = "|".join(REMOVED_TAGS)
+    semantic = has_element(cleaned, "article") | has_element(cleaned, "main")
 
+    def once(tag: str) -> Column:
+        return (_count(cleaned, rf"(?i)<{tag}\b") == 1) & (_count(cleaned, rf"(?i)</{tag}\s*>") == 1)
 
-def main_content_text(html: str | Column) -> Column:
-    """Native-path main content text (valid for rows where ``needs_tree`` is false)."""
-    return _native_main(F.col(html) if isinstance(html, str) else html)
+    chosen = F.when(has_element(cleaned, "article"), once("article")).when(has_element(cleaned, "main"), once("main"))
+    chosen = chosen.when(has_element(cleaned, "body"), once("body")).otherwise(F.lit(True))
+    return F.coalesce(odd_markup(h) | cleaned.rlike(rf"(?i)</?(?:{removed})\b") | ~chosen
+                      | (~semantic & h.rlike(r"(?i)<[a-z][^>]*\s(role|class)\s*=")), F.lit(False))
 
 
 # ------------------------------------------------------------------ tree path
@@ -87,72 +107,80 @@ class _TreeBuilder(HTMLParser):
         self.stack[-1].children.append(data)
 
 
-def _texts(node, out):
-    for c in node.children:
-        if isinstance(c, str):
-            out.append(c)
-        else:
-            _texts(c, out)
-
-
-def _text_of(node) -> str:
+def _text_of(node, skip: set[str] = frozenset()) -> str:
+    """Text below a node in document order, an explicit stack for any depth."""
     parts: list[str] = []
-    _texts(node, parts)
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str):
+            parts.append(x)
+        elif x.tag not in skip:
+            stack.extend(reversed(x.children))
     return re.sub(r"\s+", " ", " ".join(p.strip() for p in parts if p.strip())).strip()
 
 
-def _drop(node):
-    node.children = [c for c in node.children if isinstance(c, str) or c.tag not in REMOVED_TAGS]
-    for c in node.children:
-        if not isinstance(c, str):
-            _drop(c)
-
-
-def _first(node, pred):
-    for c in node.children:
-        if isinstance(c, str):
+def _first(node, pred, skip: set[str]):
+    """First element in document order that the predicate accepts, outside skipped ones."""
+    stack = [c for c in reversed(node.children) if not isinstance(c, str)]
+    while stack:
+        x = stack.pop()
+        if x.tag in skip:
             continue
-        if pred(c):
-            return c
-        found = _first(c, pred)
-        if found is not None:
-            return found
+        if pred(x):
+            return x
+        stack.extend(c for c in reversed(x.children) if not isinstance(c, str))
     return None
 
 
+def _tree(html: str) -> _Node:
+    b = _TreeBuilder()
+    b.feed(html)
+    b.close()
+    return b.root
+
+
 def extract_main_text_py(html: str | None) -> str | None:
     """Reference ladder on an element tree: article, main, [role=main], the content
     classes in order, body, then the whole document."""
     if html is None:
         return None
-    b = _TreeBuilder()
-    b.feed(html)
-    b.close()
-    root = b.root
-    _drop(root)
+    root, skip = _tree(html), set(REMOVED_TAGS)
     preds = [lambda n, t=t: n.tag == t for t in SEMANTIC_TAGS]
     preds.append(lambda n: n.attrs.get(ROLE_MAIN[0]) == ROLE_MAIN[1])
     preds += [lambda n, c=c: c in n.attrs.get("class", "").split() for c in CONTENT_CLASSES]
     preds.append(lambda n: n.tag == "body")
     for pred in preds:
-        hit = _first(root, pred)
+        hit = _first(root, pred, skip)
         if hit is not None:
-            return _text_of(hit)
-    return _text_of(root)
+            return _text_of(hit, skip)
+    return _text_of(root, skip)
+
+
+def plain_text_py(html: str | None) -> str | None:
+    return None if html is None else _text_of(_tree(html), {"script", "style"})
+
+
+def _tree_column(html: Column, fn) -> Column:
+    @F.pandas_udf("string")
+    def walk(pages: pd.Series) -> pd.Series:
+        return pages.map(fn, na_action="ignore").astype(object)
+
+    return walk(html)
+
+
+def plain_text(html: str | Column) -> Column:
+    """Tags dropped (one space each), script/style/comments removed, entities
+    decoded, whitespace collapsed."""
+    h = col_(html)
+    odd = odd_markup(h)
+    return F.when(odd, _tree_column(F.when(odd, h), plain_text_py)).otherwise(strip_tags(h))
 
 
 def extract_main_content(df: DataFrame, html_col: str = "html", out_col: str = "main_text") -> DataFrame:
-    """B8 over a DataFrame: native expressions for most rows, the tree job for the
-    rows ``needs_tree`` selects; the two parts are unioned (no shuffle)."""
-    flag = needs_tree(html_col)
-    native = df.where(~flag).withColumn(out_col, main_content_text(html_col))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
-                       + [f"`{out_col}` string"])
-
-    def run(batches):
-        for pdf in batches:
-            pdf[out_col] = pdf[html_col].map(extract_main_text_py)
-            yield pdf
-
-    tree = df.where(flag).mapInPandas(run, schema)
-    return native.unionByName(tree)
+    """B8 over a DataFrame: native expressions for most rows, the tree walk for the rows
+    that ``needs_tree`` selects; one scan, no shuffle."""
+    h = F.col(html_col)
+    odd = needs_tree(h)
+    tree = _tree_column(F.when(odd, h), extract_main_text_py)
+    return df.withColumn(out_col, F.when(odd, tree).otherwise(_native_main(h)))

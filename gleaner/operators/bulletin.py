@@ -1,8 +1,9 @@
-"""Digest selection (F1-F6): important and recent items, ranked, top 3, grouped by
+"""Bulletin selection (F1-F6): important and recent items, ranked, top 3, grouped by
 source, summaries and the subject line."""
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,38 +13,38 @@ from gleaner.operators.config import Config, with_settings
 from gleaner.operators.evaluate import is_recent, recency_prefilter
 from gleaner.operators.ranking import rank_rows
 
-# Placeholders used by the digest.
+# Placeholders used by the bulletin.
 NO_SUMMARY = "No summary available."
 UNTITLED = "Untitled"
 UNKNOWN_SOURCE = "Unknown"
 NO_LINK = "#"
-SUBJECT_SUFFIX = " items in your weekly digest"
+SUBJECT = "{n} items in your weekly bulletin"      # setting: the subject text
 
 def rank_order() -> list:
-    """Digest order: score desc (stable), ties by arrival."""
+    """Bulletin order: score desc (stable), ties by arrival."""
     return [F.col("weighted_score").desc_nulls_last(), F.col("ord").asc()]
 
 
-def _as_float(value: str | None, default: float) -> float:
-    try:
-        return float((value or "").strip())
-    except ValueError:
-        return default
+def _threshold(value: str | None) -> float | None:
+    """The value of a plainly written number; None for anything else, of which the exact
+    test alone knows the meaning."""
+    text = (value or "").strip()
+    return float(text) if re.fullmatch(r"[+-]?[0-9]{1,15}([.][0-9]{0,15})?", text, re.ASCII) else None
 
 
 def importance_prefilter(cfg: Config) -> Column | None:
     """``weighted_score >= the lowest configured threshold``: a superset of the
     important items on a raw column, so the scan can skip row groups. None when some
-    threshold is not positive (then unscored items can qualify)."""
-    default = float(cfg.defaults.get("min_email_score", "70"))
+    threshold is not positive (then unscored items can qualify) or not a plain number."""
     if "min_email_score" in cfg.env:
-        values = [_as_float(cfg.env["min_email_score"], default)]
+        values = [cfg.env["min_email_score"]]
     else:
-        values = [_as_float(cfg.global_value("min_email_score"), default)]
-        values += [_as_float(v["min_email_score"], default) for v in cfg.sources.values()
-                   if "min_email_score" in v]
-    low = min(values)
-    return None if low <= 0 else F.col("weighted_score") >= F.lit(low)
+        values = [cfg.global_value("min_email_score")]
+        values += [v["min_email_score"] for v in cfg.sources.values() if "min_email_score" in v]
+    found = [_threshold(v) for v in values]
+    if None in found or min(found) <= 0:
+        return None
+    return F.col("weighted_score") >= F.lit(min(found))
 
 
 def important_items(state: DataFrame, cfg: Config, config_col: str = "source") -> DataFrame:
@@ -61,7 +62,7 @@ def is_important() -> Column:
     return F.coalesce(F.col("weighted_score"), F.lit(0)).cast("double") >= F.col("min_email_score")
 
 
-def digest_items(state: DataFrame, cfg: Config, as_of: datetime, config_col: str = "source") -> DataFrame:
+def bulletin_items(state: DataFrame, cfg: Config, as_of: datetime, config_col: str = "source") -> DataFrame:
     """Important and recent items (unranked): both pushable pre-filters, then one
     settings join for both thresholds and the exact tests."""
     for pre in (importance_prefilter(cfg), recency_prefilter(cfg, as_of, config_col=config_col)):
@@ -71,19 +72,19 @@ def digest_items(state: DataFrame, cfg: Config, as_of: datetime, config_col: str
     return s.where(is_important() & is_recent(as_of)).drop("min_email_score", "lookback_days")
 
 
-def digest_ranked(state: DataFrame, cfg: Config, as_of: datetime, config_col: str = "source") -> DataFrame:
-    """F2: the digest in rank order (score desc, ties by arrival ``ord``), with a
+def bulletin_ranked(state: DataFrame, cfg: Config, as_of: datetime, config_col: str = "source") -> DataFrame:
+    """F2: the bulletin in rank order (score desc, ties by arrival ``ord``), with a
     1-based ``rank`` computed by range partitioning, not a single-task window."""
-    # the raw input (whole texts) is not part of the digest: keep it out of the ranking
-    items = digest_items(state, cfg, as_of, config_col)
+    # the raw input (whole texts) is not part of the bulletin: keep it out of the ranking
+    items = bulletin_items(state, cfg, as_of, config_col)
     return rank_rows(items.drop("input"), rank_order(), rank_col="rank")
 
 
-def digest_top(state: DataFrame, cfg: Config, as_of: datetime, n: int = 3,
+def bulletin_top(state: DataFrame, cfg: Config, as_of: datetime, n: int = 3,
                config_col: str = "source") -> DataFrame:
-    """the first ``n`` digest items (``orderBy.limit`` -> TakeOrderedAndProject),
+    """the first ``n`` bulletin items (``orderBy.limit`` -> TakeOrderedAndProject),
     score/confidence null -> 0 and text defaults for display."""
-    top = digest_items(state, cfg, as_of, config_col).orderBy(*rank_order()).limit(n)
+    top = bulletin_items(state, cfg, as_of, config_col).orderBy(*rank_order()).limit(n)
     w = Window.orderBy(*rank_order())   # over at most n rows
     return top.select(
         F.row_number().over(w).cast("bigint").alias("rank"), "dedup_key",
@@ -94,8 +95,8 @@ def digest_top(state: DataFrame, cfg: Config, as_of: datetime, n: int = 3,
         F.coalesce("median_confidence", F.lit(0)).alias("confidence"))
 
 
-def digest_by_source(ranked: DataFrame) -> DataFrame:
-    """every digest item under its source group (the top items are included, as in
+def bulletin_by_source(ranked: DataFrame) -> DataFrame:
+    """every bulletin item under its source group (the top items are included, as in
     the reference). Groups appear in order of their best item; items keep rank order.
     Positions come from ``rank_rows`` so a source holding most items is still split
     across tasks; the per-source summary is a plain aggregate."""
@@ -103,7 +104,7 @@ def digest_by_source(ranked: DataFrame) -> DataFrame:
     items = ranked.withColumn("group_source", src)
     groups = items.groupBy("group_source").agg(F.count(F.lit(1)).alias("n_items"),
                                                F.min("rank").alias("first_rank"))
-    # one row per source present in the digest: bounded by the configured sources
+    # one row per source present in the bulletin: bounded by the configured sources
     groups = groups.withColumn("group_order", F.row_number().over(Window.orderBy("first_rank")).cast("bigint"))
     within = rank_rows(items, [F.col("rank").asc()], partition_by=["group_source"], rank_col="source_rank")
     return within.join(groups.select("group_source", "group_order", "n_items"), "group_source")
@@ -126,8 +127,8 @@ def with_summary(items: DataFrame, evals: DataFrame) -> DataFrame:
             .withColumn("summary", F.coalesce(F.col("summary"), F.lit(NO_SUMMARY))))
 
 
-def digest_subject(digest: DataFrame) -> DataFrame:
-    """``"{n} items in your weekly digest"``; null when the digest is empty."""
+def bulletin_subject(chosen: DataFrame, subject: str = SUBJECT) -> DataFrame:
+    """the subject text with the number of items; null when there is none."""
     n = F.count(F.lit(1))
-    return digest.agg(n.alias("n_items"),
-                      F.when(n > 0, F.concat(n.cast("string"), F.lit(SUBJECT_SUFFIX))).alias("subject"))
+    return chosen.agg(n.alias("n_items"), F.when(n > 0, F.replace(F.lit(subject), F.lit("{n}"), n.cast("string")))
+                      .alias("subject"))

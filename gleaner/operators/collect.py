@@ -24,13 +24,15 @@ REQUIRED_TEXT = ["source", "title", "link"]
 
 def validate_items(items: DataFrame) -> DataFrame:
     """A5: the loader contract. ``reject_reason`` is null for a good row, else the
-    first missing or blank required field (``input`` may be any JSON but not absent).
+    first missing or blank required field (``input`` may be any JSON and
+    ``creation_date`` any text, but neither absent).
     Split with ``where(reject_reason IS NULL)`` / ``IS NOT NULL`` for quarantine."""
     reason = None
     for c in REQUIRED_TEXT:
         bad = F.col(c).isNull() | (F.trim(F.col(c)) == "")
         reason = F.when(bad, F.lit(f"missing_{c}")) if reason is None else reason.when(bad, F.lit(f"missing_{c}"))
-    reason = reason.when(F.col("input").isNull(), F.lit("missing_input"))
+    for c in ("creation_date", "input"):
+        reason = reason.when(F.col(c).isNull(), F.lit(f"missing_{c}"))
     return items.withColumn("reject_reason", reason)
 
 
@@ -48,14 +50,8 @@ def dedup_first_wins(items: DataFrame, order_col: str = "ord") -> DataFrame:
     return keyed.join(winners, on=["dedup_key", order_col], how="left_semi")
 
 
-# A batch with at most this many keys has its key set broadcast (32-hex keys: about
-# 100 MB at the bound); larger batches use the full outer join.
-BROADCAST_BATCH_KEYS = 2_000_000
-
-
 def upsert_merge(existing: DataFrame, batch: DataFrame, collected_at: datetime,
-                 data_fields: list[str] = ITEM_FIELDS,
-                 broadcast_keys: int = BROADCAST_BATCH_KEYS) -> DataFrame:
+                 data_fields: list[str] = ITEM_FIELDS) -> DataFrame:
     """Merge a deduplicated ``batch`` into the ``existing`` store by ``dedup_key``.
 
     Matched keys take every incoming data field (nulls too: presence decides, not
@@ -64,44 +60,21 @@ def upsert_merge(existing: DataFrame, batch: DataFrame, collected_at: datetime,
     Output order = batch order then untouched rows, carried as ``(merge_part, ord)``.
     The result is meant for a new snapshot, never over the one being read.
 
-    A batch within ``broadcast_keys`` keys (counted) broadcasts only its key set: the
-    untouched store rows pass through a map-side anti join and the store is never
-    shuffled; the matched store rows (at most the batch size) meet the batch in a small
-    join. A larger batch uses one full outer join on the key."""
-    if batch.select("dedup_key").count() <= broadcast_keys:
-        keys = F.broadcast(batch.select("dedup_key"))
-        matched = existing.join(keys, "dedup_key", "left_semi")
-        kept = existing.join(keys, "dedup_key", "left_anti")
-        touched = _merge_rows(matched, batch, collected_at, data_fields)
-        return touched.unionByName(_kept_rows(kept, data_fields))
-    return _merge_rows(existing, batch, collected_at, data_fields)
-
-
-def _kept_rows(kept: DataFrame, data_fields: list[str]) -> DataFrame:
-    return kept.select("dedup_key", *data_fields, "first_collected", "last_collected",
-                       F.lit("kept").alias("merge_status"), F.lit(1).alias("merge_part"), "ord")
-
-
-def _merge_rows(existing: DataFrame, batch: DataFrame, collected_at: datetime,
-                data_fields: list[str]) -> DataFrame:
+    Every batch row is in the result once, so it needs only the stored key and date (a
+    narrow left join); stored rows outside the batch pass an anti join against the
+    batch's keys, which AQE turns into a broadcast when their measured size is small -
+    then no stored text is shuffled."""
     ts = F.lit(collected_at.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    e = existing.withColumn("_in_e", F.lit(True)).alias("e")
-    b = batch.withColumn("_in_b", F.lit(True)).alias("b")
-    j = e.join(b, on=F.col("e.dedup_key") == F.col("b.dedup_key"), how="full_outer")
-    in_b = F.col("b._in_b").isNotNull()
-    in_e = F.col("e._in_e").isNotNull()
-    cols = [F.coalesce(F.col("b.dedup_key"), F.col("e.dedup_key")).alias("dedup_key")]
-    for c in data_fields:
-        cols.append(F.when(in_b, F.col(f"b.{c}")).otherwise(F.col(f"e.{c}")).alias(c))
-    cols += [
-        F.when(in_e, F.col("e.first_collected")).otherwise(ts).alias("first_collected"),
-        F.when(in_b, ts).otherwise(F.col("e.last_collected")).alias("last_collected"),
-        F.when(in_b & in_e, F.lit("updated")).when(in_b, F.lit("new"))
-         .otherwise(F.lit("kept")).alias("merge_status"),
-        F.when(in_b, F.lit(0)).otherwise(F.lit(1)).alias("merge_part"),
-        F.when(in_b, F.col("b.ord")).otherwise(F.col("e.ord")).alias("ord"),
-    ]
-    return j.select(*cols)
+    stored = existing.select(F.col("dedup_key").alias("_key"), F.col("first_collected").alias("_first"))
+    known = F.col("_key").isNotNull()
+    touched = batch.join(stored, F.col("dedup_key") == F.col("_key"), "left").select(
+        "dedup_key", *data_fields, F.when(known, F.col("_first")).otherwise(ts).alias("first_collected"),
+        ts.alias("last_collected"), F.when(known, F.lit("updated")).otherwise(F.lit("new")).alias("merge_status"),
+        F.lit(0).alias("merge_part"), "ord")
+    kept = existing.join(batch.select("dedup_key"), "dedup_key", "left_anti").select(
+        "dedup_key", *data_fields, "first_collected", "last_collected", F.lit("kept").alias("merge_status"),
+        F.lit(1).alias("merge_part"), "ord")
+    return touched.unionByName(kept)
 
 
 def collect_counts(landed: DataFrame, deduped: DataFrame, merged: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ broadcast safe.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +29,21 @@ DEFAULTS = {
     "eval_provider": "keyword",
     "eval_model": "keyword-v1",
     "eval_retries": "3",
+    "prompt_header": "You screen incoming items for a reader with limited time.",
+    "prompt_introduction": "Read the item below and judge how worth reading it is.",
+    "prompt_container_pre": "<item>",
+    "prompt_container_post": "</item>",
+    "prompt_criteria": "Prefer original, well-argued and clearly written material.",
+    "prompt_instructions": ("Answer in JSON with keys summary, evaluation, importance_score "
+                            "and confidence_score (integers 0-100)."),
 }
 
+
+def parse_int(text: str | None, default: int) -> int:
+    """A setting as the column expression ``as_int`` reads it."""
+    number = int(text) if re.fullmatch(r"\s*[+-]?[0-9]+\s*", text or "", re.ASCII) else default
+    return number if -2 ** 31 <= number < 2 ** 31 else default
+
 CONFIG_SCHEMA = "layer string, source string, key string, value string"
 
 
@@ -52,6 +66,13 @@ class Config:
                 return layer[key]
         return None
 
+    def value(self, key: str, source: str, default: str | None = None) -> str | None:
+        """The winning value of a key for one source."""
+        for layer in (self.env, self.sources.get(source, {}), self.base, self.defaults):
+            if key in layer:
+                return layer[key]
+        return default
+
     def to_frame(self, spark: SparkSession) -> DataFrame:
         rows = [("env", None, k, v) for k, v in self.env.items()]
         rows += [("source", s, k, v) for s, vals in self.sources.items() for k, v in vals.items()]
@@ -120,9 +141,3 @@ def resolve_config(cfg: Config, sources: DataFrame) -> DataFrame:
     layer = F.coalesce(*[F.when(F.col(f"v_{layer}").isNotNull(), F.lit(layer)) for layer in LAYER_ORDER])
     return out.select("source", "key", value.alias("value"), layer.alias("layer"))
 
-
-def typed_settings(values: DataFrame, int_col: str, list_col: str, int_default: int) -> DataFrame:
-    """D2 helpers exposed as columns: int with fallback, comma list trimmed."""
-    from gleaner.functions.columns import as_list
-    return values.withColumn(f"{int_col}_int", as_int(int_col, int_default)).withColumn(
-        f"{list_col}_list", as_list(list_col))

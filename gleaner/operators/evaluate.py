@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.columns import add_days, sha256_hex
-from gleaner.operators.config import Config, with_settings
-from gleaner.session import spread
+from gleaner.operators.ranking import rank_rows
+from gleaner.operators.config import Config, parse_int, with_settings
 
 # The "settled" rule that skips re-evaluation.
 SETTLED_MIN_EVALS = 5        # strictly more evaluations than this
@@ -23,10 +23,6 @@ REQUIRED_RESPONSE_KEYS = ["summary", "evaluation", "importance_score", "confiden
 RESPONSE_SCHEMA = ("summary string, evaluation string, importance_score bigint, "
                    "confidence_score bigint, scratchpad string, followup string")
 
-# Appended evals of round r get seq = max existing seq + r * SEQ_ROUND_BASE + ord, so
-# append order keeps increasing across rounds and across runs (ord < SEQ_ROUND_BASE).
-SEQ_ROUND_BASE = 10 ** 12
-
 PROMPT_PARTS = ["prompt_header", "prompt_introduction", "prompt_container_pre", "@title",
                 "@input", "prompt_container_post", "prompt_criteria", "prompt_instructions"]
 
@@ -37,11 +33,6 @@ def _ts(value: datetime) -> Column:
 
 # ------------------------------------------------------------------ E1 recency
 
-def _lookback_days(value: str | None, default: int) -> int:
-    text = (value or "").strip()
-    return int(text) if text.lstrip("+-").isdigit() else default
-
-
 def recency_prefilter(cfg: Config, as_of: datetime, date_col: str = "creation_date",
                       config_col: str = "source") -> Column | None:
     """A filter on the raw columns that keeps a superset of the recent items, so it can
@@ -50,10 +41,10 @@ def recency_prefilter(cfg: Config, as_of: datetime, date_col: str = "creation_da
     disables the filter. None when the global lookback itself disables it."""
     default = int(cfg.defaults.get("lookback_days", "7"))
     if "lookback_days" in cfg.env:
-        values, open_sources = [_lookback_days(cfg.env["lookback_days"], default)], []
+        values, open_sources = [parse_int(cfg.env["lookback_days"], default)], []
     else:
-        glob = _lookback_days(cfg.global_value("lookback_days"), default)
-        per_source = {s: _lookback_days(v["lookback_days"], default)
+        glob = parse_int(cfg.global_value("lookback_days"), default)
+        per_source = {s: parse_int(v["lookback_days"], default)
                       for s, v in cfg.sources.items() if "lookback_days" in v}
         values = [glob] + list(per_source.values())
         open_sources = [s for s, v in per_source.items() if v <= 0]
@@ -62,6 +53,8 @@ def recency_prefilter(cfg: Config, as_of: datetime, date_col: str = "creation_da
     positive = [v for v in values if v > 0]
     if not positive:
         return None
+    if max(positive) > 700_000:         # reaches before year 1: nothing to skip
+        return None
     keep = (F.col(date_col) >= add_days(_ts(as_of), F.lit(-max(positive)))) | F.col(date_col).isNull()
     if open_sources:
         keep = keep | F.col(config_col).isin(*open_sources)
@@ -82,7 +75,7 @@ def recent_items(items: DataFrame, cfg: Config, as_of: datetime,
 
 def is_recent(as_of: datetime, date_col: str = "creation_date") -> Column:
     """The exact recency test over an attached ``lookback_days`` column."""
-    cutoff = add_days(_ts(as_of), -F.col("lookback_days"))
+    cutoff = add_days(_ts(as_of), -F.least(F.col("lookback_days"), F.lit(700_000)))
     return (F.col("lookback_days") <= 0) | F.col(date_col).isNull() | (F.col(date_col) >= cutoff)
 
 
@@ -138,8 +131,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 def score_items(df: DataFrame, scorer: Scorer) -> DataFrame:
     """Apply a scorer: a ``DataFrame -> DataFrame`` adding ``response`` (STRUCT per
     ``RESPONSE_SCHEMA``) — built-in expressions, or ``pandas_scorer`` for Python.
-    Scoring reads whole texts, so a frame with few partitions is spread first."""
-    return scorer(spread(df))
+    Scoring reads whole texts: its parallelism is that of the input's splits
+    (``spark.sql.files.maxPartitionBytes``)."""
+    return scorer(df)
 
 
 def pandas_scorer(fn, extra_schema: str = RESPONSE_SCHEMA):
@@ -166,16 +160,20 @@ def pandas_scorer(fn, extra_schema: str = RESPONSE_SCHEMA):
 def response_reason(text: str | Column) -> Column:
     """Why a model response text is rejected, or ``valid``. Scores must be JSON
     integers (a quoted number, a float or a boolean is rejected); a key holding null
-    counts as present; a non-object counts as missing keys."""
+    counts as present; a non-object counts as missing keys. One parse per text."""
     t = F.col(text) if isinstance(text, str) else text
-    parsed = F.from_json(t, RESPONSE_SCHEMA)
-    keys = F.json_object_keys(t)
-    has_all = F.coalesce(F.forall(F.array(*[F.lit(k) for k in REQUIRED_RESPONSE_KEYS]),
-                                  lambda k: F.array_contains(keys, k)), F.lit(False))
-    return (F.when(t.isNull() | F.try_parse_json(t).isNull(), F.lit("bad_json"))
+    parsed = F.try_parse_json(t)
+    has_all = F.forall(F.array(*[F.try_variant_get(parsed, f"$.{k}", "variant") for k in REQUIRED_RESPONSE_KEYS]),
+                       lambda v: v.isNotNull())
+
+    def is_int(key: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant")) == "BIGINT",
+                          F.lit(False))
+
+    return (F.when(t.isNull() | parsed.isNull(), F.lit("bad_json"))
              .when(~has_all, F.lit("missing_key"))
-             .when(parsed["importance_score"].isNull(), F.lit("non_int_importance"))
-             .when(parsed["confidence_score"].isNull(), F.lit("non_int_confidence"))
+             .when(~is_int("importance_score"), F.lit("non_int_importance"))
+             .when(~is_int("confidence_score"), F.lit("non_int_confidence"))
              .otherwise(F.lit("valid")))
 
 
@@ -239,49 +237,113 @@ def attach_state(items: DataFrame, state: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ E9 rounds
 
-def new_evals(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
-              as_of: datetime, force: bool = False, model: str = "keyword-v1",
+# A provider answers prompts: ``(items with prompt, model, attempts) -> the same rows plus
+# responses``, an array of response texts in the order of the attempts.
+Provider = Callable[[DataFrame, str, int], DataFrame]
+
+
+def scorer_provider(scorer: Scorer) -> Provider:
+    """A provider out of a scorer: its response struct as JSON text, in one attempt."""
+    def provider(df: DataFrame, model: str, attempts: int) -> DataFrame:
+        scored = score_items(df, scorer)
+        text = F.when(F.col("response").isNotNull(), F.to_json("response"))
+        return scored.withColumn("responses", F.array_compact(F.array(text))).drop("response")
+    return provider
+
+
+def answer(items: DataFrame, cfg: Config, providers: dict[str, Provider],
+           config_col: str = "source") -> DataFrame:
+    """E4-E8 for the given items: prompt and hash, the provider and model that the
+    item's source is set to (``eval_provider``, ``eval_model``), at most
+    ``eval_retries`` attempts, and the first valid response of each item. Items whose
+    attempts all fail are left out. A provider name that is not known is an error."""
+    asked = with_prompt_hash(assemble_prompt(items, cfg, config_col))
+    asked = with_settings(asked, cfg, {"eval_provider": "string", "eval_model": "string",
+                                       "eval_retries": "int"}, config_col)
+    layers = [cfg.env] if "eval_provider" in cfg.env else [*cfg.sources.values(), {
+        "eval_provider": cfg.global_value("eval_provider")}]
+    names = sorted({v["eval_provider"] for v in layers if v.get("eval_provider")})
+    unknown = [n for n in names if n not in providers]
+    if unknown:
+        raise ValueError(f"unknown eval_provider {unknown}; known: {sorted(providers)}")
+    models = sorted({v["eval_model"] for v in ([cfg.env] if "eval_model" in cfg.env else [
+        *cfg.sources.values(), {"eval_model": cfg.global_value("eval_model")}]) if v.get("eval_model")})
+    most = max(int(v) for v in [cfg.env.get("eval_retries") or cfg.global_value("eval_retries") or "3",
+                                *(x["eval_retries"] for x in cfg.sources.values() if "eval_retries" in x)]
+               if v.strip().isdigit())
+    parts = [providers[n](asked.where((F.col("eval_provider") == n) & (F.col("eval_model") == m)), m, most)
+             for n in names for m in models]
+    answered = parts[0]
+    for part in parts[1:]:
+        answered = answered.unionByName(part, allowMissingColumns=True)
+    tried = F.slice("responses", 1, F.col("eval_retries"))
+    good = F.filter(tried, lambda t: response_reason(t) == "valid")
+    return (answered.withColumn("response_text", F.try_element_at(good, F.lit(1)))
+            .where(F.col("response_text").isNotNull())
+            .withColumn("model", F.col("eval_model")).drop("responses", "eval_provider", "eval_retries", "eval_model"))
+
+
+def tally(evals: DataFrame) -> DataFrame:
+    """Per (key, confidence) the number of evals and their summed scores, with the last
+    eval by append order: all that the evaluation state needs, and additive."""
+    return evals.groupBy("dedup_key", "confidence_score").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("importance_score").cast("bigint")).alias("scores"),
+        F.max(F.struct("seq", "eval_date")).alias("last"))
+
+
+def tallied_state(parts: DataFrame) -> DataFrame:
+    """E10-E12 from tallies (one or more per key and confidence)."""
+    weight = F.col("confidence_score").cast("bigint") + 100
+    return (parts.groupBy("dedup_key").agg(
+        F.sum("n").alias("num_evals"), F.sum(F.col("scores") * weight).alias("_sw"),
+        F.sum(F.col("n") * weight).alias("_w"), F.percentile("confidence_score", F.lit(0.5), F.col("n")).alias("_med"),
+        F.max("last").alias("_last"))
+        .select("dedup_key", "num_evals", finish_weighted(F.col("_sw"), F.col("_w")).alias("weighted_score"),
+                F.col("_med").cast("int").alias("median_confidence"), F.col("_last.eval_date").alias("last_eval")))
+
+
+def new_evals(recent: DataFrame, evals: DataFrame, cfg: Config, providers: dict[str, Provider], rounds: int,
+              as_of: datetime, force: bool = False, config_col: str = "source", inputs: DataFrame | None = None,
               persist=None) -> DataFrame:
-    """Evaluate the ``recent`` items (E1 output: dedup_key, ord, title, input,
-    source; read every round, so pass it materialized, e.g. checkpointed) for
-    ``rounds`` rounds and return only the appended eval rows. Each round's candidates
-    depend on the state after the previous round, computed from ``evals`` plus the rows
-    appended so far. Each round's new rows are persisted on their own
-    (``persist(df, name)``, default ``DataFrame.checkpoint`` into the shared checkpoint
-    folder), which cuts lineage without rewriting the history. Items without a response
-    are skipped for that round only."""
+    """Evaluate the ``recent`` items (E1 output: dedup_key, ord, title, source and
+    ``input``; without ``input`` they take it from ``inputs`` (ord, input) when they are
+    asked) for ``rounds`` rounds and return only the appended eval rows, with prompt hash
+    and model. The state before the first round is a tally of the existing evals of
+    these items; each round adds the tally of its own new rows, never the history again.
+    The tally and each round's rows are persisted on their own (``persist(df, name)``,
+    default ``DataFrame.checkpoint``); items without a valid response are skipped for
+    that round only."""
     persist = persist or (lambda df, name: df.checkpoint(eager=True))
     keys = recent.select("dedup_key")
+    tallies = persist(tally(evals).join(keys, "dedup_key", "left_semi"), "tally")
     base = evals.agg(F.max("seq")).first()[0] or 0    # one scalar: where this run's seq starts
-    history = evals.join(keys, "dedup_key", "left_semi").select(
-        "dedup_key", "seq", "eval_date", "importance_score", "confidence_score")
     appended: list[DataFrame] = []
     for r in range(1, rounds + 1):
-        current = history
-        for part in appended:   # only recent items can be candidates: their evals suffice
-            current = current.unionByName(part.select(*history.columns))
-        state = attach_state(recent, eval_state(current))
-        todo = candidates(state, r, force).select("dedup_key", "ord", "title", "input", "source")
-        scored = score_items(todo, scorer).where(valid_response())
-        rows = scored.select(
-            "dedup_key",
-            (F.lit(base) + F.lit(r) * F.lit(SEQ_ROUND_BASE) + F.col("ord")).cast("bigint").alias("seq"),
-            F.lit(r).alias("round"), F.lit(model).alias("model"),
-            _ts(as_of).alias("eval_date"),
-            F.col("response.importance_score").cast("int").alias("importance_score"),
-            F.col("response.confidence_score").cast("int").alias("confidence_score"),
-            F.col("response.summary").alias("summary"))
-        appended.append(persist(rows, f"evals_round_{r}"))
+        state = attach_state(recent, tallied_state(tallies))
+        todo = candidates(state, r, force).select(*recent.columns)
+        if inputs is not None:
+            todo = todo.join(inputs, "ord")
+        done = answer(todo, cfg, providers, config_col)
+        got = F.from_json("response_text", RESPONSE_SCHEMA)
+        rows = done.withColumn("got", got).select(
+            "dedup_key", "ord", F.lit(r).alias("round"), "model", "prompt_hash", _ts(as_of).alias("eval_date"),
+            F.col("got.importance_score").cast("int").alias("importance_score"),
+            F.col("got.confidence_score").cast("int").alias("confidence_score"),
+            F.col("got.summary").alias("summary"))
+        # append order: arrival order within the round, after everything before it
+        ranked = rank_rows(rows, [F.col("ord").asc(), F.col("dedup_key").asc()], rank_col="seq")
+        appended.append(persist(ranked.withColumn("seq", F.col("seq") + base).drop("ord"), f"evals_round_{r}"))
+        base = appended[-1].agg(F.max("seq")).first()[0] or base
+        tallies = tallies.unionByName(tally(appended[-1]))
     out = appended[0]
     for part in appended[1:]:
         out = out.unionByName(part)
     return out
 
 
-def run_rounds(recent: DataFrame, evals: DataFrame, scorer: Scorer, rounds: int,
-               as_of: datetime, force: bool = False, model: str = "keyword-v1",
-               persist=None) -> DataFrame:
+def run_rounds(recent: DataFrame, evals: DataFrame, cfg: Config, providers: dict[str, Provider], rounds: int,
+               as_of: datetime, **more) -> DataFrame:
     """E9 as a whole: the evals table with the new rows of ``rounds`` rounds appended
     (see ``new_evals``)."""
-    new = new_evals(recent, evals, scorer, rounds, as_of, force, model, persist)
+    new = new_evals(recent, evals, cfg, providers, rounds, as_of, **more)
     return evals.unionByName(new, allowMissingColumns=True)

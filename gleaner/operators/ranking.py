@@ -2,18 +2,15 @@
 
 ``row_number()`` over a window without ``partitionBy`` sorts the whole input in a
 single task, and over ``partitionBy(g)`` it sorts each group in one task, which breaks
-when one group holds a third of the rows. ``rank_rows`` first materializes its input
-(checkpoint) and counts it: within a fixed row bound a window is safe and cheapest;
-above it, it range-partitions on ``(group, order)``, numbers rows inside each sorted
-partition, and adds the count of same-group rows in earlier partitions. The offsets
-table has one row per (group, partition) pair present, i.e. at most
-``partitions + groups`` rows; the join to it is left to AQE (broadcast when its
-measured size is small).
+when one group holds a third of the rows. ``rank_rows`` range-partitions on
+``(group, order)``, numbers rows inside each sorted partition, and adds the count of
+same-group rows in earlier partitions. The offsets table has one row per (group,
+partition) pair present, i.e. at most ``partitions + groups`` rows; the join to it is
+left to AQE (broadcast when its measured size is small).
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,44 +18,25 @@ from pyspark.sql import functions as F
 
 _LOCAL_BITS = 33   # monotonically_increasing_id = partition index << 33 | row in partition
 
-# Inputs up to this many rows are numbered with a plain window (one sort of at most
-# this many rows per task); larger inputs take the range-partitioned path.
-SMALL_RANK_ROWS = int(os.environ.get("GLEANER_SMALL_RANK_ROWS", "1000000"))
-
 
 def rank_rows(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[str] = (),
-              rank_col: str = "rank", num_partitions: int | None = None,
-              small_rows: int | None = None) -> DataFrame:
+              rank_col: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """Add a 1-based ``rank_col``: position of the row in ``order_by`` within its
     ``partition_by`` group. ``order_by`` must be a total order (end with a unique key)
     for the numbering to be deterministic.
 
-    The input is checkpointed first, so its plan runs once whatever path follows, and
-    its row count is then cheap. A count within ``small_rows`` is a proven bound for a
-    window; above it the range-partitioned numbering is used."""
-    spark = df.sparkSession
-    base = df.checkpoint(eager=True)
-    if base.count() <= (SMALL_RANK_ROWS if small_rows is None else small_rows):
-        w = (Window.partitionBy(*partition_by) if partition_by else Window).orderBy(*order_by)
-        return base.withColumn(rank_col, F.row_number().over(w).cast("bigint"))
-    return _rank_by_range(base, order_by, partition_by, rank_col,
-                          num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
-def _rank_by_range(df: DataFrame, order_by: Sequence[Column], partition_by: Sequence[str],
-                   rank_col: str, n: int) -> DataFrame:
-    groups = [F.col(c) for c in partition_by]
-    keys = groups + list(order_by)
+    The numbered rows are read twice (counts and the final join), and two independently
+    planned range shuffles may sample different bounds, so they are written once to the
+    shared checkpoint folder; this runs the input's plan while the query is built. Pass
+    the key and order columns only and join wide columns back on the key."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(c) for c in partition_by] + list(order_by)
     tagged = (df.repartitionByRange(n, *keys)
                 .sortWithinPartitions(*keys)
                 .withColumn("_rid", F.monotonically_increasing_id())
                 .withColumn("_pid", F.shiftright("_rid", _LOCAL_BITS))
-                .withColumn("_loc", F.col("_rid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))))
-    # The numbering is read twice (counts and the final join). Two independently
-    # planned range shuffles may sample different bounds, so the numbered rows are
-    # written once to the shared checkpoint folder; this also keeps them stable when
-    # an executor is lost.
-    tagged = tagged.checkpoint(eager=True)
+                .withColumn("_loc", F.col("_rid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1)))
+                .checkpoint(eager=True))
     counts = tagged.groupBy(*partition_by, "_pid").agg(
         F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_lo"))
     w = Window.partitionBy(*partition_by).orderBy("_pid") if partition_by else Window.orderBy("_pid")

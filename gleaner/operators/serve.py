@@ -79,13 +79,33 @@ def sort_keys() -> dict[str, tuple[Column, bool]]:
 def sort_items(store: DataFrame, by: str = "score", descending: bool | None = None,
                with_items: bool = False) -> DataFrame:
     """the ``rank`` of every item when sorted by ``by`` (text case-folded, nulls as
-    ""/0/epoch), ties by arrival. A full ordering of the store, so ``rank_rows``
-    (range-partitioned when large) rather than a single-task window. Only the key,
-    ``ord`` and the sort value are ranked (and checkpointed); ``with_items`` joins the
-    item fields back on the key."""
+    ""/0/epoch), ties by arrival. A full ordering of the store, so ``rank_rows`` rather
+    than a single-task window. Only the key, ``ord`` and the sort value are ranked;
+    ``with_items`` joins the item fields back on the key. The store may be filtered
+    first (``search_items``): then the positions are those of the listing shown."""
     key, default_desc = sort_keys()[by]
     desc = default_desc if descending is None else descending
     narrow = store.select("dedup_key", "ord", key.alias("_sort"))
     order = [F.col("_sort").desc() if desc else F.col("_sort").asc(), F.col("ord").asc()]
     ranked = rank_rows(narrow, order, rank_col="rank").select("dedup_key", "rank")
     return store.join(ranked, "dedup_key") if with_items else ranked
+
+
+def sort_pages(store: DataFrame, fields: list[str]) -> DataFrame:
+    """F11 for several fields at once, in their default directions (all descending):
+    (sort_key, dedup_key, rank). One narrow ranking with the field as its group."""
+    keys = sort_keys()
+    texts = ("source", "title")
+
+    def number(f: str) -> Column:
+        if f in texts:
+            return F.lit(None).cast("bigint")
+        value = keys[f][0]
+        return F.unix_micros(value.cast("timestamp")) if f == "last_eval" else value.cast("bigint")
+
+    pages = [F.struct(F.lit(f).alias("sort_key"), number(f).alias("number"),
+                      (keys[f][0] if f in texts else F.lit(None).cast("string")).alias("text")) for f in fields]
+    rows = store.select("dedup_key", "ord", F.explode(F.array(*pages)).alias("page")).select(
+        "dedup_key", "ord", "page.sort_key", "page.number", "page.text")
+    order = [F.col("number").desc(), F.col("text").desc(), F.col("ord").asc()]
+    return rank_rows(rows, order, partition_by=["sort_key"], rank_col="rank").select("sort_key", "dedup_key", "rank")

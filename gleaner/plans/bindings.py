@@ -17,26 +17,14 @@ from gleaner.functions.columns import add_days
 from gleaner.operators.collect import dedup_first_wins, with_dedup_key
 from gleaner.operators.config import Config
 from gleaner.operators.evaluate import attach_state, eval_state
-from gleaner.session import spread
 
 # Fixed clock for every query: never the wall clock.
 AS_OF = datetime(2024, 1, 31, 0, 0, 0)
 AS_OF_SQL = "TIMESTAMP '2024-01-31 00:00:00'"
 LINK_PREFIX = "https://example.org/"
 
-# Own short prompt parts (neutral text).
-PROMPT_BASE = {
-    "prompt_header": "You screen incoming items for a reader with limited time.",
-    "prompt_introduction": "Read the item below and judge how worth reading it is.",
-    "prompt_container_pre": "<item>",
-    "prompt_container_post": "</item>",
-    "prompt_criteria": "Prefer original, well-argued and clearly written material.",
-    "prompt_instructions": ("Answer in JSON with keys summary, evaluation, importance_score "
-                            "and confidence_score (integers 0-100)."),
-}
-
 BINDING_CONFIG = Config(
-    base={"lookback_days": "7", "min_email_score": "40", **PROMPT_BASE},
+    base={"lookback_days": "7", "min_email_score": "40"},
     sources={
         "en": {"min_email_score": "50"},
         "fr": {"lookback_days": "14", "min_email_score": "45",
@@ -47,13 +35,8 @@ BINDING_CONFIG = Config(
 )
 
 
-# Tables whose rows carry whole texts or pages: per-row work on them is CPU-heavy.
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def landed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +49,18 @@ EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type
                  "value double, props string")
 
 
+def title_of_document() -> F.Column:
+    """Whole fields only: the document's source and number."""
+    return F.concat(F.col("source"), F.lit(" document "), F.col("doc_id").cast("string"))
+
+
 def landed_from_documents(d: DataFrame) -> DataFrame:
     """Landed-item shape of a documents frame (batch or stream)."""
     items = d.select(
         F.col("doc_id").alias("ord"),
         F.col("lang").alias("source"),
         F.concat(F.lit(LINK_PREFIX), F.md5("text")).alias("link"),
-        F.substring("text", 1, 80).alias("title"),
+        title_of_document().alias("title"),
         add_days(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("doc_id") % 30)
         .alias("creation_date"),
         F.to_json(F.struct(F.col("doc_id"), F.col("source").alias("src"), F.col("n_chars"),
@@ -81,14 +69,37 @@ def landed_from_documents(d: DataFrame) -> DataFrame:
     return with_dedup_key(items)
 
 
+def landed_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed items without their ``input``, hashed in one scan of the texts and kept
+    in the shared checkpoint folder (a job while the query is built), so that items,
+    evals, upserts and streams share it instead of hashing all texts again."""
+    return landed_items(spark, sf_dir).drop("input").checkpoint(eager=True)
+
+
+def key_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, dedup_key) of every landed item."""
+    return landed_items(spark, sf_dir).select("ord", "dedup_key")
+
+
+def items_narrow(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
+    """The stored item set without ``input``: landed items deduplicated first-wins."""
+    return dedup_first_wins(landed_keys(spark, sf_dir) if keys is None else keys, "ord")
+
+
+def with_input(spark: SparkSession, sf_dir: str, narrow: DataFrame) -> DataFrame:
+    """Items with their whole ``input``, read for the given rows by their unique ``ord``."""
+    texts = landed_items(spark, sf_dir).select("ord", "input")
+    return narrow.join(texts, "ord").select(*narrow.columns, "input")
+
+
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored item set: landed items deduplicated first-wins by ``ord``."""
-    return dedup_first_wins(landed_items(spark, sf_dir), "ord")
+    return with_input(spark, sf_dir, items_narrow(spark, sf_dir))
 
 
-def evals(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evals(spark: SparkSession, sf_dir: str, keys: DataFrame | None = None) -> DataFrame:
     """Evaluations: each event is one appended eval of the item with ord = user_id."""
-    return evals_from_events(table(spark, sf_dir, "events"), landed_items(spark, sf_dir))
+    return evals_from_events(table(spark, sf_dir, "events"), key_table(spark, sf_dir) if keys is None else keys)
 
 
 def evals_from_events(e: DataFrame, landed: DataFrame) -> DataFrame:
@@ -109,9 +120,16 @@ def evals_from_events(e: DataFrame, landed: DataFrame) -> DataFrame:
     )
 
 
+def store_and_evals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items with their evaluation state (E12 joined on the key), without ``input``, and
+    the evals; both through one key table."""
+    keys = landed_keys(spark, sf_dir)
+    history = evals(spark, sf_dir, keys)
+    return attach_state(items_narrow(spark, sf_dir, keys), eval_state(history)), history
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with their evaluation state (E12 joined on the key)."""
-    return attach_state(items(spark, sf_dir), eval_state(evals(spark, sf_dir)))
+    return store_and_evals(spark, sf_dir)[0]
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,37 +151,3 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(summary, F.lit('"importance_score": '), score, F.lit(', "confidence_score": '),
                                 k, F.lit(".5}"))))
     return e.select("event_id", "user_id", "ts", text.alias("response_text"))
-
-
-# ------------------------------------------------------------------ stored snapshots
-
-_SNAPSHOTS: dict[tuple[str, str, str], str] = {}
-
-
-def _snapshot(spark: SparkSession, sf_dir: str, name: str, build, sort_col: str | None = None) -> DataFrame:
-    """The table ``name`` as written once per session and data folder to the shared
-    checkpoint folder, then read as parquet. The serving, digest and analysis queries
-    read the stored item set the way the reference's later stages read its store file:
-    they do not re-run collection and evaluation, and their scans get column pruning
-    and filter pushdown."""
-    from gleaner.session import scratch_path
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
-    path = _SNAPSHOTS.get(key)
-    if path is None:
-        path = scratch_path(spark, f"snapshot-{name}")
-        df = build().hint("rebalance")
-        if sort_col:   # sorted within files: row-group min/max become selective for filters
-            df = df.sortWithinPartitions(sort_col)
-        df.write.mode("overwrite").parquet(path)
-        _SNAPSHOTS[key] = path
-    return spark.read.parquet(path)
-
-
-def stored_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest snapshot of the item store: items with their evaluation state."""
-    return _snapshot(spark, sf_dir, "store", lambda: store(spark, sf_dir), sort_col="creation_date")
-
-
-def stored_evals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Latest snapshot of the evals table."""
-    return _snapshot(spark, sf_dir, "evals", lambda: evals(spark, sf_dir), sort_col="dedup_key")

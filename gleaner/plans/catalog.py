@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.columns import add_days, as_double, as_int, as_list, word_count
 from gleaner.functions.html import extract_main_content, plain_text
-from gleaner.operators import analysis, collect, digest, evaluate, scorers, serve
+from gleaner.operators import analysis, collect, bulletin, evaluate, scorers, serve
 from gleaner.operators.config import resolve_config
 from gleaner.operators.ranking import rank_rows
 from gleaner.plans import bindings as b
 from gleaner.session import configure, scratch_path
-from gleaner.sources import shaping, store
+from gleaner.sources import builders, shaping, store
 from gleaner.sources.registry import SourceRegistry
 from gleaner.streaming import jobs
 from gleaner.plans.oracle import AS_OF_SQL, REASON_SQL, with_ctes
@@ -55,7 +55,7 @@ def q_dedup_key(spark, sf):
 
 @register("dedup_first_wins", with_ctes(["items"], "SELECT dedup_key, ord, source, title, link FROM items"))
 def q_dedup_first_wins(spark, sf):
-    return b.items(spark, sf).select("dedup_key", "ord", "source", "title", "link")
+    return b.items_narrow(spark, sf).select("dedup_key", "ord", "source", "title", "link")
 
 
 # ====================================================================== D config
@@ -93,7 +93,7 @@ def q_resolve_config(spark, sf):
 
 @register("recent_items", with_ctes(["recent"], "SELECT dedup_key, ord, source, creation_date FROM recent"))
 def q_recent_items(spark, sf):
-    return evaluate.recent_items(b.items(spark, sf), b.BINDING_CONFIG, b.AS_OF).select(
+    return evaluate.recent_items(b.items_narrow(spark, sf), b.BINDING_CONFIG, b.AS_OF).select(
         "dedup_key", "ord", "source", "creation_date")
 
 
@@ -112,57 +112,58 @@ def q_eval_state(spark, sf):
     return b.store(spark, sf).select(*STATE_COLS)
 
 
-# ====================================================================== F digest
+# ====================================================================== F bulletin
 
 @register("important_items", with_ctes(["important"], "SELECT dedup_key, source, weighted_score FROM important"))
 def q_important_items(spark, sf):
-    return digest.important_items(b.stored_items(spark, sf), b.BINDING_CONFIG).select(
+    return bulletin.important_items(b.store(spark, sf), b.BINDING_CONFIG).select(
         "dedup_key", "source", "weighted_score")
 
 
-@register("digest_ranked", with_ctes(["digest"], f"SELECT {_state_cols_sql()}, rank FROM digest"))
-def q_digest_ranked(spark, sf):
-    return digest.digest_ranked(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF).select(*STATE_COLS, "rank")
+@register("bulletin_ranked", with_ctes(["bulletin"], f"SELECT {_state_cols_sql()}, rank FROM bulletin"))
+def q_bulletin_ranked(spark, sf):
+    return bulletin.bulletin_ranked(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF).select(*STATE_COLS, "rank")
 
 
-@register("digest_by_source", with_ctes(["digest"], """
+@register("bulletin_by_source", with_ctes(["bulletin"], """
 SELECT d.dedup_key, d.source AS group_source, d.rank,
        row_number() OVER (PARTITION BY d.source ORDER BY d.rank) AS source_rank,
        g.group_order, g.n_items
-FROM digest d JOIN (
+FROM bulletin d JOIN (
   SELECT source, count(*) AS n_items, row_number() OVER (ORDER BY min(rank)) AS group_order
-  FROM digest GROUP BY source) g USING (source)"""))
-def q_digest_by_source(spark, sf):
-    ranked = digest.digest_ranked(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF)
-    return digest.digest_by_source(ranked).select(
+  FROM bulletin GROUP BY source) g USING (source)"""))
+def q_bulletin_by_source(spark, sf):
+    ranked = bulletin.bulletin_ranked(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
+    return bulletin.bulletin_by_source(ranked).select(
         "dedup_key", "group_source", "rank", "source_rank", "group_order", "n_items")
 
 
-@register("digest_top3", with_ctes(["digest"], """
+@register("bulletin_top3", with_ctes(["bulletin"], """
 SELECT rank, dedup_key, coalesce(title, 'Untitled') AS title, coalesce(link, '#') AS link,
        coalesce(source, 'Unknown') AS source, coalesce(weighted_score, 0) AS score,
        coalesce(median_confidence, 0) AS confidence
-FROM digest WHERE rank <= 3"""))
-def q_digest_top3(spark, sf):
-    return digest.digest_top(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF, 3)
+FROM bulletin WHERE rank <= 3"""))
+def q_bulletin_top3(spark, sf):
+    return bulletin.bulletin_top(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF, 3)
 
 
-@register("first_summary", with_ctes(["digest", "evals"], """
+@register("first_summary", with_ctes(["bulletin", "evals"], """
 SELECT d.dedup_key, coalesce(fs.summary, 'No summary available.') AS summary
-FROM digest d LEFT JOIN (
+FROM bulletin d LEFT JOIN (
   SELECT dedup_key, arg_min(summary, seq) AS summary FROM evals
   WHERE summary IS NOT NULL AND summary <> '' GROUP BY dedup_key) fs USING (dedup_key)"""))
 def q_first_summary(spark, sf):
-    ranked = digest.digest_items(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
-    return digest.with_summary(ranked, b.stored_evals(spark, sf))
+    stored, history = b.store_and_evals(spark, sf)
+    chosen = bulletin.bulletin_items(stored, b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
+    return bulletin.with_summary(chosen, history)
 
 
-@register("digest_subject", with_ctes(["digest"], """
+@register("bulletin_subject", with_ctes(["bulletin"], """
 SELECT count(*) AS n_items,
-       CASE WHEN count(*) > 0 THEN CAST(count(*) AS VARCHAR) || ' items in your weekly digest' END AS subject
-FROM digest"""))
-def q_digest_subject(spark, sf):
-    return digest.digest_subject(digest.digest_items(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF))
+       CASE WHEN count(*) > 0 THEN CAST(count(*) AS VARCHAR) || ' items in your weekly bulletin' END AS subject
+FROM bulletin"""))
+def q_bulletin_subject(spark, sf):
+    return bulletin.bulletin_subject(bulletin.bulletin_items(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF))
 
 
 # ====================================================================== F serving
@@ -175,25 +176,25 @@ SELECT count(*) AS total_items,
        count(*) FILTER (WHERE coalesce(weighted_score, 0) < 30) AS low
 FROM store"""))
 def q_score_bands(spark, sf):
-    return serve.score_bands(b.stored_items(spark, sf))
+    return serve.score_bands(b.store(spark, sf))
 
 
-@register("item_lookup", with_ctes(["store", "digest"], f"""
+@register("item_lookup", with_ctes(["store", "bulletin"], f"""
 SELECT {_state_cols_sql()} FROM store
-WHERE dedup_key IN (SELECT dedup_key FROM digest)"""))
+WHERE dedup_key IN (SELECT dedup_key FROM bulletin)"""))
 def q_item_lookup(spark, sf):
-    # the details of every item listed in the digest (the page's "Details" requests)
-    st = b.stored_items(spark, sf)
-    wanted = digest.digest_items(st, b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
+    # the details of every item listed in the bulletin (the page's "Details" requests)
+    st = b.store(spark, sf)
+    wanted = bulletin.bulletin_items(st, b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
     return serve.item_lookup(st, wanted).select(*STATE_COLS)
 
 
 @register("search_items", with_ctes(["store"], f"""
 SELECT {_state_cols_sql()} FROM store
-WHERE contains(lower(coalesce(title, '')), lower('Ou')) AND source = 'fr'
+WHERE contains(lower(coalesce(title, '')), lower('SRC1')) AND source = 'fr'
   AND coalesce(weighted_score, 0) >= 40"""))
 def q_search_items(spark, sf):
-    return serve.search_items(b.stored_items(spark, sf), term="Ou", source="fr", min_score=40).select(*STATE_COLS)
+    return serve.search_items(b.store(spark, sf), term="SRC1", source="fr", min_score=40).select(*STATE_COLS)
 
 
 @register("item_details", with_ctes(["store", "evals"], """
@@ -204,7 +205,7 @@ FROM store s LEFT JOIN (
   SELECT *, row_number() OVER (PARTITION BY dedup_key ORDER BY seq) AS eval_index FROM evals) e
 USING (dedup_key)"""))
 def q_item_details(spark, sf):
-    return serve.item_details(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
+    return serve.item_details(*b.store_and_evals(spark, sf)).select(
         "dedup_key", "ord", "title", F.coalesce("weighted_score", F.lit(0)).alias("item_score"),
         F.coalesce("median_confidence", F.lit(0)).alias("item_confidence"), "eval_index", "seq", "model",
         "importance_score", "confidence_score", "eval_date", "summary")
@@ -224,13 +225,7 @@ _SORT_SQL = {
     f"""SELECT '{k}' AS sort_key, dedup_key, row_number() OVER (ORDER BY {e} {d}, ord) AS rank FROM store"""
     for k, (e, d) in _SORT_SQL.items())))
 def q_sort_items(spark, sf):
-    st = b.stored_items(spark, sf).drop("input")
-    pages = [serve.sort_items(st, k).select(F.lit(k).alias("sort_key"), "dedup_key", "rank")
-             for k in _SORT_SQL]
-    out = pages[0]
-    for p in pages[1:]:
-        out = out.unionByName(p)
-    return out
+    return serve.sort_pages(b.store(spark, sf), list(_SORT_SQL))
 
 
 # ====================================================================== G analysis
@@ -240,7 +235,7 @@ SELECT s.dedup_key, s.ord, s.source, s.title, s.weighted_score, e.seq, e.prompt_
        e.importance_score AS score, e.confidence_score AS confidence
 FROM store s JOIN evals e USING (dedup_key) WHERE s.weighted_score IS NOT NULL"""))
 def q_analysis_items(spark, sf):
-    return analysis.analysis_items(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
+    return analysis.analysis_items(*b.store_and_evals(spark, sf)).select(
         "dedup_key", "ord", "source", "title", "weighted_score", "seq", "prompt_hash", "model",
         "score", "confidence")
 
@@ -256,7 +251,7 @@ FROM top t JOIN positions p USING (dedup_key)
 JOIN (SELECT dedup_key, importance_score AS score, count(*) AS n_evals
       FROM evals GROUP BY dedup_key, importance_score) h USING (dedup_key)"""))
 def q_score_distribution(spark, sf):
-    return analysis.score_distribution(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
+    return analysis.score_distribution(*b.store_and_evals(spark, sf)).select(
         "dedup_key", "ord", "weighted_score", "label", "position", "score", "n_evals")
 
 
@@ -269,7 +264,7 @@ JOIN (SELECT source, CAST((row_number() OVER (ORDER BY weighted_score, ord) - 1)
             FROM store WHERE weighted_score IS NOT NULL) WHERE r = 1) c USING (source)
 WHERE s.weighted_score IS NOT NULL"""))
 def q_score_confidence_points(spark, sf):
-    return analysis.score_confidence_points(b.stored_items(spark, sf), b.stored_evals(spark, sf)).select(
+    return analysis.score_confidence_points(*b.store_and_evals(spark, sf)).select(
         "seq", "dedup_key", "source", "score", "confidence", "colour_index")
 
 
@@ -304,7 +299,7 @@ SELECT dedup_key, num_evals,
     AS normal_status
 FROM recent"""))
 def q_force_candidates(spark, sf):
-    recent = evaluate.recent_items(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF)
+    recent = evaluate.recent_items(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
     forced = evaluate.candidates(recent, 2, force=True)
     return forced.select("dedup_key", "num_evals", evaluate.evaluation_status(
         F.col("num_evals"), F.col("median_confidence"), F.col("weighted_score"), 2).alias("normal_status"))
@@ -371,17 +366,19 @@ def q_first_valid_attempt(spark, sf):
 
 # ====================================================================== C upsert
 
+_NARROW_FIELDS = ["source", "title", "link", "creation_date"]
 _EXISTING_BEFORE = "2024-01-20 00:00:00"
 _BATCH_FROM = "2024-01-10 00:00:00"
 _EXISTING_COLLECTED = "2024-01-25 00:00:00"
 
 
 def _upsert_inputs(spark, sf):
-    landed = b.landed_items(spark, sf)
-    existing = (b.items(spark, sf).where(F.col("creation_date") < F.lit(_EXISTING_BEFORE).cast("timestamp_ntz"))
+    keys = b.landed_keys(spark, sf)
+    existing = (b.items_narrow(spark, sf, keys)
+                .where(F.col("creation_date") < F.lit(_EXISTING_BEFORE).cast("timestamp_ntz"))
                 .withColumn("first_collected", F.lit(_EXISTING_COLLECTED).cast("timestamp_ntz"))
                 .withColumn("last_collected", F.lit(_EXISTING_COLLECTED).cast("timestamp_ntz")))
-    batch_landed = (landed.where(F.col("creation_date") >= F.lit(_BATCH_FROM).cast("timestamp_ntz"))
+    batch_landed = (keys.where(F.col("creation_date") >= F.lit(_BATCH_FROM).cast("timestamp_ntz"))
                     .withColumn("title", F.concat(F.lit("[v2] "), F.col("title"))))
     batch = collect.dedup_first_wins(batch_landed, "ord")
     return batch_landed, batch, existing
@@ -410,7 +407,7 @@ merged AS (
 SELECT * FROM merged"""))
 def q_upsert_merge(spark, sf):
     _, batch, existing = _upsert_inputs(spark, sf)
-    return collect.upsert_merge(existing, batch, b.AS_OF).select(
+    return collect.upsert_merge(existing, batch, b.AS_OF, _NARROW_FIELDS).select(
         "dedup_key", "title", "source", "first_collected", "last_collected", "merge_status", "merge_part", "ord")
 
 
@@ -423,7 +420,7 @@ SELECT (SELECT count(*) FROM landed WHERE creation_date >= TIMESTAMP '{_BATCH_FR
 FROM merged"""))
 def q_collect_counts(spark, sf):
     batch_landed, batch, existing = _upsert_inputs(spark, sf)
-    merged = collect.upsert_merge(existing, batch, b.AS_OF)
+    merged = collect.upsert_merge(existing, batch, b.AS_OF, _NARROW_FIELDS)
     return collect.collect_counts(batch_landed, batch, merged)
 
 
@@ -448,16 +445,32 @@ def q_typed_config(spark, sf):
                     F.array_join(lst, "|").alias("list_joined"))
 
 
+def _flaky(provider):
+    """A provider whose first attempt fails for every third item and whose attempts all
+    fail for every seventh, by arrival."""
+    def wrapped(df, model, attempts):
+        bad = F.lit("{not json")
+        first = F.when(F.col("ord") % 3 == 0, F.concat(F.array(bad), F.col("responses"))).otherwise(F.col("responses"))
+        return provider(df, model, attempts).withColumn(
+            "responses", F.when(F.col("ord") % 7 == 0, F.array_repeat(bad, attempts)).otherwise(first))
+    return wrapped
+
+
 @register("append_eval_round", None)
 def q_append_eval_round(spark, sf):
-    recent = evaluate.recent_items(b.items(spark, sf), b.BINDING_CONFIG, b.AS_OF).checkpoint(eager=True)
-    # the evals table is stored data: read its snapshot (append-only history)
-    all_evals = evaluate.run_rounds(recent, b.stored_evals(spark, sf), scorers.keyword_scorer(), rounds=2,
-                                    as_of=b.AS_OF)
-    keys = recent.select("dedup_key")
-    final = evaluate.eval_state(all_evals.join(keys, "dedup_key", "left_semi"))
-    return evaluate.attach_state(keys, final).select(
-        "dedup_key", "num_evals", "weighted_score", "median_confidence", "last_eval")
+    keys = b.landed_keys(spark, sf)
+    history = b.evals(spark, sf, keys)
+    recent = evaluate.recent_items(b.items_narrow(spark, sf, keys), b.BINDING_CONFIG, b.AS_OF).select(
+        "dedup_key", "ord", "title", "source")
+    providers = {"keyword": _flaky(evaluate.scorer_provider(scorers.keyword_scorer()))}
+    new = evaluate.new_evals(recent, history, b.BINDING_CONFIG, providers, rounds=2, as_of=b.AS_OF,
+                             inputs=b.landed_items(spark, sf).select("ord", "input"))
+    wanted = recent.select("dedup_key")
+    final = evaluate.tallied_state(evaluate.tally(history.unionByName(new, allowMissingColumns=True))
+                                   .join(wanted, "dedup_key", "left_semi"))
+    asked = new.groupBy("dedup_key").agg(F.max("prompt_hash").alias("prompt_hash"))
+    return evaluate.attach_state(wanted, final).join(asked, "dedup_key", "left").select(
+        "dedup_key", "num_evals", "weighted_score", "median_confidence", "last_eval", "prompt_hash")
 
 
 def _append_eval_round_sql() -> str:
@@ -479,12 +492,12 @@ def _append_eval_round_sql() -> str:
         return f"{n} < {r} AND NOT {settled}"
 
     def new_rows(r, st):
-        return (f"SELECT rc.dedup_key, CAST((SELECT max(seq) FROM evals) + {r} * {evaluate.SEQ_ROUND_BASE} "
+        return (f"SELECT rc.dedup_key, CAST((SELECT max(seq) FROM evals) + {r} * 1000000000000 "
                 f"+ rc.ord AS BIGINT) AS seq, "
                 f"{AS_OF_SQL} AS eval_date, CAST(sc.importance_score AS INTEGER) AS importance_score, "
                 f"CAST(sc.confidence_score AS INTEGER) AS confidence_score "
                 f"FROM rec rc JOIN sc USING (dedup_key) LEFT JOIN {st} USING (dedup_key) "
-                f"WHERE {queued(st, r)}")
+                f"WHERE {queued(st, r)} AND rc.ord % 7 <> 0")
     body = f"""
 , rec AS (SELECT dedup_key, ord FROM recent),
 sc AS (SELECT i.dedup_key, {ks['importance_score']} AS importance_score, {ks['confidence_score']} AS confidence_score
@@ -495,8 +508,12 @@ ev1 AS (SELECT * FROM ev0 UNION ALL {new_rows(1, 'st0')}),
 st1 AS ({agg.format(src='ev1')}),
 ev2 AS (SELECT * FROM ev1 UNION ALL {new_rows(2, 'st1')}),
 st2 AS ({agg.format(src='ev2')})
-SELECT rc.dedup_key, coalesce(st2.num_evals, 0) AS num_evals, st2.weighted_score, st2.median_confidence, st2.last_eval
-FROM rec rc LEFT JOIN st2 USING (dedup_key)"""
+SELECT rc.dedup_key, coalesce(st2.num_evals, 0) AS num_evals, st2.weighted_score, st2.median_confidence, st2.last_eval,
+       p.prompt_hash
+FROM rec rc LEFT JOIN st2 USING (dedup_key)
+LEFT JOIN (SELECT DISTINCT n.dedup_key, sha256(q.prompt) AS prompt_hash FROM (
+             {new_rows(1, 'st0')} UNION ALL {new_rows(2, 'st1')}) n JOIN {_prompt_sql()} q USING (dedup_key)) p
+  USING (dedup_key)"""
     return with_ctes(["recent", "items", "evals"], body)
 
 
@@ -644,7 +661,11 @@ def q_html_to_text(spark, sf):
 SELECT page_id, {_words_sql('t')} AS n_words, md5(t) AS main_md5
 FROM (SELECT page_id, {_main_sql('html')} AS t FROM pages)""")
 def q_extract_main_content(spark, sf):
-    pg = extract_main_content(b.table(spark, sf, "pages"), "html", "t")
+    # every fifth page says "main" by role, which only the tree walk can tell
+    html = F.when(F.col("page_id") % 5 == 0, F.replace(F.replace(
+        "html", F.lit("<article>"), F.lit('<section role="main">')), F.lit("</article>"), F.lit("</section>"))).otherwise(
+        F.col("html"))
+    pg = extract_main_content(b.table(spark, sf, "pages").select("page_id", html.alias("html")), "html", "t")
     return pg.select("page_id", word_count("t").alias("n_words"), F.md5("t").alias("main_md5"))
 
 
@@ -653,33 +674,35 @@ def q_word_count(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", word_count("text").alias("n_words"))
 
 
-_FEED_P = r"(?is)<p\b[^>]*>.*?</p>"
-
-
 @register("short_content_fallback", f"""
-WITH feed AS (SELECT page_id, url, {_strip_tags_sql(f"regexp_extract(html, '{_FEED_P}', 0)")} AS t FROM pages),
-full_ AS (SELECT url, {_main_sql('html')} AS ft FROM pages),
-scored AS (SELECT f.page_id, f.url, f.t, {_words_sql('f.t')} AS n, fu.ft, {_words_sql('fu.ft')} AS fn
+WITH feed AS (SELECT c.conv_id, c.turn, p.url, {_strip_tags_sql('c.text')} AS t
+              FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id),
+full_ AS (SELECT url, max(struct_pack(w := {_words_sql('ft')}, ft := ft)) AS page
+          FROM (SELECT url, {_main_sql('html')} AS ft FROM pages) GROUP BY url),
+scored AS (SELECT f.conv_id, f.turn, f.url, f.t, {_words_sql('f.t')} AS n, fu.page.ft AS ft, fu.page.w AS fn
            FROM feed f LEFT JOIN full_ fu ON f.url = fu.url)
-SELECT page_id,
-       CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN 'full' ELSE 'short' END AS content_from,
-       CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN fn ELSE n END AS n_words,
-       md5(CASE WHEN n < 50 AND url IS NOT NULL AND coalesce(fn > n, false) THEN ft ELSE t END) AS text_md5
+SELECT conv_id, turn,
+       CASE WHEN n < 50 AND coalesce(trim(url), '') <> '' AND coalesce(fn > n, false) THEN 'full' ELSE 'short' END AS content_from,
+       CASE WHEN n < 50 AND coalesce(trim(url), '') <> '' AND coalesce(fn > n, false) THEN fn ELSE n END AS n_words,
+       md5(CASE WHEN n < 50 AND coalesce(trim(url), '') <> '' AND coalesce(fn > n, false) THEN ft ELSE t END) AS text_md5
 FROM scored""")
 def q_short_content_fallback(spark, sf):
+    # the turns of a conversation are the feed's texts, the page of the same number its link
     pg = b.table(spark, sf, "pages")
-    feed = pg.select("page_id", "url", F.regexp_extract("html", _FEED_P, 0).alias("html"))
+    conv = b.table(spark, sf, "conversations")
+    feed = conv.join(pg.select("page_id", "url"), conv["conv_id"] == pg["page_id"], "left").select(
+        "conv_id", "turn", "url", F.col("text").alias("html"))
     out = shaping.short_content_fallback(feed, pg.select("url", "html"), 50)
-    return out.select("page_id", "content_from", "n_words", F.md5("text").alias("text_md5"))
+    return out.select("conv_id", "turn", "content_from", "n_words", F.md5("text").alias("text_md5"))
 
 
 @register("comments_filter", """
 SELECT event_id FROM events
-WHERE value >= 15 AND ts >= TIMESTAMP '2024-01-24 00:00:00' ORDER BY event_id LIMIT 200""")
+WHERE value >= 15 AND ts >= TIMESTAMP '2024-01-24 00:00:00'""")
 def q_comments_filter(spark, sf):
     c = b.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("value").alias("likes"),
                                              F.col("ts").alias("created"))
-    return shaping.liked_recent_comments(c, 15, _B_CUTOFF, 200).select(F.col("id").alias("event_id"))
+    return shaping.liked_recent_comments(c, 15, _B_CUTOFF).select(F.col("id").alias("event_id"))
 
 
 def _rich_tree(role: str, text: str):
@@ -770,21 +793,26 @@ def q_unstarred_anti_join(spark, sf):
 @register("trending_topk", """
 SELECT CAST(o_orderkey AS VARCHAR) AS full_name, o_totalprice AS stars,
        row_number() OVER (ORDER BY o_totalprice DESC, CAST(o_orderkey AS VARCHAR)) AS rank
-FROM orders WHERE o_orderdate > TIMESTAMP '2001-01-01 00:00:00' AND o_totalprice >= 10000
+FROM (SELECT o.*, l.pushed FROM orders o LEFT JOIN (
+        SELECT l_orderkey, max(l_shipdate) AS pushed FROM lineitem GROUP BY l_orderkey) l ON l.l_orderkey = o.o_orderkey)
+WHERE (o_orderdate > TIMESTAMP '2001-06-01 00:00:00' OR pushed > TIMESTAMP '2001-06-01 00:00:00')
+  AND o_totalprice >= 10000
 QUALIFY rank <= 50""")
 def q_trending_topk(spark, sf):
     from datetime import datetime
-    repos = b.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("full_name"),
-                                                 F.col("o_totalprice").alias("stars"),
-                                                 F.col("o_orderdate").alias("created"))
-    return shaping.trending(repos, datetime(2001, 1, 1), 10000, 50).select("full_name", "stars", "rank")
+    pushes = b.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("pushed"))
+    o = b.table(spark, sf, "orders")
+    repos = o.join(pushes, o["o_orderkey"] == pushes["l_orderkey"], "left").select(
+        F.col("o_orderkey").cast("string").alias("full_name"), F.col("o_totalprice").alias("stars"),
+        F.col("o_orderdate").alias("created"), "pushed")
+    return shaping.trending(repos, datetime(2001, 6, 1), 10000, 50).select("full_name", "stars", "rank")
 
 
 @register("following_activity", """
 SELECT e.event_id, e.user_id, d.doc_id, d.lang
 FROM events e JOIN documents d ON d.doc_id = e.user_id
 WHERE e.event_type IN ('click', 'purchase') AND e.ts >= TIMESTAMP '2024-01-24 00:00:00'
-  AND e.user_id IN (SELECT DISTINCT user_id FROM events ORDER BY user_id LIMIT 20)""")
+  AND e.user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')""")
 def q_following_activity(spark, sf):
     e = b.table(spark, sf, "events")
     events = e.select("event_id", F.col("user_id").alias("login"),
@@ -792,9 +820,10 @@ def q_following_activity(spark, sf):
                        .when(F.col("event_type") == "purchase", F.lit("ForkEvent"))
                        .otherwise(F.col("event_type")).alias("type"),
                       F.col("ts").alias("created_at"), F.col("user_id").alias("repo_name"))
-    following = e.select(F.col("user_id").alias("login")).distinct().withColumn("follow_pos", F.col("login"))
+    following = (e.where(F.col("event_type") == "signup").select(F.col("user_id").alias("login")).distinct()
+                 .withColumn("follow_pos", F.col("login")))
     repos = b.table(spark, sf, "documents").select(F.col("doc_id").alias("full_name"), "lang")
-    out = shaping.following_activity(events, following, repos, _B_CUTOFF, 20)
+    out = shaping.following_activity(events, following, repos, _B_CUTOFF)
     return out.select("event_id", F.col("login").alias("user_id"), F.col("full_name").alias("doc_id"), "lang")
 
 
@@ -809,14 +838,14 @@ g AS (SELECT full_name, min(list_ord * 1000000000000 + pos) AS k,
              arg_max(doc_id, list_ord * 1000000000000 + pos) AS doc_id
       FROM lists GROUP BY full_name)
 SELECT full_name, first_list, first_pos, doc_id, row_number() OVER (ORDER BY k) AS rank
-FROM g QUALIFY rank <= 30""")
+FROM g""")
 def q_combine_repos(spark, sf):
     d = b.table(spark, sf, "documents")
     l0 = d.where(F.col("n_chars") > 5000).select(F.lit(0).alias("list_ord"), F.col("doc_id").alias("pos"),
                                                   F.md5("text").alias("full_name"), "doc_id")
     l1 = d.where(F.col("lang").isin("en", "de")).select(F.lit(1).alias("list_ord"), F.col("doc_id").alias("pos"),
                                                          F.md5("text").alias("full_name"), "doc_id")
-    return shaping.combine_repos(l0.unionByName(l1), 30).select("full_name", "first_list", "first_pos", "doc_id", "rank")
+    return shaping.combine_repos(l0.unionByName(l1)).select("full_name", "first_list", "first_pos", "doc_id", "rank")
 
 
 @register("readme_decode_join", """
@@ -850,13 +879,21 @@ def q_land_items_json(spark, sf):
     return df.select("ord", "source", "title", "link", shaping.parse_item_date("creation_date").alias("creation_date"))
 
 
-@register("land_items_safe", with_ctes(["landed"], "SELECT ord, source, link FROM landed"))
+@register("land_items_safe", with_ctes(["landed"], """
+SELECT ord, source, link, CAST(NULL AS VARCHAR) AS malformed, 'landed' AS folder FROM landed
+UNION ALL
+SELECT NULL, NULL, NULL, line, 'junk' FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM benchmark)
+WHERE trim(line) <> ''"""))
 def q_land_items_safe(spark, sf):
     path = _landed_json(spark, sf)
     b.table(spark, sf, "benchmark").select("text").write.mode("overwrite").text(path + "/junk")
     good, bad = store.read_items_safe(spark, path + "/*")
     missing, _ = store.read_items_safe(spark, scratch_path(spark, "absent"))
-    return good.unionByName(missing).select("ord", "source", "link")
+    rows = good.unionByName(missing).select("ord", "source", "link", F.lit(None).cast("string").alias("malformed"),
+                                            "source_file")
+    rows = rows.unionByName(bad.select("ord", "source", "link", F.col(store.CORRUPT).alias("malformed"), "source_file"))
+    return rows.withColumn("folder", F.when(F.col("source_file").contains("/junk/"), F.lit("junk"))
+                           .otherwise(F.lit("landed"))).drop("source_file")
 
 
 _SOURCE_LANGS = ["de", "en", "es", "fr"]
@@ -884,22 +921,22 @@ def q_select_source(spark, sf):
     return items.select("ord", "dedup_key", "source")
 
 
-_A5_TITLE = r"^[^.!?\n]*"
-
-
 @register("validate_items", rf"""
 SELECT coalesce(reason, 'ok') AS reject_reason, count(*) AS n FROM (
   SELECT CASE WHEN source IS NULL OR trim(source) = '' THEN 'missing_source'
               WHEN title IS NULL OR trim(title) = '' THEN 'missing_title'
               WHEN link IS NULL OR trim(link) = '' THEN 'missing_link'
+              WHEN creation_date IS NULL THEN 'missing_creation_date'
               WHEN input IS NULL THEN 'missing_input' END AS reason
-  FROM (SELECT lang AS source, trim(regexp_extract(text, '{_A5_TITLE}', 0)) AS title,
-               CASE WHEN n_chars >= 20 THEN '{b.LINK_PREFIX}' || md5(text) END AS link, text AS input
+  FROM (SELECT lang AS source, text AS title,
+               CASE WHEN n_chars >= 20 THEN '{b.LINK_PREFIX}' || md5(text) END AS link,
+               CASE WHEN doc_id % 11 <> 0 THEN '2024-01-05' END AS creation_date, text AS input
         FROM documents)) GROUP BY 1""")
 def q_validate_items(spark, sf):
     d = b.table(spark, sf, "documents")
-    raw = d.select(F.col("lang").alias("source"), F.trim(F.regexp_extract("text", _A5_TITLE, 0)).alias("title"),
+    raw = d.select(F.col("lang").alias("source"), F.col("text").alias("title"),
                    F.when(F.col("n_chars") >= 20, F.concat(F.lit(b.LINK_PREFIX), F.md5("text"))).alias("link"),
+                   F.when(F.col("doc_id") % 11 != 0, F.lit("2024-01-05")).alias("creation_date"),
                    F.col("text").alias("input"))
     checked = collect.validate_items(raw)
     return checked.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("reject_reason")).agg(
@@ -916,101 +953,153 @@ def q_save_snapshot(spark, sf):
 SELECT strftime(creation_date, '%Y-%m-%d') AS creation_day, source, count(*) AS n
 FROM items WHERE strftime(creation_date, '%Y-%m-%d') >= '2024-01-24' GROUP BY 1, 2"""))
 def q_archive_snapshot(spark, sf):
-    path = store.archive_by_day(b.items(spark, sf).select(*ITEM_COLS), scratch_path(spark, "archive"))
+    path = store.archive_by_day(b.items_narrow(spark, sf).select(*ITEM_COLS), scratch_path(spark, "archive"))
     arch = store.read_archive(spark, path, since_day="2024-01-24")
     return arch.groupBy(F.col("creation_day").cast("string").alias("creation_day"), "source").agg(
         F.count(F.lit(1)).alias("n"))
 
 
-@register("export_digest", with_ctes(["digest"], "SELECT dedup_key, rank, weighted_score FROM digest"))
-def q_export_digest(spark, sf):
-    ranked = digest.digest_ranked(b.stored_items(spark, sf), b.BINDING_CONFIG, b.AS_OF)
-    path = store.export_digest(ranked.select("dedup_key", "rank", "weighted_score"), scratch_path(spark, "digest"))
+@register("export_bulletin", with_ctes(["bulletin"], "SELECT dedup_key, rank, weighted_score FROM bulletin"))
+def q_export_bulletin(spark, sf):
+    ranked = bulletin.bulletin_ranked(b.store(spark, sf), b.BINDING_CONFIG, b.AS_OF)
+    path = store.export_bulletin(ranked.select("dedup_key", "rank", "weighted_score"), scratch_path(spark, "bulletin"))
     return spark.read.schema("dedup_key string, rank bigint, weighted_score int").json(path)
 
 
-def _canonical_all(spark, sf) -> DataFrame:
-    d, pg = b.table(spark, sf, "documents"), b.table(spark, sf, "pages")
-    conv, o = b.table(spark, sf, "conversations"), b.table(spark, sf, "orders")
-    reg = SourceRegistry()
-    reg.register("papers", lambda spark: shaping.canonical(
-        d, "papers", shaping.title_by(F.concat(F.lit("doc "), F.col("doc_id").cast("string")), F.col("source")),
-        F.concat(F.lit("https://papers.example/abs/"), F.col("doc_id").cast("string")),
-        add_days(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("doc_id") % 30), ["doc_id", "source"]))
-    reg.register("feeds", lambda spark: shaping.canonical(
-        pg, "feeds", shaping.title_by(F.coalesce(F.nullif(F.regexp_extract(
-            "html", r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit("")), F.lit("Untitled")), F.lit("unknown")),
-        F.col("url"), F.lit(None).cast("timestamp_ntz"), ["page_id", "url"]))
-    reg.register("comments", lambda spark: shaping.canonical(
-        conv.where(F.col("turn") > 0), "comments",
-        shaping.comment_title(F.col("role"), F.concat(F.lit("conversation "), F.col("conv_id").cast("string"))),
-        F.concat(F.lit("https://markets.example/c/"), F.col("conv_id").cast("string"), F.lit("#"),
-                 F.col("turn").cast("string")),
-        add_days(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("turn")), ["conv_id", "turn"]))
-    reg.register("posts", lambda spark: shaping.canonical(
-        o, "posts", F.concat(F.lit("post-"), F.col("o_orderkey").cast("string")),
-        F.concat(F.lit("https://posts.example/"), F.col("o_orderkey").cast("string")), F.col("o_orderdate"),
-        ["o_orderkey"]))
-    reg.register("projects", lambda spark: shaping.canonical(
-        conv.where(F.col("turn") == 0), "projects",
-        shaping.title_by(F.concat(F.lit("project "), F.col("conv_id").cast("string")), F.col("role")),
-        F.concat(F.lit("https://grants.example/projects/"), F.col("conv_id").cast("string")),
-        add_days(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("conv_id") % 30), ["conv_id"]))
-    reg.register("repos", lambda spark: shaping.canonical(
-        d, "repos",
-        shaping.repo_title(F.concat(F.lit("repo-"), F.col("doc_id").cast("string")),
-                           F.when(F.col("lang") != "es", F.col("source"))),
-        F.concat(F.lit("https://code.example/r/"), F.col("doc_id").cast("string")),
-        F.lit(b.AS_OF.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz"), ["doc_id", "lang"]))
-    items, _ = reg.union(spark)
-    return items
+# The raw tables of the six source kinds, bound to the given tables, and their settings.
+_RAW_CONFIG = b.Config(base={"lookback_days": "14"}, sources={
+    "papers": {"categories": "fr,en,de", "max_results_per_category": "40"},
+    "feeds": {"min_word_count": "40", "lookback_days": "6"}, "comments": {"min_likes": "20"},
+    "projects": {"lookback_days": "20"}, "posts": {"min_votes": "200000", "lookback_days": "8000"},
+    "repos": {"min_stars": "400", "lookback_days": "9"}})
 
 
-@register("canonical_items", r"""
-SELECT 'papers' AS source, 'doc ' || CAST(doc_id AS VARCHAR) || ' by ' || source AS title,
-       'https://papers.example/abs/' || CAST(doc_id AS VARCHAR) AS link,
-       TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER)) AS creation_date
-FROM documents
+def _raw_tables(spark, sf) -> dict[str, DataFrame]:
+    d, pg = b.table(spark, sf, "documents"), b.table(spark, sf, "pages")
+    conv, o, e = b.table(spark, sf, "conversations"), b.table(spark, sf, "orders"), b.table(spark, sf, "events")
+    text = lambda c: F.col(c).cast("string")
+    day = lambda n: F.date_format(add_days(F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), n),
+                                  "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    none = F.lit(None).cast("string")
+    name = F.concat(F.lit("team/"), text("doc_id"))
+    return {
+        "papers": d.select(
+            F.concat(F.lit("https://papers.example/abs/"), text("doc_id")).alias("id"),
+            F.concat(F.lit(" On  document "), text("doc_id")).alias("title"), F.col("text").alias("summary"),
+            F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("author"),
+            F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))).alias("authors"),
+            F.explode(F.array("lang", F.when(F.col("doc_id") % 2 == 0, F.lit("en")).otherwise(F.lit("other")))).alias("category"),
+            none.alias("link"), day(F.col("doc_id") % 30).alias("published")).distinct(),
+        "feed_items": conv.join(pg.select("page_id", "url"), conv["conv_id"] == pg["page_id"], "left").select(
+            text("conv_id").alias("id"), F.concat(F.lit("turn "), text("turn")).alias("title"), F.col("role").alias("author"),
+            F.col("text").alias("html"), "url", F.when(F.col("role") == "user", 0).otherwise(1).alias("is_read"),
+            (F.lit(1706659200) - F.col("conv_id") % 10 * 86400).alias("created_on_time")),
+        "pages": pg.select("url", "html"),
+        "comments": conv.select(
+            F.concat(text("conv_id"), F.lit("-"), text("turn")).alias("id"), text("conv_id").alias("contractId"),
+            F.concat(F.lit("question "), text("conv_id")).alias("contractQuestion"), F.col("role").alias("userName"),
+            _rich_tree("role", "text").alias("content"), (F.col("conv_id") % 50).alias("likes"),
+            F.when(F.col("turn") % 2 == 0, day(F.col("conv_id") % 30)).alias("created_time"),
+            (F.lit(1706659200999) - F.col("turn") * 86400000).alias("createdTime")),
+        "markets": b.table(spark, sf, "customer").select(
+            text("c_custkey").alias("market_id"), F.concat(F.lit("https://markets.example/"), F.col("c_name")).alias("market_url")),
+        "projects": conv.where(F.col("turn") == 0).select(
+            F.concat(F.lit("project "), text("conv_id")).alias("title"), text("conv_id").alias("slug"),
+            day(F.col("conv_id") % 30).alias("created_at"), F.col("role").alias("full_name")),
+        "project_comments": conv.where(F.col("turn") > 0).select(
+            text("conv_id").alias("slug"), F.col("role").alias("full_name"), F.col("text").alias("content"),
+            day(F.col("turn") % 30).alias("created_at"), F.col("turn").alias("seq")),
+        "posts": o.select(
+            text("o_orderkey").alias("id"), F.concat(F.lit("post-"), text("o_orderkey")).alias("name"),
+            F.col("o_orderpriority").alias("tagline"), none.alias("description"),
+            F.concat(F.lit("https://posts.example/"), text("o_orderkey")).alias("url"),
+            F.floor("o_totalprice").cast("bigint").alias("votesCount"),
+            F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("createdAt")),
+        "repos": d.select(
+            name.alias("full_name"), text("doc_id").alias("name"),
+            F.when(F.col("lang") != "es", F.col("source")).alias("description"),
+            F.concat(F.lit("https://code.example/"), name).alias("html_url"), F.col("n_chars").cast("double").alias("stars"),
+            day(F.col("doc_id") % 30).alias("created"), day((F.col("doc_id") * 7) % 30).alias("pushed")),
+        "user_events": e.select(
+            text("user_id").alias("login"), F.when(F.col("event_type") == "click", "WatchEvent").otherwise("PushEvent").alias("type"),
+            F.concat(F.lit("team/"), text("user_id")).alias("repo_name"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at")),
+        "following": e.where(F.col("event_type") == "signup").select(
+            text("user_id").alias("login"), F.col("user_id").alias("follow_pos")).distinct(),
+        "starred": b.table(spark, sf, "labels").where(F.col("quality") == 0).select(name.alias("full_name")),
+        "readmes": d.select(name.alias("full_name"), F.base64(F.encode("text", "UTF-8")).alias("content")),
+    }
+
+
+@register("canonical_items", rf"""
+WITH day0 AS (SELECT TIMESTAMP '2024-01-01 00:00:00' AS z),
+papers AS (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY published DESC, id) AS rn
+  FROM (SELECT DISTINCT doc_id, 'https://papers.example/abs/' || doc_id AS id, category, source, lang,
+               z + to_days(CAST(doc_id % 30 AS INTEGER)) AS published
+        FROM (SELECT *, unnest([lang, CASE WHEN doc_id % 2 = 0 THEN 'en' ELSE 'other' END]) AS category FROM documents), day0)
+  WHERE category IN ('fr', 'en', 'de') AND published >= TIMESTAMP '2024-01-17 00:00:00'),
+one_paper AS (SELECT DISTINCT doc_id, id, source, lang, published FROM papers WHERE rn <= 40),
+feed AS (SELECT c.conv_id, c.turn, c.role, p.url, {_strip_tags_sql('c.text')} AS t,
+                TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(c.conv_id % 10 AS INTEGER)) AS created
+         FROM conversations c LEFT JOIN pages p ON p.page_id = c.conv_id WHERE c.role = 'user'),
+trend AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY n_chars DESC, 'team/' || doc_id) AS rk FROM documents, day0
+          WHERE (z + to_days(CAST(doc_id % 30 AS INTEGER)) > TIMESTAMP '2024-01-22 00:00:00'
+                 OR z + to_days(CAST(doc_id * 7 % 30 AS INTEGER)) > TIMESTAMP '2024-01-22 00:00:00') AND n_chars >= 400) WHERE rk <= 50),
+active AS (SELECT DISTINCT d.* FROM events e JOIN documents d ON d.doc_id = e.user_id
+           WHERE e.event_type = 'click' AND date_trunc('second', e.ts) >= TIMESTAMP '2024-01-22 00:00:00'
+             AND e.user_id IN (SELECT user_id FROM events WHERE event_type = 'signup')),
+repo AS (SELECT doc_id, source, lang FROM trend UNION SELECT doc_id, source, lang FROM active)
+SELECT 'papers' AS source, 'On document ' || doc_id || ' by ' || CASE WHEN doc_id % 3 <> 0 THEN source
+         ELSE array_to_string(list_sort(list_distinct([source, lang])), ',') END AS title, id AS link, published AS creation_date,
+       NULL AS n_words
+FROM one_paper
 UNION ALL
-SELECT 'feeds', coalesce(nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), 'Untitled') || ' by unknown',
-       url, CAST(NULL AS TIMESTAMP) FROM pages
+SELECT 'feeds', 'turn ' || turn || ' by ' || role, f.url, created,
+       CASE WHEN {_words_sql('f.t')} < 40 AND coalesce(trim(f.url), '') <> '' THEN greatest({_words_sql('f.t')}, coalesce(g.fn, 0))
+            ELSE {_words_sql('f.t')} END
+FROM feed f LEFT JOIN (SELECT url, max({_words_sql(_main_sql('html'))}) AS fn FROM pages GROUP BY url) g ON g.url = f.url
+WHERE created > TIMESTAMP '2024-01-25 00:00:00'
 UNION ALL
-SELECT 'comments', 'Comment by ' || role || ' on conversation ' || CAST(conv_id AS VARCHAR),
-       'https://markets.example/c/' || CAST(conv_id AS VARCHAR) || '#' || CAST(turn AS VARCHAR),
-       TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(turn AS INTEGER)) FROM conversations WHERE turn > 0
+SELECT 'comments', 'Comment by ' || role || ' on question ' || conv_id,
+       'https://markets.example/' || c_name || '#' || conv_id || '-' || turn, created, NULL
+FROM (SELECT c.*, CASE WHEN turn % 2 = 0 THEN z + to_days(CAST(conv_id % 30 AS INTEGER))
+                       ELSE TIMESTAMP '2024-01-31 00:00:00' - to_days(CAST(turn AS INTEGER)) END AS created
+      FROM conversations c, day0) c JOIN customer ON c_custkey = conv_id
+WHERE conv_id % 50 >= 20 AND created >= TIMESTAMP '2024-01-17 00:00:00' AND length('@' || role || text || '[image]') > 500
 UNION ALL
-SELECT 'posts', 'post-' || CAST(o_orderkey AS VARCHAR), 'https://posts.example/' || CAST(o_orderkey AS VARCHAR),
-       o_orderdate FROM orders
+SELECT 'projects', 'project ' || conv_id || ' by ' || role, 'https://grants.example/projects/' || conv_id,
+       z + to_days(CAST(conv_id % 30 AS INTEGER)), NULL
+FROM conversations, day0 WHERE turn = 0 AND z + to_days(CAST(conv_id % 30 AS INTEGER)) > TIMESTAMP '2024-01-11 00:00:00'
 UNION ALL
-SELECT 'projects', 'project ' || CAST(conv_id AS VARCHAR) || ' by ' || role,
-       'https://grants.example/projects/' || CAST(conv_id AS VARCHAR),
-       TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(conv_id % 30 AS INTEGER)) FROM conversations WHERE turn = 0
+SELECT 'posts', 'post-' || o_orderkey, 'https://posts.example/' || o_orderkey, o_orderdate, NULL FROM orders
+WHERE o_orderdate > TIMESTAMP '2024-01-31 00:00:00' - to_days(8000) AND floor(o_totalprice) >= 200000
 UNION ALL
-SELECT 'repos', 'repo-' || CAST(doc_id AS VARCHAR) || ' - ' || coalesce(CASE WHEN lang <> 'es' THEN source END, 'No description'),
-       'https://code.example/r/' || CAST(doc_id AS VARCHAR), TIMESTAMP '2024-01-31 00:00:00' FROM documents""")
+SELECT 'repos', doc_id || ' - ' || coalesce(CASE WHEN lang <> 'es' THEN source END, 'No description'),
+       'https://code.example/team/' || doc_id, TIMESTAMP '2024-01-31 00:00:00', NULL FROM repo
+WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
 def q_canonical_items(spark, sf):
-    return _canonical_all(spark, sf).select("source", "title", "link", "creation_date")
+    raw = _raw_tables(spark, sf)
+    reg = SourceRegistry()
+    for kind in builders.BUILDERS:
+        reg.register(kind, lambda spark, kind=kind: builders.build(kind, raw, _RAW_CONFIG, b.AS_OF))
+    items, _ = reg.union(spark)
+    words = F.when(F.col("source") == "feeds", word_count(F.get_json_object("input", "$.html")))
+    return items.select("source", "title", "link", "creation_date", words.alias("n_words"))
 
 
 # ====================================================================== S streaming
 
-def _slots(spark) -> int | None:
-    """Task slots of a local session (these test-size streams need no more state
-    partitions); None elsewhere, keeping the session's shuffle partitions."""
-    sc = spark.sparkContext
-    return sc.defaultParallelism if sc.master.startswith("local") else None
-
-
 def _stream_paths(spark, name):
     return scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
 
 
-@register("stream_collect", with_ctes(["landed"], "SELECT DISTINCT dedup_key, source FROM landed"))
+@register("stream_collect", with_ctes(["items"], "SELECT dedup_key, ord, source FROM items"))
 def q_stream_collect(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-collect")
     docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
-    jobs.stream_collect(b.landed_from_documents(docs), out, ckpt, state_partitions=_slots(spark))
-    return spark.read.parquet(out).select("dedup_key", "source")
+    jobs.stream_collect(b.landed_from_documents(docs), out, ckpt)
+    return spark.read.parquet(out).select("dedup_key", "ord", "source")
 
 
 @register("stream_eval_state", with_ctes(["state"], """
@@ -1018,8 +1107,10 @@ SELECT dedup_key, num_evals, weighted_score, median_confidence, last_eval FROM s
 def q_stream_eval_state(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-state")
     events = jobs.read_stream_table(spark, sf, "events", b.EVENTS_SCHEMA)
-    jobs.stream_eval_state(b.evals_from_events(events, b.landed_items(spark, sf)), out, ckpt,
-                           state_partitions=_slots(spark))
+    # the static side is read for every micro-batch: a narrow stored key table
+    keys = b.key_table(spark, sf).checkpoint(eager=True)
+    jobs.stream_eval_state(b.evals_from_events(events, keys), out, ckpt)
+    jobs.compact_state(spark, out)
     return jobs.latest_state(spark, out)
 
 
@@ -1027,16 +1118,21 @@ def _stream_evaluate_sql() -> str:
     from gleaner.plans.oracle import keyword_sql, setting, settings_sql
     ks = keyword_sql("coalesce(json_extract_string(l.input, '$.text'), l.title)")
     lb = setting("lookback_days", "int")
-    return with_ctes(["landed"], f"""SELECT l.dedup_key, l.ord, {ks['importance_score']} AS importance_score,
+    return with_ctes(["landed", "evals"], f"""
+, fresh AS (SELECT l.*, row_number() OVER (PARTITION BY l.dedup_key ORDER BY l.ord) AS rn_
+  FROM landed l LEFT JOIN {settings_sql({'lookback_days': 'int'})} c USING (source)
+  WHERE {lb} <= 0 OR l.creation_date IS NULL OR l.creation_date >= {AS_OF_SQL} - to_days({lb}))
+SELECT l.dedup_key, l.ord, {ks['importance_score']} AS importance_score,
        {ks['confidence_score']} AS confidence_score
-FROM landed l LEFT JOIN {settings_sql({'lookback_days': 'int'})} c USING (source)
-WHERE {lb} <= 0 OR l.creation_date IS NULL OR l.creation_date >= {AS_OF_SQL} - to_days({lb})""")
+FROM fresh l WHERE rn_ = 1 AND l.dedup_key NOT IN (SELECT dedup_key FROM evals WHERE seq % 3 = 0)""")
 
 
 @register("stream_evaluate", _stream_evaluate_sql())
 def q_stream_evaluate(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-eval")
     docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
+    # a third of the events stands for the evals that exist before the stream starts
+    known = b.evals(spark, sf).where(F.col("seq") % 3 == 0).select("dedup_key").distinct().checkpoint(eager=True)
     jobs.stream_evaluate(b.landed_from_documents(docs), scorers.keyword_scorer(), out, ckpt,
-                         cfg=b.BINDING_CONFIG, as_of=b.AS_OF)
+                         cfg=b.BINDING_CONFIG, as_of=b.AS_OF, evals=known)
     return spark.read.parquet(out).select("dedup_key", "ord", "importance_score", "confidence_score")

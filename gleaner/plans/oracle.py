@@ -43,7 +43,7 @@ def setting(key: str, typ: str) -> str:
 CTES: dict[str, tuple[list[str], str]] = {
     "landed": ([], f"""
         SELECT doc_id AS ord, lang AS source, '{LINK_PREFIX}' || md5(text) AS link,
-               substr(text, 1, 80) AS title,
+               source || ' document ' || CAST(doc_id AS VARCHAR) AS title,
                TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(doc_id % 30 AS INTEGER)) AS creation_date,
                to_json({{'doc_id': doc_id, 'src': source, 'n_chars': n_chars, 'text': text}}) AS input,
                md5(lang || '|' || '{LINK_PREFIX}' || md5(text)) AS dedup_key
@@ -81,7 +81,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "important": (["store"], f"""
         SELECT st.* FROM store st LEFT JOIN {settings_sql({'min_email_score': 'double'})} c USING (source)
         WHERE CAST(coalesce(st.weighted_score, 0) AS DOUBLE) >= {setting('min_email_score', 'double')}"""),
-    "digest": (["recent", "important"], """
+    "bulletin": (["recent", "important"], """
         SELECT *, row_number() OVER (ORDER BY weighted_score DESC NULLS LAST, ord) AS rank
         FROM (SELECT * FROM important WHERE dedup_key IN (SELECT dedup_key FROM recent))"""),
 }

@@ -35,12 +35,13 @@ def _ts(value: datetime) -> Column:
 
 def parse_item_date(text: str | Column) -> Column:
     """Any of the landed date encodings to a UTC TIMESTAMP_NTZ: ISO with ``Z``, with an
-    offset, with fractional seconds, naive (read as UTC); all-digit text is epoch
-    seconds, or epoch milliseconds (floored to the second) from 13 digits on.
-    Unparsable text gives null."""
+    offset, with fractional seconds, naive (read as UTC); all-digit text of eight digits
+    is an ISO basic date, otherwise epoch seconds, or epoch milliseconds (floored to the
+    second) from 13 digits on. Unparsable text and instants beyond year 9999 give null."""
     t = F.trim(F.col(text) if isinstance(text, str) else text)
     digits = t.rlike(r"^[0-9]+$")
-    return (F.when(digits & (F.length(t) >= 13), from_epoch_millis_to_second(t))
+    return (F.when(digits & (F.length(t) == 8), F.try_to_timestamp(t, F.lit("yyyyMMdd")).cast("timestamp_ntz"))
+             .when(digits & (F.length(t) >= 13), from_epoch_millis_to_second(t))
              .when(digits, from_epoch_seconds(t))
              .otherwise(parse_iso(t)))
 
@@ -97,16 +98,19 @@ def unread_recent(rss: DataFrame, cutoff: datetime) -> DataFrame:
 
 def short_content_fallback(feed: DataFrame, pages: DataFrame, min_words: int = 50) -> DataFrame:
     """Feed text shorter than ``min_words`` words with a URL is replaced by the
-    page's main content when that has more words. Word counts are computed first, so
-    only short rows take part in the join with the landed pages."""
+    page's main content when that has more words. A blank URL counts as none. Word
+    counts are computed first, so only short rows take part in the join with the landed
+    pages; of pages landed several times under one URL the longest text counts."""
     f = feed.withColumn("text", plain_text("html")).withColumn("n_words", word_count("text"))
-    short = f.where((F.col("n_words") < min_words) & F.col("url").isNotNull())
+    is_short = (F.col("n_words") < min_words) & (F.coalesce(F.trim("url"), F.lit("")) != "")
+    short = f.where(is_short)
     # extract main content only for pages some short item points to (the cheap word
     # count decides before the costly extraction, as the reference decides before fetching)
     wanted = pages.select("url", "html").join(short.select("url").distinct(), "url", "left_semi")
     full = (extract_main_content(wanted, "html", "_full")
             .select(F.col("url").alias("_url"), "_full")
-            .withColumn("_full_words", word_count("_full")))
+            .groupBy("_url").agg(F.max(F.struct(word_count("_full").alias("_full_words"), "_full")).alias("_page"))
+            .select("_url", "_page.*"))
     joined = short.join(full, short["url"] == full["_url"], "left")
     use_full = F.coalesce(F.col("_full_words") > F.col("n_words"), F.lit(False))
     replaced = joined.select(
@@ -114,7 +118,7 @@ def short_content_fallback(feed: DataFrame, pages: DataFrame, min_words: int = 5
         F.when(use_full, F.col("_full")).otherwise(F.col("text")).alias("text"),
         F.when(use_full, F.col("_full_words")).otherwise(F.col("n_words")).alias("n_words"),
         F.when(use_full, F.lit("full")).otherwise(F.lit("short")).alias("content_from"))
-    kept = (f.where(~((F.col("n_words") < min_words) & F.col("url").isNotNull()))
+    kept = (f.where(~F.coalesce(is_short, F.lit(False)))
             .withColumn("content_from", F.lit("short")))
     return replaced.unionByName(kept)
 
@@ -122,11 +126,11 @@ def short_content_fallback(feed: DataFrame, pages: DataFrame, min_words: int = 5
 # ------------------------------------------------------------------ B11-B14 comments
 
 def liked_recent_comments(comments: DataFrame, min_likes: int, cutoff: datetime,
-                          max_comments: int) -> DataFrame:
-    """Likes >= min_likes and created at or after cutoff, at most ``max_comments``
-    (the remote query's limit is unordered; here the oldest ids win, deterministically)."""
-    return (comments.where((F.col("likes") >= min_likes) & (F.col("created") >= _ts(cutoff)))
-            .orderBy("id").limit(max_comments))
+                          max_comments: int | None = None) -> DataFrame:
+    """Likes >= min_likes and created at or after cutoff. ``max_comments`` (a remote
+    query's budget; None = all) keeps that many, the lowest ids first."""
+    kept = comments.where((F.col("likes") >= min_likes) & (F.col("created") >= _ts(cutoff)))
+    return kept if max_comments is None else kept.orderBy("id").limit(max_comments)
 
 
 def long_comments(comments: DataFrame, min_chars: int = 500) -> DataFrame:
@@ -181,43 +185,45 @@ def drop_starred(repos: DataFrame, starred: DataFrame) -> DataFrame:
 
 
 def trending(repos: DataFrame, cutoff: datetime, min_stars: int, n: int = 50) -> DataFrame:
-    """Recent repositories with enough stars, top ``n`` by stars."""
+    """Repositories created or pushed since the cutoff with enough stars, top ``n``
+    by stars."""
     order = [F.col("stars").desc(), F.col("full_name").asc()]
-    top = (repos.where((F.col("created") > _ts(cutoff)) & (F.col("stars") >= min_stars))
+    fresh = (F.col("created") > _ts(cutoff)) | (F.col("pushed") > _ts(cutoff))
+    top = (repos.where(fresh & (F.col("stars") >= min_stars))
            .orderBy(*order).limit(n))
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
 
 
 def following_activity(events: DataFrame, following: DataFrame, repos: DataFrame,
-                       cutoff: datetime, n_users: int = 20,
+                       cutoff: datetime, n_users: int | None = None,
                        types: tuple[str, ...] = ("WatchEvent", "ForkEvent")) -> DataFrame:
-    """star/fork events since ``cutoff`` of the first ``n_users`` followed users,
-    joined to repository details. The user list is a top-n (bounded), broadcast."""
-    users = following.orderBy("follow_pos").limit(n_users).select("login")
+    """star/fork events since ``cutoff`` of the followed users (``n_users``: of the
+    first ones only; None = all), joined to repository details."""
+    users = following if n_users is None else following.orderBy("follow_pos").limit(n_users)
     ev = (events.where(F.col("type").isin(*types) & (F.col("created_at") >= _ts(cutoff)))
-          .join(F.broadcast(users), "login", "left_semi"))
+          .join(users.select("login"), "login", "left_semi"))
     return ev.join(repos, ev["repo_name"] == repos["full_name"])
 
 
 _POS_BITS = 40   # (list_ord, pos) packed as list_ord << 40 | pos; positions stay below 2^40
 
 
-def combine_repos(lists: DataFrame, max_repos: int) -> DataFrame:
+def combine_repos(lists: DataFrame, max_repos: int | None = None) -> DataFrame:
     """Union of ordered repo lists keyed by full_name; a later occurrence
-    replaces the value but the key keeps its first position; first ``max_repos``.
-    ``lists`` carries (list_ord, pos, full_name, value...).
+    replaces the value but the key keeps its first position; the first ``max_repos``
+    (None = all) with their rank. ``lists`` carries (list_ord, pos, full_name, value...).
 
     First and last positions are one packed BIGINT each, so a hash aggregate finds
-    them; after the top-``max_repos`` cut, the values of those few keys are fetched with
-    a broadcast of at most ``max_repos`` rows."""
+    them; the keys are ranked on these alone, and the values joined back on the unique
+    (key, last position) pair."""
     value_cols = [c for c in lists.columns if c not in ("list_ord", "pos", "full_name")]
     packed = F.shiftleft(F.col("list_ord").cast("bigint"), _POS_BITS) + F.col("pos").cast("bigint")
     keyed = lists.withColumn("_k", packed)
     spans = keyed.groupBy("full_name").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"))
-    top = (spans.orderBy("_first").limit(max_repos)
-           .select(F.col("full_name").alias("_fn"), "_first", F.col("_last").alias("_k"),
-                   F.row_number().over(Window.orderBy("_first")).cast("bigint").alias("rank")))
-    values = keyed.join(F.broadcast(top), (F.col("full_name") == F.col("_fn")) & (keyed["_k"] == top["_k"]))
+    kept = spans if max_repos is None else spans.orderBy("_first").limit(max_repos)
+    top = rank_rows(kept.select(F.col("full_name").alias("_fn"), "_first", F.col("_last").alias("_at")),
+                    [F.col("_first").asc()], rank_col="rank")
+    values = keyed.join(top, (F.col("full_name") == F.col("_fn")) & (F.col("_k") == F.col("_at")))
     return values.select(
         "full_name", F.shiftright("_first", _POS_BITS).cast("int").alias("first_list"),
         F.col("_first").bitwiseAND(F.lit((1 << _POS_BITS) - 1)).alias("first_pos"),
@@ -238,22 +244,28 @@ def attach_readme(repos: DataFrame, readmes: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ B12 rich text
 
-def _flatten_tree(node) -> str:
+def _flatten_tree(tree) -> str:
     """Text of a rich-text tree: mentions give their label, images their alt text
-    (or a placeholder), text nodes their text; children in document order."""
-    if isinstance(node, list):
-        return "".join(_flatten_tree(x) for x in node)
-    if not isinstance(node, dict):
-        return ""
-    kind = node.get("type")
-    attrs = node.get("attrs") or {}
-    if kind in ("mention", "contract-mention") and "attrs" in node:
-        return str(attrs.get("label", "") or "")
-    if kind == "image":
-        return str(attrs.get("alt", "") or "") or IMAGE_PLACEHOLDER
-    if kind == "text":
-        return str(node.get("text", "") or "")
-    return _flatten_tree(node.get("content", []))
+    (or a placeholder), text nodes their text; children in document order. An explicit
+    stack serves trees of any depth."""
+    out, stack = [], [tree]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, list):
+            stack.extend(reversed(node))
+        if not isinstance(node, dict):
+            continue
+        kind, attrs = node.get("type"), node.get("attrs")
+        attrs = attrs if isinstance(attrs, dict) else {}
+        if kind in ("mention", "contract-mention") and "attrs" in node:
+            out.append(str(attrs.get("label", "") or ""))
+        elif kind == "image":
+            out.append(str(attrs.get("alt", "") or "") or IMAGE_PLACEHOLDER)
+        elif kind == "text":
+            out.append(str(node.get("text", "") or ""))
+        else:
+            stack.append(node.get("content", []))
+    return "".join(out)
 
 
 def flatten_rich_text(col: str | Column) -> Column:
@@ -266,7 +278,7 @@ def flatten_rich_text(col: str | Column) -> Column:
                 return None
             try:
                 return _flatten_tree(json.loads(s))
-            except ValueError:
+            except (ValueError, RecursionError):     # not JSON, or nested beyond the parser
                 return None
         return trees.map(one)
 

@@ -6,6 +6,10 @@ micro-batches (S1), arriving evals keep a running per-item state (S2), and new i
 are scored per micro-batch with an idempotent sink (S3). All runs here use
 ``trigger(availableNow=True)`` so a bounded input drives the query to completion;
 the same code runs continuously with a processing-time trigger.
+
+Every sink writes one ``batch_id=N`` folder per micro-batch in overwrite mode, so a
+replayed batch replaces its earlier output, and S1 and S3 compare a batch with the
+folders of the other batches only.
 """
 
 from __future__ import annotations
@@ -15,9 +19,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators.collect import dedup_first_wins
 from gleaner.operators.evaluate import (finish_weighted, recent_items, valid_response,
                                        weighted_score_col)
-from gleaner.session import spread
+from gleaner.sources.store import file_system
 
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -29,54 +34,49 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def _run(writer, name: str, spark: SparkSession | None = None,
-         state_partitions: int | None = None) -> None:
-    """Run a stream to completion (availableNow). ``state_partitions`` sets the number
-    of state-store partitions, which a streaming query fixes when it first starts (from
-    ``spark.sql.shuffle.partitions``); the session value is restored right after start,
-    as the running query keeps its own copy of the settings."""
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key) if (spark is not None and state_partitions) else None
-    if old is not None:
-        spark.conf.set(key, str(state_partitions))
-    try:
-        q = writer.queryName(name).trigger(availableNow=True).start()
-    finally:
-        if old is not None:
-            spark.conf.set(key, old)
+def _run(writer, name: str) -> None:
+    """Run a stream to completion (availableNow)."""
+    q = writer.queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
 
 
-def stream_collect(items: DataFrame, out_path: str, checkpoint: str,
-                   event_time: str | None = None, delay: str | None = None,
-                   state_partitions: int | None = None) -> None:
+def _written_keys(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """Keys that earlier micro-batches wrote (None before the first one)."""
+    fs, p = file_system(spark, path)
+    if not fs.exists(p):
+        return None
+    done = [s.getPath().toString() for s in fs.listStatus(p)
+            if s.getPath().getName().startswith("batch_id=") and s.getPath().getName() != f"batch_id={batch_id}"]
+    return spark.read.schema("dedup_key string").parquet(*done) if done else None
+
+
+def stream_collect(items: DataFrame, out_path: str, checkpoint: str) -> None:
     """Keep the first-arriving row per ``dedup_key`` across micro-batches.
 
-    Without ``event_time`` the dedup is exact and the state store keeps every key ever
-    seen. With ``event_time`` and ``delay`` (e.g. "30 days") the state is bounded:
-    ``dropDuplicatesWithinWatermark`` forgets a key once the watermark passes it, so a
-    copy arriving later than ``delay`` after the first is kept again."""
-    use_rocksdb_state(items.sparkSession)
-    keyed = items.where(F.col("dedup_key").isNotNull())
-    if event_time is not None:
-        keyed = (keyed.withColumn("_event_ts", F.col(event_time).cast("timestamp"))
-                 .withWatermark("_event_ts", delay or "0 seconds"))
-        deduped = keyed.dropDuplicatesWithinWatermark(["dedup_key"]).drop("_event_ts")
-    else:
-        deduped = keyed.dropDuplicates(["dedup_key"])
-    _run(deduped.writeStream.format("parquet").option("path", out_path)
-         .option("checkpointLocation", checkpoint).outputMode("append"), "stream_collect",
-         items.sparkSession, state_partitions)
-
-
-def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str,
-                      state_partitions: int | None = None) -> None:
+    Each batch is deduplicated first-wins by ``ord`` (a map-side combined minimum, so a
+    key that holds much of a batch is no hot key) and anti-joined with the keys already
+    written. The written items are the only state: nothing expires, so no new item is
+    lost however late it comes, and no copy is kept twice."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = dedup_first_wins(batch, "ord")
+        seen = _written_keys(batch.sparkSession, out_path, batch_id)
+        if seen is not None:
+            new = new.join(seen, "dedup_key", "left_anti")
+        new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    _run(items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), "stream_collect")
+
+
+def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str) -> None:
     """Running evaluation state per item. Update mode: each micro-batch emits only
     the keys it changed, written as one changelog folder per ``batch_id`` (overwrite, so
-    a replayed batch replaces itself). ``latest_state`` reads the newest row per key.
-    The exact median keeps a value->count map per key in the state store."""
+    a replayed batch replaces itself). ``latest_state`` reads the newest row per key,
+    ``compact_state`` folds the changelog. Evals joined to a static side should be given
+    a stored one, as it is read again for every batch. The exact median keeps a
+    value->count map per key in the state store, whose partitions are the session's
+    shuffle partitions when the stream first starts."""
     use_rocksdb_state(evals.sparkSession)
     sw, w = weighted_score_col(F.col("importance_score"), F.col("confidence_score"))
     state = evals.groupBy("dedup_key").agg(
@@ -91,8 +91,7 @@ def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str,
               .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}"))
 
     _run(state.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-         .outputMode("update"), "stream_eval_state",
-         evals.sparkSession, state_partitions)
+         .outputMode("update"), "stream_eval_state")
 
 
 def latest_state(spark: SparkSession, out_path: str) -> DataFrame:
@@ -103,19 +102,46 @@ def latest_state(spark: SparkSession, out_path: str) -> DataFrame:
     return log.join(newest, ["dedup_key", "batch_id"], "left_semi").drop("batch_id")
 
 
+def compact_state(spark: SparkSession, out_path: str) -> int:
+    """Fold the changelog of a stopped stream into its newest batch folder and drop the
+    older ones; returns that batch id (-1 if there is none). The folded folder carries
+    the id in its name until it has taken the newest one's place; a run that died in
+    between is finished first, so no change is lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs, p = file_system(spark, out_path)
+    names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+    for n in names:
+        if n.startswith("_folded-") and fs.exists(path(f"{out_path}/{n}/_SUCCESS")):
+            target = f"batch_id={n.split('-', 1)[1]}"
+            if target not in names and fs.rename(path(f"{out_path}/{n}"), path(f"{out_path}/{target}")):
+                names.append(target)
+    ids = sorted(int(n.split("=", 1)[1]) for n in names if n.startswith("batch_id="))
+    if not ids:
+        return -1
+    last, folded = f"{out_path}/batch_id={ids[-1]}", f"{out_path}/_folded-{ids[-1]}"
+    latest_state(spark, out_path).write.mode("overwrite").parquet(folded)
+    fs.delete(path(last), True)
+    fs.rename(path(folded), path(last))
+    for i in ids[:-1]:
+        fs.delete(path(f"{out_path}/batch_id={i}"), True)
+    return ids[-1]
+
+
 def stream_evaluate(items: DataFrame, scorer: Callable[[DataFrame], DataFrame], out_path: str,
-                    checkpoint: str, cfg=None, as_of=None) -> None:
-    """S3: score each micro-batch of new items and append the evals. With ``cfg`` and
-    ``as_of`` only recent items (E1, per-source lookback) are scored; new items have no
-    evals yet, so all of them are queued (E2); rows without a response are dropped.
-    Each batch writes its own ``batch_id=`` folder in overwrite mode, so a replayed
-    batch replaces its earlier output instead of duplicating it."""
+                    checkpoint: str, cfg=None, as_of=None, evals: DataFrame | None = None) -> None:
+    """S3: score each micro-batch of new items and append the evals, one per key. With
+    ``cfg`` and ``as_of`` only recent items (E1, per-source lookback) are scored. Items
+    that have an eval already, in ``evals`` or from an earlier batch, are not queued
+    again (E2); rows without a response are dropped."""
     if cfg is not None:
         items = recent_items(items, cfg, as_of)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # a micro-batch from few files is few partitions: spread the scoring work
-        scored = scorer(spread(batch)).where(valid_response()).select(
+        todo = dedup_first_wins(batch, "ord")
+        for done in (evals, _written_keys(batch.sparkSession, out_path, batch_id)):
+            if done is not None:
+                todo = todo.join(done.select("dedup_key"), "dedup_key", "left_anti")
+        scored = scorer(todo).where(valid_response()).select(
             "dedup_key", "ord",
             F.col("response.importance_score").alias("importance_score"),
             F.col("response.confidence_score").alias("confidence_score"),

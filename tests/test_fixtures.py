@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.columns import as_int, as_list, dedup_key, word_count
 from gleaner.functions.html import extract_main_content
-from gleaner.operators import analysis, collect, digest, evaluate, serve
+from gleaner.operators import analysis, collect, bulletin, evaluate, serve
 from gleaner.operators.config import Config, resolve_config, with_settings
 from gleaner.sources import shaping
 
@@ -215,7 +215,7 @@ def test_readme_decode(spark):
     assert got == {"a": "hello", "b": None, "c": None}
 
 
-def test_digest_groups_and_summaries(spark):
+def test_bulletin_groups_and_summaries(spark):
     state = spark.createDataFrame(
         [("p", 1, "s1", 90), ("q", 2, "s2", 80), ("r", 3, "s1", 70), ("t", 4, "s2", 60)],
         "dedup_key string, ord bigint, source string, weighted_score int").withColumn(
@@ -223,17 +223,17 @@ def test_digest_groups_and_summaries(spark):
         "median_confidence", F.lit(None).cast("int")).withColumn("title", F.col("dedup_key")).withColumn(
         "link", F.lit(None).cast("string"))
     cfg = Config(base={"min_email_score": "0", "lookback_days": "0"})
-    top = digest.digest_top(state, cfg, AS_OF, 3)
+    top = bulletin.bulletin_top(state, cfg, AS_OF, 3)
     assert rows(top.orderBy("rank"), "dedup_key", "confidence") == [("p", 0), ("q", 0), ("r", 0)]
-    ranked = digest.digest_ranked(state, cfg, AS_OF)
-    groups = rows(digest.digest_by_source(ranked).orderBy("group_order", "source_rank"),
+    ranked = bulletin.bulletin_ranked(state, cfg, AS_OF)
+    groups = rows(bulletin.bulletin_by_source(ranked).orderBy("group_order", "source_rank"),
                   "group_source", "dedup_key", "n_items")
     assert groups == [("s1", "p", 2), ("s1", "r", 2), ("s2", "q", 2), ("s2", "t", 2)]
     evals = spark.createDataFrame([("p", 1, ""), ("p", 2, None), ("p", 3, "x")], "dedup_key string, seq bigint, summary string")
-    summ = dict(rows(digest.with_summary(state.select("dedup_key"), evals), "dedup_key", "summary"))
-    assert summ["p"] == "x" and summ["q"] == digest.NO_SUMMARY
-    assert digest.digest_subject(ranked).first()["subject"] == "4 items in your weekly digest"
-    assert digest.digest_subject(ranked.where("false")).first()["subject"] is None
+    summ = dict(rows(bulletin.with_summary(state.select("dedup_key"), evals), "dedup_key", "summary"))
+    assert summ["p"] == "x" and summ["q"] == bulletin.NO_SUMMARY
+    assert bulletin.bulletin_subject(ranked).first()["subject"] == "4 items in your weekly bulletin"
+    assert bulletin.bulletin_subject(ranked.where("false")).first()["subject"] is None
 
 
 def test_score_bands_and_search(spark):
@@ -254,23 +254,14 @@ def test_score_distribution_labels_and_limit(spark):
     assert labels["k1"] == "s: " + "t" * 50 and labels["k2"] == "s: " + "t" * 50 + "..."
 
 
-@pytest.mark.parametrize("broadcast_keys", [0, 10])
-def test_upsert_paths_agree(spark, broadcast_keys):
-    d0, d1 = datetime(2024, 1, 1), datetime(2024, 1, 10)
-    existing = collect.with_dedup_key(spark.createDataFrame(
-        [(1, "s", "old", "a", None, "{}"), (2, "s", "C", "c", None, "{}")], ITEM)).withColumn(
-        "first_collected", F.lit(d0).cast("timestamp_ntz")).withColumn("last_collected", F.lit(d0).cast("timestamp_ntz"))
-    batch = collect.with_dedup_key(spark.createDataFrame(
-        [(5, "s", "new", "a", None, None), (6, "s", "B", "b", None, "{}")], ITEM))
-    got = sorted(tuple(r) for r in collect.upsert_merge(existing, batch, d1, broadcast_keys=broadcast_keys).collect())
-    want = sorted(tuple(r) for r in collect._merge_rows(existing, batch, d1, collect.ITEM_FIELDS).collect())
-    assert got == want and len(got) == 3
-
-
 @pytest.mark.parametrize("html,text", [
     ("<p>a&amp;lt;b &middot; c&copy;</p>", "a&lt;b · c©"),
     ("<style>p{}</style><script>var t='</p>';</script><!-- x --><p>kept</p>", "kept"),
     ("<p>one\n\n  two</p><br><p>three</p>", "one two three"),
+    ("it&#8217;s caf&eacute; &#x41;&hellip; &unknown; &amp;eacute;", "it\u2019s caf\u00e9 A\u2026 &unknown; &eacute;"),
+    ('<a title="x>y">link</a> a < b', "link a < b"),
+    ("<p>unclosed <b>bold", "unclosed bold"),
+    ("<!-- <p>no</p> -->yes", "yes"),
 ])
 def test_plain_text(spark, html, text):
     from gleaner.functions.html import plain_text
@@ -283,6 +274,14 @@ def test_plain_text(spark, html, text):
     ('<body><div class="content"><div>a</div><div>b</div></div><div>z</div></body>', "a b"),
     ('<body><section role="main"><p>r</p></section><div class="content">c</div></body>', "r"),
     ('<body><div class="entry-content">e</div><div class="post-content">p</div></body>', "p"),
+    ("<html><body><p>hello world", "hello world"),
+    ("<article>a<article>b</article>c</article>", "a b c"),
+    ("<body><nav>x<nav>y</nav>menu</nav>text</body>", "text"),
+    ("<article>caf&eacute; it&#8217;s</article>", "caf\u00e9 it\u2019s"),
+    ("<!-- <nav> --><body>kept <nav>gone</nav></body>", "kept"),
+    ("<p>" * 3000 + "deep", "deep"),
+    ("<main>one</main><main>two</main>", "one"),
+    ('<body><div data-x="a>b">t</div></body>', "t"),
 ])
 def test_extraction_tree_path(spark, html, text):
     df = spark.createDataFrame([(html,)], "html string")
@@ -303,7 +302,94 @@ def test_undefined_setting_is_an_error(spark):
     ("1704067207999", datetime(2024, 1, 1, 0, 0, 7)),
     ("2024-01-01T00:00:07", datetime(2024, 1, 1, 0, 0, 7)),
     ("garbage", None), ("2024-13-32T19:16:33+00:00", None), (None, None),
+    ("99999999999999999999", None), ("999999999999999999", None), ("20240131", datetime(2024, 1, 31)),
+    ("20241399", None), ("253402300799", datetime(9999, 12, 31, 23, 59, 59)), ("253402300800", None),
 ])
 def test_parse_item_date(spark, text, expected):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(shaping.parse_item_date("t").alias("d")).first()["d"] == expected
+
+
+def test_numbers_out_of_range_take_the_default(spark):
+    df = spark.createDataFrame([("99999999999",), ("-99999999999",), ("1_000",), ("++7",), ("2147483647",)], "v string")
+    assert [r["i"] for r in df.select(as_int("v", 5).alias("i")).collect()] == [5, 5, 5, 5, 2147483647]
+
+
+def test_deep_rich_text_does_not_abort(spark):
+    deep = '{"type":"doc","content":[' * 400 + '{"type":"text","text":"x"}' + "]}" * 400
+    worse = "[" * 200_000 + "]" * 200_000
+    odd = '{"type":"mention","attrs":[1]}'
+    df = spark.createDataFrame([(deep,), (worse,), (odd,)], "t string")
+    got = [r["x"] for r in df.select(shaping.flatten_rich_text("t").alias("x")).collect()]
+    assert got[0] == "x" and got[1] in (None, "") and got[2] == ""
+
+
+def test_native_and_tree_text_agree_on_every_page(spark):
+    from conftest import SF_SMALL
+    from gleaner.functions import html as h
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
+    out = pages.select("html", h.needs_tree("html").alias("odd"), h.odd_markup("html").alias("odd_text"),
+                       h.plain_text("html").alias("plain"))
+    out = h.extract_main_content(out, "html", "main").toPandas()
+    assert (~out.odd).any()
+    assert (out["main"] == out.html.map(h.extract_main_text_py)).all()
+    assert (out.plain == out.html.map(h.plain_text_py)).all()
+
+
+def test_pages_landed_twice_and_blank_urls(spark):
+    feed = spark.createDataFrame([("u1", "<p>a</p>"), ("", "<p>b</p>"), (None, "<p>c</p>")], "url string, html string")
+    pages = spark.createDataFrame([("u1", "<article>one two</article>"), ("u1", "<article>one two three</article>"),
+                                   ("", "<article>x y z</article>")], "url string, html string")
+    got = sorted(rows(shaping.short_content_fallback(feed, pages, 50), "text", "content_from"))
+    assert got == [("b", "short"), ("c", "short"), ("one two three", "full")]
+
+
+def test_caps_are_off_unless_set(spark):
+    c = spark.createDataFrame([(i, 20, datetime(2024, 1, 30)) for i in range(300)], "id int, likes int, created timestamp_ntz")
+    assert shaping.liked_recent_comments(c, 15, datetime(2024, 1, 1)).count() == 300
+    assert shaping.liked_recent_comments(c, 15, datetime(2024, 1, 1), 200).count() == 200
+
+
+def test_trending_counts_recent_pushes(spark):
+    old, new = datetime(2023, 1, 1), datetime(2024, 1, 30)
+    r = spark.createDataFrame([("a", 5.0, old, new), ("b", 9.0, old, old), ("c", 7.0, new, None)],
+                              "full_name string, stars double, created timestamp_ntz, pushed timestamp_ntz")
+    assert rows(shaping.trending(r, datetime(2024, 1, 20), 1).orderBy("rank"), "full_name") == [("c",), ("a",)]
+
+
+def test_provider_dispatch(spark):
+    from gleaner.operators import scorers
+    items = spark.createDataFrame([(1, "k1", "t", '{"text": "the data"}', "s1"), (2, "k2", "t", '{"text": "x"}', "s2")],
+                                  "ord bigint, dedup_key string, title string, input string, source string")
+
+    def canned(df, model, attempts):
+        return df.withColumn("responses", F.array(F.lit("{bad"), F.lit(_resp(42)), F.lit(_resp(43))))
+
+    providers = {"keyword": evaluate.scorer_provider(scorers.keyword_scorer()), "canned": canned}
+    cfg = Config(sources={"s2": {"eval_provider": "canned", "eval_model": "m2", "eval_retries": "2"}})
+    got = {r["dedup_key"]: r for r in evaluate.answer(items, cfg, providers).collect()}
+    assert got["k1"]["model"] == "keyword-v1" and got["k2"]["model"] == "m2"
+    assert '"importance_score": 42' in got["k2"]["response_text"] and got["k1"]["prompt_hash"] != got["k2"]["prompt_hash"]
+    one = Config(sources={"s2": {"eval_provider": "canned", "eval_retries": "1"}})
+    assert [r["dedup_key"] for r in evaluate.answer(items, one, providers).collect()] == ["k1"]
+    with pytest.raises(ValueError, match="unknown eval_provider"):
+        evaluate.answer(items, Config(base={"eval_provider": "nope"}), providers)
+
+
+def test_tallied_state_equals_the_direct_one(spark):
+    data = [(f"k{i % 3}", i, (i * 37) % 101, (i * 53) % 101, datetime(2024, 1, 1 + i % 28)) for i in range(50)]
+    evals = spark.createDataFrame(data, EVAL_SCHEMA)
+    parts = evaluate.tally(evals.where("seq < 20")).unionByName(evaluate.tally(evals.where("seq >= 20")))
+    assert sorted(evaluate.tallied_state(parts).collect()) == sorted(evaluate.eval_state(evals).collect())
+
+
+def test_unknown_source_kind_is_an_error():
+    from gleaner.sources import builders
+    with pytest.raises(ValueError, match="unknown source kind"):
+        builders.build("nope", {}, Config(), AS_OF)
+
+
+def test_missing_creation_date_is_rejected(spark):
+    df = spark.createDataFrame([("s", "t", "l", None, "{}"), ("s", "t", "l", "x", "{}")],
+                               "source string, title string, link string, creation_date string, input string")
+    assert sorted(str(r["reject_reason"]) for r in collect.validate_items(df).collect()) == ["None", "missing_creation_date"]

@@ -76,8 +76,8 @@ def test_prompt_parts_and_missing_part(spark):
                                     "PROMPT_CONTAINER_POST", "PROMPT_CRITERIA", "PROMPT_INSTRUCTIONS"])
     base = {k: v for k, v in parts.items() if k != "prompt_criteria"}
     with pytest.raises(KeyError):    # defined nowhere: a configuration error, as in the reference
-        evaluate.assemble_prompt(items, Config(base=base))
-    partial = Config(base=base, sources={"s": {"prompt_criteria": "C"}})
+        evaluate.assemble_prompt(items, Config(base=base, defaults={}))
+    partial = Config(base=base, sources={"s": {"prompt_criteria": "C"}}, defaults={})
     got = {r["source"]: r["prompt"] for r in evaluate.assemble_prompt(items, partial).collect()}
     assert got["x"] is None and "C" in got["s"]     # items of a source without it are skipped
 
@@ -113,5 +113,6 @@ def test_rounds_skip_responses_without_scores(spark):
         ok = pdf["dedup_key"] == "a"
         return pd.DataFrame({"summary": "x", "evaluation": "e",
                              "importance_score": ok.map({True: 50, False: None}), "confidence_score": 10})
-    new = evaluate.new_evals(items, evals, evaluate.pandas_scorer(half_scorer), 1, datetime(2024, 1, 31))
-    assert [r["dedup_key"] for r in new.collect()] == ["a"]
+    providers = {"keyword": evaluate.scorer_provider(evaluate.pandas_scorer(half_scorer))}
+    new = evaluate.new_evals(items, evals, Config(), providers, 1, datetime(2024, 1, 31)).collect()
+    assert [(r["dedup_key"], r["model"]) for r in new] == [("a", "keyword-v1")] and len(new[0]["prompt_hash"]) == 64

@@ -26,12 +26,16 @@ def _stream(spark, path, schema):
 def test_stream_state_equals_batch_state(spark):
     path = _split(spark, "events")
     out, ckpt = scratch_path(spark, "s2-out"), scratch_path(spark, "s2-ckpt")
-    landed = b.landed_items(spark, SF_SMALL)
+    landed = b.key_table(spark, SF_SMALL).checkpoint()
     jobs.stream_eval_state(b.evals_from_events(_stream(spark, path, b.EVENTS_SCHEMA), landed), out, ckpt)
     assert spark.read.parquet(out).select("batch_id").distinct().count() == 3
     got = sorted(jobs.latest_state(spark, out).collect())
     want = sorted(evaluate.eval_state(b.evals(spark, SF_SMALL)).collect())
     assert got == want
+    last = jobs.compact_state(spark, out)
+    assert [r["batch_id"] for r in spark.read.parquet(out).select("batch_id").distinct().collect()] == [last]
+    assert sorted(jobs.latest_state(spark, out).collect()) == want
+    assert jobs.compact_state(spark, scratch_path(spark, "none")) == -1
 
 
 def test_stream_dedup_across_batches(spark):
@@ -51,15 +55,30 @@ def test_stream_evaluate_replay_is_idempotent(spark):
     first = sorted(spark.read.parquet(out).drop("batch_id").collect())
     jobs.stream_evaluate(items(), scorers.keyword_scorer(), out, ckpt)   # restart from the checkpoint
     assert sorted(spark.read.parquet(out).drop("batch_id").collect()) == first
-    assert len(first) == b.landed_items(spark, SF_SMALL).count()
+    assert len(first) == b.items_narrow(spark, SF_SMALL).count() == len({r["dedup_key"] for r in first})
 
 
-def test_stream_dedup_within_watermark(spark):
-    path = _split(spark, "documents")
-    out, ckpt = scratch_path(spark, "s1w-out"), scratch_path(spark, "s1w-ckpt")
-    items = b.landed_from_documents(_stream(spark, path, b.DOCUMENTS_SCHEMA))
-    # copies are at most 29 days apart in this binding: a 40-day delay drops them all
-    jobs.stream_collect(items, out, ckpt, event_time="creation_date", delay="40 days")
+def test_late_new_items_are_kept_and_late_copies_dropped(spark):
+    """Files arrive newest first; nothing is too late to be new."""
+    path = scratch_path(spark, "late")
+    docs = b.table(spark, SF_SMALL, "documents").where("doc_id < 60")
+    for i in range(3):
+        docs.where(F.floor(F.col("doc_id") / 20) == 2 - i).coalesce(1).write.parquet(f"{path}/part={i}")
+        docs.where("doc_id < 5").withColumn("doc_id", F.col("doc_id") + 1000 * i).coalesce(1).write.mode("append").parquet(
+            f"{path}/part={i}")
+    out, ckpt = scratch_path(spark, "late-out"), scratch_path(spark, "late-ckpt")
+    jobs.stream_collect(b.landed_from_documents(_stream(spark, path, b.DOCUMENTS_SCHEMA)), out, ckpt)
     keys = [r[0] for r in spark.read.parquet(out).select("dedup_key").collect()]
-    assert len(keys) == len(set(keys))
-    assert len(keys) == collect.dedup_first_wins(b.landed_items(spark, SF_SMALL)).count()
+    want = {r[0] for r in b.landed_from_documents(docs).select("dedup_key").collect()}
+    assert len(keys) == len(set(keys)) and set(keys) == want
+
+
+def test_stream_evaluate_skips_evaluated_items(spark):
+    path = _split(spark, "documents")
+    out, ckpt = scratch_path(spark, "s4-out"), scratch_path(spark, "s4-ckpt")
+    known = b.items_narrow(spark, SF_SMALL).where("ord % 2 = 0").select("dedup_key").checkpoint()
+    jobs.stream_evaluate(b.landed_from_documents(_stream(spark, path, b.DOCUMENTS_SCHEMA)), scorers.keyword_scorer(),
+                         out, ckpt, evals=known)
+    got = {r[0] for r in spark.read.parquet(out).select("dedup_key").collect()}
+    every = {r[0] for r in b.items_narrow(spark, SF_SMALL).select("dedup_key").collect()}
+    assert got == every - {r[0] for r in known.collect()}
