@@ -10,26 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import decontaminate, langid, linededup, packing, simhash
-from gleaner.llm.common import table, with_row_key, written
-from gleaner.session import configure
+from gleaner.llm.common import prepare, table, with_row_key, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language (null texts, texts without a letter)."""
-    configure(spark)
+    prepare(spark)
     found = langid.identify(docs.select("doc_id", "text", "lang", "source", "n_chars"))
     return found.filter(found["lang_pred"] != langid.UNDETERMINED).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take the lines of recurring templates out of the texts; every document stays."""
-    configure(spark)
+    prepare(spark)
     return linededup.drop_lines(docs).select(docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, that of the smallest id."""
-    configure(spark)
+    prepare(spark)
     found = simhash.near_duplicates(docs, width=3, distance=3)
     gone = written(found.filter(~found["kept"]).select(found[simhash.ROW].alias("gone")), "near-copies")
     rows = with_row_key(docs)
@@ -38,14 +37,14 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of the benchmark."""
-    configure(spark)
+    prepare(spark)
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10)
     return found.filter(~found["contaminated"]).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack the documents into sequences of at most 2048 tokens: one row per piece."""
-    configure(spark)
+    prepare(spark)
     packed = packing.pack(docs, capacity=2048, end_id=0)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
@@ -65,7 +64,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each stored in the shared checkpoint folder and read again."""
-    configure(spark)
+    prepare(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

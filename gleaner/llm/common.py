@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.session import ensure_checkpoint_dir, scratch_path
+from gleaner.session import configure, ensure_checkpoint_dir, scratch_path
 
 #: Name of the row key that operators add to rows they must find again.
 ROW = "__row"
@@ -16,6 +16,14 @@ ROW = "__row"
 BATCH_BYTES = 8 << 20
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Settings that the operators rely on: those of the library, and Arrow batches bounded
+    by bytes, so that long texts do not make batches large."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -114,47 +114,39 @@ def pattern_sets(benchmark: DataFrame, key: str, text: str, width: int) -> Itera
         yield dict(held)
 
 
-def scan(df: DataFrame, patterns: dict[bytes, list[str]], text: str, hits: str) -> DataFrame:
-    """Append the occurrences of the given test strings to the column ``hits``."""
+def scan(df: DataFrame, patterns: dict[bytes, list[str]], text: str, hits: str, last: bool) -> DataFrame:
+    """Append the occurrences of the given test strings to the column ``hits``; the last
+    pass also adds n_words, n_hit and items."""
     shared = df.sparkSession.sparkContext.broadcast(patterns)
 
     def run(batches):
         patterns = shared.value
         tables = compile_patterns(patterns)
-        at = names.index(hits)
+        at = df_names.index(hits)
         for batch in slices(batches, text):
-            found = [before + [dict(zip(("item", "start", "end"), h)) for h in occurrences(words(t), tables, patterns)]
-                     for t, before in zip(text_bytes(batch[text]), batch[hits].to_pylist())]
+            found, totals = [], []
+            for t, before in zip(text_bytes(batch[text]), batch[hits].to_pylist()):
+                tokens = words(t)
+                own = before + [dict(zip(("item", "start", "end"), h)) for h in occurrences(tokens, tables, patterns)]
+                found.append(own)
+                if last:
+                    edge = np.zeros(len(tokens) + 1 if own else 0, dtype=np.int64)
+                    for h in own:
+                        edge[h["start"]] += 1
+                        edge[h["end"]] -= 1
+                    totals.append((len(tokens), int((np.cumsum(edge) > 0).sum()), sorted({h["item"] for h in own})))
             columns = list(batch.columns)
             columns[at] = pa.array(found, type=batch.schema.field(hits).type)
+            if last:
+                columns += [pa.array(c, k) for c, k in zip(zip(*totals), (pa.int64(), pa.int64(), pa.list_(pa.string())))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    names = df.columns
-    return df.mapInArrow(run, df.schema)
-
-
-def count_words(df: DataFrame, text: str, hits: str) -> DataFrame:
-    """Add n_words, n_hit, items and contaminated from the occurrences."""
-
-    def run(batches):
-        for batch in slices(batches, text):
-            n_words, n_hit, items = [], [], []
-            for t, found in zip(text_bytes(batch[text]), batch[hits].to_pylist()):
-                n_words.append(len(words(t)))
-                edge = np.zeros(n_words[-1] + 1, dtype=np.int64)
-                for h in found:
-                    edge[h["start"]] += 1
-                    edge[h["end"]] -= 1
-                n_hit.append(int((np.cumsum(edge) > 0).sum()) if found else 0)
-                items.append(sorted({h["item"] for h in found}))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array(items, pa.list_(pa.string()))], names=names)
-
-    schema = T.StructType([*df.schema.fields, T.StructField("n_words", T.LongType()),
-                           T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))])
+    df_names = df.columns
+    new = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
+           T.StructField("items", T.ArrayType(T.StringType()))]
+    schema = T.StructType([*df.schema.fields, *(new if last else [])])
     names = schema.names
-    return df.mapInArrow(run, schema).withColumn("contaminated", F.col("n_hit") > 0)
+    return df.mapInArrow(run, schema)
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id",
@@ -165,6 +157,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", item_
     made = ("n_words", "n_hit", "items", "contaminated", "hits")
     df = df.drop(*[c for c in df.columns if c.lower() in made])
     out = df.withColumn("hits", F.array().cast(T.ArrayType(HIT)))
-    for n, patterns in enumerate(pattern_sets(benchmark, item_key, item_text, width)):
-        out = scan(written(out, "hits") if n else out, patterns, text, "hits")
-    return count_words(out, text, "hits")
+    sets = pattern_sets(benchmark, item_key, item_text, width)
+    patterns = next(sets, {})
+    while (following := next(sets, None)) is not None:
+        out, patterns = written(scan(out, patterns, text, "hits", False), "hits"), following
+    return scan(out, patterns, text, "hits", True).withColumn("contaminated", F.col("n_hit") > 0)
