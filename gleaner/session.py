@@ -92,7 +92,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, never-reused path under the shared checkpoint folder."""
+    """A fresh, never-reused path under the shared checkpoint folder; what is written there
+    goes when the driver ends."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/gleaner-scratch/{name}-{uuid.uuid4().hex}"
-
+    folder = f"{base}/gleaner-scratch/{name}-{uuid.uuid4().hex}"
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect: the server's owner clears the folder
+        return f"{folder}/data"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return f"{folder}/data"
