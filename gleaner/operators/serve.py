@@ -91,6 +91,13 @@ def sort_items(store: DataFrame, by: str = "score", descending: bool | None = No
     return store.join(ranked, "dedup_key") if with_items else ranked
 
 
+def listing(store: DataFrame, term: str = "", source: str = "", min_score: int | None = None, by: str = "score",
+            descending: bool | None = None) -> DataFrame:
+    """F9 and F11 as the page shows them: the items that pass the filters, with their
+    ``rank`` among these."""
+    return sort_items(search_items(store, term, source, min_score), by, descending, with_items=True)
+
+
 def sort_pages(store: DataFrame, fields: list[str]) -> DataFrame:
     """F11 for several fields at once, in their default directions (all descending):
     (sort_key, dedup_key, rank). One narrow ranking with the field as its group."""

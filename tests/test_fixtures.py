@@ -393,3 +393,14 @@ def test_missing_creation_date_is_rejected(spark):
     df = spark.createDataFrame([("s", "t", "l", None, "{}"), ("s", "t", "l", "x", "{}")],
                                "source string, title string, link string, creation_date string, input string")
     assert sorted(str(r["reject_reason"]) for r in collect.validate_items(df).collect()) == ["None", "missing_creation_date"]
+
+
+def test_listing_filters_then_ranks(spark):
+    data = [("a", 1, "s", "Alpha", 10, 1), ("b", 2, "s", "beta", 90, 1), ("c", 3, "t", "alphabet", 50, 1), ("d", 4, "s", "alp", 70, 1)]
+    store = spark.createDataFrame(data, "dedup_key string, ord bigint, source string, title string, weighted_score int, "
+                                        "num_evals int").withColumn("median_confidence", F.lit(1)).withColumn(
+        "last_eval", F.lit(None).cast("timestamp_ntz"))
+    got = rows(serve.listing(store, term="ALP", source="s").orderBy("rank"), "dedup_key", "rank")
+    assert got == [("d", 1), ("a", 2)]
+    assert rows(serve.listing(store, min_score=50, by="title", descending=False).orderBy("rank"), "dedup_key") == [
+        ("d",), ("c",), ("b",)]
