@@ -26,6 +26,7 @@ import gzip
 import hashlib
 import io
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +41,8 @@ from gleaner.session import scratch_path
 
 #: Payload bytes that a shard is meant to hold; compressed bytes at which a file rolls.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
-#: Sampled keys per shard.
-SAMPLE = 64
+#: Shards at most (beyond, a shard just rolls more files); sampled keys per shard.
+MAX_SHARDS, SAMPLE = 20_000, 32
 VERSION = b"WARC/1.1"
 DATE = "1970-01-01T00:00:00Z"
 CRLF = b"\r\n"
@@ -104,6 +105,20 @@ def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at += 4
 
 
+def members(data: memoryview) -> Iterator[bytes]:
+    """The content of every gzip member, one at a time."""
+    at = 0
+    while at < len(data):
+        stream, parts, step = zlib.decompressobj(wbits=31), [], 1 << 14
+        while not stream.eof:
+            if at >= len(data):
+                raise ValueError("the last gzip member is cut off")
+            parts.append(stream.decompress(data[at:at + step]))
+            at += min(step, len(data) - at)
+        at -= len(stream.unused_data)
+        yield b"".join(parts)
+
+
 def sort_key(url, page_id):
     """Host labels reversed, path, then page id in an order that strings keep."""
     host = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)
@@ -128,7 +143,7 @@ def prepared(df: DataFrame, key: str, url: str, html: str, least: int) -> DataFr
 def bounds(rows: DataFrame, shard_bytes: int) -> np.ndarray:
     """Upper keys of all shards but the last, from the keys of smallest hash."""
     total = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_bytes))
+    shards = max(1, min(MAX_SHARDS, -(-total // shard_bytes)))
     few = rows.select("key", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(SAMPLE * shards)
     keys = sorted(r["key"].encode() for r in few.select("key").collect())
     return np.array([keys[len(keys) * i // shards] for i in range(1, shards)] if keys else [], dtype=object)
@@ -225,7 +240,8 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 out, held = [], 0
-                for fields, block in records(gzip.decompress(content.as_buffer())):
+                every = (r for m in members(memoryview(content.as_buffer())) for r in records(m))
+                for fields, block in every:
                     if fields["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
                         raise ValueError(f"block digest of {fields['WARC-Record-ID']} differs")
                     payload = block.split(CRLF * 2, 1)[1] if fields["WARC-Type"] == "response" else None
@@ -256,6 +272,7 @@ def round_trip(df: DataFrame, least: int = 0) -> DataFrame:
     """Write the pages into a fresh shared folder and read the archives back."""
     spark = df.sparkSession
     target = scratch_path(spark, "warc")
-    target = target if "://" in target or target.startswith("file:") else f"file://{target}"
+    if "://" not in target:                       # a plain path, or file:/ as Hadoop writes it
+        target = f"file://{target.removeprefix('file:')}"
     write_archives(df, target, least=least)
     return read_archives(spark, target)
