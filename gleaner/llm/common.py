@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,6 +26,12 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def worker_memory() -> dict:
+    """State that a Python worker process keeps from task to task. Functions travel to the
+    workers by value, so the globals of this package's modules do not last there."""
+    return sys.modules.setdefault("_gleaner_worker", types.ModuleType("_gleaner_worker")).__dict__
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

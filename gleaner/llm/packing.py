@@ -17,6 +17,7 @@ Repeated rows and null ids are packed like any other row.
 
 from __future__ import annotations
 
+import itertools
 import os
 import zlib
 
@@ -27,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import slices, text_bytes, written
+from gleaner.llm.common import slices, text_bytes, worker_memory, written
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words, and parts of words, whose ids a task remembers.
-MEMORY = 600_000
+#: Distinct words and parts of words whose ids a worker remembers.
+MEMORY = 1_200_000
 #: Nodes that branch and bound may visit; fillings looked at around one length.
 NODES, FILLINGS = 4_000, 48
 
@@ -55,55 +56,54 @@ class WordTokenizer:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def learn(self, parts: list[bytes]) -> None:
         """Remember the ids of parts. Parts of letters only are one pre-token each, whose
         end its last id tells, so many of them are encoded as one text."""
-        texts = [p.decode("utf-8", "replace") for p in parts]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        for n in range(0, len(plain), 2048):
-            some = plain[n:n + 2048]
-            ids = np.array(self.tokenizer.encode(" ".join([texts[i] for i in some]), add_special_tokens=False).ids, dtype="<u4")
+        plain = [p for p in parts if p.isalpha() or p.decode("utf-8", "replace").isalpha()]
+        for n in range(0, len(plain), 4096):
+            some = plain[n:n + 4096]
+            text = b" ".join(some).decode("utf-8", "replace")
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
             stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(some) and stop[-1] == len(ids):
-                data, at = ids.tobytes(), 0
-                for i, end in zip(some, (4 * stop).tolist()):
-                    self.parts[parts[i]] = data[at:end]
-                    at = end
-        rest = [i for i, p in enumerate(parts) if p not in self.parts]
+                data, at = ids.tobytes(), [0, *(4 * stop).tolist()]
+                self.known.update(zip(some, [data[i:j] for i, j in itertools.pairwise(at)]))
+        rest = [p for p in parts if p not in self.known]
         for n in range(0, len(rest), 2048):
             some = rest[n:n + 2048]
-            found = self.tokenizer.encode_batch([texts[i] for i in some], add_special_tokens=False)
-            self.parts.update((parts[i], np.array(e.ids, dtype="<u4").tobytes()) for i, e in zip(some, found))
-
-    def cut(self, word: bytes) -> tuple[bytes, bytes]:
-        """The part that must be encoded as a whole, and the punctuation after it."""
-        if b"<|" in word:                              # perhaps a special token, which has case
-            return word, b""
-        low = word.lower()
-        head = low.rstrip(TAIL)
-        # only an ASCII letter surely is a letter
-        return (head, low[len(head):]) if head and 97 <= head[-1] <= 122 else (low, b"")
+            found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in some], add_special_tokens=False)
+            self.known.update((p, np.array(e.ids, dtype="<u4").tobytes()) for p, e in zip(some, found))
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or b"").split() for t in texts]
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        if len(self.parts) > MEMORY:
-            self.parts.clear()
-        new = set().union(*split).difference(self.words)
-        cuts = {w: self.cut(w) for w in new}
-        self.learn(sorted({p for pair in cuts.values() for p in pair}.difference(self.parts, (b"",))))
-        self.parts[b""] = b""
-        ids = self.parts
-        self.words.update((w, ids[a] + ids[b]) for w, (a, b) in cuts.items())
-        get = self.words.__getitem__
+        # a text that may hold a special token keeps its case, which tells it from others
+        split = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
+        known = self.known
+        if len(known) > MEMORY:
+            known.clear()
+        new = set().union(*split).difference(known)
+        # words with punctuation at the end are cut before it; only an ASCII letter there
+        # surely is a letter
+        heads = [(w, h) for w, h in zip(new, [w.rstrip(TAIL) for w in new])
+                 if h is not w and h and 97 <= h[-1] <= 122 and b"<|" not in w]
+        new.difference_update([w for w, _ in heads])
+        new.update([h for _, h in heads], [w[len(h):] for w, h in heads])
+        self.learn(list(new.difference(known)))
+        known.update([(w, known[h] + known[w[len(h):]]) for w, h in heads])
+        get = known.__getitem__
         return [b"".join(map(get, w)) for w in split]
 
 
+def word_tokenizer(path: str | None) -> WordTokenizer:
+    """One tokenizer per worker process, with the words that it remembers."""
+    kept = worker_memory().setdefault("tokenizers", {})
+    if path not in kept:
+        kept[path] = WordTokenizer(path)
+    return kept[path]
+
+
 def pieces(df: DataFrame, text: str, capacity: int, end_id: int, tokenizer: str | None) -> DataFrame:
     """One row per piece: the kept columns, piece, start, length, ids_crc32, and the
     task and the rank in it among pieces of equal length."""
@@ -111,8 +111,8 @@ def pieces(df: DataFrame, text: str, capacity: int, end_id: int, tokenizer: str
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        encoder, task, seen = WordTokenizer(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in slices(batches, text, 2 << 20):
+        encoder, task, seen = word_tokenizer(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in slices(batches, text, 4 << 20):
             rows, out = [], []
             for i, ids in enumerate(encoder.encode(text_bytes(batch[text]))):
                 ids += end
