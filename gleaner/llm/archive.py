@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import slices, written
+from gleaner.llm.common import slices, smallest_hashes, written
 from gleaner.session import scratch_path
 
 #: Payload bytes that a shard is meant to hold; compressed bytes at which a file rolls.
@@ -142,10 +142,10 @@ def prepared(df: DataFrame, key: str, url: str, html: str, least: int) -> DataFr
 
 def bounds(rows: DataFrame, shard_bytes: int) -> np.ndarray:
     """Upper keys of all shards but the last, from the keys of smallest hash."""
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    total, count = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count("*")).first()
     shards = max(1, min(MAX_SHARDS, -(-total // shard_bytes)))
-    few = rows.select("key", F.xxhash64("key").alias("h")).orderBy("h", "key").limit(SAMPLE * shards)
-    keys = sorted(r["key"].encode() for r in few.select("key").collect())
+    few = smallest_hashes(rows.select("key", F.xxhash64("key").alias("h")), "h", SAMPLE * shards, count)
+    keys = sorted(r["key"].encode() for r in few.select("key").distinct().collect())
     return np.array([keys[len(keys) * i // shards] for i in range(1, shards)] if keys else [], dtype=object)
 
 

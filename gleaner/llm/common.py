@@ -60,6 +60,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def smallest_hashes(df: DataFrame, column: str, rows: int, total: int) -> DataFrame:
+    """About the ``rows`` to twice as many rows of smallest hash, by a threshold instead of
+    a sort: a sorted limit would send that many rows of every partition to one place. A
+    sorted limit may follow, over a bounded number of rows."""
+    share = min(1.0, 2 * rows / max(1, total))
+    return df.filter(F.col(column) / F.lit(2.0 ** 64) + 0.5 <= share)
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
