@@ -171,28 +171,28 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     valid = (F.size("x") > 0) & ~F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     valid = F.coalesce(valid & F.exists("x", lambda e: e != 0), F.lit(False))
     rows = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("x"))
-    # -0.0 and 0.0 are one value; equal vectors share a digest of 128 bits
+    # -0.0 and 0.0 are one value; equal vectors share a mark of 128 bits
     plain = F.transform("x", lambda e: e + F.lit(0.0))
     rows = rows.withColumn("x", F.when(valid, plain))
-    digest = F.md5(F.concat_ws(",", F.transform(x, lambda e: e.cast("string"))))
-    rows = rows.withColumn("digest", F.when(x.isNotNull(), digest))
-    reps = (rows.filter(x.isNotNull()).groupBy("digest")
+    mark = F.md5(F.concat_ws(",", F.transform(x, lambda e: e.cast("string"))))
+    rows = rows.withColumn("mark", F.when(x.isNotNull(), mark))
+    reps = (rows.filter(x.isNotNull()).groupBy("mark")
             .agg(F.min("k").alias("low"), F.first("x").alias("vector"), F.count("*").alias("n"))
-            .select("digest", "low", "vector", "n", F.xxhash64("digest").alias("v")))
+            .select("mark", "low", "vector", "n", F.xxhash64("mark").alias("v")))
     reps = checkpointed(hashed(reps, tables, projections, width))
     found = checkpointed(compare(reps, tables, threshold))
     counts = found.groupBy("a").agg(F.sum("n").alias("links"))
     labels = components(found.filter("b is not null"))
-    named = checkpointed(reps.select("digest", "low", "n", "v")
+    named = checkpointed(reps.select("mark", "low", "n", "v")
                          .join(counts.withColumnRenamed("a", "v"), "v", "left")
                          .join(labels.withColumnRenamed("node", "v"), "v", "left")
-                         .select("digest", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
+                         .select("mark", "low", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"),
                                  F.coalesce("label", "v").alias("label")))
     lowest = written(named.groupBy("label").agg(F.min("low").alias("lowest"), F.count("*").alias("of"))
                      .filter("of > 1").select("label", "lowest"), "lowest")
-    named = named.join(lowest, "label", "left").select("digest", "links", F.coalesce("lowest", "low").alias("lowest"))
+    named = named.join(lowest, "label", "left").select("mark", "links", F.coalesce("lowest", "low").alias("lowest"))
     named = written(named, "vectors")
-    return rows.select("k", "digest").join(named, "digest", "left").select(
+    return rows.select("k", "mark").join(named, "mark", "left").select(
         F.col("k").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("lowest", "k").alias("component_id"),
         F.coalesce(F.col("k") == F.coalesce("lowest", "k"), F.lit(True)).alias("kept"))

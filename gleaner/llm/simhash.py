@@ -44,11 +44,11 @@ def fingerprint(text: bytes | None, width: int) -> int:
         return 0
     if len(words) < width:
         words, width = [b" ".join(words)], 1
-    digest = xxhash.xxh64_intdigest
+    hash_of = xxhash.xxh64_intdigest
     shingles = map(b" ".join, zip(*(itertools.islice(words, i, None) for i in range(width))))
     total, ones = len(words) - width + 1, np.zeros(BITS, dtype=np.int64)
     while True:
-        part = np.fromiter((digest(s, SEED) for s in itertools.islice(shingles, CHUNK)), dtype="<u8")
+        part = np.fromiter((hash_of(s, SEED) for s in itertools.islice(shingles, CHUNK)), dtype="<u8")
         if not len(part):
             break
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)

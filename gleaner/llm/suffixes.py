@@ -8,13 +8,13 @@ alone. Consecutive windows with one owner are a run; runs are dealt by their own
 hash, so equal windows meet.
 
 Runs whose owner occurs once hold no repeat, and if all runs of an owner are equal (a
-64-bit digest beside the 64-bit owner) all their windows are repeats. The distinct runs
+64-bit hash beside the 64-bit owner) all their windows are repeats. The distinct runs
 of the other owners are concatenated into bounded shards. A shard's suffix array is
 built by induced sorting: suffixes are classified, leftmost smaller substrings are
 sorted by induction and named, the string of names is sorted in turn, and the order is
 induced to all suffixes, bucket by bucket. Permuted longest common prefixes then tell
 which windows are equal. Owners with very many distinct runs are dealt again, window by
-window, by the window's digest.
+window, by the window's hash.
 
 Null texts are empty; texts below ``length`` bytes lose nothing. Repeated rows are
 documents of their own, and null ids keep their rows.
@@ -91,7 +91,7 @@ def runs_of(parts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
 
 
 def runs(df: DataFrame, text: str, length: int) -> DataFrame:
-    """One row per run: owner, digest of its bytes, row key, first window, windows per
+    """One row per run: owner, hash of its bytes, row key, first window, windows per
     run and how many equal runs follow each other (in periodic texts)."""
 
     def segments(batches):
@@ -114,8 +114,8 @@ def runs(df: DataFrame, text: str, length: int) -> DataFrame:
             which, owner, first, n = runs_of(parts, length)
             if not len(which):
                 continue
-            digest = xxhash.xxh3_64_intdigest
-            same = np.fromiter((digest(memoryview(parts[w])[s:s + k + length - 1]) for w, s, k in
+            hash_of = xxhash.xxh3_64_intdigest
+            same = np.fromiter((hash_of(memoryview(parts[w])[s:s + k + length - 1]) for w, s, k in
                                 zip(which.tolist(), first.tolist(), n.tolist())), dtype=np.uint64).view(np.int64)
             row = np.array([r for r, _, _ in group])[which]
             start = np.array([a for _, a, _ in group])[which] + first
@@ -351,7 +351,7 @@ def repeated_windows(rows: DataFrame, text: str, length: int) -> DataFrame:
 
 
 def fetch(joined: DataFrame, length: int) -> DataFrame:
-    """Bytes of the wanted runs; of owners with many runs the windows' digests."""
+    """Bytes of the wanted runs; of owners with many runs the windows' hash."""
 
     def run(batches):
         for batch in slices(batches, "t", 1 << 20):

@@ -38,9 +38,9 @@ def features(text: bytes | None, bits: int = BITS) -> np.ndarray:
     words = [w for w in words if w]
     if not words:
         return np.empty(0, np.int64)
-    digest = xxhash.xxh3_64_intdigest
+    hash_of = xxhash.xxh3_64_intdigest
     index = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    own = np.fromiter(map(digest, index), dtype=np.uint64, count=len(index))
+    own = np.fromiter(map(hash_of, index), dtype=np.uint64, count=len(index))
     seq = own[np.fromiter(map(index.__getitem__, words), dtype=np.int64, count=len(words))]
     parts = [own]
     for gap in (1, 2, 3):
