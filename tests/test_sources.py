@@ -6,7 +6,6 @@ import os
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from gleaner.operators import evaluate
 from gleaner.operators.config import Config
