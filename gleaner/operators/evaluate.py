@@ -245,7 +245,9 @@ Provider = Callable[[DataFrame, str, int], DataFrame]
 def scorer_provider(scorer: Scorer) -> Provider:
     """A provider out of a scorer: its response struct as JSON text, in one attempt."""
     def provider(df: DataFrame, model: str, attempts: int) -> DataFrame:
-        scored = score_items(df, scorer)
+        # the generator keeps the optimiser from copying the score expressions, which read
+        # whole texts, into every later use of the response
+        scored = score_items(df, scorer).withColumn("response", F.explode(F.array("response")))
         text = F.when(F.col("response").isNotNull(), F.to_json("response"))
         return scored.withColumn("responses", F.array_compact(F.array(text))).drop("response")
     return provider
@@ -257,6 +259,11 @@ def answer(items: DataFrame, cfg: Config, providers: dict[str, Provider],
     item's source is set to (``eval_provider``, ``eval_model``), at most
     ``eval_retries`` attempts, and the first valid response of each item. Items whose
     attempts all fail are left out. A provider name that is not known is an error."""
+    return ask(items, cfg, providers, config_col).where(F.col("response_text").isNotNull())
+
+
+def ask(items: DataFrame, cfg: Config, providers: dict[str, Provider], config_col: str = "source") -> DataFrame:
+    """As ``answer``, but items whose attempts all fail stay, with a null response."""
     asked = with_prompt_hash(assemble_prompt(items, cfg, config_col))
     asked = with_settings(asked, cfg, {"eval_provider": "string", "eval_model": "string",
                                        "eval_retries": "int"}, config_col)
@@ -279,7 +286,6 @@ def answer(items: DataFrame, cfg: Config, providers: dict[str, Provider],
     tried = F.slice("responses", 1, F.col("eval_retries"))
     good = F.filter(tried, lambda t: response_reason(t) == "valid")
     return (answered.withColumn("response_text", F.try_element_at(good, F.lit(1)))
-            .where(F.col("response_text").isNotNull())
             .withColumn("model", F.col("eval_model")).drop("responses", "eval_provider", "eval_retries", "eval_model"))
 
 
@@ -310,7 +316,7 @@ def new_evals(recent: DataFrame, evals: DataFrame, cfg: Config, providers: dict[
     asked) for ``rounds`` rounds and return only the appended eval rows, with prompt hash
     and model. The state before the first round is a tally of the existing evals of
     these items; each round adds the tally of its own new rows, never the history again.
-    The tally and each round's rows are persisted on their own (``persist(df, name)``,
+    The tally and each round's answers are persisted on their own (``persist(df, name)``,
     default ``DataFrame.checkpoint``); items without a valid response are skipped for
     that round only."""
     persist = persist or (lambda df, name: df.checkpoint(eager=True))
@@ -323,16 +329,19 @@ def new_evals(recent: DataFrame, evals: DataFrame, cfg: Config, providers: dict[
         todo = candidates(state, r, force).select(*recent.columns)
         if inputs is not None:
             todo = todo.join(inputs, "ord")
-        done = answer(todo, cfg, providers, config_col)
+        # the answers are stored first: ranking reads its input twice, and a filter on the
+        # response would be pushed below the scoring and run it again
+        asked = persist(ask(todo, cfg, providers, config_col).select(
+            "dedup_key", "ord", "model", "prompt_hash", "response_text"), f"answers_round_{r}")
         got = F.from_json("response_text", RESPONSE_SCHEMA)
-        rows = done.withColumn("got", got).select(
+        rows = asked.where(F.col("response_text").isNotNull()).withColumn("got", got).select(
             "dedup_key", "ord", F.lit(r).alias("round"), "model", "prompt_hash", _ts(as_of).alias("eval_date"),
             F.col("got.importance_score").cast("int").alias("importance_score"),
             F.col("got.confidence_score").cast("int").alias("confidence_score"),
             F.col("got.summary").alias("summary"))
         # append order: arrival order within the round, after everything before it
         ranked = rank_rows(rows, [F.col("ord").asc(), F.col("dedup_key").asc()], rank_col="seq")
-        appended.append(persist(ranked.withColumn("seq", F.col("seq") + base).drop("ord"), f"evals_round_{r}"))
+        appended.append(ranked.withColumn("seq", F.col("seq") + base).drop("ord"))
         base = appended[-1].agg(F.max("seq")).first()[0] or base
         tallies = tallies.unionByName(tally(appended[-1]))
     out = appended[0]
