@@ -624,6 +624,8 @@ def q_rss_unread_recent(spark, sf):
 
 def _strip_tags_sql(x: str) -> str:
     from gleaner.functions.columns import HIDDEN_BLOCKS, HTML_ENTITIES
+    # an "&amp" whose semicolon is missing still is an ampersand, as in every HTML parser
+    x = rf"regexp_replace({x}, '&amp([^;])', '&amp;\1', 'g')"
     for pat in HIDDEN_BLOCKS:
         x = f"regexp_replace({x}, '{pat}', ' ', 'g')"
     x = f"regexp_replace({x}, '<[^>]*>', ' ', 'g')"

@@ -262,6 +262,7 @@ def test_score_distribution_labels_and_limit(spark):
     ('<a title="x>y">link</a> a < b', "link a < b"),
     ("<p>unclosed <b>bold", "unclosed bold"),
     ("<!-- <p>no</p> -->yes", "yes"),
+    ("<h1>this &amp</h1><p>that</p>", "this & that"),
 ])
 def test_plain_text(spark, html, text):
     from gleaner.functions.html import plain_text
