@@ -202,6 +202,16 @@ def test_templates_generalise_variable_words(spark):
     assert (got.n_dropped == 1).all()
 
 
+def test_copies_of_one_document_do_not_save_a_line(spark):
+    rng = random.Random(7)
+    licence = "Licensed to all readers under the common terms"
+    rows = [(i, prose(rng, 30) + "\n" + licence + "\n" + prose(rng, 30)) for i in range(40)]
+    rows += [(100 + i, rows[0][1]) for i in range(200)]
+    got = linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (got.n_dropped == 1).all()
+    assert {t for ts in got.templates for t in ts} == {licence}
+
+
 @pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op3_line_dedup", "op5_simhash", "op9_suffix_array_dedup"])
 def test_empty_tables(spark, tmp_path, name):
     for t, schema in {"documents": "doc_id long, text string, lang string, source string, n_chars long",
