@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import brute
@@ -212,6 +213,28 @@ def test_copies_of_one_document_do_not_save_a_line(spark):
     assert {t for ts in got.templates for t in ts} == {licence}
 
 
+def test_unlike_documents_with_a_pair_in_common_are_different_contents(spark):
+    rng = random.Random(8)
+    low = min((f"w{i} x" for i in range(50_000)), key=lambda p: xxhash.xxh3_64_intdigest(p.encode()))
+    rows = [(i, f"{prose(rng, 40)}\n{prose(rng, 9)} {low} {prose(rng, 9)}\nAll rights reserved by the owner of this site")
+            for i in range(30)]
+    got = linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (got.n_dropped == 1).all()
+
+
+def test_near_copies_are_one_content(spark):
+    rng = random.Random(9)
+    words = [prose(rng, 30).split() for _ in range(5)]
+    rows = []
+    for i in range(300):
+        own = [list(w) for w in words]
+        for _ in range(4):
+            rng.choice(own)[rng.randrange(30)] = f"changed{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}"
+        rows.append((i, "\n".join(" ".join(w) for w in own)))
+    got = linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (got.n_dropped == 0).all()
+
+
 @pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op3_line_dedup", "op5_simhash", "op9_suffix_array_dedup"])
 def test_empty_tables(spark, tmp_path, name):
     for t, schema in {"documents": "doc_id long, text string, lang string, source string, n_chars long",
