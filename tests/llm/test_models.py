@@ -116,6 +116,26 @@ def test_lm_without_training_rows(spark):
     assert mixing.score_texts(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_contexts_reach_two_tokens_and_six_bytes_back():
+    model = mixing.Model(np.arange(3000), np.arange(3000, 0, -1), 10 ** 7, np.ones(257, dtype=np.int64))
+    key = lambda one, two: np.array([((2500 * (mixing.TOPICS + 1) + 3) * mixing.WIDE + one) * mixing.WIDE + two])
+
+    def changed(a, b, at):
+        return [bool((x[at] != y[at]).all()) for x, y in zip(a.slots, b.slots)]
+
+    base = model.token_decisions(key(2000, 7))
+    assert changed(base, model.token_decisions(key(2001, 7)), slice(None)) == [False, False, True, True]
+    assert changed(base, model.token_decisions(key(20, 7)), slice(None)) == [False, True, True, True]
+    assert changed(base, model.token_decisions(key(2000, 8)), slice(None)) == [False, False, False, True]
+    assert len({x.tobytes() for x in base.slots}) == mixing.ORDERS
+    for back, want in {2: [True] * 4, 3: [False, True, True, True], 4: [False, False, True, True],
+                       6: [False, False, False, True], 7: [False] * 4}.items():
+        word = bytearray(b"abcdefghij")
+        word[-back] = ord("z")
+        a, b = (model.byte_decisions([bytes(w)], np.array([3])) for w in (b"abcdefghij", word))
+        assert changed(a, b, slice(-8, None)) == want         # those of the stop
+
+
 def test_code_is_prefix_free_and_complete():
     rng = random.Random(1)
     code = mixing.Code([rng.randrange(1, 500) for _ in range(70)])
