@@ -235,6 +235,17 @@ def test_near_copies_are_one_content(spark):
     assert (got.n_dropped == 0).all()
 
 
+def test_short_and_long_recurring_lines_are_dropped(spark):
+    rng = random.Random(10)
+    passage, script = prose(rng, 55), "网" * 50
+    rows = [(i, prose(rng, 40) + ("\nLes." if i < 20 else "") + (f"\n{passage}" if 20 <= i < 24 else "")
+             + (f"\n{script}" if 24 <= i < 28 else "") + ("\nRare." if 28 <= i < 32 else "")
+             + (f"\n{100 + i}" if 32 <= i < 60 else "")) for i in range(60)]
+    got = linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert set(got.doc_id[got.n_dropped == 1]) == set(range(28)) and got.n_dropped.max() == 1
+    assert {t for ts in got.templates for t in ts} == {"Les.", passage, script}
+
+
 @pytest.mark.parametrize("name", ["op2_embedding_near_dedup", "op3_line_dedup", "op5_simhash", "op9_suffix_array_dedup"])
 def test_empty_tables(spark, tmp_path, name):
     for t, schema in {"documents": "doc_id long, text string, lang string, source string, n_chars long",
