@@ -69,4 +69,15 @@ SELECT d.doc_id, d.n AS n_bytes, coalesce(k.n_removed, 0) AS n_removed, coalesce
        sha256(unhex(coalesce(k.x, d.x))) AS kept_sha256
 FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
 
-ORACLES = {"op1_warc": OP1, "op2_embedding_near_dedup": OP2, "op7_decontamination": OP7, "op9_suffix_array_dedup": OP9}
+#: Vectors that take part in a search or a comparison by inner product.
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+OP13 = f"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE {_SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score
+      FROM v q JOIN v ON q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id AND len(v.e) = len(q.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"""
+
+ORACLES = {"op1_warc": OP1, "op2_embedding_near_dedup": OP2, "op7_decontamination": OP7, "op9_suffix_array_dedup": OP9, "op13_nearest_neighbours": OP13}

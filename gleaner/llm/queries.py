@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import archive, decontaminate, embeddings, langid, linededup, mixing, packing, simhash, suffixes, toxicity
+from gleaner.llm import (archive, decontaminate, embeddings, langid, linededup, mixing, packing, runs, simhash, suffixes,
+                         toxicity, vantage)
 from gleaner.llm.common import prepare, table
 from gleaner.llm.oracles import ORACLES
 
@@ -71,10 +72,25 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = runs.collapse_runs(runs.periodic_tails(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.array_join(F.transform(lines, lambda line: F.concat(line, F.lit("\n"))), "")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli",
+                        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return vantage.neighbours(table(spark, sf_dir, "embeddings"), F.col("k") % 20 == 0, k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_embedding_near_dedup, op3_line_dedup, op4_toxicity, op5_simhash, op6_best_fit_packing,
-        op7_decontamination, op8_language_id, op9_suffix_array_dedup, op10_lm_scoring)
+        op7_decontamination, op8_language_id, op9_suffix_array_dedup, op10_lm_scoring, op11_periodic_runs,
+        op13_nearest_neighbours)
 }
 
 __all__ = ["ORACLES", "QUERIES"]
