@@ -72,6 +72,20 @@ FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
 #: Vectors that take part in a search or a comparison by inner product.
 _SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+OP12 = f"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS DOUBLE)) AS c
+           FROM embeddings WHERE label IS NOT NULL AND {_SOUND}),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, v.label = a.label AS alike, CAST(list_dot_product(a.c, v.c) AS BIGINT) AS score
+      FROM v a JOIN v ON a.vec_id % 100 = 0 AND v.vec_id <> a.vec_id AND len(v.c) = len(a.c)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE alike) WHERE n <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS n
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike
+       AND 80 * positive_score <= 100 * s.score AND 100 * s.score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(n AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE n <= 5"""
+
 OP13 = f"""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
            WHERE {_SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -80,4 +94,5 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) AS score
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"""
 
-ORACLES = {"op1_warc": OP1, "op2_embedding_near_dedup": OP2, "op7_decontamination": OP7, "op9_suffix_array_dedup": OP9, "op13_nearest_neighbours": OP13}
+ORACLES = {"op1_warc": OP1, "op2_embedding_near_dedup": OP2, "op7_decontamination": OP7, "op9_suffix_array_dedup": OP9,
+           "op12_hard_negatives": OP12, "op13_nearest_neighbours": OP13}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import (archive, decontaminate, embeddings, langid, linededup, mixing, packing, runs, simhash, suffixes,
-                         toxicity, vantage)
+from gleaner.llm import (archive, decontaminate, embeddings, langid, linededup, mixing, negatives, packing, runs, simhash,
+                         suffixes, toxicity, vantage)
 from gleaner.llm.common import prepare, table
 from gleaner.llm.oracles import ORACLES
 
@@ -81,6 +81,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", moved.alias("label"), "embedding")
+    return negatives.mine(rows, F.col("k") % 100 == 0, scale=256, positives=5, negatives=5, percent=80)
+
+
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return vantage.neighbours(table(spark, sf_dir, "embeddings"), F.col("k") % 20 == 0, k=20)
@@ -89,7 +97,7 @@ def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_warc, op2_embedding_near_dedup, op3_line_dedup, op4_toxicity, op5_simhash, op6_best_fit_packing,
-        op7_decontamination, op8_language_id, op9_suffix_array_dedup, op10_lm_scoring, op11_periodic_runs,
+        op7_decontamination, op8_language_id, op9_suffix_array_dedup, op10_lm_scoring, op11_periodic_runs, op12_hard_negatives,
         op13_nearest_neighbours)
 }
 

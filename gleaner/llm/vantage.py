@@ -112,7 +112,7 @@ class Tree:
             slot[q] = np.arange(len(q))
             at = slot[own[0][lo:hi]]
             score[at[at >= 0], own[1][lo:hi][at >= 0] - begin] = -np.inf
-            good = score >= (least[q] - margin[q])[:, None]
+            good = (score >= (least[q] - margin[q])[:, None]) & (score > -np.inf)
             i, j = np.nonzero(good)
             found.append((q[i], j + begin, score[i, j]))
             better = np.flatnonzero((score > least[q][:, None]).any(axis=1))
