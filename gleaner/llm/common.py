@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,14 +37,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    """Add a unique row key, the same at every evaluation of one scan of stored files.
+def steady_splits(spark: SparkSession) -> None:
+    """Let the splits of a scan follow the files alone. Unless a number is set, Spark sizes
+    them by the cores that are registered at the moment, and a lost executor between two
+    reads of one table would move rows to other splits."""
+    if not spark.conf.get("spark.sql.files.minPartitionNum", None):
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
+def scans_files(df: DataFrame) -> bool:
+    """Whether the frame is a scan of files with columns and filters only."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [re.match(r"[\s+:-]*(\w*)", line)[1] for line in plan.splitlines()]
+    return all(n in ("Project", "Filter", "Relation") for n in nodes)
 
-    Operators that join per-row results back to their input expect a frame that reads
-    stored tables (as every pipeline stage does), whose splits and row order are fixed."""
+
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Add a unique row key that is the same at every reading of the frame, however many
+    cores there are: the row's place in the scan's splits, which are held steady. A frame
+    that is more than a scan of files is stored first and read from there, as its rows
+    could come in another order the next time. Key once and pass the keyed frame on."""
+    steady_splits(df.sparkSession)
+    if not scans_files(df):
+        df = written(df, "rows")
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The frame with its columns named c0, c1, ... by place, which no name that an operator
+    adds can meet, and the names they had."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), df.columns
+
+
+def number_of(names: list[str], name: str) -> str:
+    """The numbered name of a column (the first of that name, in any case)."""
+    return f"c{[n.lower() for n in names].index(name.lower())}"
+
+
+def named_back(names: list[str], without: Iterable[str] = ()) -> list:
+    """Columns of a numbered frame under their former names, but those in ``without``."""
+    gone = {n.lower() for n in without}
+    return [F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in gone]
+
+
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it back.
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import ROW, slices, text_bytes, with_row_key, written
+from gleaner.llm.common import ROW, named_back, number_of, numbered, slices, text_bytes, with_row_key, written
 
 WILD = b"<*>"
 VARIABLE = re.compile(rb"\S*[0-9]\S*")
@@ -234,9 +234,12 @@ def recurring(lines: DataFrame, similarity: float, min_documents: int, long_docu
 def drop_lines(df: DataFrame, text: str = "text", similarity: float = 0.8, min_documents: int = 10,
                min_tokens: int = 1, long_documents: int = 3) -> DataFrame:
     """All input columns with the recurring lines taken out of the text, plus n_lines,
-    n_dropped and templates (those whose lines were dropped)."""
-    made = ("n_lines", "n_dropped", "templates")
-    rows = with_row_key(df.drop(*[c for c in df.columns if c.lower() in made]))
+    n_dropped and templates (those whose lines were dropped). Input columns of these three
+    names are left out; others may have any name."""
+    made = ["n_lines", "n_dropped", "templates"]
+    df, names = numbered(df)
+    text = number_of(names, text)
+    rows = with_row_key(df)
     lines = written(parse(rows, text, min_tokens), "parsed", "zstd")
     found = recurring(lines, similarity, min_documents, long_documents)
     at = lines.select(F.col("row").alias("r"), "leaf", "line", "at").join(found, ["leaf", "line"])
@@ -245,7 +248,8 @@ def drop_lines(df: DataFrame, text: str = "text", similarity: float = 0.8, min_d
     # documents with dropped lines grow with the input: joined by a shuffle at every size
     cut = rows.join(flagged.hint("merge"), rows[ROW] == flagged["r"], "left").drop(ROW, "r")
     none = F.expr("cast(array() as array<string>)")
-    return rebuild(cut.withColumn("templates", F.coalesce("templates", none)), text)
+    built = rebuild(cut.withColumn("templates", F.coalesce("templates", none)), text)
+    return built.select(*named_back(names, made), *made)
 
 
 def rebuild(cut: DataFrame, text: str) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import slices, text_bytes, worker_memory, written
+from gleaner.llm.common import named_back, number_of, numbered, slices, text_bytes, worker_memory, written
 
 TOKENIZER = "word_bpe_49k.json"
 #: Distinct words and parts of words whose ids a worker remembers.
@@ -272,9 +272,11 @@ def pack(df: DataFrame, text: str = "text", capacity: int = 2048, end_id: int =
          tokenizer: str | None = None) -> DataFrame:
     """One row per piece: the columns but the text, piece, start, length, ids_crc32,
     sequence_id and offset. ``tokenizer`` is the path of a tokenizer file in which white
-    space separates tokens (default: the public word vocabulary)."""
-    made = ("piece", "start", "length", "ids_crc32", "task", "nth", "sequence_id", "offset")
-    df = df.drop(*[c for c in df.columns if c.lower() in made and c != text])
+    space separates tokens (default: the public word vocabulary). Input columns of the
+    added names are left out; others may have any name."""
+    made = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    df, columns = numbered(df)
+    left_out, text = [*made, text], number_of(columns, text)
     cut = written(pieces(df, text, capacity, end_id, tokenizer), "pieces")
     tally = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}
@@ -299,4 +301,4 @@ def pack(df: DataFrame, text: str = "text", capacity: int = 2048, end_id: int =
 
     schema = T.StructType([*(ranked.schema[c] for c in names), T.StructField("sequence_id", T.LongType()),
                            T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(run, schema).select(*named_back(columns, left_out), *made)

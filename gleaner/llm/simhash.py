@@ -144,8 +144,10 @@ def links(distinct: DataFrame, distance: int, fp: str = "fp") -> DataFrame:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3,
                     distance: int = 3) -> DataFrame:
     """One row per input row: key, fp (signed), component_id (smallest key reachable),
-    kept (true for one row of each component) and the row key of with_row_key()."""
-    rows = with_row_key(df.select(F.col(key).alias("k"), F.col(text).alias("t")))
+    kept (true for one row of each component) and the row key of with_row_key(), that of
+    the frame where it has one already."""
+    df = df if ROW in df.columns else with_row_key(df)
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), ROW)
     fps = checkpointed(fingerprints(rows, "t", width))
     first = F.struct(F.col("k").isNull().alias("n"), F.col("k").alias("k"), F.col(ROW).alias("r"))
     reps = checkpointed(fps.groupBy("fp").agg(F.min(first).alias("first"), F.count("*").alias("n")))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import ROW, slices, text_bytes, with_row_key, written
+from gleaner.llm.common import ROW, named_back, number_of, numbered, slices, text_bytes, with_row_key, written
 
 GRAM = 32
 #: Windows of a long text handled at a time; positions must fit in POSITION_BITS.
@@ -373,9 +373,12 @@ def fetch(joined: DataFrame, length: int) -> DataFrame:
 
 def remove_repeats(df: DataFrame, text: str = "text", length: int = 200) -> DataFrame:
     """All input columns but the text, with n_bytes, n_removed, n_spans, spans (byte
-    ranges) and kept (the remaining bytes)."""
-    made = ("n_bytes", "n_removed", "n_spans", "spans", "kept")
-    rows = with_row_key(df.drop(*[c for c in df.columns if c.lower() in made and c != text]))
+    ranges), kept (the remaining bytes) and kept_sha256. Input columns of these names are
+    left out; others may have any name."""
+    made = ["n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"]
+    df, columns = numbered(df)
+    left_out, text = [*made, text], number_of(columns, text)
+    rows = with_row_key(df)
     windows = repeated_windows(rows, text, length)
     found = written(windows.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("windows")), "found")
     joined = rows.join(found, rows[ROW] == found["row"], "left").drop("row", ROW)
@@ -404,4 +407,5 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 200) -> Data
                                    "kept binary, kept_sha256 string")
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])),
              pa.binary(), pa.string())
-    return joined.mapInArrow(run, T.StructType([*(joined.schema[c] for c in names), *new.fields]))
+    removed = joined.mapInArrow(run, T.StructType([*(joined.schema[c] for c in names), *new.fields]))
+    return removed.select(*named_back(columns, left_out), *made)

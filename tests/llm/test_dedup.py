@@ -9,7 +9,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import brute
-from gleaner.llm import common, embeddings, linededup, queries, simhash, suffixes
+import corpus_pipeline
+from gleaner.llm import common, embeddings, linededup, packing, queries, simhash, suffixes
 
 WORDS = "the of and to in a is that for it as was with be by on not he his but at are this have from".split()
 
@@ -252,3 +253,109 @@ def test_empty_tables(spark, tmp_path, name):
                       "embeddings": "vec_id long, embedding array<float>, label int"}.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+CLASHING = ["drop", "templates", "n_lines", "row", "r", "windows", "kept", "kept_sha256", "t", "l", "base", "task", "nth",
+            "piece", "offset", "lang_pred", "score", "held_out", "hits", "items", "n_words", "contaminated", "__row", "gone",
+            "a", "b", "doc_ID2", "_metadata"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    """A stored documents table with a column of every internal or added name, with values."""
+    path = str(tmp_path_factory.mktemp("clash") / "documents.parquet")
+    line = "the very same line of twenty words " * 4
+    rows = [(i, f"{prose(random.Random(i), 40)}\n{line}\n{prose(random.Random(i + 999), 30)}", "en", "s", None) for i in range(30)]
+    rows += [(100, rows[0][1], "en", "s", None), (101, None, "en", "s", None), (102, "", "en", "s", None)]
+    df = spark.createDataFrame([(*r[:4], len(r[1]) if r[1] is not None else None) for r in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    for n, c in enumerate(CLASHING):
+        df = df.withColumn(c, F.col("doc_id") * 100 + n)
+    df.repartition(3).write.parquet(path)
+    return path
+
+
+def values(df, columns):
+    return sorted(str(tuple(r)) for r in df.select(*[F.col(f"`{c}`") for c in columns]).collect())
+
+
+def test_columns_of_any_name_pass_through(spark, clashing):
+    df = spark.read.parquet(clashing)
+    for found, added in ((linededup.drop_lines(df), ["n_lines", "n_dropped", "templates"]),
+                         (suffixes.remove_repeats(df), ["n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"]),
+                         (packing.pack(df), ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"])):
+        others = [c for c in CLASHING if c not in added]
+        assert [c for c in found.columns if c in others] == others
+        assert values(found.select("doc_id", *others).distinct(), ["doc_id", *others]) == values(df, ["doc_id", *others])
+        assert set(added) <= set(found.columns) and len(set(found.columns)) == len(found.columns)
+
+
+def test_stages_keep_all_columns_and_count_characters(spark, clashing, tmp_path):
+    spark.createDataFrame([("i1", "nothing of these documents stands in here at all")], "item_id string, text string") \
+        .write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(clashing)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = common.written(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == spark.read.parquet(clashing).columns, name
+        assert 0 < docs.count() <= before
+        assert docs.filter("n_chars <> length(text)").count() == 0, name
+        kept = docs.select("doc_id", *CLASHING)
+        assert values(kept, kept.columns) == values(spark.read.parquet(clashing).join(kept.select("doc_id"), "doc_id", "left_semi"), kept.columns)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == docs.count() > 20
+
+
+@pytest.mark.parametrize("nulls", [False, True])
+def test_stages_on_empty_and_null_tables(spark, tmp_path, nulls):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None,) * 5] * 3 + [(1, None, None, None, None), (None, "words in a text", None, None, 15)] if nulls else []
+    spark.createDataFrame([], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = common.written(spark.createDataFrame(rows, schema), "few")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns
+        assert found.count() <= len(rows)
+    corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).count()
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert pieces.count() == len(rows)
+
+
+def test_row_keys_hold_when_cores_join_or_leave(spark, tmp_path):
+    rng = random.Random(8)
+    line = "one line that stands in every one of these documents as it is, word for word, twenty words in all, no fewer"
+    rows = [(i, f"{prose(rng, rng.randrange(5, 60))}\n{line}\n{prose(rng, 20)}") for i in range(400)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(40).write.parquet(path)
+    setting = "spark.sql.leafNodeDefaultParallelism"
+    docs = spark.read.parquet(path)
+
+    def key_map(df):
+        return {r["doc_id"]: r[common.ROW] for r in df.select("doc_id", common.ROW).collect()}
+
+    def results(change):
+        """The operators with the parallelism changed after their first reading."""
+        out = []
+        for made in (linededup.drop_lines, suffixes.remove_repeats):
+            spark.conf.set(setting, "8")
+            found = made(docs)
+            spark.conf.set(setting, change)
+            out.append(sorted(map(str, found.collect())))
+        spark.conf.set(setting, "8")
+        found = corpus_pipeline.simhash_dedup(spark, docs, "")
+        spark.conf.set(setting, change)
+        return [*out, sorted(map(str, found.collect()))]
+
+    try:
+        spark.conf.set(setting, "8")
+        keyed = common.with_row_key(docs)
+        first = key_map(keyed)
+        spark.conf.set(setting, "3")
+        assert key_map(keyed) == first and len(set(first.values())) == 400
+        assert results("3") == results("8")
+        shuffled = common.with_row_key(docs.repartition(5))               # not a plain scan: stored first
+        assert common.scans_files(docs.filter("doc_id > 3")) and not common.scans_files(docs.repartition(5))
+        first = key_map(shuffled)
+        spark.conf.set(setting, "6")
+        assert key_map(shuffled) == first
+    finally:
+        spark.conf.unset(setting)
