@@ -8,38 +8,50 @@ columns of the documents table.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, langid, linededup, packing, simhash
-from gleaner.llm.common import prepare, table, with_row_key, written
+from gleaner.llm.common import named_back, number_of, numbered, prepare, table, with_row_key, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a language (null texts, texts without a letter)."""
     prepare(spark)
-    found = langid.identify(docs.select("doc_id", "text", "lang", "source", "n_chars"))
-    return found.filter(found["lang_pred"] != langid.UNDETERMINED).select(docs.columns)
+    rows, names = numbered(docs)
+    found = langid.identify(rows, *(number_of(names, c) for c in ("doc_id", "text", "lang")))
+    return found.filter(found["lang_pred"] != langid.UNDETERMINED).select(named_back(names))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take the lines of recurring templates out of the texts; every document stays."""
+    """Take the lines of recurring templates out of the texts; every document stays. Where
+    lines went, n_chars is counted again."""
     prepare(spark)
-    return linededup.drop_lines(docs).select(docs.columns)
+    rows, names = numbered(docs)
+    text = number_of(names, "text")
+    cut = linededup.drop_lines(rows, text)
+    if "n_chars" in [n.lower() for n in names]:
+        count = number_of(names, "n_chars")
+        changed = F.when(F.col("n_dropped") > 0, F.length(text)).otherwise(F.col(count))
+        cut = cut.withColumn(count, changed.cast(rows.schema[count].dataType))
+    return cut.select(named_back(names))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near copies, that of the smallest id."""
     prepare(spark)
-    found = simhash.near_duplicates(docs, width=3, distance=3)
+    rows, names = numbered(docs)
+    rows = with_row_key(rows)
+    found = simhash.near_duplicates(rows, number_of(names, "doc_id"), number_of(names, "text"), width=3, distance=3)
     gone = written(found.filter(~found["kept"]).select(found[simhash.ROW].alias("gone")), "near-copies")
-    rows = with_row_key(docs)
-    return rows.join(gone, rows[simhash.ROW] == gone["gone"], "left_anti").select(docs.columns)
+    return rows.join(gone, rows[simhash.ROW] == gone["gone"], "left_anti").select(named_back(names))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of the benchmark."""
     prepare(spark)
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), width=10)
-    return found.filter(~found["contaminated"]).select(docs.columns)
+    rows, names = numbered(docs)
+    found = decontaminate.decontaminate(rows, table(spark, sf_dir, "benchmark"), text=number_of(names, "text"), width=10)
+    return found.filter(~found["contaminated"]).select(named_back(names))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
