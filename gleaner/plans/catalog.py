@@ -15,10 +15,11 @@ from gleaner.operators import analysis, collect, bulletin, evaluate, scorers, se
 from gleaner.operators.config import resolve_config
 from gleaner.operators.ranking import rank_rows
 from gleaner.plans import bindings as b
+from gleaner.plans import catalog
 from gleaner.session import configure, scratch_path
 from gleaner.sources import builders, shaping, store
 from gleaner.sources.registry import SourceRegistry
-from gleaner.streaming import jobs
+from gleaner.streaming import jobs, rounds
 from gleaner.plans.oracle import AS_OF_SQL, REASON_SQL, with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -473,7 +474,7 @@ def q_append_eval_round(spark, sf):
         "dedup_key", "num_evals", "weighted_score", "median_confidence", "last_eval", "prompt_hash")
 
 
-def _append_eval_round_sql() -> str:
+def _append_eval_round_sql(rounds: int = 2) -> str:
     from gleaner.plans.oracle import keyword_sql
     ks = keyword_sql("coalesce(json_extract_string(i.input, '$.text'), i.title)")
     agg = """SELECT dedup_key, count(*) AS num_evals,
@@ -498,21 +499,20 @@ def _append_eval_round_sql() -> str:
                 f"CAST(sc.confidence_score AS INTEGER) AS confidence_score "
                 f"FROM rec rc JOIN sc USING (dedup_key) LEFT JOIN {st} USING (dedup_key) "
                 f"WHERE {queued(st, r)} AND rc.ord % 7 <> 0")
+    steps = "".join(f""",
+ev{r} AS (SELECT * FROM ev{r - 1} UNION ALL {new_rows(r, f'st{r - 1}')}),
+st{r} AS ({agg.format(src=f'ev{r}')})""" for r in range(1, rounds + 1))
+    asked = " UNION ALL ".join(new_rows(r, f"st{r - 1}") for r in range(1, rounds + 1))
     body = f"""
 , rec AS (SELECT dedup_key, ord FROM recent),
 sc AS (SELECT i.dedup_key, {ks['importance_score']} AS importance_score, {ks['confidence_score']} AS confidence_score
        FROM items i),
 ev0 AS (SELECT dedup_key, seq, eval_date, importance_score, confidence_score FROM evals),
-st0 AS ({agg.format(src='ev0')}),
-ev1 AS (SELECT * FROM ev0 UNION ALL {new_rows(1, 'st0')}),
-st1 AS ({agg.format(src='ev1')}),
-ev2 AS (SELECT * FROM ev1 UNION ALL {new_rows(2, 'st1')}),
-st2 AS ({agg.format(src='ev2')})
-SELECT rc.dedup_key, coalesce(st2.num_evals, 0) AS num_evals, st2.weighted_score, st2.median_confidence, st2.last_eval,
+st0 AS ({agg.format(src='ev0')}){steps}
+SELECT rc.dedup_key, coalesce(fin.num_evals, 0) AS num_evals, fin.weighted_score, fin.median_confidence, fin.last_eval,
        p.prompt_hash
-FROM rec rc LEFT JOIN st2 USING (dedup_key)
-LEFT JOIN (SELECT DISTINCT n.dedup_key, sha256(q.prompt) AS prompt_hash FROM (
-             {new_rows(1, 'st0')} UNION ALL {new_rows(2, 'st1')}) n JOIN {_prompt_sql()} q USING (dedup_key)) p
+FROM rec rc LEFT JOIN st{rounds} fin USING (dedup_key)
+LEFT JOIN (SELECT DISTINCT n.dedup_key, sha256(q.prompt) AS prompt_hash FROM ({asked}) n JOIN {_prompt_sql()} q USING (dedup_key)) p
   USING (dedup_key)"""
     return with_ctes(["recent", "items", "evals"], body)
 
@@ -1100,8 +1100,19 @@ def _stream_paths(spark, name):
 def q_stream_collect(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-collect")
     docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
-    jobs.stream_collect(b.landed_from_documents(docs), out, ckpt)
-    return spark.read.parquet(out).select("dedup_key", "ord", "source")
+    jobs.stream_collect(b.landed_from_documents(docs).select("dedup_key", "ord", "source"), out, ckpt)
+    return spark.read.schema("dedup_key string, ord bigint, source string").parquet(out)
+
+
+@register("stream_collect_within", with_ctes(["landed"], """
+SELECT DISTINCT dedup_key, source, link FROM landed WHERE dedup_key IS NOT NULL"""))
+def q_stream_collect_within(spark, sf):
+    out, ckpt = _stream_paths(spark, "stream-within")
+    docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
+    narrow = b.landed_from_documents(docs).select("dedup_key", "ord", "source", "link", "creation_date")
+    # the landed items are dated within 30 days, so no copy comes later than that
+    jobs.stream_collect_within(narrow, out, ckpt, delay="30 days")
+    return spark.read.schema("dedup_key string, source string, link string").parquet(out)
 
 
 @register("stream_eval_state", with_ctes(["state"], """
@@ -1116,6 +1127,28 @@ def q_stream_eval_state(spark, sf):
     return jobs.latest_state(spark, out)
 
 
+@register("stream_rounds", _append_eval_round_sql(3))
+def q_stream_rounds(spark, sf):
+    out, ckpt = _stream_paths(spark, "stream-rounds")
+    keys = b.landed_keys(spark, sf)
+    past = b.evals(spark, sf, keys)
+    providers = {"keyword": _flaky(evaluate.scorer_provider(scorers.keyword_scorer()))}
+    docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
+    arriving = b.landed_from_documents(docs).select("dedup_key", "ord", "source", "creation_date")
+    inputs = b.landed_items(spark, sf).select("dedup_key", "ord", "title", "source", "input")
+    rounds.stream_rounds(arriving, inputs, b.BINDING_CONFIG, providers, 3, out, ckpt, b.AS_OF, evals=past)
+    last = past.agg(F.max("seq")).first()[0] or 0
+    new = rounds.read_answers(spark, out).select(
+        "dedup_key", (F.col("round") + last).alias("seq"), F.lit(b.AS_OF).cast("timestamp_ntz").alias("eval_date"),
+        "importance_score", "confidence_score", "prompt_hash").checkpoint(eager=True)
+    wanted = evaluate.recent_items(b.items_narrow(spark, sf, keys), b.BINDING_CONFIG, b.AS_OF).select("dedup_key")
+    every = past.select(*[c for c in new.columns if c != "prompt_hash"]).unionByName(new.drop("prompt_hash"))
+    final = evaluate.tallied_state(evaluate.tally(every).join(wanted, "dedup_key", "left_semi"))
+    asked = new.groupBy("dedup_key").agg(F.max("prompt_hash").alias("prompt_hash"))
+    return evaluate.attach_state(wanted, final).join(asked, "dedup_key", "left").select(
+        "dedup_key", "num_evals", "weighted_score", "median_confidence", "last_eval", "prompt_hash")
+
+
 def _stream_evaluate_sql() -> str:
     from gleaner.plans.oracle import keyword_sql, setting, settings_sql
     ks = keyword_sql("coalesce(json_extract_string(l.input, '$.text'), l.title)")

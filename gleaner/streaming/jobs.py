@@ -7,14 +7,17 @@ are scored per micro-batch with an idempotent sink (S3). All runs here use
 ``trigger(availableNow=True)`` so a bounded input drives the query to completion;
 the same code runs continuously with a processing-time trigger.
 
-Every sink writes one ``batch_id=N`` folder per micro-batch in overwrite mode, so a
-replayed batch replaces its earlier output, and S1 and S3 compare a batch with the
-folders of the other batches only.
+Sinks write one ``batch_id=N`` folder per micro-batch in overwrite mode, so a replayed
+batch replaces its earlier output, or are Spark's file sink. What was seen before is
+keyed state in RocksDB (S1, S2); S3 in one round compares a batch with the folders of the
+other batches.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +37,13 @@ def use_rocksdb_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
 
 
-def _run(writer, name: str) -> None:
-    """Run a stream to completion (availableNow)."""
+def _run(writer, name: str) -> list[dict]:
+    """Run a stream to completion (availableNow); the progress of its micro-batches."""
     q = writer.queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    return [json.loads(p.json) for p in q.recentProgress]
 
 
 def _written_keys(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -53,20 +57,69 @@ def _written_keys(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
 
 
 def stream_collect(items: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Keep the first-arriving row per ``dedup_key`` across micro-batches.
+    """Keep the first-arriving row per ``dedup_key`` across micro-batches; of the rows
+    of one micro-batch the one with the smallest ``ord``.
+
+    The state is an aggregate per key in RocksDB: the first row, and the time of the batch
+    it came in. Rows are combined map-side before the shuffle, so a key that holds much of
+    a batch is no hot key, and a batch emits the keys whose first batch it is; nothing
+    written before is read again. Nothing expires, so no new item is lost however late it
+    comes. The columns of ``items`` are what is kept per key: give the narrow ones (whole
+    texts stay in the landed table and are joined back by ``ord``)."""
+    use_rocksdb_state(items.sparkSession)
+    others = [c for c in items.columns if c not in ("dedup_key", "ord")]
+    # the clock of a micro-batch is one value, kept in its offset log, so a replay agrees
+    keyed = items.where(F.col("dedup_key").isNotNull()).withColumn("_now", F.current_timestamp())
+    first = keyed.groupBy("dedup_key").agg(F.min(F.struct("ord", *others)).alias("_row"), F.min("_now").alias("_since"))
+    new = first.where(F.col("_since") == F.current_timestamp())
 
-    Each batch is deduplicated first-wins by ``ord`` (a map-side combined minimum, so a
-    key that holds much of a batch is no hot key) and anti-joined with the keys already
-    written. The written items are the only state: nothing expires, so no new item is
-    lost however late it comes, and no copy is kept twice."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        new = dedup_first_wins(batch, "ord")
-        seen = _written_keys(batch.sparkSession, out_path, batch_id)
-        if seen is not None:
-            new = new.join(seen, "dedup_key", "left_anti")
-        new.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
-
-    _run(items.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), "stream_collect")
+        batch.select(*[F.col("dedup_key") if c == "dedup_key" else F.col(f"_row.{c}") for c in items.columns]) \
+            .write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+
+    _run(new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .outputMode("update"), "stream_collect")
+
+
+@dataclass
+class StreamReport:
+    """What a bounded-state stream did: rows dropped as too late, and per micro-batch the
+    watermark and the rows held as state."""
+
+    late_rows: int
+    watermarks: list[str]
+    state_rows: list[int]
+
+
+def stream_collect_within(items: DataFrame, out_path: str, checkpoint: str, delay: str = "30 days",
+                          event_time: str = "creation_date", spread: int = 8) -> StreamReport:
+    """S1 with bounded state: one row per ``dedup_key`` among rows whose event times lie
+    within ``delay``, kept in event time by ``dropDuplicatesWithinWatermark``.
+
+    A key is remembered until the watermark (the greatest event time seen, less ``delay``)
+    passes its own event time by ``delay``; then its state goes. Copies that come within
+    the delay are dropped. Rows behind the watermark are too late to be told from copies:
+    they are not written, but counted in the report. Rows without an event time are
+    neither dated nor bounded and are left out by the caller's choice of ``items``.
+
+    A first pass over (key, one of ``spread`` parts) drops the copies of a hot key in
+    several tasks; the second sees at most ``spread`` rows of a key from a batch. The sink
+    is Spark's file sink with its own log, so the output is exactly once and never read
+    back. Which of a key's copies in one micro-batch is kept is not fixed; columns that
+    follow from the key are."""
+    use_rocksdb_state(items.sparkSession)
+    dated = (items.where(F.col("dedup_key").isNotNull())
+             .withColumn("_time", F.col(event_time).cast("timestamp"))
+             .withColumn("_part", F.pmod(F.xxhash64("ord"), F.lit(spread)))
+             .withWatermark("_time", delay))
+    once = dated.dropDuplicatesWithinWatermark(["dedup_key", "_part"]).dropDuplicatesWithinWatermark(["dedup_key"])
+    progress = _run(once.drop("_time", "_part").writeStream.format("parquet").option("path", out_path)
+                    .option("checkpointLocation", checkpoint).outputMode("append"), "stream_collect_within")
+    # the operators of a batch are listed from the sink back: the last one sees the input
+    return StreamReport(
+        late_rows=sum(p["stateOperators"][-1]["numRowsDroppedByWatermark"] for p in progress if p["stateOperators"]),
+        watermarks=[p["eventTime"]["watermark"] for p in progress if "eventTime" in p],
+        state_rows=[sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress])
 
 
 def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str) -> None:
