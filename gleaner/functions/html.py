@@ -33,8 +33,16 @@ _KNOWN = "|".join(entity[1:] for entity, _ in HTML_ENTITIES)
 _OPEN_QUOTE = r"""<[a-zA-Z/][^>"']*(?:"[^"<>]*"[^>"']*|'[^'<>]*'[^>"']*)*["'][^"'<>]*>"""
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _native_main(html: Column) -> Column:
-    cleaned = remove_elements(html, REMOVED_TAGS)
+    return _bound(remove_elements(html, REMOVED_TAGS), _main_of)
+
+
+def _main_of(cleaned: Column) -> Column:
     out = None
     for tag in SEMANTIC_TAGS:
         branch = (has_element(cleaned, tag), strip_tags(first_element_html(cleaned, tag)))
@@ -50,11 +58,11 @@ def _count(html: Column, pattern: str) -> Column:
 def odd_markup(html: str | Column) -> Column:
     """True when regexes may read the markup or its entities wrongly."""
     h = col_(html)
-    shown = remove_elements(h, ["script", "style"])
     return (h.rlike(rf"&(?!(?:{_KNOWN}))[#a-zA-Z]")
             | (_count(h, "<!--") != _count(h, r"<!--[^<]*?-->"))
-            | shown.rlike(r"(?i)</?(?:script|style)\b") | shown.rlike(r"<[^a-zA-Z/!]") | shown.rlike(r"<[^>]*$")
-            | shown.rlike(_OPEN_QUOTE))
+            | _bound(remove_elements(h, ["script", "style"]), lambda shown: (
+                shown.rlike(r"(?i)</?(?:script|style)\b") | shown.rlike(r"<[^a-zA-Z/!]") | shown.rlike(r"<[^>]*$")
+                | shown.rlike(_OPEN_QUOTE))))
 
 
 def needs_tree(html: str | Column) -> Column:
@@ -62,17 +70,18 @@ def needs_tree(html: str | Column) -> Column:
     element that is nested or unclosed, a chosen element that is not there exactly once
     and closed, or a role or class attribute that the ladder could select."""
     h = col_(html)
-    cleaned = remove_elements(h, REMOVED_TAGS)
     removed = "|".join(REMOVED_TAGS)
-    semantic = has_element(cleaned, "article") | has_element(cleaned, "main")
 
-    def once(tag: str) -> Column:
-        return (_count(cleaned, rf"(?i)<{tag}\b") == 1) & (_count(cleaned, rf"(?i)</{tag}\s*>") == 1)
+    def unsure(cleaned: Column) -> Column:
+        def once(tag: str) -> Column:
+            return (_count(cleaned, rf"(?i)<{tag}\b") == 1) & (_count(cleaned, rf"(?i)</{tag}\s*>") == 1)
+
+        selectable = h.rlike(r"(?i)<[a-z][^>]*\s(role|class)\s*=")
+        body = F.when(has_element(cleaned, "body"), once("body")).otherwise(F.lit(True))
+        chosen = F.when(has_element(cleaned, "article"), once("article")).when(has_element(cleaned, "main"), once("main"))
+        return cleaned.rlike(rf"(?i)</?(?:{removed})\b") | ~chosen.otherwise(body & ~selectable)
 
-    chosen = F.when(has_element(cleaned, "article"), once("article")).when(has_element(cleaned, "main"), once("main"))
-    chosen = chosen.when(has_element(cleaned, "body"), once("body")).otherwise(F.lit(True))
-    return F.coalesce(odd_markup(h) | cleaned.rlike(rf"(?i)</?(?:{removed})\b") | ~chosen
-                      | (~semantic & h.rlike(r"(?i)<[a-z][^>]*\s(role|class)\s*=")), F.lit(False))
+    return F.coalesce(_bound(remove_elements(h, REMOVED_TAGS), unsure) | odd_markup(h), F.lit(False))
 
 
 # ------------------------------------------------------------------ tree path
@@ -173,14 +182,14 @@ def plain_text(html: str | Column) -> Column:
     """Tags dropped (one space each), script/style/comments removed, entities
     decoded, whitespace collapsed."""
     h = col_(html)
-    odd = odd_markup(h)
-    return F.when(odd, _tree_column(F.when(odd, h), plain_text_py)).otherwise(strip_tags(h))
+    # the tree gives a text for every page it is handed, so its nulls mark the other pages
+    # and the test for odd markup stands in the plan once
+    return F.coalesce(_tree_column(F.when(odd_markup(h), h), plain_text_py), strip_tags(h))
 
 
 def extract_main_content(df: DataFrame, html_col: str = "html", out_col: str = "main_text") -> DataFrame:
     """B8 over a DataFrame: native expressions for most rows, the tree walk for the rows
     that ``needs_tree`` selects; one scan, no shuffle."""
     h = F.col(html_col)
-    odd = needs_tree(h)
-    tree = _tree_column(F.when(odd, h), extract_main_text_py)
-    return df.withColumn(out_col, F.when(odd, tree).otherwise(_native_main(h)))
+    tree = _tree_column(F.when(needs_tree(h), h), extract_main_text_py)
+    return df.withColumn(out_col, F.coalesce(tree, _native_main(h)))

@@ -44,12 +44,32 @@ def dedup_first_wins(items: DataFrame, order_col: str = "ord") -> DataFrame:
     (a key holding a third of all rows sends one row per map task), and the winners
     are then picked by a left-semi join on ``(dedup_key, order_col)`` — a unique pair,
     so a hot key spreads over many reducers. Columns a caller does not use are pruned
-    through the join, so heavy text is never shuffled for nothing."""
+    through the join, so heavy text is never shuffled for nothing.
+
+    ``order_col`` is a position and so unique by contract; a row that was landed twice
+    under one position stays twice. ``repeated_positions`` finds such rows, and
+    ``dedup_landed_twice`` takes them along."""
     keyed = items.where(F.col("dedup_key").isNotNull())
     winners = keyed.groupBy("dedup_key").agg(F.min(order_col).alias(order_col))
     return keyed.join(winners, on=["dedup_key", order_col], how="left_semi")
 
 
+def repeated_positions(items: DataFrame, order_col: str = "ord") -> DataFrame:
+    """Positions that more than one row claims, with their number of rows: empty where the
+    contract of ``dedup_first_wins`` holds."""
+    return items.groupBy(order_col).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+
+
+def dedup_landed_twice(items: DataFrame, order_col: str = "ord") -> DataFrame:
+    """C2 where a delivery may be repeated: as ``dedup_first_wins``, and of the rows of one
+    key and position exactly one is kept (the least by all fields, so always the same).
+    The winners are combined map-side before they are shuffled."""
+    won = dedup_first_wins(items, order_col)
+    others = [c for c in won.columns if c not in ("dedup_key", order_col)]
+    one = won.groupBy("dedup_key", order_col).agg(F.min(F.struct(*others)).alias("_row"))
+    return one.select(*[F.col(c) if c in ("dedup_key", order_col) else F.col(f"_row.{c}") for c in won.columns])
+
+
 def upsert_merge(existing: DataFrame, batch: DataFrame, collected_at: datetime,
                  data_fields: list[str] = ITEM_FIELDS) -> DataFrame:
     """Merge a deduplicated ``batch`` into the ``existing`` store by ``dedup_key``.

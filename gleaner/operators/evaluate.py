@@ -157,24 +157,56 @@ def pandas_scorer(fn, extra_schema: str = RESPONSE_SCHEMA):
 
 # ------------------------------------------------------------------ E7/E8 validation
 
+#: Bare NaN and infinities where a value stands, as a lenient JSON writer gives them.
+_BARE_NUMBER = r"(?<=[:\[,])(\s*)-?(?:NaN|Infinity)(?=\s*[,}\]])"
+#: Variant types of integers beyond 64 bits; shorter decimals come from 70.0 and the like.
+_LONG_INTEGER = r"^DECIMAL\((19|[23]\d),0\)$"
+
+
+def parsed_response(t: Column) -> Column:
+    """The response text as a variant, null where it is no JSON. Of a repeated key the last
+    one counts (a session setting, see ``session.RUNTIME_CONF``); bare NaN and infinities
+    read as null."""
+    parsed = F.try_parse_json(t)
+    return F.coalesce(parsed, F.when(t.rlike("NaN|Infinity"), F.try_parse_json(F.regexp_replace(t, _BARE_NUMBER, "$1null"))))
+
+
 def response_reason(text: str | Column) -> Column:
     """Why a model response text is rejected, or ``valid``. Scores must be JSON
-    integers (a quoted number, a float or a boolean is rejected); a key holding null
-    counts as present; a non-object counts as missing keys. One parse per text."""
+    integers, of up to 38 digits (a quoted number, a float or a boolean is rejected); a
+    key holding null, NaN or an infinity counts as present; of a repeated key the last one
+    counts; a non-object counts as missing keys. One parse per text."""
     t = F.col(text) if isinstance(text, str) else text
-    parsed = F.try_parse_json(t)
-    has_all = F.forall(F.array(*[F.try_variant_get(parsed, f"$.{k}", "variant") for k in REQUIRED_RESPONSE_KEYS]),
-                       lambda v: v.isNotNull())
 
-    def is_int(key: str) -> Column:
-        return F.coalesce(F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant")) == "BIGINT",
-                          F.lit(False))
+    def judge(parsed: Column) -> Column:
+        has_all = F.forall(F.array(*[F.try_variant_get(parsed, f"$.{k}", "variant") for k in REQUIRED_RESPONSE_KEYS]),
+                           lambda v: v.isNotNull())
+
+        def is_int(key: str) -> Column:
+            kind = F.schema_of_variant(F.try_variant_get(parsed, f"$.{key}", "variant"))
+            written = F.get_json_object(t, f"$.{key}").rlike(r"^-?\d+$")
+            return F.coalesce((kind == "BIGINT") | (kind.rlike(_LONG_INTEGER) & written), F.lit(False))
 
-    return (F.when(t.isNull() | parsed.isNull(), F.lit("bad_json"))
-             .when(~has_all, F.lit("missing_key"))
-             .when(~is_int("importance_score"), F.lit("non_int_importance"))
-             .when(~is_int("confidence_score"), F.lit("non_int_confidence"))
-             .otherwise(F.lit("valid")))
+        return (F.when(parsed.isNull(), F.lit("bad_json"))
+                 .when(~has_all, F.lit("missing_key"))
+                 .when(~is_int("importance_score"), F.lit("non_int_importance"))
+                 .when(~is_int("confidence_score"), F.lit("non_int_confidence"))
+                 .otherwise(F.lit("valid")))
+
+    return judge(parsed_response(t))
+
+
+def response_scores(text: str | Column) -> Column:
+    """Scores and summary of a valid response text. A score beyond the range of the store's
+    integer columns is stored as the nearest value in range."""
+    parsed = parsed_response(F.col(text) if isinstance(text, str) else text)
+
+    def score(key: str) -> Column:
+        value = F.try_variant_get(parsed, f"$.{key}", "decimal(38,0)")
+        return F.greatest(F.lit(-(2 ** 31)), F.least(F.lit(2 ** 31 - 1), value)).cast("int").alias(key)
+
+    return F.struct(score("importance_score"), score("confidence_score"),
+                    F.try_variant_get(parsed, "$.summary", "string").alias("summary"))
 
 
 def valid_response(col: str = "response") -> Column:
@@ -229,6 +261,38 @@ def eval_state(evals: DataFrame) -> DataFrame:
                 "last_eval"))
 
 
+# ------------------------------------------------------------------ E11 for huge groups
+
+#: Values that a sketch keeps at its base level. Up to about this many evals it is exact;
+#: beyond, its rank error is below RANK_ERROR.
+SKETCH_K = 4096
+RANK_ERROR = 0.002
+
+
+def confidence_sketches(evals: DataFrame, by: list[str], k: int = SKETCH_K) -> DataFrame:
+    """E11 for groups of any size (a source, a model, all items): one mergeable quantile
+    sketch of the confidences per ``by`` group, a few kilobytes however many evals and
+    distinct values there are. Sketches are built map-side and merged in any order, so a
+    group that holds most evals is no hot key. Store them with their round as part of
+    ``by`` and fold them with ``merged_sketches`` when they are read."""
+    return evals.where(F.col("confidence_score").isNotNull()).groupBy(*by).agg(
+        F.kll_sketch_agg_bigint(F.col("confidence_score").cast("bigint"), k).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, by: list[str], k: int = SKETCH_K) -> DataFrame:
+    """Stored sketches folded to fewer groups (the rounds of a source to the source)."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch", k).alias("sketch"))
+
+
+def sketched_quantile(sketch: str | Column = "sketch", share: float = 0.5) -> Column:
+    """The least confidence that at least ``share`` of the evals do not exceed."""
+    return F.kll_sketch_get_quantile_bigint(sketch, F.lit(share))
+
+
+def sketched_count(sketch: str | Column = "sketch") -> Column:
+    return F.kll_sketch_get_n_bigint(sketch)
+
+
 def attach_state(items: DataFrame, state: DataFrame) -> DataFrame:
     """Items with their evaluation state; never evaluated -> 0 evals, null scores."""
     return (items.join(state, "dedup_key", "left")
@@ -262,24 +326,32 @@ def answer(items: DataFrame, cfg: Config, providers: dict[str, Provider],
     return ask(items, cfg, providers, config_col).where(F.col("response_text").isNotNull())
 
 
+def provider_pairs(cfg: Config) -> list[tuple[str, str]]:
+    """The (provider, model) combinations that sources are set to, and that of sources
+    without settings of their own."""
+    def of(layer: dict[str, str]) -> tuple[str | None, str | None]:
+        return tuple(cfg.env.get(k) or layer.get(k) or cfg.global_value(k) for k in ("eval_provider", "eval_model"))
+
+    found = {of(layer) for layer in (*cfg.sources.values(), {})}
+    return sorted((p, m) for p, m in found if p and m)
+
+
 def ask(items: DataFrame, cfg: Config, providers: dict[str, Provider], config_col: str = "source") -> DataFrame:
     """As ``answer``, but items whose attempts all fail stay, with a null response."""
     asked = with_prompt_hash(assemble_prompt(items, cfg, config_col))
     asked = with_settings(asked, cfg, {"eval_provider": "string", "eval_model": "string",
                                        "eval_retries": "int"}, config_col)
-    layers = [cfg.env] if "eval_provider" in cfg.env else [*cfg.sources.values(), {
-        "eval_provider": cfg.global_value("eval_provider")}]
-    names = sorted({v["eval_provider"] for v in layers if v.get("eval_provider")})
-    unknown = [n for n in names if n not in providers]
+    pairs = provider_pairs(cfg)
+    unknown = sorted({p for p, _ in pairs} - set(providers))
     if unknown:
         raise ValueError(f"unknown eval_provider {unknown}; known: {sorted(providers)}")
-    models = sorted({v["eval_model"] for v in ([cfg.env] if "eval_model" in cfg.env else [
-        *cfg.sources.values(), {"eval_model": cfg.global_value("eval_model")}]) if v.get("eval_model")})
     most = max(int(v) for v in [cfg.env.get("eval_retries") or cfg.global_value("eval_retries") or "3",
                                 *(x["eval_retries"] for x in cfg.sources.values() if "eval_retries" in x)]
                if v.strip().isdigit())
-    parts = [providers[n](asked.where((F.col("eval_provider") == n) & (F.col("eval_model") == m)), m, most)
-             for n in names for m in models]
+    # one plan per combination that some source is set to; a single one needs no filter
+    chosen = lambda n, m: asked if len(pairs) == 1 else asked.where(
+        (F.col("eval_provider") == n) & (F.col("eval_model") == m))
+    parts = [providers[n](chosen(n, m), m, most) for n, m in pairs]
     answered = parts[0]
     for part in parts[1:]:
         answered = answered.unionByName(part, allowMissingColumns=True)
@@ -333,12 +405,9 @@ def new_evals(recent: DataFrame, evals: DataFrame, cfg: Config, providers: dict[
         # response would be pushed below the scoring and run it again
         asked = persist(ask(todo, cfg, providers, config_col).select(
             "dedup_key", "ord", "model", "prompt_hash", "response_text"), f"answers_round_{r}")
-        got = F.from_json("response_text", RESPONSE_SCHEMA)
-        rows = asked.where(F.col("response_text").isNotNull()).withColumn("got", got).select(
+        rows = asked.where(F.col("response_text").isNotNull()).withColumn("got", response_scores("response_text")).select(
             "dedup_key", "ord", F.lit(r).alias("round"), "model", "prompt_hash", _ts(as_of).alias("eval_date"),
-            F.col("got.importance_score").cast("int").alias("importance_score"),
-            F.col("got.confidence_score").cast("int").alias("confidence_score"),
-            F.col("got.summary").alias("summary"))
+            "got.importance_score", "got.confidence_score", "got.summary")
         # append order: arrival order within the round, after everything before it
         ranked = rank_rows(rows, [F.col("ord").asc(), F.col("dedup_key").asc()], rank_col="seq")
         appended.append(ranked.withColumn("seq", F.col("seq") + base).drop("ord"))

@@ -52,8 +52,10 @@ def search_items(store: DataFrame, term: str = "", source: str = "", min_score:
 
 def item_details(store: DataFrame, evals: DataFrame) -> DataFrame:
     """items with their evals, one row per eval with a 1-based ``eval_index`` in
-    append order; items without evals keep one row with a null index."""
-    numbered = rank_rows(evals, [F.col("seq").asc()], partition_by=["dedup_key"], rank_col="eval_index")
+    append order (``seq``, unique); items without evals keep one row with a null index.
+    Only keys and positions are ranked; the evals' other fields are joined back."""
+    places = rank_rows(evals.select("dedup_key", "seq"), [F.col("seq").asc()], partition_by=["dedup_key"], rank_col="eval_index")
+    numbered = evals.join(places, ["dedup_key", "seq"])
     # inner join with the many-rows side on the left, so AQE can split a key holding a
     # large share of the evals; items without evals come from an anti join on the
     # distinct eval keys (a map-side combined set)

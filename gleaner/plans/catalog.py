@@ -17,7 +17,7 @@ from gleaner.operators.ranking import rank_rows
 from gleaner.plans import bindings as b
 from gleaner.plans import catalog
 from gleaner.session import configure, scratch_path
-from gleaner.sources import builders, shaping, store
+from gleaner.sources import builders, datasource, layout, shaping, store
 from gleaner.sources.registry import SourceRegistry
 from gleaner.streaming import jobs, rounds
 from gleaner.plans.oracle import AS_OF_SQL, REASON_SQL, with_ctes
@@ -108,6 +108,22 @@ def q_median_confidence(spark, sf):
     return evaluate.eval_state(b.evals(spark, sf)).select("dedup_key", "median_confidence")
 
 
+@register("confidence_by_source", with_ctes(["items", "evals"], """
+SELECT i.source, count(*) AS num_evals, CAST(quantile_disc(e.confidence_score, 0.5) AS BIGINT) AS median_confidence,
+       CAST(quantile_disc(e.confidence_score, 0.9) AS BIGINT) AS p90_confidence
+FROM evals e JOIN items i USING (dedup_key) WHERE e.confidence_score IS NOT NULL GROUP BY i.source"""))
+def q_confidence_by_source(spark, sf):
+    keys = b.landed_keys(spark, sf)
+    sourced = b.evals(spark, sf, keys).join(b.items_narrow(spark, sf, keys).select("dedup_key", "source"), "dedup_key")
+    # stored per source and round, as rounds append them, then folded to the source
+    per_round = evaluate.confidence_sketches(sourced, ["source", "round"])
+    path = store.save_snapshot(per_round, scratch_path(spark, "sketches"))
+    folded = evaluate.merged_sketches(spark.read.parquet(path), ["source"])
+    return folded.select("source", evaluate.sketched_count().alias("num_evals"),
+                         evaluate.sketched_quantile().alias("median_confidence"),
+                         evaluate.sketched_quantile(share=0.9).alias("p90_confidence"))
+
+
 @register("eval_state", with_ctes(["store"], f"SELECT {_state_cols_sql()} FROM store"))
 def q_eval_state(spark, sf):
     return b.store(spark, sf).select(*STATE_COLS)
@@ -198,6 +214,33 @@ def q_search_items(spark, sf):
     return serve.search_items(b.store(spark, sf), term="SRC1", source="fr", min_score=40).select(*STATE_COLS)
 
 
+@register("lookup_by_key", with_ctes(["store", "bulletin"], f"""
+SELECT {_state_cols_sql()} FROM store
+WHERE dedup_key IN (SELECT dedup_key FROM bulletin ORDER BY rank LIMIT 3)"""))
+def q_lookup_by_key(spark, sf):
+    st = b.store(spark, sf).checkpoint(eager=True)
+    path = layout.write_lookup(st, scratch_path(spark, "lookup"))
+    top = bulletin.bulletin_top(bulletin.bulletin_items(st, b.BINDING_CONFIG, b.AS_OF), 3).select("dedup_key").collect()
+    return layout.lookup(spark, path, [r[0] for r in top]).select(*STATE_COLS)
+
+
+@register("search_by_trigrams", with_ctes(["store"], f"""
+SELECT {_state_cols_sql()} FROM store
+WHERE contains(lower(coalesce(title, '')), 'document 17') AND coalesce(weighted_score, 0) >= 10"""))
+def q_search_by_trigrams(spark, sf):
+    path = layout.write_search(b.store(spark, sf).select(*STATE_COLS), scratch_path(spark, "search"))
+    return layout.search(spark, path, term="Document 17", min_score=10).select(*STATE_COLS)
+
+
+@register("sorted_page", with_ctes(["store"], """
+SELECT dedup_key, title, rank FROM (
+  SELECT dedup_key, title, row_number() OVER (ORDER BY coalesce(weighted_score, 0) DESC, ord) AS rank FROM store)
+WHERE rank BETWEEN 101 AND 150"""))
+def q_sorted_page(spark, sf):
+    pages = layout.write_pages(b.store(spark, sf), scratch_path(spark, "pages"))
+    return layout.read_page(spark, pages, page=3, size=50).select("dedup_key", "title", "rank")
+
+
 @register("item_details", with_ctes(["store", "evals"], """
 SELECT s.dedup_key, s.ord, s.title, coalesce(s.weighted_score, 0) AS item_score,
        coalesce(s.median_confidence, 0) AS item_confidence, e.eval_index, e.seq, e.model,
@@ -358,8 +401,10 @@ SELECT user_id, day, arg_min(response_text, attempt) FILTER (WHERE reason = 'val
 FROM att GROUP BY user_id, day"""))
 def q_first_valid_attempt(spark, sf):
     r = b.responses(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    att = rank_rows(r, [F.col("ts").asc(), F.col("event_id").asc()], partition_by=["user_id", "day"],
-                    rank_col="attempt")
+    # keys and times are ranked, the texts joined back
+    places = rank_rows(r.select("event_id", "user_id", "day", "ts"), [F.col("ts").asc(), F.col("event_id").asc()],
+                       partition_by=["user_id", "day"], rank_col="attempt").select("event_id", "attempt")
+    att = r.join(places, "event_id")
     retries = int(b.BINDING_CONFIG.global_value("eval_retries"))   # read from eval_retries (default 3)
     return evaluate.first_valid_attempt(att, ["user_id", "day"], retries).select(
         "user_id", "day", "response_text", "attempt_used", "status")
@@ -425,6 +470,16 @@ def q_collect_counts(spark, sf):
     return collect.collect_counts(batch_landed, batch, merged)
 
 
+@register("upsert_parts", with_ctes(["items", "landed"], _UPSERT_SQL + """
+SELECT dedup_key, title, source, first_collected, last_collected, ord FROM merged"""))
+def q_upsert_parts(spark, sf):
+    _, batch, existing = _upsert_inputs(spark, sf)
+    path = scratch_path(spark, "store-parts")
+    layout.write_parts(existing.select("dedup_key", *_NARROW_FIELDS, "first_collected", "last_collected", "ord"), path, parts=16)
+    layout.upsert_parts(spark, path, batch, b.AS_OF, _NARROW_FIELDS)
+    return layout.read_parts(spark, path).select("dedup_key", "title", "source", "first_collected", "last_collected", "ord")
+
+
 # ====================================================================== D typed config
 
 @register("typed_config", """
@@ -726,6 +781,14 @@ def q_flatten_rich_text(spark, sf):
     return flat.select("conv_id", "turn", F.md5("flat").alias("flat_md5"), F.length("flat").alias("flat_chars"))
 
 
+@register("flatten_rich_text_walk", """
+SELECT conv_id, turn, '@' || role || text || '[image]' AS flat FROM conversations""")
+def q_flatten_rich_text_walk(spark, sf):
+    c = b.table(spark, sf, "conversations").select("conv_id", "turn", _rich_tree("role", "text").alias("tree"))
+    keyed = c.withColumn("id", F.struct("conv_id", "turn"))
+    return shaping.flatten_rich_text_walk(keyed, "id", "tree").select("id.conv_id", "id.turn", "flat")
+
+
 @register("min_length", "SELECT doc_id FROM documents WHERE length(text) > 500")
 def q_min_length(spark, sf):
     d = b.table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
@@ -1010,7 +1073,7 @@ def _raw_tables(spark, sf) -> dict[str, DataFrame]:
             day(F.col("conv_id") % 30).alias("created_at"), F.col("role").alias("full_name")),
         "project_comments": conv.where(F.col("turn") > 0).select(
             text("conv_id").alias("slug"), F.col("role").alias("full_name"), F.col("text").alias("content"),
-            day(F.col("turn") % 30).alias("created_at"), F.col("turn").alias("seq")),
+            day((F.col("conv_id") + F.col("turn")) % 30).alias("created_at"), F.col("turn").alias("seq")),
         "posts": o.select(
             text("o_orderkey").alias("id"), F.concat(F.lit("post-"), text("o_orderkey")).alias("name"),
             F.col("o_orderpriority").alias("tagline"), none.alias("description"),
@@ -1090,6 +1153,57 @@ def q_canonical_items(spark, sf):
     return items.select("source", "title", "link", "creation_date", words.alias("n_words"))
 
 
+class _Unreachable(datasource.Loader):
+    """A source that is down."""
+
+    def parts(self):
+        raise ConnectionError("no answer")
+
+    def read(self, part):
+        raise ConnectionError("no answer")
+
+
+def _landed_loaders(spark, sf) -> dict[str, datasource.Loader]:
+    """The landed items as JSON-lines files in one folder per language, each behind a loader,
+    and a source that cannot be reached."""
+    path = scratch_path(spark, "landed-json")
+    kind = F.coalesce("source", F.lit("none")).alias("kind")
+    b.landed_items(spark, sf).select("*", kind).write.partitionBy("kind").json(path)
+    kinds = sorted(r[0] for r in spark.read.schema("kind string").json(path).select("kind").distinct().collect())
+    return {k: datasource.JsonLines(f"{path}/kind={k}") for k in kinds} | {"down": _Unreachable()}
+
+
+_FORMAT_SQL = with_ctes(["landed"], "SELECT ord, source, title, link, coalesce(source, 'none') AS loader FROM landed")
+
+
+@register("read_items_format", _FORMAT_SQL + " UNION ALL SELECT NULL, NULL, 'ConnectionError: no answer', NULL, 'down'")
+def q_read_items_format(spark, sf):
+    name = datasource.items_format(spark, "gleaner_items", _landed_loaders(spark, sf))
+    items, failures = datasource.split_failures(spark.read.format(name).load())
+    none = F.lit(None).cast("string")
+    return items.select("ord", "source", "title", "link", "loader").unionByName(failures.select(
+        F.lit(None).cast("bigint").alias("ord"), none.alias("source"), F.col("error").alias("title"), none.alias("link"), "loader"))
+
+
+@register("stream_items_format", _FORMAT_SQL)
+def q_stream_items_format(spark, sf):
+    name = datasource.items_format(spark, "gleaner_items_stream", _landed_loaders(spark, sf))
+    out, ckpt = _stream_paths(spark, "stream-format")
+    jobs.stream_load(spark.readStream.format(name).load(), out, ckpt)
+    return spark.read.schema("ord bigint, source string, title string, link string, loader string, error string").parquet(
+        out).where("error is null").drop("error")
+
+
+@register("project_comment_lines", """
+SELECT CAST(conv_id AS VARCHAR) AS slug, row_number() OVER (PARTITION BY conv_id ORDER BY TIMESTAMP '2024-01-01 00:00:00'
+         + to_days(CAST((conv_id + turn) % 30 AS INTEGER)), turn) AS comment_index, role || ' says: ' || text AS comment
+FROM conversations c
+WHERE turn > 0 AND (conv_id + turn) % 30 >= 11 AND conv_id % 30 >= 11 AND conv_id IN (SELECT conv_id FROM conversations WHERE turn = 0)""")
+def q_project_comment_lines(spark, sf):
+    settings = builders.Settings(_RAW_CONFIG, "projects")
+    return builders.project_comments(_raw_tables(spark, sf), settings, b.AS_OF)
+
+
 # ====================================================================== S streaming
 
 def _stream_paths(spark, name):
@@ -1101,7 +1215,7 @@ def q_stream_collect(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-collect")
     docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
     jobs.stream_collect(b.landed_from_documents(docs).select("dedup_key", "ord", "source"), out, ckpt)
-    return spark.read.schema("dedup_key string, ord bigint, source string").parquet(out)
+    return spark.read.schema("dedup_key string, ord bigint, source string").parquet(out).select("dedup_key", "ord", "source")
 
 
 @register("stream_collect_within", with_ctes(["landed"], """

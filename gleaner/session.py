@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 # broadcast conversion from measured sizes).
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -52,6 +53,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 # Runtime settings the queries rely on, applied to any session they are given.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
+    # of a key that a JSON object repeats, the last value counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -105,22 +105,35 @@ def comments(raw: Raw, s: Settings, as_of: datetime) -> DataFrame:
                              F.col("link"), F.col("created"), ["id", "userName", "contractQuestion", "content", "likes"])
 
 
-def projects(raw: Raw, s: Settings, as_of: datetime) -> DataFrame:
-    """Recent grant projects with their recent comments, oldest first. The comments are
-    one list in the item's JSON by contract, so a project's thread is one row."""
+def recent_threads(raw: Raw, s: Settings, as_of: datetime) -> tuple[DataFrame, DataFrame]:
+    """Recent projects and recent comments."""
     cutoff = s.cutoff(as_of)
     recent = shaping.created_after(raw["projects"].withColumn("created", shaping.parse_item_date("created_at")),
                                    "created", cutoff)
     said = shaping.created_after(raw["project_comments"].withColumn("created", shaping.parse_item_date("created_at")),
                                  "created", cutoff)
-    line = F.concat(F.col("full_name"), F.lit(" says: "), F.col("content"))
-    threads = said.groupBy("slug").agg(F.sort_array(F.collect_list(F.struct("created", "seq", line.alias("line"))))
-                                       .alias("thread"))
-    joined = recent.join(threads, "slug", "left").withColumn(
-        "comments", F.coalesce(F.col("thread.line"), F.array().cast("array<string>")))
+    return recent, said
+
+
+def projects(raw: Raw, s: Settings, as_of: datetime) -> DataFrame:
+    """Recent grant projects. A thread can be of any length, so the item holds the number of
+    its recent comments and a hash of them (which changes with any comment and not with
+    their order of arrival); both combine map-side. ``project_comments`` gives the lines."""
+    recent, said = recent_threads(raw, s, as_of)
+    line = F.xxhash64("created", "seq", "full_name", "content")
+    threads = said.groupBy("slug").agg(F.count(F.lit(1)).alias("n_comments"), F.bit_xor(line).alias("comments_hash"))
+    joined = recent.join(threads, "slug", "left").withColumn("n_comments", F.coalesce("n_comments", F.lit(0).cast("bigint")))
     link = F.concat(F.lit(s.text("project_url", "https://grants.example/projects/")), F.col("slug"))
     return shaping.canonical(joined, s.source, shaping.title_by(F.col("title"), F.col("full_name")), link,
-                             F.col("created"), ["title", "slug", "full_name", "comments"])
+                             F.col("created"), ["title", "slug", "full_name", "n_comments", "comments_hash"])
+
+
+def project_comments(raw: Raw, s: Settings, as_of: datetime) -> DataFrame:
+    """The recent comments of recent projects in long form, oldest first: (slug,
+    comment_index, comment); a thread of any length is spread over many rows and tasks."""
+    recent, said = recent_threads(raw, s, as_of)
+    lines = shaping.attach_comments(recent.select("slug"), said.withColumn("created_at", F.col("created")))
+    return lines.where(F.col("comment_index").isNotNull()).select("slug", "comment_index", "comment")
 
 
 def posts(raw: Raw, s: Settings, as_of: datetime) -> DataFrame:

@@ -122,6 +122,12 @@ def stream_collect_within(items: DataFrame, out_path: str, checkpoint: str, dela
         state_rows=[sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress])
 
 
+def stream_load(loaded: DataFrame, out_path: str, checkpoint: str) -> list[dict]:
+    """A3 as a stream: what a source format gives, failed parts included, appended once."""
+    return _run(loaded.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", checkpoint)
+                .outputMode("append"), "stream_load")
+
+
 def stream_eval_state(evals: DataFrame, out_path: str, checkpoint: str) -> None:
     """Running evaluation state per item. Update mode: each micro-batch emits only
     the keys it changed, written as one changelog folder per ``batch_id`` (overwrite, so

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from gleaner.operators.config import Config, with_settings
-from gleaner.operators.evaluate import (RESPONSE_SCHEMA, SETTLED_BAD_SCORE, SETTLED_GOOD_SCORE, SETTLED_MIN_CONFIDENCE,
-                                        SETTLED_MIN_EVALS, Provider, ask, is_recent, tally)
+from gleaner.operators.evaluate import (SETTLED_BAD_SCORE, SETTLED_GOOD_SCORE, SETTLED_MIN_CONFIDENCE, SETTLED_MIN_EVALS,
+                                        Provider, ask, is_recent, response_scores, tally)
 from gleaner.sources.store import file_system
 from gleaner.streaming.jobs import use_rocksdb_state
 
@@ -161,12 +161,9 @@ def answered(requests: DataFrame, inputs: DataFrame, cfg: Config, providers: dic
              config_col: str = "source") -> DataFrame:
     """E4-E8 for a batch of requests: one answer row each, also where no attempt was valid."""
     todo = inputs.join(requests.select("ord", "round"), "ord")
-    got = F.from_json("response_text", RESPONSE_SCHEMA)
-    asked = ask(todo, cfg, providers, config_col).withColumn("got", got)
-    return asked.select("dedup_key", "ord", "round", "model", "prompt_hash",
-                        F.col("got.importance_score").cast("int").alias("importance_score"),
-                        F.col("got.confidence_score").cast("int").alias("confidence_score"),
-                        F.col("got.summary").alias("summary"), F.col("response_text").isNotNull().alias("answered"))
+    asked = ask(todo, cfg, providers, config_col).withColumn("got", response_scores("response_text"))
+    return asked.select("dedup_key", "ord", "round", "model", "prompt_hash", "got.importance_score", "got.confidence_score",
+                        "got.summary", F.col("response_text").isNotNull().alias("answered"))
 
 
 def stream_rounds(items: DataFrame, inputs: DataFrame, cfg: Config, providers: dict[str, Provider], rounds: int,

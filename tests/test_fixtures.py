@@ -405,3 +405,95 @@ def test_listing_filters_then_ranks(spark):
     assert got == [("d", 1), ("a", 2)]
     assert rows(serve.listing(store, min_score=50, by="title", descending=False).orderBy("rank"), "dedup_key") == [
         ("d",), ("c",), ("b",)]
+
+
+@pytest.mark.parametrize("text, reason", [
+    ('{"summary": "a", "summary": "b", "evaluation": "e", "importance_score": 1, "importance_score": 70, "confidence_score": 2}', "valid"),
+    ('{"summary": "s", "evaluation": "e", "importance_score": "1", "importance_score": 70, "confidence_score": 2}', "valid"),
+    ('{"summary": "s", "evaluation": "e", "importance_score": 70, "importance_score": "1", "confidence_score": 2}', "non_int_importance"),
+    ('{"summary": "s", "evaluation": "e", "importance_score": 123456789012345678901234567890, "confidence_score": 2}', "valid"),
+    ('{"summary": "s", "evaluation": "e", "importance_score": -12345678901234567890, "confidence_score": 3000000000}', "valid"),
+    ('{"summary": "s", "evaluation": "e", "importance_score": 1' + "0" * 40 + ', "confidence_score": 2}', "non_int_importance"),
+    ('{"summary": "s", "evaluation": "e", "importance_score": 70.0, "confidence_score": 2}', "non_int_importance"),
+    ('{"summary": "s", "evaluation": "e", "importance_score": 7e1, "confidence_score": 2}', "non_int_importance"),
+    ('{"summary": NaN, "evaluation": -Infinity, "importance_score": 70, "confidence_score": 2}', "valid"),
+    ('{"summary": "s", "evaluation": "e", "importance_score": NaN, "confidence_score": 2}', "non_int_importance"),
+    ('{"summary": "NaN, is fine: NaN", "evaluation": "e", "importance_score": 70, "confidence_score": 2}', "valid"),
+    ('{"summary": nan, "evaluation": "e", "importance_score": 70, "confidence_score": 2}', "bad_json"),
+])
+def test_lenient_json_of_responses(spark, text, reason):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(evaluate.response_reason("t").alias("r")).first()["r"] == reason
+
+
+def test_scores_out_of_range_are_stored_at_its_ends(spark):
+    texts = ['{"summary": NaN, "evaluation": "e", "importance_score": 12345678901234567890123, "confidence_score": -3000000000}',
+             '{"summary": "s", "evaluation": "e", "importance_score": 1, "importance_score": 70, "confidence_score": 5}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r["x"]) for r in df.select(evaluate.response_scores("t").alias("x")).collect()]
+    assert got == [(2 ** 31 - 1, -(2 ** 31), None), (70, 5, "s")]
+
+
+def test_rows_landed_twice(spark):
+    landed = collect.with_dedup_key(spark.createDataFrame(
+        [(1, "s", "A1", "a", None, "{}"), (1, "s", "A1", "a", None, "{}"), (2, "s", "B", "b", None, "{}"),
+         (2, "s", "B other", "b", None, "{}"), (3, "s", "A2", "a", None, "{}"), (4, "s", "C", None, None, "{}")], ITEM))
+    assert sorted(rows(collect.dedup_landed_twice(landed), "ord", "title")) == [(1, "A1"), (2, "B")]
+    assert set(collect.dedup_landed_twice(landed).columns) == set(landed.columns)
+    assert sorted(rows(collect.repeated_positions(landed), "ord", "rows")) == [(1, 2), (2, 2)]
+    assert collect.repeated_positions(collect.dedup_landed_twice(landed)).count() == 0
+
+
+def test_sketched_medians_keep_their_rank_error(spark):
+    """Any split into rounds and any order of merging stays within the rank error."""
+    n = 300_000
+    values = {"even": F.col("id") % 101, "lumps": F.when(F.col("id") % 3 == 0, 90).otherwise(F.col("id") % 7),
+              "sorted": F.floor(F.col("id") / 1000), "one": F.lit(50)}
+    for name, value in values.items():
+        evals = spark.range(n).select(F.lit("s").alias("source"), (F.xxhash64("id") % 9).alias("round"),
+                                      value.cast("int").alias("confidence_score")).checkpoint()
+        parts = evaluate.confidence_sketches(evals, ["source", "round"])
+        pair = parts.withColumn("half", F.pmod("round", F.lit(2)))
+        ways = [evaluate.confidence_sketches(evals, ["source"]), evaluate.merged_sketches(parts, ["source"]),
+                evaluate.merged_sketches(evaluate.merged_sketches(pair, ["source", "half"]), ["source"])]
+        for way in ways:
+            for share in (0.1, 0.5, 0.99):
+                row = way.select(evaluate.sketched_count().alias("n"), evaluate.sketched_quantile(share=share).alias("q")).first()
+                assert row["n"] == n
+                below, upto = evals.select(F.count_if(F.col("confidence_score") < row["q"]),
+                                           F.count_if(F.col("confidence_score") <= row["q"])).first()
+                assert below / n <= share + evaluate.RANK_ERROR and upto / n >= share - evaluate.RANK_ERROR, (name, share)
+
+
+def test_small_groups_have_exact_sketches(spark):
+    evals = spark.createDataFrame([("a", c) for c in (5, 1, 9, 1)] + [("b", 7), ("b", None), ("c", None)], "source string, confidence_score int")
+    got = evaluate.confidence_sketches(evals, ["source"]).select(
+        "source", evaluate.sketched_count().alias("n"), evaluate.sketched_quantile().alias("m")).collect()
+    assert sorted(map(tuple, got)) == [("a", 4, 1), ("b", 1, 7)]
+
+
+def _nested(depth):
+    return '{"type":"p","content":[' * depth + '{"type":"text","text":"deep"}' + "]}" * depth
+
+
+RICH = [
+    '{"type":"doc","content":[{"type":"paragraph","content":[{"type":"mention","attrs":{"label":"@x"}},{"type":"text","text":" hi"}]}]}',
+    '[{"type":"text","text":"a"},{"type":"text","text":"b"},"loose",5,null,[{"type":"text","text":"c"}]]',
+    '{"type":"doc","content":{"type":"text","text":"single"}}', '{"type":"image"}', '{"type":"image","attrs":{"alt":"a cat"}}',
+    '{"type":"image","attrs":{"alt":""}}', '{"type":"mention"}', '{"type":"mention","attrs":null}', '{"type":"mention","attrs":{}}',
+    '{"type":"contract-mention","attrs":{"label":"q"},"content":[{"type":"text","text":"not shown"}]}',
+    '{"type":"mention","content":[{"type":"text","text":"shown"}]}', '{"type":"text"}', '{"type":"text","text":null}',
+    '{"type":"text","text":12}', '{"type":"text","text":0}', '{"type":"text","text":true}', '{"type":"text","text":false}',
+    '{"type":"text","text":"0"}', '{}', '[]', '"just text"', "17", "null", "{not json", "", None, '{"content":[]}', '{"type":"x","content":7}',
+    '{"type":"doc","content":[' + ",".join('{"type":"text","text":"%d "}' % i for i in range(30)) + "]}",
+    _nested(20), _nested(490),
+]
+
+
+def test_rich_text_walk_equals_the_tree(spark):
+    df = spark.createDataFrame(list(enumerate(RICH)), "k int, tree string")
+    want = {r["k"]: r["flat"] for r in df.select("k", shaping.flatten_rich_text("tree").alias("flat")).collect()}
+    walked = shaping.flatten_rich_text_walk(df, "k", "tree")
+    assert {r["k"]: r["flat"] for r in walked.collect()} == want
+    assert want[len(RICH) - 1] == "deep"
+    assert "Python" not in walked._jdf.queryExecution().executedPlan().toString()
