@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -103,3 +104,43 @@ def cosine_links(vectors, threshold=0.95):
     x = [None if v is None else v / np.sqrt(v @ v) for v in x]
     return [(i, j) for i in range(len(x)) for j in range(i)
             if x[i] is not None and x[j] is not None and len(x[i]) == len(x[j]) and x[i] @ x[j] >= threshold]
+
+
+def line_templates(texts, min_documents=10, long_documents=3, similarity=0.8):
+    """Texts without their recurring lines, by trying every choice of variable fields. Documents
+    are copies only if they are equal but for the line in question."""
+    masked_lines = []
+    for t in texts:
+        found = {}
+        for i, line in enumerate((t or "").split("\n")):
+            words = [w.decode() for w in WHITE.findall(line.encode())]
+            shown = ["<*>" if any(c in "0123456789" for c in w) else w for w in words] if len(words) > 1 else words
+            if shown:
+                found.setdefault(tuple(shown), []).append(i)
+        masked_lines.append(found)
+    groups = collections.defaultdict(set)
+    for doc, found in enumerate(masked_lines):
+        for shown in found:
+            n = len(shown)
+            room = int((1 - similarity) * n + 1e-9)
+            width = max(1, room // 2)
+            bands = [range(i, min(i + width, n)) for i in range(3, n, width)]
+            size = 2 if room > 1 and len(bands) > 1 else min(room, 1)
+            choices = [()] + (list(itertools.combinations(bands, size)) if size else [])
+            for choice in choices:
+                hidden = {i for band in choice for i in band}
+                pattern = tuple(None if i in hidden else w for i, w in enumerate(shown))
+                groups[(choice, pattern)].add((doc, shown))
+    dropped = set()
+    for members in groups.values():
+        lines = {shown for _, shown in members}
+        one = next(iter(lines))
+        long = len(one) >= 20 or (len(one) == 1 and len(one[0].encode()) >= 100)
+        rest = {tuple(sorted(s for s in masked_lines[doc] if s != shown)) or (doc,) for doc, shown in members}
+        if len(rest) >= (long_documents if long else min_documents):
+            dropped |= lines
+    out = []
+    for t, found in zip(texts, masked_lines):
+        gone = {i for shown, at in found.items() if shown in dropped for i in at}
+        out.append(None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
+    return out

@@ -359,3 +359,56 @@ def test_row_keys_hold_when_cores_join_or_leave(spark, tmp_path):
         assert key_map(shuffled) == first
     finally:
         spark.conf.unset(setting)
+
+
+def forms(rng, i):
+    """Lines of some templates, whose variable words carry no digit."""
+    name, place = ("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(2))
+    return [f"posted by user {name} in the front page section today", f"the five {name} words here", f"a b c {name}",
+            f"Updated on {2000 + i}-01-02 at {i}:30", f"welcome {name} to our {place} pages and to all the others that we keep here",
+            f"far {name} apart are these two {place} fields of it {name} three", "exactly the same line",
+            "two words", f"{i}", " ".join(f"w{chr(97 + j)}" if j not in (5, 17) else name for j in range(24))]
+
+
+def template_rows(seed, documents, each):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(documents):
+        # words of their own, so that documents are plainly unlike
+        word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))  # noqa: E731, B023
+        lines = [" ".join(word() for _ in range(rng.randrange(15, 40))) for _ in range(rng.randrange(14, 18))]
+        for k, line in enumerate(forms(rng, i)):
+            if (i * 7 + k) % (k + each) == 0:
+                lines.insert(rng.randrange(len(lines) + 1), line)
+        rows.append((i, "\n".join(lines)))
+    return rows + [(None, None), (900, ""), (901, "\n \n"), (902, rows[3][1]), (903, rows[3][1])]
+
+
+@pytest.mark.parametrize("seed, documents, each, parts", [(1, 120, 2, 1), (2, 60, 3, 7), (3, 200, 5, 3)])
+def test_line_templates_match_brute_force(spark, seed, documents, each, parts):
+    rows = template_rows(seed, documents, each)
+    want = brute.line_templates([t for _, t in rows])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    got = linededup.drop_lines(df).select("doc_id", "text", "n_dropped").collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(str((k, t)) for (k, _), t in zip(rows, want))
+    assert sum(r["n_dropped"] for r in got) > documents / 3
+
+
+def test_templates_meet_in_a_crowded_leaf(spark):
+    """One leaf holds thousands of unlike lines with six equal tokens; the few lines of one
+    template among them still meet."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    rows = [(i, f"{prose(rng, 12)}\nall of these lines begin alike {word()} {word()} {word()} {word()}") for i in range(4000)]
+    rows += [(5000 + i, f"{prose(rng, 12)}\nall of these lines begin alike and {word()} ends alike") for i in range(12)]
+    got = {r["doc_id"]: r["n_dropped"] for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, n in got.items() if n} == {5000 + i for i in range(12)}
+
+
+def test_very_long_lines_and_repeats_inside_a_text(spark):
+    rng = random.Random(13)
+    long = prose(rng, 60_000)
+    rows = [(i, f"{prose(rng, 30)}\n{long}") for i in range(4)] + [(10, "\n".join(["again and again the same"] * 500 + [prose(rng, 30)]))]
+    rows += [(20 + i, f"{prose(rng, 30)}\nagain and again the same\nagain and again the same") for i in range(9)]
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[10] == (501, 500) and got[25] == (3, 2) and all(got[i] == (2, 1) for i in range(4))
