@@ -130,6 +130,8 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     # the SAMPLE smallest hashes are a bounded top-k; then only their texts are read
     hashed = known.withColumn("h", F.xxhash64(F.col("k").cast("string"))).orderBy("h", "k").limit(SAMPLE)
     sample = df.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(hashed), "k")
+    # an id counts once, however many rows carry it (the least of their texts)
+    sample = sample.groupBy("k", "h", label).agg(F.min("t").alias("t"))
     weights = fit(sample.select("h", "t", label), "t", label)
     scored = predict(df.withColumn("held_out", held_out), weights, text)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
