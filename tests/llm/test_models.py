@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -141,3 +142,37 @@ def test_code_is_prefix_free_and_complete():
     code = mixing.Code([rng.randrange(1, 500) for _ in range(70)])
     paths = ["".join(map(str, code.bits[a:b])) for a, b in zip(code.start, code.start[1:])]
     assert sum(2.0 ** -len(p) for p in paths) == 1 and len(set(paths)) == 70
+
+
+def test_toxicity_with_an_id_that_holds_most_rows(spark):
+    """An id's rows count once in the fit, whatever their number."""
+    rng = random.Random(4)
+    good, bad = "kind warm nice gentle calm".split(), "vile nasty horrid awful rotten".split()
+    rows = [(i, " ".join(rng.choice(bad if i % 2 else good) for _ in range(12))) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    once = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), labels).distinct()
+    crowd = toxicity.score(spark.createDataFrame(rows + [rows[2]] * 400 + [rows[7]] * 300, "doc_id long, text string"), labels)
+    assert crowd.count() == 900
+    assert sorted(map(tuple, crowd.distinct().collect())) == sorted(map(tuple, once.collect()))
+
+
+def test_tables_of_counts_hold_every_decision():
+    """Counting a table's own distinct contexts equals counting every decision."""
+    rng = random.Random(5)
+    words = ["w%d" % i for i in range(400)]
+    texts = pa.array([" ".join(rng.choices(words, weights=range(400, 0, -1), k=rng.randrange(0, 300))) for _ in range(30)] + [None, "", "ünlisted"])
+    names, ids, size = mixing.token_ids(texts)
+    assert [names[i] for i in ids[:size[0]]] == [*texts[0].as_py().encode().split(), b""] and size[-3:].tolist() == [1, 1, 2]
+    counts = np.bincount(ids, minlength=len(names))
+    listed = np.argsort(-counts, kind="stable")[:250]
+    model = mixing.Model(mixing.token_hashes([names[i] for i in listed]), counts[listed], int(counts.sum()), np.full(257, 5))
+    model.topics = np.arange(mixing.FREQUENT) % mixing.TOPICS
+    got = np.zeros((mixing.PARTS_OF_TABLE, 2 << mixing.SLOT_BITS), dtype=np.int32)
+    mixing.tally(model, texts, got)
+    want = np.zeros_like(got)
+    _, _, symbol, ids, size = model.text_parts(texts)
+    stream = model.stream(ids, size, symbol)
+    for made in (model.token_decisions(stream.keys()), model.byte_decisions(names, stream.spelled(model.escape)[1])):
+        for k in range(mixing.PARTS_OF_TABLE):
+            np.add.at(want[k], 2 * (made.slots[k] if k < mixing.ORDERS else made.node).astype(np.int64) + made.bit, 1)
+    assert (got == want).all() and got.sum() > 10_000
