@@ -1273,15 +1273,15 @@ def _stream_evaluate_sql() -> str:
   WHERE {lb} <= 0 OR l.creation_date IS NULL OR l.creation_date >= {AS_OF_SQL} - to_days({lb}))
 SELECT l.dedup_key, l.ord, {ks['importance_score']} AS importance_score,
        {ks['confidence_score']} AS confidence_score
-FROM fresh l WHERE rn_ = 1 AND l.dedup_key NOT IN (SELECT dedup_key FROM evals WHERE seq % 3 = 0)""")
+FROM fresh l WHERE rn_ = 1 AND l.dedup_key NOT IN (SELECT dedup_key FROM evals)""")
 
 
 @register("stream_evaluate", _stream_evaluate_sql())
 def q_stream_evaluate(spark, sf):
     out, ckpt = _stream_paths(spark, "stream-eval")
     docs = jobs.read_stream_table(spark, sf, "documents", b.DOCUMENTS_SCHEMA)
-    # a third of the events stands for the evals that exist before the stream starts
-    known = b.evals(spark, sf).where(F.col("seq") % 3 == 0).select("dedup_key").distinct().checkpoint(eager=True)
+    # the events are the evals that exist before the stream starts
+    known = b.evals(spark, sf).select("dedup_key").distinct().checkpoint(eager=True)
     jobs.stream_evaluate(b.landed_from_documents(docs), scorers.keyword_scorer(), out, ckpt,
                          cfg=b.BINDING_CONFIG, as_of=b.AS_OF, evals=known)
     return spark.read.parquet(out).select("dedup_key", "ord", "importance_score", "confidence_score")
