@@ -1,16 +1,16 @@
 """Deterministic sharded WARC writer and reader.
 
 Records are range-sorted by a key of reversed host, path and page id; shard bounds are
-quantiles of a sample chosen by hash, so they depend on the data alone, and equal input
-gives equal files. A shard is one or more files that roll at a compressed size. Every
+quantiles by payload bytes of a sample chosen by hash, so they depend on the data alone, and
+equal input gives equal files. Every shard is written by a task of its own. A shard is one or more files that roll at a compressed size. Every
 record is a gzip member of its own with regenerated WARC and HTTP headers, block and
-payload digests. Of records with equal payloads one (largest page id) is a response;
+payload hashes. Of records with equal payloads one (largest page id) is a response;
 the others are revisits without a payload that refer to it.
 
 A task writes each file under a name of its attempt; the rows it returns (the manifest)
 are stored by Spark's commit protocol, which keeps one attempt of each task. Only files
 named there are then moved to their final names, each move being repeatable, and a
-``_MANIFEST`` table with names, sizes and digests ends the commit. A lost executor or a
+``_MANIFEST`` table with names, sizes and hashes ends the commit. A lost executor or a
 failed run leaves nothing but temporary files. Files are written through Arrow's file
 systems, so the target may be any folder that all executors reach.
 
@@ -41,6 +41,8 @@ from gleaner.session import scratch_path
 
 #: Payload bytes that a shard is meant to hold; compressed bytes at which a file rolls.
 SHARD_BYTES, ROLL_BYTES = 32 << 20, 16 << 20
+#: Bytes of a record besides its payload, about.
+RECORD_BYTES = 700
 #: Shards at most (beyond, a shard just rolls more files); sampled keys per shard.
 MAX_SHARDS, SAMPLE = 20_000, 32
 VERSION = b"WARC/1.1"
@@ -66,11 +68,11 @@ def record_id(page_id: int | None, copy: int) -> str:
 def record(page_id: int | None, url: str, payload: bytes, refers: tuple[int | None, str] | None, copy: int,
            date: str = DATE) -> bytes:
     """One WARC record; ``refers`` (page id and URL of the response) makes it a revisit."""
-    head, digest = block_of(payload), base32_sha1(payload)
+    head, sha = block_of(payload), base32_sha1(payload)
     block = head if refers is None else head[:len(head) - len(payload)]
     fields = [("WARC-Type", "response" if refers is None else "revisit"), ("WARC-Record-ID", record_id(page_id, copy)),
               ("WARC-Date", date), ("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)),
-              ("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
+              ("WARC-Payload-Digest", f"sha1:{sha}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"),
               ("Payload-Length", str(len(payload)))]
     if refers is not None:
         fields += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
@@ -132,21 +134,28 @@ def prepared(df: DataFrame, key: str, url: str, html: str, least: int) -> DataFr
     """Rows to write: id, url, html, sort key, and the response that a copy refers to."""
     rows = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"),
                      F.coalesce(F.col(html), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("key", sort_key(F.col("url"), F.col("id")))
-    whole = rows.filter(F.octet_length("html") >= least).select("digest", F.struct("id", "url").alias("page"))
+    rows = rows.withColumn("sha", F.sha1(F.col("html").cast("binary"))).withColumn("key", sort_key(F.col("url"), F.col("id")))
+    whole = rows.filter(F.octet_length("html") >= least).select("sha", F.struct("id", "url").alias("page"))
     # only payloads met more than once need a response; the stored table tells its size
-    shared = written(whole.groupBy("digest").agg(F.max("page").alias("response"), F.count("*").alias("n"))
-                     .filter("n > 1").select("digest", "response"), "payloads")
-    return rows.join(shared, "digest", "left").drop("digest")
+    shared = written(whole.groupBy("sha").agg(F.max("page").alias("response"), F.count("*").alias("n"))
+                     .filter("n > 1").select("sha", "response"), "payloads")
+    return rows.join(shared, "sha", "left").drop("sha")
 
 
 def bounds(rows: DataFrame, shard_bytes: int) -> np.ndarray:
-    """Upper keys of all shards but the last, from the keys of smallest hash."""
+    """Upper keys of all shards but the last, from the keys of smallest hash. The keys' payload
+    bytes are their weights, so shards hold about equal bytes, not equal numbers of pages."""
     total, count = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0)), F.count("*")).first()
     shards = max(1, min(MAX_SHARDS, -(-total // shard_bytes)))
-    few = smallest_hashes(rows.select("key", F.xxhash64("key").alias("h")), "h", SAMPLE * shards, count)
-    keys = sorted(r["key"].encode() for r in few.select("key").distinct().collect())
-    return np.array([keys[len(keys) * i // shards] for i in range(1, shards)] if keys else [], dtype=object)
+    few = smallest_hashes(rows.select("key", F.octet_length("html").alias("n"), F.xxhash64("key").alias("h")), "h",
+                          SAMPLE * shards, count)
+    held = sorted((r["key"].encode(), r["n"]) for r in few.groupBy("key").agg(F.sum("n").alias("n")).collect())
+    if not held:
+        return np.array([], dtype=object)
+    # a record's headers weigh something too
+    upto = np.cumsum([n + RECORD_BYTES for _, n in held])
+    at = np.searchsorted(upto, upto[-1] * np.arange(1, shards) / shards)
+    return np.array([held[i][0] for i in at], dtype=object)
 
 
 def write_archives(df: DataFrame, target: str, key: str = "page_id", url: str = "url", html: str = "html",
@@ -202,7 +211,8 @@ def write_archives(df: DataFrame, target: str, key: str = "page_id", url: str =
     names = ["shard", "roll", "temporary", "name", "records", "bytes", "sha1"]
     kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
     rows = prepared(df, key, url, html, least).withColumn("shard", shard_of("key"))
-    dealt = rows.repartitionByRange(max(1, len(edges) + 1), "shard").sortWithinPartitions("shard", "key", "url", "id", "html")
+    # a shard is a task: its number is the partition's
+    dealt = rows.repartitionById(max(1, len(edges) + 1), F.col("shard")).sortWithinPartitions("shard", "key", "url", "id", "html")
     manifest = written(dealt.select("id", "url", "html", "response", "shard").mapInArrow(write, MANIFEST), "manifest")
     return commit(spark, manifest, target)
 
@@ -228,7 +238,7 @@ def commit(spark: SparkSession, manifest: DataFrame, target: str) -> DataFrame:
 def read_archives(spark: SparkSession, target: str) -> DataFrame:
     """One row per record of the committed files: page_id, url, record_type,
     payload_bytes, payload_digest, refers_to, refers_to_url, payload (null for revisits).
-    Digests and lengths are verified."""
+    Hashes and lengths are verified."""
     names = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, " \
             "refers_to long, refers_to_url string, payload binary"
 
@@ -243,14 +253,14 @@ def read_archives(spark: SparkSession, target: str) -> DataFrame:
                 every = (r for m in members(memoryview(content.as_buffer())) for r in records(m))
                 for fields, block in every:
                     if fields["WARC-Block-Digest"] != f"sha1:{base32_sha1(block)}":
-                        raise ValueError(f"block digest of {fields['WARC-Record-ID']} differs")
+                        raise ValueError(f"block hash of {fields['WARC-Record-ID']} differs")
                     payload = block.split(CRLF * 2, 1)[1] if fields["WARC-Type"] == "response" else None
-                    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if payload is not None and base32_sha1(payload) != digest:
-                        raise ValueError(f"payload digest of {fields['WARC-Record-ID']} differs")
+                    sha = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+                    if payload is not None and base32_sha1(payload) != sha:
+                        raise ValueError(f"payload hash of {fields['WARC-Record-ID']} differs")
                     size = len(payload) if payload is not None else int(fields["Payload-Length"])
                     out.append((number(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], size,
-                                digest, number(fields.get("WARC-Refers-To")), fields.get("WARC-Refers-To-Target-URI"), payload))
+                                sha, number(fields.get("WARC-Refers-To")), fields.get("WARC-Refers-To-Target-URI"), payload))
                     held += len(payload or b"")
                     if held > 4 << 20:
                         yield made(out)

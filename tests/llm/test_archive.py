@@ -11,7 +11,7 @@ from gleaner.llm import archive, queries
 
 
 def pages(spark, rows):
-    return spark.createDataFrame([(k, u, h, 1) for k, u, h in rows], "page_id long, url string, html string, digest int")
+    return spark.createDataFrame([(k, u, h, 1) for k, u, h in rows], "page_id long, url string, html string, sha int")
 
 
 ROWS = [(1, "http://a.example/x", "<p>one</p>"), (2, "http://b.example/", "<p>two é</p>"), (5, "http://c.example/", "<p>one</p>"),
@@ -86,3 +86,21 @@ def test_records_are_members_with_right_lengths(spark, tmp_path):
 
 def test_empty_table(spark):
     assert archive.round_trip(pages(spark, [])).count() == 0
+
+
+def test_shards_hold_equal_bytes_not_equal_pages(spark, tmp_path):
+    """One host has few huge pages, another many small ones; a shard is a task of its own."""
+    rows = [(i, f"http://small.example/{i:05d}", f"page {i}") for i in range(3000)]
+    rows += [(10_000 + i, f"http://huge.example/{i:03d}", f"{i} " + "long text " * 4000) for i in range(60)]
+    manifest = archive.write_archives(pages(spark, rows), f"file://{tmp_path}/warc", shard_bytes=400_000, roll_bytes=1 << 30).toPandas()
+    assert manifest.shard.is_unique and len(manifest) >= 5
+    assert manifest.records.sum() == 3060
+    back = archive.read_archives(spark, f"file://{tmp_path}/warc").toPandas()
+    assert sorted(back.page_id) == sorted(k for k, _, _ in rows)
+    held = {}                                                  # payload bytes of each shard, from the sorted keys
+    ordered = sorted(rows, key=lambda r: (r[1].split("/")[2].split(".")[::-1], r[1]))
+    at = 0
+    for shard, records in sorted(zip(manifest.shard, manifest.records)):
+        held[shard] = sum(len(h) + archive.RECORD_BYTES for _, _, h in ordered[at:at + records])
+        at += records
+    assert max(held.values()) <= 2.5 * sum(held.values()) / len(held)
