@@ -72,6 +72,38 @@ FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
 #: Vectors that take part in a search or a comparison by inner product.
 _SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
 
+#: CRC-32 of a number in decimal digits, bit by bit.
+_CRC32 = """xor(list_reduce(list_transform(string_split(CAST({x} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, c: list_reduce([CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0],
+                             lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(a, c)),
+    CAST(4294967295 AS BIGINT)), 4294967295)"""
+
+#: Equal words at one distance follow each other in a run; a run whose period is a multiple of
+#: another's that covers it has the smaller period.
+OP11 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_CRC32.format(x='doc_id')} AS h
+           FROM documents),
+t AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, (h // 10) % 8 AS r FROM d),
+v AS (SELECT doc_id, n, unnest(range(0, n)) AS i, w, a, 1 + (n - a) // (3 + r) AS p FROM t),
+x AS (SELECT doc_id, n, i, w[CAST(CASE WHEN a IS NOT NULL AND i >= a THEN a + (i - a) % p ELSE i END AS BIGINT) + 1] AS word FROM v),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM x JOIN x y ON y.doc_id = x.doc_id AND y.word = x.word AND y.i > x.i
+      AND 4 * (y.i - x.i) <= x.n),
+g AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM e) GROUP BY doc_id, q, k
+      HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM g WHERE NOT EXISTS (
+           SELECT 1 FROM g o WHERE o.doc_id = g.doc_id AND o.q < g.q AND g.q % o.q = 0 AND o.s <= g.s AND o.s + o.l >= g.s + g.l)),
+every AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q)) AS sha
+          FROM runs GROUP BY doc_id),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) = 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs),
+kept AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.i) AS text FROM x LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i
+         WHERE gone.i IS NULL GROUP BY x.doc_id)
+SELECT t.doc_id, coalesce(every.n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length,
+       CAST(best.q AS BIGINT) AS period, CAST(1000 * best.l // best.q AS BIGINT) AS exponent_milli,
+       coalesce(every.sha, sha256('')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN every ON every.doc_id = t.doc_id LEFT JOIN best ON best.doc_id = t.doc_id LEFT JOIN kept ON kept.doc_id = t.doc_id"""
+
 OP12 = f"""
 WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
                   list_transform(CAST(embedding AS DOUBLE[]), lambda x: CAST(floor(256 * x) AS DOUBLE)) AS c
@@ -95,4 +127,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20"""
 
 ORACLES = {"op1_warc": OP1, "op2_embedding_near_dedup": OP2, "op7_decontamination": OP7, "op9_suffix_array_dedup": OP9,
-           "op12_hard_negatives": OP12, "op13_nearest_neighbours": OP13}
+           "op11_periodic_runs": OP11, "op12_hard_negatives": OP12, "op13_nearest_neighbours": OP13}
