@@ -156,15 +156,14 @@ def parse(df: DataFrame, text: str, min_tokens: int) -> DataFrame:
         run, "row long, mark binary, leaf long, line long, masked string, at array<int>, long boolean")
 
 
-def fields(n: int, similarity: float) -> list[tuple[slice, ...]]:
-    """The choices of variable fields of a line of n tokens: the slices that a template may
-    leave open. The leading tokens are fixed by the leaf."""
+def fields(n: int, similarity: float) -> np.ndarray:
+    """The choices of variable fields of a line of n tokens: per choice and field the tokens
+    (from, to) that a template leaves open. The leading tokens are fixed by the leaf."""
     room = int((1 - similarity) * n + 1e-9)
-    if room < 2:
-        return [(slice(i, i + 1),) for i in range(LEADING, n)] if room else []
-    width = room // 2
-    bands = [slice(i, min(i + width, n)) for i in range(LEADING, n, width)]
-    return list(itertools.combinations(bands, 2)) if len(bands) > 1 else [(b,) for b in bands]
+    width = max(1, room // 2)
+    bands = [(i, min(i + width, n)) for i in range(LEADING, n, width)] if room else []
+    size = 2 if room > 1 and len(bands) > 1 else 1
+    return np.array(list(itertools.combinations(bands, size)), dtype=np.int32).reshape(-1, size, 2)
 
 
 def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
@@ -172,21 +171,24 @@ def candidates(distinct: DataFrame, similarity: float) -> DataFrame:
     as it stands among them (t = line)."""
 
     def run(batches):
-        chosen: dict[int, list] = {}
+        chosen: dict[int, np.ndarray] = {}
         for batch in batches:
             rows, keys = [], []
             for i, (line, masked) in enumerate(zip(batch["line"].to_pylist(), batch["masked"].to_pylist())):
                 tokens = masked.split(" ")
                 n = len(tokens)
-                choices = chosen.setdefault(n, fields(n, similarity))
+                if n not in chosen:
+                    if len(chosen) == 4096:                     # of the lengths met
+                        chosen.clear()
+                    chosen[n] = fields(n, similarity)
+                ends = chosen[n]
                 keys.append(np.array([line], np.int64))
-                if choices:
+                if len(ends):
                     sums = np.zeros(n + 1, np.uint64)
                     np.cumsum(placed(token_hashes([t.encode() for t in tokens]), np.arange(n)), out=sums[1:])
-                    ends = np.array([[(s.start, s.stop) for s in c] for c in choices])
                     rest = sums[-1] - (sums[ends[:, :, 1]] - sums[ends[:, :, 0]]).sum(axis=1, dtype=np.uint64)
-                    keys.append(mixed(rest + np.arange(1, len(choices) + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64))
-                rows.append(np.full(1 + len(choices), i))
+                    keys.append(mixed(rest + np.arange(1, len(ends) + 1).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)).view(np.int64))
+                rows.append(np.full(1 + len(ends), i))
             if rows:
                 at, key = np.concatenate(rows), np.concatenate(keys)
                 own = np.r_[True, at[1:] != at[:-1]]
