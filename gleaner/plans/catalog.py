@@ -220,7 +220,7 @@ WHERE dedup_key IN (SELECT dedup_key FROM bulletin ORDER BY rank LIMIT 3)"""))
 def q_lookup_by_key(spark, sf):
     st = b.store(spark, sf).checkpoint(eager=True)
     path = layout.write_lookup(st, scratch_path(spark, "lookup"))
-    top = bulletin.bulletin_top(bulletin.bulletin_items(st, b.BINDING_CONFIG, b.AS_OF), 3).select("dedup_key").collect()
+    top = bulletin.bulletin_top(st, b.BINDING_CONFIG, b.AS_OF, 3).select("dedup_key").collect()
     return layout.lookup(spark, path, [r[0] for r in top]).select(*STATE_COLS)
 
 
