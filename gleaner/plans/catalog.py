@@ -226,10 +226,10 @@ def q_lookup_by_key(spark, sf):
 
 @register("search_by_trigrams", with_ctes(["store"], f"""
 SELECT {_state_cols_sql()} FROM store
-WHERE contains(lower(coalesce(title, '')), 'document 17') AND coalesce(weighted_score, 0) >= 10"""))
+WHERE contains(lower(coalesce(title, '')), 'document 1') AND coalesce(weighted_score, 0) >= 10"""))
 def q_search_by_trigrams(spark, sf):
     path = layout.write_search(b.store(spark, sf).select(*STATE_COLS), scratch_path(spark, "search"))
-    return layout.search(spark, path, term="Document 17", min_score=10).select(*STATE_COLS)
+    return layout.search(spark, path, term="Document 1", min_score=10).select(*STATE_COLS)
 
 
 @register("sorted_page", with_ctes(["store"], """
