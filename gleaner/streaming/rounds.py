@@ -34,6 +34,8 @@ ANSWER_SCHEMA = ("dedup_key string, ord bigint, round int, model string, prompt_
                  "confidence_score int, summary string, answered boolean")
 STATE_SCHEMA = ("ord bigint, done int, waiting int, due bigint, num_evals bigint, scores bigint, weights bigint, "
                 "levels array<int>, counts array<bigint>")
+#: A stream without a new micro-batch and without data for so long is done.
+QUIET_SECONDS = 15.0
 REQUEST_SCHEMA = "dedup_key string, ord bigint, round int"
 
 
@@ -176,8 +178,8 @@ def stream_rounds(items: DataFrame, inputs: DataFrame, cfg: Config, providers: d
     (dedup_key, ord, title, source, input) is the landed table that requested texts are
     read from, ``evals`` the evals that exist before (E12). Answers are written to
     ``out_path``; see ``read_answers``. Runs until ``idle_batches`` micro-batches in a row
-    had neither input nor requests (None: until it is stopped); returns the number of
-    micro-batches."""
+    had no requests, or there was nothing to run for QUIET_SECONDS (None: until it is
+    stopped); returns the number of micro-batches."""
     spark = items.sparkSession
     use_rocksdb_state(spark)
     fs, path = file_system(spark, out_path)
@@ -191,23 +193,29 @@ def stream_rounds(items: DataFrame, inputs: DataFrame, cfg: Config, providers: d
     start = None if evals is None else history(evals).groupBy("dedup_key")
     requests = arriving.unionByName(answers).groupBy("dedup_key").transformWithState(
         Rounds(rounds, retry_after), REQUEST_SCHEMA, "Append", "ProcessingTime", initialState=start)
-    idle = {"batches": 0, "empty": 0}
+    idle = {"batches": 0, "empty": 0, "running": False}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
+        idle["running"] = True
         try:
             idle["batches"] += 1
             idle["empty"] = idle["empty"] + 1 if batch.isEmpty() else 0
             if not idle["empty"]:
                 answer(batch, inputs, cfg, providers).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
         finally:
+            idle["running"] = False
             batch.unpersist()
 
     query = (requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append")
              .queryName("stream_rounds").trigger(processingTime=pause).start())
+    seen, quiet = -1, time.monotonic()
     try:
         while query.isActive:
-            if idle_batches is not None and idle["empty"] >= idle_batches:
+            # a stream that was started again with nothing new runs no micro-batch at all
+            if idle["running"] or idle["batches"] != seen or query.status["isDataAvailable"]:
+                seen, quiet = idle["batches"], time.monotonic()
+            if idle_batches is not None and (idle["empty"] >= idle_batches or time.monotonic() - quiet > QUIET_SECONDS):
                 break
             time.sleep(0.1)
     finally:
