@@ -277,7 +277,8 @@ def recurring(lines: DataFrame, similarity: float, min_documents: int, long_docu
     enough = met.withColumn("least", F.when(F.col("long"), long_documents).otherwise(min_documents)).filter("n >= least")
     one = written(enough.groupBy("leaf", "of", "m", "n", "least").agg(F.min("t").alias("t")).select("leaf", "t", "least"), "candidates")
     members = written(keys.select("leaf", "t", "line").join(one, ["leaf", "t"]), "members")
-    uses = lines.select("row", "mark", "leaf", "line").join(members.select("leaf", "t", "line"), ["leaf", "line"])
+    # candidates' lines grow with the input: joined by a shuffle at every size
+    uses = lines.select("row", "mark", "leaf", "line").join(members.select("leaf", "t", "line").hint("merge"), ["leaf", "line"])
     counted = unlike(uses, max(min_documents, long_documents)).groupBy("leaf", "t").count()
     kept = written(counted.join(one, ["leaf", "t"]).filter(F.col("count") >= F.col("least")).select("leaf", "t", "count"), "kept")
     dropped = members.select("leaf", "t", "line").join(kept, ["leaf", "t"]).join(distinct.select("leaf", "line", "masked"), ["leaf", "line"])
@@ -297,7 +298,8 @@ def drop_lines(df: DataFrame, text: str = "text", similarity: float = 0.8, min_d
     rows = with_row_key(df)
     lines = written(parse(rows, text, min_tokens), "parsed", "zstd")
     found = recurring(lines, similarity, min_documents, long_documents)
-    at = lines.select(F.col("row").alias("r"), "leaf", "line", "at").join(found, ["leaf", "line"])
+    # so do recurring lines
+    at = lines.select(F.col("row").alias("r"), "leaf", "line", "at").join(found.hint("merge"), ["leaf", "line"])
     flagged = written(at.groupBy("r").agg(F.flatten(F.collect_list("at")).alias("drop"),
                                           F.array_sort(F.collect_set("template")).alias("templates")), "flagged")
     # documents with dropped lines grow with the input: joined by a shuffle at every size

@@ -412,3 +412,20 @@ def test_very_long_lines_and_repeats_inside_a_text(spark):
     rows += [(20 + i, f"{prose(rng, 30)}\nagain and again the same\nagain and again the same") for i in range(9)]
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[10] == (501, 500) and got[25] == (3, 2) and all(got[i] == (2, 1) for i in range(4))
+
+
+def test_lines_are_joined_by_a_shuffle_at_every_size(spark, monkeypatch):
+    """Joins whose both sides grow with the input take one plan, so disk use measured on small
+    tables tells that of large ones."""
+    plans = {}
+
+    def noted(df, name, *rest):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return common.written(df, name, *rest)
+
+    monkeypatch.setattr(linededup, "written", noted)
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 20) + "\nwelcome to the pages of this club and all its friends") for i in range(12)]
+    got = linededup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (got.n_dropped == 1).all()
+    assert all("SortMergeJoin" in plans[name] for name in ("kept", "flagged"))
