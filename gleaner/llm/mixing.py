@@ -10,14 +10,16 @@ the token before, and with the two tokens before; for bytes the node with the to
 two, three or four bytes before, and with six bytes before. The topic is the cluster of
 the last frequent tokens, which tells languages and styles apart. The predictions are mixed in the logistic domain by weights that the kind
 and depth of the decision and the confidence of the longest contexts select, and an
-adaptive map then refines the mixed probability. Topics, weights and map are fitted on
-``TUNING`` training texts, weights and map online, block by block, with the text itself
-taken out of the counts. The sum over all decisions gives the bits, so bits per byte.
+adaptive map then refines the mixed probability. Topics, weights and map are learned from
+all training texts: topics from the summed counts of neighbours among the frequent tokens;
+weights and map online, block by block, in every task over its own texts, each occurrence
+taken out of the counts that predict it, and averaged over the tasks by how often each
+weight or cell was used. The sum over all decisions gives the bits, so bits per byte.
 
 Token counts and context counts are gathered from all training texts: tasks sum their
 own, Spark adds them up. Only the dictionary, the head of the token counts (``HEAD``)
 and the count tables (``ORDERS`` times ``2**SLOT_BITS`` pairs) are broadcast, all of
-them bounded; the counts of other tokens meet their uses in a join.
+them bounded, as are the sums of neighbours, weights and cells that reach the driver; the counts of other tokens meet their uses in a join.
 
 Null texts are empty: one end token. With no training text all counts are zero and each
 decision costs one bit. Repeated rows and null ids keep their rows.
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import ROW, slices, smallest_hashes, text_bytes, with_row_key, written
+from gleaner.llm.common import ROW, slices, with_row_key, written
 
 DICTIONARY, HEAD = 1 << 16, 1 << 18
 SLOT_BITS, ORDERS, BLOCK_BITS = 21, 4, 15
@@ -45,8 +47,11 @@ SLOT_BITS, ORDERS, BLOCK_BITS = 21, 4, 15
 NEAR, WIDE = 1024, DICTIONARY + 2
 #: Tokens that tell the topic, and topics.
 FREQUENT, TOPICS = 256, 12
-#: Bound of the tuning sample, in texts; decisions of one online step.
-TUNING, STEP = 600, 512
+#: Distinct decisions of one online step; its first and last rate, the uses of a gate over which
+#: it falls, and the uses in one step above which the step grows no more.
+STEP, RATES, FALL, MOST = 4096, (0.02, 0.002), 20000, 1024
+#: Fixed point of the weights that tasks sum up, so that the order of the sums does not matter.
+FIXED = 1 << 20
 #: Text bytes prepared at a time; tokens coded at a time.
 PART, TOKENS = 3 << 20, 1 << 15
 #: Sums of this many partial tables are added up in a task before the last sum.
@@ -317,16 +322,18 @@ def topics(pairs: np.ndarray) -> np.ndarray:
     return own
 
 
-def learn_topics(model: Model, texts: pa.Array) -> None:
-    pairs = np.zeros((FREQUENT, FREQUENT))
-    for i in range(len(texts)):
-        _, _, symbol, ids, _ = model.text_parts(texts[i:i + 1])
-        s = symbol[ids]
-        s = s[(s < FREQUENT) & (s != model.escape)]
-        for gap in (1, 2, 3):
-            np.add.at(pairs, (s[gap:], s[:-gap]), 1)
-            np.add.at(pairs, (s[:-gap], s[gap:]), 1)
-    model.topics = topics(pairs)
+def neighbours(model: Model, texts: pa.Array) -> np.ndarray:
+    """Of all pairs of frequent tokens, how often the one follows the other in a text as its
+    next, second or third frequent token."""
+    _, _, symbol, ids, size = model.text_parts(texts)
+    s, text = symbol[ids], np.repeat(np.arange(len(size)), size)
+    frequent = np.flatnonzero(s < min(FREQUENT, model.escape))
+    s, text = s[frequent], text[frequent]
+    pairs = np.zeros(FREQUENT * FREQUENT, dtype=np.int64)
+    for gap in (1, 2, 3):
+        at = np.flatnonzero(text[gap:] == text[:-gap])
+        pairs += np.bincount(s[at + gap] * FREQUENT + s[at], minlength=len(pairs))
+    return pairs
 
 
 # ---------------------------------------------------------------- gathering
@@ -353,6 +360,19 @@ def token_counts(train: DataFrame, text: str) -> DataFrame:
     return made.groupBy("kind", "h").agg(F.sum("n").alias("n"))
 
 
+def pair_counts(train: DataFrame, text: str, model) -> DataFrame:
+    """(cell, n): neighbours() summed over all training texts, at most FREQUENT**2 rows."""
+
+    def run(batches):
+        own, pairs = Model.restored(model.value), np.zeros(FREQUENT * FREQUENT, dtype=np.int64)
+        for batch in slices(batches, text, PART):
+            pairs += neighbours(own, batch[text])
+        cell = np.flatnonzero(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(pairs[cell])], names=["cell", "n"])
+
+    return train.select(text).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
 def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     """The tokens above the smallest count (in steps of a 64th of a doubling) that at most
     ``most`` tokens reach, found from a histogram instead of a sort."""
@@ -469,6 +489,8 @@ class Mixer:
         self.weights = np.full((GATES * 16, PARTS_OF_TABLE + 1), 1.0 / PARTS_OF_TABLE, dtype=np.float32)
         self.weights[:, -1] = 0
         self.map = np.tile(np.linspace(-8, 8, CELLS), (GATES * 16, 1)).astype(np.float32)
+        # how often each gate and each cell was learned from
+        self.seen, self.met = np.zeros(len(self.weights)), np.zeros(self.map.size)
 
     @staticmethod
     def confidence(n: np.ndarray) -> np.ndarray:
@@ -491,55 +513,77 @@ class Mixer:
         refined = left + (cells.take(at + 1) - left) * part
         return mixed, low, part, (mixed + refined) * np.float32(0.5)
 
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, rate: float) -> None:
+    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, uses: np.ndarray) -> None:
+        """One online step over decisions that occur ``uses`` times each."""
         mixed, low, part, _ = self.forward(x, gate)
-        error = bit - 1 / (1 + np.exp(-mixed))
-        seen = np.maximum(np.bincount(gate, minlength=len(self.weights)), 1)[gate]
-        step = rate * error / np.sqrt(seen)
+        gates, cells = len(self.weights), self.map.size
+        seen = np.bincount(gate, uses, gates)
+        rate = np.maximum(RATES[1], RATES[0] / (1 + self.seen / FALL))
+        step = rate / np.maximum(np.sqrt(np.maximum(seen, 1)), seen / np.sqrt(MOST))
+        error = uses * (bit - 1 / (1 + np.exp(-mixed)))
         for k in range(PARTS_OF_TABLE):
-            np.add.at(self.weights[:, k], gate, step * x[k])
-        np.add.at(self.weights[:, -1], gate, step * 0.3)
-        refined = self.map[gate, low] * (1 - part) + self.map[gate, low + 1] * part
-        off = 3 * rate * (bit - 1 / (1 + np.exp(-refined))) / np.sqrt(seen)
-        np.add.at(self.map, (gate, low), off * (1 - part))
-        np.add.at(self.map, (gate, low + 1), off * part)
-
-
-def inputs(made: Decisions, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Stretched predictions and gates, with the decisions' own counts taken out."""
-    x, gate = [], made.gate.astype(np.int64)
-    for k in range(PARTS_OF_TABLE):
-        at = 2 * (made.slots[k] if k < ORDERS else made.node)
-        key, back = np.unique(at + made.bit, return_inverse=True)
-        mine = np.r_[np.bincount(back), 0]
-
-        def own(i, key=np.r_[key, -1], mine=mine):
-            at = np.searchsorted(key[:-1], i)
-            return np.where(key[at] == i, mine[at], 0)
-
-        n0, n1 = np.maximum(table[k, at] - own(at), 0), np.maximum(table[k, at + 1] - own(at + 1), 0)
-        x.append(stretch(n0, n1))
-        if ORDERS - 2 <= k < ORDERS:
-            gate = gate * 4 + Mixer.confidence(n0 + n1)
-    return x, gate
-
-
-def tune(model: Model, table: np.ndarray, texts: pa.Array) -> Mixer:
+            self.weights[:, k] += step * np.bincount(gate, error * x[k], gates)
+        self.weights[:, -1] += 0.3 * step * np.bincount(gate, error, gates)
+        at, flat = gate * CELLS + low, self.map.ravel()
+        refined = flat.take(at) * (1 - part) + flat.take(at + 1) * part
+        off = uses * (bit - 1 / (1 + np.exp(-refined)))
+        moved = np.bincount(at, off * (1 - part), cells) + np.bincount(at + 1, off * part, cells)
+        self.map += 3 * step[:, None] * moved.reshape(self.map.shape)
+        met = np.bincount(at, uses, cells)
+        self.met += met + np.roll(met, 1)
+        self.seen += seen
+
+    def share(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of all weights and cells learned from: place, uses, value times uses (fixed point)."""
+        n = np.rint(np.r_[np.repeat(self.seen, self.weights.shape[1]), self.met]).astype(np.int64)
+        value = np.rint(np.r_[self.weights.ravel(), self.map.ravel()] * np.float64(FIXED)).astype(np.int64)
+        place = np.flatnonzero(n)
+        return place, n[place], value[place] * n[place]
+
+    def average(self, place: np.ndarray, n: np.ndarray, total: np.ndarray) -> None:
+        """Take on the means of all tasks' shares; the others stay as they were at the start."""
+        values = np.r_[self.weights.ravel(), self.map.ravel()]
+        values[place] = total / (n * np.float64(FIXED))
+        self.weights = values[:self.weights.size].reshape(self.weights.shape)
+        self.map = values[self.weights.size:].reshape(self.map.shape)
+
+
+def stepwise(model: Model, tables: list[np.ndarray], mixer: Mixer, texts: pa.Array) -> None:
+    """Learn from all decisions of the texts; equal ones are learned from together, the
+    distinct ones in an order that is mixed."""
+    names, _, symbol, ids, size = model.text_parts(texts)
+    stream = model.stream(ids, size, symbol)
+    for keys, most, decide in ((stream.keys(), TOKENS, model.token_decisions),
+                               (stream.spelled(model.escape)[1], TOKENS // 4, lambda k: model.byte_decisions(names, k))):
+        once, uses = np.unique(keys, return_counts=True)
+        order = np.random.RandomState(len(once)).permutation(len(once))
+        once, uses = once[order], uses[order]
+        for part in batches_of(once, most):
+            made = decide(once[part])
+            found = [tables[k].take(2 * (made.slots[k] if k < ORDERS else made.node) + made.bit) for k in range(PARTS_OF_TABLE)]
+            gate = made.gate.astype(np.int64) * 16 + ((found[ORDERS - 2] & 3) << 2 | found[ORDERS - 1] & 3)
+            x = [f * np.float32(1 / (4 * SCALE)) for f in found]
+            times = np.repeat(uses[part].astype(np.float32), made.size)
+            for now in batches_of(gate, STEP):
+                mixer.learn([v[now] for v in x], gate[now], made.bit[now], times[now])
+
+
+def learned(train: DataFrame, text: str, model, tables) -> Mixer:
+    """Mixer of all training texts: every task learns online from its own, the means over the
+    tasks are weighted by uses."""
+
+    def run(batches):
+        own, mixer = Model.restored(model.value), Mixer()
+        for batch in slices(batches, text, PART):
+            stepwise(own, tables.value, mixer, batch[text])
+        place, n, total = mixer.share()
+        yield pa.RecordBatch.from_arrays([pa.array(place, pa.int32()), pa.array(n), pa.array(total)], names=["place", "n", "total"])
+
+    found = train.select(text).mapInArrow(run, "place int, n long, total long")
+    # at most one row per weight and cell
+    sums = found.groupBy("place").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toArrow()
     mixer = Mixer()
-    rate = 0.02
-    for i in range(len(texts)):
-        names, _, symbol, ids, size = model.text_parts(texts[i:i + 1])
-        stream = model.stream(ids, size, symbol)
-        found = [model.token_decisions(stream.keys())]
-        key = stream.spelled(model.escape)[1]
-        if len(key):
-            found.append(model.byte_decisions(names, key))
-        for made in found:
-            x, gate = inputs(made, table)
-            for j in range(0, len(made.bit), STEP):
-                part = slice(j, j + STEP)
-                mixer.learn([v[part] for v in x], gate[part], made.bit[part], rate)
-        rate = max(0.002, rate * 0.995)
+    mixer.average(*(sums[c].to_numpy() for c in ("place", "n", "total")))
     return mixer
 
 
@@ -548,15 +592,29 @@ SCALE = 1000
 COST_STEPS = 1024
 
 
+def entries_of(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """The stretched prediction and the confidence in 16 bits, so that tables stay near the
+    processor. The confidence is the last two bits, which are below the prediction's
+    precision and stay in it when it is read as a number."""
+    x = np.clip(np.rint(stretch(n0, n1) * SCALE), -8 * SCALE, 8 * SCALE).astype(np.int16)
+    return x << 2 | Mixer.confidence(n0 + n1).astype(np.int16)
+
+
 def packed(table: np.ndarray) -> list[np.ndarray]:
-    """Per part of the table the stretched prediction and the confidence in 16 bits, so
-    that they stay near the processor. The confidence is the last two bits, which are below
-    the prediction's precision and stay in it when it is read as a number."""
+    """Per part of the table the entries of its slots."""
+    return [entries_of(row[::2], row[1::2]) for row in table]
+
+
+def packed_without_own(table: np.ndarray) -> list[np.ndarray]:
+    """Per part of the table the entries of its slots for a decision that is itself counted
+    there: at 2 * slot + bit one occurrence of the bit is taken out."""
     out = []
     for row in table:
         n0, n1 = row[::2], row[1::2]
-        x = np.clip(np.rint(stretch(n0, n1) * SCALE), -8 * SCALE, 8 * SCALE).astype(np.int16)
-        out.append(x << 2 | Mixer.confidence(n0 + n1).astype(np.int16))
+        less = np.empty(len(row), dtype=np.int16)
+        less[::2] = entries_of(np.maximum(n0 - 1, 0), n1)
+        less[1::2] = entries_of(n0, np.maximum(n1 - 1, 0))
+        out.append(less)
     return out
 
 
@@ -624,19 +682,25 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", folds: i
     for r in counts.filter("kind = 1").collect():
         spelled[r["h"]] = r["n"]
     context = df.sparkSession.sparkContext
-    sample = train.filter("t is not null").select("t", F.xxhash64(F.col("k").cast("string")).alias("h"))
-    few = smallest_hashes(sample, "h", TUNING, train.count())
-    few = few.orderBy("h", "t").limit(TUNING).select("t").toArrow()["t"].combine_chunks()
     fresh = Model(head["h"].to_numpy(), head["n"].to_numpy(), total, spelled)
-    learn_topics(fresh, few)
+    untold = context.broadcast(fresh.state())
+    pairs = np.zeros(FREQUENT * FREQUENT)
+    for r in pair_counts(train, "t", untold).collect():
+        pairs[r["cell"]] = r["n"]
+    pairs = pairs.reshape(FREQUENT, FREQUENT)
+    fresh.topics = topics(pairs + pairs.T)
+    untold.unpersist()
     model = context.broadcast(fresh.state())
 
     table = np.zeros((PARTS_OF_TABLE, 2 << SLOT_BITS), dtype=np.float32)
     width = 2 << BLOCK_BITS
     for r in context_counts(train, "t", model).toLocalIterator():
         table[r["k"], r["block"] * width:(r["block"] + 1) * width] = unpacked(r["data"], width)
-    mixer = tune(fresh, table, few)
-    fitted = context.broadcast((packed(table), mixer.weights, mixer.map))
+    without_own = context.broadcast(packed_without_own(table))
+    table = packed(table)
+    mixer = learned(train, "t", model, without_own)
+    without_own.unpersist()
+    fitted = context.broadcast((table, mixer.weights, mixer.map))
     del table
 
     per = float(np.log10(total + distinct + 1))
