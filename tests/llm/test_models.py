@@ -176,3 +176,41 @@ def test_tables_of_counts_hold_every_decision():
         for k in range(mixing.PARTS_OF_TABLE):
             np.add.at(want[k], 2 * (made.slots[k] if k < mixing.ORDERS else made.node).astype(np.int64) + made.bit, 1)
     assert (got == want).all() and got.sum() > 10_000
+
+
+def test_topics_and_weights_are_learned_from_all_training_texts(spark):
+    """The sums reach every training text, and the uses of the gates are all decisions."""
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice("abcdefghij") + rng.choice(("", "k", "zz")) for _ in range(rng.randrange(12))) for _ in range(1300)]
+    train = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(3)
+    names, ids, size = mixing.token_ids(pa.array(texts))
+    counts = np.bincount(ids, minlength=len(names))
+    listed = np.argsort(-counts, kind="stable")[:20]
+    model = mixing.Model(mixing.token_hashes([names[i] for i in listed]), counts[listed], int(counts.sum()), np.full(257, 5))
+    state = spark.sparkContext.broadcast(model.state())
+    place = {names[i]: k for k, i in enumerate(listed)}
+    want = np.zeros(mixing.FREQUENT ** 2, dtype=np.int64)
+    for text in [*texts, ""]:
+        s = [place[w] for w in [*text.encode().split(), b""] if w in place]
+        for gap in (1, 2, 3):
+            for a, b in zip(s, s[gap:]):
+                want[b * mixing.FREQUENT + a] += 1
+    got = {r["cell"]: r["n"] for r in mixing.pair_counts(train, "t", state).collect()}
+    assert got == {int(i): int(want[i]) for i in np.flatnonzero(want)}
+
+    tables = [np.zeros(2 << mixing.SLOT_BITS, dtype=np.int16)] * mixing.PARTS_OF_TABLE
+    taught = []
+    average = mixing.Mixer.average
+    try:
+        mixing.Mixer.average = lambda self, place, n, total: (taught.append((place, n)), average(self, place, n, total))[1]
+        mixer = mixing.learned(train, "t", state, spark.sparkContext.broadcast(tables))
+    finally:
+        mixing.Mixer.average = average
+    place, n = taught[0]
+    bias = place % mixer.weights.shape[1] == 0
+    symbol = model.text_parts(pa.array([*texts, None]))[2][mixing.token_ids(pa.array([*texts, None]))[1]]
+    held = {names[i] for i in listed}
+    spelled = [w for t in texts for w in t.encode().split() if w not in held]
+    bits = int(model.code.size[symbol].sum()) + sum(int(model.bytes.size[list(w)].sum()) + int(model.bytes.size[256]) for w in spelled)
+    assert n[bias & (place < mixer.weights.size)].sum() == bits
+    assert np.isfinite(mixer.weights).all() and np.isfinite(mixer.map).all()
