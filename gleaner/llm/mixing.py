@@ -54,6 +54,8 @@ STEP, RATES, FALL, MOST = 4096, (0.02, 0.002), 20000, 1024
 FIXED = 1 << 20
 #: Text bytes prepared at a time; tokens coded at a time.
 PART, TOKENS = 3 << 20, 1 << 15
+#: Of these, a share whose decisions are made at a time, so that they stay near the processor.
+PIECES = 8
 #: Sums of this many partial tables are added up in a task before the last sum.
 FAN_IN = 64
 GATES, CELLS = 32, 33
@@ -71,6 +73,11 @@ def mixed32(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint32(16)
 
 
+def doubled(context: np.ndarray) -> np.ndarray:
+    """Twice the slot of a context's hash."""
+    return (context & _MASK).astype(np.int64) << 1
+
+
 def token_hash(token: bytes) -> int:
     """Signed 64-bit name of a token; the end is the empty token."""
     return xxhash.xxh3_64_intdigest(token) - (1 << 63)
@@ -86,14 +93,19 @@ def token_ids(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """The distinct tokens of all texts, the texts' tokens one after the other as numbers of
     these, and the number of each text's tokens. The end, the empty token, is the last."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    flat = lists.flatten()
-    real = np.asarray(pc.binary_length(flat)) > 0
-    before = np.concatenate([[0], np.cumsum(real)])[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
-    coded = flat.filter(pa.array(real)).dictionary_encode()
+    coded = lists.flatten().dictionary_encode()
     names = coded.dictionary.cast(pa.binary()).to_pylist()
-    size = np.diff(before) + 1
-    ids = np.full(len(coded) + len(texts), len(names))
-    ids[np.arange(len(coded)) + np.repeat(np.arange(len(texts)), size - 1)] = coded.indices.to_numpy(zero_copy_only=False)
+    found, offsets = coded.indices.to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py()
+    if b"" in names:                                   # those at the ends of a text are no tokens
+        none = names.index(b"")
+        del names[none]
+        real = found != none
+        offsets = np.concatenate([[0], np.cumsum(real)])[offsets]
+        found = found[real]
+        found = found - (found > none)
+    size = np.diff(offsets) + 1
+    ids = np.full(len(found) + len(texts), len(names))
+    ids[np.arange(len(found)) + np.repeat(np.arange(len(texts)), size - 1)] = found
     return [*names, b""], ids, size
 
 
@@ -126,10 +138,12 @@ class Code:
         self.start = np.array(start, dtype=np.int64)
 
     def prepare(self, first_node: int) -> None:
-        """Per entry: node number in the common table, its hash, and the gate by depth."""
-        self.node = (self.nodes + first_node).astype(np.int32)
-        self.hash = mixed32((self.node.astype(np.uint32) + np.uint32(1)) * _M[0])
+        """Per entry: node number in the common table, twice the slot of its hash plus its bit,
+        and the gate by depth."""
         depth = np.arange(len(self.nodes)) - np.repeat(self.start[:-1], np.diff(self.start))
+        self.own = (self.nodes.astype(np.int64) + first_node) << 1 | self.bits
+        hashed = mixed32((self.nodes.astype(np.uint32) + np.uint32(first_node + 1)) * _M[0])
+        self.hash = (hashed & _MASK).astype(np.int64) << 1 | self.bits
         self.gate = np.minimum(depth, 15).astype(np.int16)
         self.size = np.diff(self.start)
 
@@ -141,15 +155,25 @@ class Code:
 
 
 class Decisions(NamedTuple):
-    """Rows of the tables that the decisions read, their bits, gates, and how many
-    decisions each symbol (or word) has."""
+    """Places that the decisions have in the tables (twice the row plus the bit; the last
+    table's row is the node), their gates, and how many decisions each symbol (or word) has."""
 
-    node: np.ndarray
-    slots: list[np.ndarray]
-    bit: np.ndarray
+    places: list[np.ndarray]
     gate: np.ndarray
     size: np.ndarray
 
+    @property
+    def bit(self) -> np.ndarray:
+        return (self.places[-1] & 1).astype(np.uint8)
+
+    @property
+    def node(self) -> np.ndarray:
+        return self.places[-1] >> 1
+
+    @property
+    def slots(self) -> list[np.ndarray]:
+        return [at >> 1 for at in self.places[:-1]]
+
 
 class Stream(NamedTuple):
     """Symbols of texts in order: distinct token, text, symbol, the two before, topic."""
@@ -260,8 +284,10 @@ class Model:
         contexts = tuple(self.token_context(k, *fields) for k, fields in enumerate(depends))
         return self.decisions(self.code, entry, size, contexts, self.code.gate.take(entry), size)
 
-    def byte_decisions(self, names: list[bytes], keys: np.ndarray) -> Decisions:
-        """Decisions of spelled tokens, given as keys of Stream.spelled()."""
+    @staticmethod
+    def spelling(names: list[bytes], keys: np.ndarray) -> tuple[np.ndarray, tuple, np.ndarray, np.ndarray]:
+        """Bytes and stops of spelled tokens, given as keys of Stream.spelled(): their contexts'
+        hashes by table, their places in the token, and how many each token has."""
         token, topic = np.divmod(keys, TOPICS + 1)
         words = [names[i] for i in token.tolist()]
         data = np.frombuffer(b"".join(words), dtype=np.uint8)
@@ -278,17 +304,23 @@ class Model:
         c3 = mixed32(c2) + past[2] * _M[2]
         c4 = mixed32(c3) + past[3] * _M[1]
         c6 = mixed32(mixed32(c4) + past[4] * _M[2]) + past[5] * _M[3]
-        contexts = (mixed32(c2 + state), mixed32(c3 + state), mixed32(c4 + state), mixed32(c6 + np.uint32(5)))
+        return symbols, (mixed32(c2 + state), mixed32(c3 + state), mixed32(c4 + state), mixed32(c6 + np.uint32(5))), inner, length
+
+    def byte_decisions(self, names: list[bytes], keys: np.ndarray) -> Decisions:
+        """Decisions of spelled tokens, given as keys of Stream.spelled()."""
+        symbols, contexts, inner, length = self.spelling(names, keys)
         entry, size = self.bytes.entries(symbols)
         gate = np.repeat((16 + np.minimum(inner, 15)).astype(np.int16), size)
-        return self.decisions(self.bytes, entry, size, contexts, gate, np.add.reduceat(size, stop - length + 1))
+        return self.decisions(self.bytes, entry, size, contexts, gate, np.add.reduceat(size, np.cumsum(length) - length))
 
     @staticmethod
     def decisions(code: Code, entry: np.ndarray, size: np.ndarray, contexts: tuple, gate: np.ndarray,
                   per: np.ndarray) -> Decisions:
         h = code.hash.take(entry)
-        slots = [((np.repeat(c, size) ^ h) & _MASK).astype(np.int32) for c in contexts]
-        return Decisions(code.node.take(entry), slots, code.bits.take(entry), gate, per)
+        places = [np.repeat(doubled(c), size) for c in contexts]
+        for at in places:
+            at ^= h
+        return Decisions([*places, code.own.take(entry)], gate, per)
 
     def text_parts(self, texts: pa.Array):
         """The distinct tokens of all texts, their places in the head and their symbols; the
@@ -390,8 +422,14 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 def sums_of(keys: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys with their summed uses; keys that come in order need no sort."""
     if len(keys) and (keys[1:] < keys[:-1]).any():
-        order = np.argsort(keys)
-        keys, uses = keys[order], uses[order]
+        width = len(keys).bit_length()
+        if int(keys.max()) < 1 << 63 - width:          # a plain sort of keys and places is quicker
+            both = np.sort(keys << width | np.arange(len(keys)))
+            keys, order = both >> width, both & (1 << width) - 1
+        else:
+            order = np.argsort(keys)
+            keys = keys[order]
+        uses = uses[order]
     head = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     return keys[head], np.add.reduceat(uses, head) if len(head) else uses
 
@@ -402,32 +440,40 @@ def tally(model: Model, texts: pa.Array, counts: np.ndarray) -> None:
     names, _, symbol, ids, size = model.text_parts(texts)
     stream = model.stream(ids, size, symbol)
     keys, uses = np.unique(stream.keys(), return_counts=True)
-    uses = uses.astype(counts.dtype)
     symbol, topic, one, two = key_parts(keys)
     code, near = model.code, np.minimum(one, NEAR)
-    for k, fields in enumerate(((topic,), (topic, near), (one,), (one, two), ())):
+
+    def add(k: int, code: Code, symbols: np.ndarray, contexts: np.ndarray | None, uses: np.ndarray) -> None:
+        entry, size = code.entries(symbols)
+        if contexts is None:
+            at = code.own.take(entry)
+        else:
+            at = np.repeat(doubled(contexts), size)
+            at ^= code.hash.take(entry)
+        np.add.at(counts[k], at, np.repeat(uses.astype(counts.dtype), size))
+
+    for part in batches_of(keys, TOKENS // PIECES):    # the two before tell almost all keys apart
+        add(ORDERS - 1, code, symbol[part], model.token_context(ORDERS - 1, one[part], two[part]), uses[part])
+    for k, fields in {0: (topic,), 1: (topic, near), 2: (one,), ORDERS: ()}.items():
         joined = symbol
         for field in fields:
             joined = joined * WIDE + field
         distinct, times = sums_of(joined, uses)
-        for part in batches_of(distinct, TOKENS):
+        for part in batches_of(distinct, TOKENS // PIECES):
             own, rest = [], distinct[part]
             for _ in fields:
                 rest, field = np.divmod(rest, WIDE)
                 own.insert(0, field)
-            entry, size = code.entries(rest)
-            if fields:
-                at = (np.repeat(model.token_context(k, *own), size) ^ code.hash.take(entry)) & _MASK
-            else:
-                at = code.node.take(entry)
-            np.add.at(counts[k], 2 * at.astype(np.int64) + code.bits.take(entry), np.repeat(times[part].astype(counts.dtype), size))
+            add(k, code, rest, model.token_context(k, *own) if fields else None, times[part])
     once, uses = np.unique(stream.spelled(model.escape)[1], return_counts=True)
-    for part in batches_of(once, TOKENS // 4):
-        made = model.byte_decisions(names, once[part])
-        times = np.repeat(uses[part].astype(counts.dtype), made.size)
-        for k in range(PARTS_OF_TABLE):
-            at = made.slots[k] if k < ORDERS else made.node
-            np.add.at(counts[k], 2 * at.astype(np.int64) + made.bit, times)
+    for words in batches_of(once, TOKENS):
+        symbols, contexts, _, length = model.spelling(names, once[words])
+        own = np.repeat(uses[words], length)
+        for k, context in enumerate(contexts):
+            distinct, times = sums_of(context.astype(np.int64) << 9 | symbols, own)
+            for part in batches_of(distinct, TOKENS // PIECES):
+                add(k, model.bytes, distinct[part] & 511, distinct[part] >> 9, times[part])
+        add(ORDERS, model.bytes, np.arange(257), None, np.bincount(symbols, own, 257))
 
 
 def unpacked(data: bytes, width: int) -> np.ndarray:
@@ -497,41 +543,46 @@ class Mixer:
         """How often a context was seen, in four steps."""
         return (n > 0).astype(np.int8) + (n > 2) + (n > 15)
 
-    def forward(self, x: list[np.ndarray], gate: np.ndarray):
-        """Mixed prediction, its cell in the map and place in it, refined prediction."""
-        columns = self.weights.T.copy()
-        mixed = columns[-1].take(gate)
-        for k in range(PARTS_OF_TABLE):
-            mixed += columns[k].take(gate) * x[k]
-        np.clip(mixed, -7.99, 7.99, out=mixed)
-        cell = (mixed + np.float32(8)) * np.float32((CELLS - 1) / 16)
-        low = cell.astype(np.int32)
-        part = cell - low
-        at = gate * CELLS + low
-        cells = self.map.ravel()
-        left = cells.take(at)
-        refined = left + (cells.take(at + 1) - left) * part
-        return mixed, low, part, (mixed + refined) * np.float32(0.5)
-
-    def learn(self, x: list[np.ndarray], gate: np.ndarray, bit: np.ndarray, uses: np.ndarray) -> None:
-        """One online step over decisions that occur ``uses`` times each."""
-        mixed, low, part, _ = self.forward(x, gate)
-        gates, cells = len(self.weights), self.map.size
-        seen = np.bincount(gate, uses, gates)
-        rate = np.maximum(RATES[1], RATES[0] / (1 + self.seen / FALL))
-        step = rate / np.maximum(np.sqrt(np.maximum(seen, 1)), seen / np.sqrt(MOST))
-        error = uses * (bit - 1 / (1 + np.exp(-mixed)))
-        for k in range(PARTS_OF_TABLE):
-            self.weights[:, k] += step * np.bincount(gate, error * x[k], gates)
-        self.weights[:, -1] += 0.3 * step * np.bincount(gate, error, gates)
-        at, flat = gate * CELLS + low, self.map.ravel()
-        refined = flat.take(at) * (1 - part) + flat.take(at + 1) * part
-        off = uses * (bit - 1 / (1 + np.exp(-refined)))
-        moved = np.bincount(at, off * (1 - part), cells) + np.bincount(at + 1, off * part, cells)
-        self.map += 3 * step[:, None] * moved.reshape(self.map.shape)
-        met = np.bincount(at, uses, cells)
-        self.met += met + np.roll(met, 1)
-        self.seen += seen
+    def learn(self, found: np.ndarray, gate: np.ndarray, bit: np.ndarray, uses: np.ndarray) -> None:
+        """Online steps of STEP decisions that occur ``uses`` times each, given the entries they
+        find and gates of one code tree, whose half of the weights and cells is all they touch."""
+        half = len(self.weights) // 2
+        first = half * int(gate[0] >= half)
+        own, weights, cells = gate.astype(np.int64) - first, self.weights[first:first + half], self.map[first:first + half]
+        steps = -(-len(gate) // STEP)
+        place = np.repeat(np.arange(steps) * half, STEP)[:len(own)] + own
+        seen = np.bincount(place, uses, steps * half).reshape(steps, half)
+        before = self.seen[first:first + half] + np.cumsum(seen, axis=0) - seen
+        rate = np.maximum(RATES[1], RATES[0] / (1 + before / FALL))
+        rates = rate / np.maximum(np.sqrt(np.maximum(seen, 1)), seen / np.sqrt(MOST))
+        met, flat = np.empty(len(gate), dtype=np.int64), cells.reshape(-1)
+        for step, now in zip(rates, batches_of(gate, STEP)):
+            g, b, u = own[now], bit[now], uses[now]
+            x = found[:, now] * np.float32(1 / (4 * SCALE))
+            columns = weights.T.copy()
+            mixed = columns[-1].take(g)
+            for column, v in zip(columns, x):
+                term = column.take(g)
+                term *= v
+                mixed += term
+            np.minimum(np.maximum(mixed, np.float32(-7.99), out=mixed), np.float32(7.99), out=mixed)
+            cell = (mixed + np.float32(8)) * np.float32((CELLS - 1) / 16)
+            low = cell.astype(np.int32)
+            part = cell - low
+            rest = 1 - part
+            at = np.add(g * CELLS, low, out=met[now])
+            after = at + 1
+            refined = flat.take(at) * rest
+            refined += flat.take(after) * part
+            error, off = (u * (b - 1 / (1 + np.exp(-p))) for p in (mixed, refined))
+            for k, v in enumerate(x * error):
+                weights[:, k] += step * np.bincount(g, v, half)
+            weights[:, -1] += 0.3 * step * np.bincount(g, error, half)
+            moved = np.bincount(at, off * rest, flat.size) + np.bincount(after, off * part, flat.size)
+            cells += 3 * step[:, None] * moved.reshape(cells.shape)
+        self.seen[first:first + half] += seen.sum(axis=0)
+        times = np.bincount(met + first * CELLS, uses, self.map.size)
+        self.met += times + np.roll(times, 1)
 
     def share(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all weights and cells learned from: place, uses, value times uses (fixed point)."""
@@ -548,6 +599,13 @@ class Mixer:
         self.map = values[self.weights.size:].reshape(self.map.shape)
 
 
+def looked_up(tables: list[np.ndarray], made: Decisions, uses: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per decision the entries it finds, its gate, its bit and its uses."""
+    found = np.stack([table.take(at) for table, at in zip(tables, made.places)])
+    gate = made.gate * np.int16(16) + ((found[ORDERS - 2] & 3) << 2 | found[ORDERS - 1] & 3)
+    return found, gate, made.bit, np.repeat(uses, made.size)
+
+
 def stepwise(model: Model, tables: list[np.ndarray], mixer: Mixer, texts: pa.Array) -> None:
     """Learn from all decisions of the texts; equal ones are learned from together, the
     distinct ones in an order that is mixed."""
@@ -559,13 +617,9 @@ def stepwise(model: Model, tables: list[np.ndarray], mixer: Mixer, texts: pa.Arr
         order = np.random.RandomState(len(once)).permutation(len(once))
         once, uses = once[order], uses[order]
         for part in batches_of(once, most):
-            made = decide(once[part])
-            found = [tables[k].take(2 * (made.slots[k] if k < ORDERS else made.node) + made.bit) for k in range(PARTS_OF_TABLE)]
-            gate = made.gate.astype(np.int64) * 16 + ((found[ORDERS - 2] & 3) << 2 | found[ORDERS - 1] & 3)
-            x = [f * np.float32(1 / (4 * SCALE)) for f in found]
-            times = np.repeat(uses[part].astype(np.float32), made.size)
-            for now in batches_of(gate, STEP):
-                mixer.learn([v[now] for v in x], gate[now], made.bit[now], times[now])
+            keys, times = once[part], uses[part].astype(np.float32)
+            pieces = [looked_up(tables, decide(keys[few]), times[few]) for few in batches_of(keys, most // PIECES)]
+            mixer.learn(*(np.concatenate(column, axis=-1) for column in zip(*pieces)))
 
 
 def learned(train: DataFrame, text: str, model, tables) -> Mixer:
@@ -640,7 +694,7 @@ class Scorer:
 
     def cost(self, made: Decisions) -> np.ndarray:
         """Bits of each symbol (or word)."""
-        found = [self.packed[k].take(made.slots[k] if k < ORDERS else made.node) for k in range(PARTS_OF_TABLE)]
+        found = [table.take(at >> 1) for table, at in zip(self.packed, made.places)]
         gate = made.gate.astype(np.int32) * 16 + ((found[ORDERS - 2] & 3) << 2 | found[ORDERS - 1] & 3)
         mixed = self.bias.take(gate)
         for k in range(PARTS_OF_TABLE):
@@ -659,8 +713,8 @@ class Scorer:
         stream = model.stream(ids, size, symbol)
         at, key = stream.spelled(model.escape)
         bits = np.zeros(len(size))
-        for text, keys, size, decide in ((stream.text, stream.keys(), TOKENS, model.token_decisions),
-                                         (stream.text[at], key, TOKENS // 4, lambda k: model.byte_decisions(names, k))):
+        for text, keys, size, decide in ((stream.text, stream.keys(), TOKENS // PIECES, model.token_decisions),
+                                         (stream.text[at], key, TOKENS // 4 // PIECES, lambda k: model.byte_decisions(names, k))):
             once, back = np.unique(keys, return_inverse=True)
             if len(once):                              # equal keys cost the same wherever they stand
                 cost = np.concatenate([self.cost(decide(once[part])) for part in batches_of(once, size)])

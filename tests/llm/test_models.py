@@ -214,3 +214,50 @@ def test_topics_and_weights_are_learned_from_all_training_texts(spark):
     bits = int(model.code.size[symbol].sum()) + sum(int(model.bytes.size[list(w)].sum()) + int(model.bytes.size[256]) for w in spelled)
     assert n[bias & (place < mixer.weights.size)].sum() == bits
     assert np.isfinite(mixer.weights).all() and np.isfinite(mixer.map).all()
+
+
+def test_spelled_bytes_are_counted_once_per_context(monkeypatch):
+    """Words that share their bytes share the work of a table whose contexts do not tell them apart."""
+    rng = random.Random(6)
+    texts = pa.array([" ".join("".join(rng.choice("ab") for _ in range(14)) for _ in range(400)) for _ in range(3)])
+    names, ids, size = mixing.token_ids(texts)
+    model = mixing.Model(mixing.token_hashes([b""]), np.array([3]), len(ids), np.bincount([97, 98, 256], minlength=257))
+    _, _, symbol, ids, size = model.text_parts(texts)
+    stream = model.stream(ids, size, symbol)
+    all_of = sum(len(made.bit) for made in (model.token_decisions(stream.keys()), model.byte_decisions(names, stream.spelled(model.escape)[1])))
+    made, entries = [], mixing.Code.entries
+    monkeypatch.setattr(mixing.Code, "entries", lambda self, s: (made.append(int(self.size.take(s).sum())), entries(self, s))[1])
+    counts = np.zeros((mixing.PARTS_OF_TABLE, 2 << mixing.SLOT_BITS), dtype=np.int32)
+    mixing.tally(model, texts, counts)
+    assert counts.sum(axis=1).tolist() == [all_of] * mixing.PARTS_OF_TABLE and sum(made) < all_of / 4
+
+
+def test_online_steps_equal_plain_ones():
+    """Weights, map and uses are those of one step after the other over all gates and cells."""
+    rng, plain, mixer = np.random.default_rng(7), mixing.Mixer(), mixing.Mixer()
+    for first, n in ((0, 3 * mixing.STEP + 500), (256, mixing.STEP), (0, 700)):
+        found = rng.integers(-8000, 8000, (mixing.PARTS_OF_TABLE, n)).astype(np.int16)
+        gate, bit = (first + rng.integers(0, 256, n)).astype(np.int16), rng.integers(0, 2, n).astype(np.uint8)
+        uses = rng.integers(1, 9, n).astype(np.float32)
+        mixer.learn(found, gate, bit, uses)
+        for at in range(0, n, mixing.STEP):
+            now = slice(at, at + mixing.STEP)
+            x, g, b, u = found[:, now] / (4.0 * mixing.SCALE), gate[now].astype(np.int64), bit[now], uses[now]
+            mixed = np.clip(plain.weights[g, -1] + (plain.weights[g, :-1].T * x).sum(axis=0), -7.99, 7.99)
+            place = (mixed + 8) * (mixing.CELLS - 1) / 16
+            low = place.astype(int)
+            part = place - low
+            refined = plain.map[g, low] * (1 - part) + plain.map[g, low + 1] * part
+            seen = np.bincount(g, u, len(plain.weights))
+            rate = np.maximum(mixing.RATES[1], mixing.RATES[0] / (1 + plain.seen / mixing.FALL))
+            step = rate / np.maximum(np.sqrt(np.maximum(seen, 1)), seen / np.sqrt(mixing.MOST))
+            error, off = (u * (b - 1 / (1 + np.exp(-p))) for p in (mixed, refined))
+            for k in range(mixing.PARTS_OF_TABLE):
+                np.add.at(plain.weights[:, k], g, step[g] * error * x[k])
+            np.add.at(plain.weights[:, -1], g, 0.3 * step[g] * error)
+            for side, share in ((0, 1 - part), (1, part)):
+                np.add.at(plain.map, (g, low + side), 3 * step[g] * off * share)
+                np.add.at(plain.met, g * mixing.CELLS + low + side, u)
+            plain.seen += seen
+    assert np.array_equal(mixer.seen, plain.seen) and np.abs(mixer.met - plain.met).max() <= 9
+    assert np.allclose(mixer.weights, plain.weights, atol=1e-4) and np.allclose(mixer.map, plain.map, atol=1e-3)
